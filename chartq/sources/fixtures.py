@@ -45,13 +45,13 @@ def fv_completions(spark, sf_dir) -> DataFrame:
     return _sql(spark, sf_dir, """
 select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end as run, o_orderstatus as dataset, o_orderkey as idx,
  '<think>' || chr(10) || '<type>' || case when o_orderkey % 4 = 0 then 'Bar' else 'line' end || '</type>' || chr(10)
-  || case when o_orderkey % 5 = 0 then '' else '<table>{"columns":["Year","Value"],"rows":[["' || o_orderpriority || '",'
-  || cast(cast(round(o_totalprice*100) as bigint) as string) || '],["b",1.50]]' || case when o_orderkey % 7 = 0 then '' else '}' end || '</table>' end
+  || case when o_orderkey % 5 = 0 then '' else '<table>{{"columns":["Year","Value"],"rows":[["' || o_orderpriority || '",'
+  || cast(cast(round(o_totalprice*100) as bigint) as string) || '],["b",1.50]]' || case when o_orderkey % 7 = 0 then '' else '}}' end || '</table>' end
   || chr(10) || '<step-1>: ' || repeat('w ', cast(o_orderkey % 90 as int)) || '<step-2>: done</think>' || chr(10) || '<answer>'
   || cast(cast(round(o_totalprice*100) as bigint) + (o_orderkey % 3) * 4000000 as string) || case when o_orderkey % 2 = 0 then '.' else '' end || '</answer>' as completion,
  cast(cast(round(o_totalprice*100) as bigint) as string) as label,
  case when o_orderkey % 2 = 0 then 'bar' else 'line' end as chart_type,
- '{"columns":["value","year"],"rows":[["b","1.50"],["' || o_orderpriority || '","' || cast(cast(round(o_totalprice*100) as bigint) as string) || '"]]}' as gold_table
+ '{{"columns":["value","year"],"rows":[["b","1.50"],["' || o_orderpriority || '","' || cast(cast(round(o_totalprice*100) as bigint) as string) || '"]]}}' as gold_table
 from {orders}""", "orders")
 
 
