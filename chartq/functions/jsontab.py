@@ -8,7 +8,7 @@ string literals are quoted before `from_json`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartq.functions.text import col_, py_strip
@@ -69,13 +69,15 @@ def sort_ci(arr) -> Column:
     return F.transform(F.array_sort(tagged), lambda s: s["v"])
 
 
-def compare_tables(pred, gold) -> Column:
-    """JSN-06 / RWD-06 core: sorted headers matched case-insensitively (0.5 / n pred columns
-    each), cells of sorted rows matched exactly (0.5 / n pred rows each). A prediction that
-    runs past the gold (more columns, more rows, or a longer row) scores 0 as a whole."""
-    p, g = col_(pred), col_(gold)
-    pc, gc = sort_ci(p["columns"]), sort_ci(g["columns"])
-    pr, gr = F.array_sort(p["rows"]), F.array_sort(g["rows"])
+def with_compare(df: DataFrame, pred: str, gold: str, out: str) -> DataFrame:
+    """JSN-06 / RWD-06 core, as staged projections: sorted headers matched
+    case-insensitively (0.5 / n pred columns each), cells of sorted rows matched exactly
+    (0.5 / n pred rows each). A prediction that runs past the gold (more columns, more
+    rows, or a longer row) scores 0 as a whole."""
+    p, g = F.col(pred), F.col(gold)
+    s = df.withColumns({"_pc": sort_ci(p["columns"]), "_gc": sort_ci(g["columns"]),
+                        "_pr": F.array_sort(p["rows"]), "_gr": F.array_sort(g["rows"])})
+    pc, gc, pr, gr = F.col("_pc"), F.col("_gc"), F.col("_pr"), F.col("_gr")
     long_row = F.exists(F.zip_with(pr, gr, lambda a, b: F.coalesce(F.size(a), F.lit(0)) > F.coalesce(F.size(b), F.lit(0))),
                         lambda x: x)
     overrun = (F.size(pc) > F.size(gc)) | (F.size(pr) > F.size(gr)) | F.coalesce(long_row, F.lit(False))
@@ -87,7 +89,7 @@ def compare_tables(pred, gold) -> Column:
     score = (F.when(F.size(pc) > 0, F.lit(0.5) * col_hits / F.size(pc)).otherwise(0.0)
              + F.when(F.size(pr) > 0, F.lit(0.5) * cell_hits / F.size(pr)).otherwise(0.0))
     ok = p["columns"].isNotNull() & p["rows"].isNotNull() & g["columns"].isNotNull() & g["rows"].isNotNull()
-    return F.when(ok & ~overrun, score).otherwise(F.lit(0.0))
+    return s.withColumn(out, F.when(ok & ~overrun, score).otherwise(F.lit(0.0))).drop("_pc", "_gc", "_pr", "_gr")
 
 
 def cosine(a, b) -> Column:

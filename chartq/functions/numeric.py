@@ -38,4 +38,4 @@ def is_num(c) -> Column:
 
 def round4(c) -> Column:
     """Doubles are reported rounded to 4 places on both the Spark and the oracle side."""
-    return F.round(col_(c).cast("double"), 4)
+    return F.round(F.round(col_(c).cast("double"), 8), 4)

@@ -17,10 +17,11 @@ unique inside the group.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartq.session import ensure_checkpoint_dir
+
 # Rows of a side we are willing to broadcast after counting it.
 BROADCAST_MAX_ROWS = 2_000_000
 
@@ -51,12 +52,17 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list, out: s
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
-    # The numbering is a function of the range shuffle output sorted on a unique key, so a
-    # recomputed partition gets the same numbers. Keep it for the two reads below.
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    # Range bounds are sampled with a seed that changes per execution, so two reads of
+    # `ranged` may disagree on which rows a partition holds. Number the rows once and cut
+    # the lineage with a reliable checkpoint in the cluster's shared checkpoint folder:
+    # both reads below, and any task retried after a lost executor, see the same numbers.
+    ensure_checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    ranked = checked_join(ranged, offsets, ["_pid", *group_cols])
+    # The offsets table has at most (#groups + #partitions) rows; AQE measures it and
+    # broadcasts it when small, else keeps a shuffle join on a key no group can skew.
+    ranked = ranged.join(offsets, ["_pid", *group_cols])
     return (ranked.withColumn(out, (F.col("_pos") - F.col("_p0") + F.col("_off")).cast("int"))
             .drop("_pid", "_pos", "_p0", "_off"))

@@ -81,14 +81,24 @@ def chart_type_reward(completion="completion", chart_type="chart_type", **_) ->
 def table_style_reward(completion="completion", gold_table="gold_table", **_) -> Column:
     """RWD-06: +0.5 strict JSON, + header/cell matches (JSN-06), +0.25 exact key set.
     A row whose table does not parse scores 0 (the reference reuses the previous row's
-    table there, quirk Q5)."""
-    block = J.table_block(completion)
-    ok = J.strict_json_ok(block)
-    pred = F.when(ok, F.from_json(J.quote_number_lexemes(block), J.TABLE_SCHEMA))
-    gold = J.parse_table(gold_table)
-    cmp = F.when(ok & gold.isNotNull(), J.compare_tables(pred, gold)).otherwise(F.lit(0.0))
-    keys = F.when(ok & J.has_exact_keys(block), 0.25).otherwise(0.0)
-    return F.when(ok, 0.5).otherwise(0.0) + cmp + keys
+    table there, quirk Q5). Expects the staged columns of `with_table_parts`."""
+    return F.col("_tab_reward")
+
+
+def with_table_parts(df: DataFrame, completion="completion", gold_table="gold_table") -> DataFrame:
+    """Stage the table reward over projections so that each table is cut, validated, parsed
+    and sorted once per row (an inlined struct would be re-parsed at every reference)."""
+    s1 = df.withColumn("_tab_block", J.table_block(completion))
+    s2 = s1.withColumns({"_tab_ok": J.strict_json_ok("_tab_block"),
+                         "_tab_keys": J.has_exact_keys("_tab_block"),
+                         "_tab_gold": J.parse_table(gold_table)})
+    s3 = s2.withColumn("_tab_pred", F.when(F.col("_tab_ok"), F.from_json(J.quote_number_lexemes("_tab_block"), J.TABLE_SCHEMA)))
+    s4 = J.with_compare(s3, "_tab_pred", "_tab_gold", "_tab_cmp")
+    ok = F.col("_tab_ok")
+    reward = (F.when(ok, 0.5).otherwise(0.0)
+              + F.when(ok & F.col("_tab_gold").isNotNull(), F.col("_tab_cmp")).otherwise(0.0)
+              + F.when(ok & F.col("_tab_keys"), 0.25).otherwise(0.0))
+    return s4.withColumn("_tab_reward", reward).drop("_tab_block", "_tab_ok", "_tab_keys", "_tab_gold", "_tab_pred", "_tab_cmp")
 
 
 def process_style_reward(pred_embedding="e1", gold_embedding="e2", **_) -> Column:
@@ -113,7 +123,9 @@ def register_reward(name: str, fn: Callable[..., Column]) -> None:
 def score(df: DataFrame, names=None, **columns) -> DataFrame:
     """RWD-08: all rewards (and their sum) in one projection."""
     names = list(names or REWARDS)
-    out = df.select("*", *[REWARDS[n](**columns).alias(f"r_{n}") for n in names])
+    if "table" in names:
+        df = with_table_parts(df, **{k: v for k, v in columns.items() if k in ("completion", "gold_table")})
+    out = df.select("*", *[REWARDS[n](**columns).alias(f"r_{n}") for n in names]).drop("_tab_reward")
     return out.withColumn("r_total", sum((F.col(f"r_{n}") for n in names), F.lit(0.0)))
 
 

@@ -128,7 +128,7 @@ register("reward_type", _one("chart_type", d_type()))(_spark_one(R.chart_type_re
 @register("reward_table", with_fv("fv_completions") + ", " + _TABLE_CTE
           + f"select run, dataset, idx, {S.r4('r_table')} as reward from t2")
 def reward_table(spark, sf_dir):
-    df = fv_completions(spark, sf_dir)
+    df = R.with_table_parts(fv_completions(spark, sf_dir))
     return df.select("run", "dataset", "idx", round4(R.table_style_reward()).alias("reward"))
 
 

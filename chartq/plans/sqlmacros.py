@@ -41,7 +41,7 @@ def count_occ(e: str, p: str) -> str:
 
 
 def r4(e: str) -> str:
-    return f"round(cast({e} as double), 4)"
+    return f"round(round(cast({e} as double), 8), 4)"
 
 
 def relaxed(target: str = "target", prediction: str = "prediction", tol: float = 0.05,
@@ -58,3 +58,29 @@ def relaxed(target: str = "target", prediction: str = "prediction", tol: float =
 
 def exact(target: str = "target", prediction: str = "prediction") -> str:
     return f"cast(lower({prediction}) = lower({target}) as int)"
+
+
+# ---- answer rendering (twins of chartq.functions.render) ----
+
+def num(e: str) -> str:
+    return f"cast(try_cast(round(round(cast({e} as double), 8), 4) as decimal(38,4)) as varchar)"
+
+
+def integer(e: str) -> str:
+    return f"cast(cast({e} as bigint) as varchar)"
+
+
+def boolean(e: str) -> str:
+    return f"(case when {e} then 'True' when not ({e}) then 'False' end)"
+
+
+def quoted_list(e: str) -> str:
+    return f"('[' || array_to_string(list_transform({e}, lambda x: '''' || x || ''''), ', ') || ']')"
+
+
+def pair(a: str, b: str) -> str:
+    return f"('(' || {a} || ', ' || {b} || ')')"
+
+
+def fmt2(e: str) -> str:
+    return f"printf('%.2f', {e})"
