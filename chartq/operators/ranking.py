@@ -59,7 +59,8 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list, out: s
     ensure_checkpoint_dir(spark)
     ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
-    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # with no group the offsets table has one row per partition, so an unpartitioned window is fine
+    w = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     # The offsets table has at most (#groups + #partitions) rows; AQE measures it and
     # broadcasts it when small, else keeps a shuffle join on a key no group can skew.

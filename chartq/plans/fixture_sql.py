@@ -73,6 +73,12 @@ select p_partkey as image_id, 100 + p_size * 37 as width, 80 + (p_partkey % 50)
     "fv_emb": """
 select a.vec_id as idx, a.embedding as e1, b.embedding as e2 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
     "fv_turns": "select * from conversations",
+    "fv_qa": """
+select source as dataset, 'train' as split, d.doc_id as qid, 'images/' || cast(d.doc_id as varchar) || '.png' as image_path,
+ text as query, case when quality = 1 then 'Yes' when quality = 0 then 'No' end as label, cast(toxic as int) as source_tag,
+ lang as chart_type from documents d left join labels l on d.doc_id = l.doc_id""",
+    "fv_tok": """
+select conv_id, turn, list_transform(string_split(text, ' '), lambda w: cast(length(w) as int)) as ids from conversations""",
 }
 
 

@@ -182,8 +182,20 @@ def fv_emb(spark, sf_dir) -> DataFrame:
 
 
 def fv_qa(spark, sf_dir) -> DataFrame:
-    """Canonical qa rows from documents (+ labels): dataset = source, query = first 80
-    characters, label = answer flag rendered Yes/No, source_tag = quality flag."""
+    """Canonical qa rows from documents (+ labels): dataset = source, qid = doc_id, query = the
+    whole text, label = the quality flag rendered Yes / No (as the fact-check loader does),
+    source_tag = the toxic flag (0 = human, 1 = augmented), chart_type = lang."""
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels")
-    return d.join(lab, "doc_id", "left")
+    j = d.join(lab, "doc_id", "left")
+    return j.select(F.col("source").alias("dataset"), F.lit("train").alias("split"), F.col("doc_id").alias("qid"),
+                    F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image_path"),
+                    F.col("text").alias("query"),
+                    F.when(F.col("quality") == 1, "Yes").when(F.col("quality") == 0, "No").alias("label"),
+                    F.col("toxic").cast("int").alias("source_tag"), F.col("lang").alias("chart_type"))
+
+
+def fv_tok(spark, sf_dir) -> DataFrame:
+    """Token-id arrays: the length of every space-separated word of each turn."""
+    t = fv_turns(spark, sf_dir)
+    return t.select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
