@@ -85,3 +85,23 @@ select conv_id, turn, list_transform(string_split(text, ' '), lambda w: cast(len
 def with_fv(*names: str) -> str:
     """`WITH` clause defining the named fixture views."""
     return "with " + ",\n".join(f"{n} as ({FV[n]})" for n in names) + "\n"
+
+
+def fv_cells_sql() -> str:
+    """FV-cells as one SELECT over the other fixture CTEs (which must be in the WITH list)."""
+    from chartq.sources.fixtures import CELL_SOURCES
+    types = {"fv_bar": {"value"}, "fv_scatter": {"x", "y"}, "fv_hist": {"value"}, "fv_grp": {"value"},
+             "fv_matrix": {"v1", "v2", "v3", "v4"}}
+    parts = []
+    for prefix, view, cols in CELL_SOURCES:
+        items = ", ".join(
+            "{'col_idx': %d, 'col_name': '%s', 'cell': %s}" % (
+                i, c, f"cast(cast({c} as decimal(20,2)) as varchar)" if c in types[view] else f"cast({c} as varchar)")
+            for i, c in enumerate(cols))
+        parts.append(f"select '{prefix}:' || cast(chart_id as varchar) as chart_id, cast(row_idx as int) as row_idx, "
+                     f"unnest([{items}], recursive := true) from {view}")
+    return "\nunion all\n".join(parts)
+
+
+def with_cells() -> str:
+    return with_fv("fv_bar", "fv_scatter", "fv_hist", "fv_grp", "fv_matrix") + ", fv_cells as (" + fv_cells_sql() + ")\n"

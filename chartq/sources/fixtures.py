@@ -199,3 +199,30 @@ def fv_tok(spark, sf_dir) -> DataFrame:
     """Token-id arrays: the length of every space-separated word of each turn."""
     t = fv_turns(spark, sf_dir)
     return t.select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
+
+
+# (prefix, view, columns) of the charts flattened into FV-cells.
+CELL_SOURCES = (("bar", "fv_bar", ("category", "value")), ("scatter", "fv_scatter", ("x", "y")),
+                ("hist", "fv_hist", ("value",)), ("grp", "fv_grp", ("grp", "category", "value")),
+                ("matrix", "fv_matrix", ("v1", "v2", "v3", "v4")))
+
+
+def _cell_text(df: DataFrame, c: str) -> F.Column:
+    dt = dict(df.dtypes)[c]
+    return F.col(c).cast("decimal(20,2)").cast("string") if dt in ("double", "float") else F.col(c).cast("string")
+
+
+def fv_cells(spark, sf_dir) -> DataFrame:
+    """chart_cells (chart_id, row_idx, col_idx, col_name, cell): every chart of five views as
+    string cells, `chart_id` prefixed by its source."""
+    views = {"fv_bar": fv_bar, "fv_scatter": fv_scatter, "fv_hist": fv_hist, "fv_grp": fv_grp,
+             "fv_matrix": lambda s, d: fv_matrix(s, d, with_row_idx=True)}
+    out = None
+    for prefix, view, cols in CELL_SOURCES:
+        df = views[view](spark, sf_dir)
+        cells = F.array(*[F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"), _cell_text(df, c).alias("cell"))
+                          for i, c in enumerate(cols)])
+        part = df.select(F.concat(F.lit(prefix + ":"), F.col("chart_id").cast("string")).alias("chart_id"),
+                         F.col("row_idx").cast("int").alias("row_idx"), F.inline(cells))
+        out = part if out is None else out.unionByName(part)
+    return out
