@@ -287,3 +287,14 @@ def mask_labels(spark, sf_dir):
     mask = F.array(F.lit(1), F.lit(2), F.lit(3))
     return t.select("conv_id", "turn", F.transform("ids", lambda x: F.when(F.array_contains(mask, x) | (x == 0), F.lit(-100))
                                                   .otherwise(x)).alias("masked"))
+
+
+from chartq.plans.q_qa import BAR_SQL  # noqa: E402
+from chartq.plans.registry import ORACLE as _ORACLE  # noqa: E402
+
+_ORACLE["pref_mix"] = _HN_SQL + f""",
+u as (select concat_ws(':', 'hn', conv_id, turn, tok_pos) as pair_id, question, label, predicted from hn
+  union all
+  select concat_ws(':', 'qa', chart_id, qid), question, label, not_answer from ({BAR_SQL}) b),
+r as (select *, row_number() over (order by md5(concat_ws(':', '{SEED}', pair_id)), pair_id) - 1 as pos from u)
+select pair_id, question, label, predicted, case when pos < 512 then 'eval' else 'train' end as split from r"""

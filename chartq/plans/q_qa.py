@@ -303,3 +303,9 @@ def qa_all_prefs(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+from chartq.plans.registry import ORACLE as _ORACLE  # noqa: E402
+
+_ORACLE["qa_all_prefs"] = "\nunion all\n".join(
+    f"select *, '{k[3:]}' as chart_type from ({sql})" for k, (_, sql) in QA_VIEWS.items())
