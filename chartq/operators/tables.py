@@ -12,8 +12,10 @@ from chartq.functions.text import after_last, before_first, col_, py_strip
 
 def table_cells(df: DataFrame, block: Column, keys: list[str]) -> DataFrame:
     """Parsed table rows exploded to (r, c, cell); unparsable tables yield no cells."""
-    t = df.select(*keys, J.parse_table(block).alias("tab"))
-    rows = t.select(*keys, F.posexplode("tab.rows").alias("r", "row"))
+    t = df.select(*keys, block.alias("_b")).select(*keys, J.parse_table("_b").alias("tab"))
+    # `posexplode_outer` + a filter on its output: with plain `posexplode` the optimizer infers
+    # `size(tab.rows) > 0` and pushes it, parse and all, below the exchange into the scan.
+    rows = t.select(*keys, F.posexplode_outer("tab.rows").alias("r", "row")).where(F.col("r").isNotNull())
     return rows.select(*keys, "r", F.posexplode("row").alias("c", "cell"))
 
 
@@ -41,7 +43,10 @@ def table_error_expr(gold_text: Column, pred_text: Column) -> Column:
     A predicted row shorter than its gold row adds one error and stops the scan. Capped at 1
     (the reference returns 1e6 when a table has no rows, quirk Q11)."""
     pt = F.replace(pred_text, F.lit("'"), F.lit('"'))
-    g, p = J.parse_table(gold_text), J.parse_table(pt)
+    return _table_error_parsed(J.strict_json_ok(gold_text), J.strict_json_ok(pt), J.parse_table(gold_text), J.parse_table(pt))
+
+
+def _table_error_parsed(gok: Column, pok: Column, g: Column, p: Column) -> Column:
     n_pairs = F.least(F.size(g["rows"]), F.size(p["rows"]))
 
     def pair(a, b):
@@ -56,12 +61,18 @@ def table_error_expr(gold_text: Column, pred_text: Column) -> Column:
     stop = F.when(f > 0, 1).otherwise(0)
     err = F.aggregate(used, F.lit(0), lambda acc, x: acc + x["bad"]) + stop
     cnt = F.aggregate(used, F.lit(0), lambda acc, x: acc + F.least(x["k"], x["m"])) + stop
-    return (F.when(~J.strict_json_ok(gold_text), 0.0).when(~J.strict_json_ok(pt), 1.0)
+    return (F.when(~gok, 0.0).when(~pok, 1.0)
             .when(g["rows"].isNull() | p["rows"].isNull(), 1.0)
             .otherwise(F.least(err / (cnt + F.lit(1e-6)), F.lit(1.0))))
 
 
 def table_error(df: DataFrame, keys=("run", "dataset"), completion="completion", gold="gold_table") -> DataFrame:
-    pred = py_strip(before_first(after_last(completion, "<table>"), "</table>"))
-    e = df.select(*keys, table_error_expr(col_(gold), pred).alias("err"))
+    """MET-07 per run: the texts are cut, validated and parsed once in a first projection;
+    the cell comparison then reads the parsed columns."""
+    pred = F.replace(py_strip(before_first(after_last(completion, "<table>"), "</table>")), F.lit("'"), F.lit('"'))
+    s1 = df.select(*keys, col_(gold).alias("_gt"), pred.alias("_pt"))
+    s2 = s1.select(*keys, J.strict_json_ok("_gt").alias("_gok"), J.strict_json_ok("_pt").alias("_pok"),
+                   F.from_json(J.quote_number_lexemes("_gt"), J.TABLE_SCHEMA).alias("_g"),
+                   F.from_json(J.quote_number_lexemes("_pt"), J.TABLE_SCHEMA).alias("_p"))
+    e = s2.select(*keys, _table_error_parsed(F.col("_gok"), F.col("_pok"), F.col("_g"), F.col("_p")).alias("err"))
     return e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), round4(F.avg("err")).alias("table_err"))

@@ -11,6 +11,7 @@ from chartq.operators import qa as Q
 from chartq.plans import sqlmacros as S
 from chartq.plans.fixture_sql import with_cells
 from chartq.plans.registry import register
+from chartq.session import ensure_checkpoint_dir
 from chartq.sources import fixtures as FX
 
 _NA = ", ".join("'" + t.replace("'", "''") + "'" for t in PR.NA_TOKENS)
@@ -102,9 +103,11 @@ def table_qa(spark, sf_dir):
     """The table → QA pipeline: profile every table, pick its type, rename its columns,
     pivot to points and generate the questions of that type (bar, scatter, histogram,
     grouped bar and scatter matrix tables here)."""
-    cells = FX.fv_cells(spark, sf_dir)
+    # the cells feed six plans below: materialise them once in the shared checkpoint folder
+    ensure_checkpoint_dir(spark)
+    cells = FX.fv_cells(spark, sf_dir).checkpoint(eager=True)
     prof = PR.column_profile(cells)
-    mapping = PR.auto_rename(prof, PR.pick_chart(prof))
+    mapping = PR.auto_rename(prof, PR.pick_chart(prof)).checkpoint(eager=True)
     parts = []
     for ct in ("bar", "scatter", "histogram", "grouped_bar"):
         pts = PR.to_points(cells, mapping, ct)

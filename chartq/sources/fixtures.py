@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartq.operators.ranking import rank_in_group
-from chartq.sources.tables import table
+from chartq.sources.tables import spread, table
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
@@ -27,7 +27,7 @@ def cents(c) -> F.Column:
 
 def fv_eval(spark, sf_dir) -> DataFrame:
     """eval_records: run, dataset, idx, target, prediction, tag (MET-*)."""
-    return _sql(spark, sf_dir, """
+    return spread(_sql(spark, sf_dir, """
 select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end as run, o_orderstatus as dataset, o_orderkey as idx,
  case when o_orderkey % 8 = 5 then cast(o_orderkey % 100 as string) || '%' when o_orderkey % 8 = 6 then o_orderpriority
       when o_orderkey % 8 = 7 then 'Unanswerable' else cast(cast(round(o_totalprice*100) as bigint) as string) end as target,
@@ -37,12 +37,12 @@ select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end a
    when 3 then ' ' || cast(cast(round(o_totalprice*100) as bigint) as string) || '.'
    when 4 then 'n/a' when 5 then '0.' || lpad(cast(o_orderkey % 100 as string),2,'0')
    when 6 then lower(o_orderpriority) || '.' else 'unknown' end as prediction,
- cast(o_orderkey % 2 as int) as tag from {orders}""", "orders")
+ cast(o_orderkey % 2 as int) as tag from {orders}""", "orders"))
 
 
 def fv_completions(spark, sf_dir) -> DataFrame:
     """completions: run, dataset, idx, completion, label, chart_type, gold_table (RWD-*, JSN-*)."""
-    return _sql(spark, sf_dir, """
+    return spread(_sql(spark, sf_dir, """
 select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end as run, o_orderstatus as dataset, o_orderkey as idx,
  '<think>' || chr(10) || '<type>' || case when o_orderkey % 4 = 0 then 'Bar' else 'line' end || '</type>' || chr(10)
   || case when o_orderkey % 5 = 0 then '' else '<table>{{"columns":["Year","Value"],"rows":[["' || o_orderpriority || '",'
@@ -52,7 +52,7 @@ select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end a
  cast(cast(round(o_totalprice*100) as bigint) as string) as label,
  case when o_orderkey % 2 = 0 then 'bar' else 'line' end as chart_type,
  '{{"columns":["value","year"],"rows":[["b","1.50"],["' || o_orderpriority || '","' || cast(cast(round(o_totalprice*100) as bigint) as string) || '"]]}}' as gold_table
-from {orders}""", "orders")
+from {orders}""", "orders"))
 
 
 def fv_bar(spark, sf_dir) -> DataFrame:
