@@ -55,13 +55,16 @@ def eval_breakdown(spark, sf_dir):
     return M.breakdown(fv_eval(spark, sf_dir))
 
 
-@register("eval_running", with_fv("fv_eval") + ", " + _FLAGS + f""",
+RUNNING_SQL = with_fv("fv_eval") + ", " + _FLAGS + f""",
 p as (select *, row_number() over (partition by run, dataset order by idx) - 1 as pos from flags),
 b as (select run, dataset, cast(floor(pos / 32) as bigint) as batch, count(*) as bn, sum(em) as bem, sum(ra) as bra from p group by all),
 c as (select run, dataset, batch, sum(bn) over w as n, sum(bem) over w as em, sum(bra) over w as ra from b
   window w as (partition by run, dataset order by batch rows between unbounded preceding and current row))
 select run, dataset, batch, cast(n as bigint) as n, cast(em as bigint) as em, cast(ra as bigint) as ra,
- {S.r4('em / n')} as em_rate, {S.r4('ra / n')} as ra_rate from c""")
+ {S.r4('em / n')} as em_rate, {S.r4('ra / n')} as ra_rate from c"""
+
+
+@register("eval_running", RUNNING_SQL)
 def eval_running(spark, sf_dir):
     return M.running(fv_eval(spark, sf_dir))
 

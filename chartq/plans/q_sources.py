@@ -16,6 +16,7 @@ from chartq.operators import curate as C
 from chartq.operators import tables as T
 from chartq.plans import sqlmacros as S
 from chartq.plans.fixture_sql import with_cells, with_fv
+from chartq.plans.q_eval import RUNNING_SQL
 from chartq.plans.q_rewards import d_block
 from chartq.plans.registry import register
 from chartq.sources import fixtures as FX
@@ -118,3 +119,57 @@ def rationale_fields(spark, sf_dir):
     parsed = J.parse_table(tab)
     return r.select("run", "dataset", "idx", reasoning.alias("reasoning"), typ.alias("type"),
                     J.strict_json_ok(tab).alias("table_ok"), F.when(J.strict_json_ok(tab), F.size(parsed["rows"])).alias("n_rows"))
+
+
+# ---- evaluation traces (SRC-16, MET-05) -----------------------------------------------------
+
+def _py_repr(c):
+    """A Python-style string literal: single quotes unless the text holds a single quote
+    and no double quote."""
+    esc = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), "\n", r"\\n")
+    dq = esc.contains("'") & ~esc.contains('"')
+    return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.regexp_replace(esc, "'", r"\\'"), F.lit("'")))
+
+
+def _py_list(items, field):
+    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda e: _py_repr(e[field])), ", "), F.lit("]"))
+
+
+def _traces(spark, sf_dir):
+    from chartq.operators import metrics as M
+    from chartq.operators.ranking import rank_in_group
+    ev = FX.fv_eval(spark, sf_dir)
+    keys = ["run", "dataset"]
+    pos = rank_in_group(ev.select(*keys, "idx", "target", "prediction"), keys, ["idx"], out="pos")
+    items = (pos.groupBy(*keys, F.floor(F.col("pos") / 32).cast("bigint").alias("batch"))
+             .agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), F.lower("prediction").alias("p"), F.col("target").alias("t"),
+                                                       F.col("prediction").alias("r")))).alias("items")))
+    run = M.running(ev).select(*keys, "batch", "em_rate", "ra_rate")
+    rec = items.join(run, [*keys, "batch"]).select(
+        *keys, "batch", F.concat_ws("\n", _py_list("items", "p"), _py_list("items", "t"), _py_list("items", "r"),
+                                    F.concat(F.lit("EM:  "), F.col("em_rate").cast("string")),
+                                    F.concat(F.lit("Relaxed Accuracy:  "), F.col("ra_rate").cast("string")),
+                                    F.lit("BLEU Score:  0.0")).alias("text"))
+    path = RD.stage_dir(spark, "traces")
+    (rec.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "batch")
+     .sortWithinPartitions(*keys, "batch").select(*keys, "text")
+     .write.mode("overwrite").partitionBy(*keys).text(path))
+    return RD.read_traces(spark, path, keys)
+
+
+@register("trace_records", with_fv("fv_eval") + """select run, dataset, cast(floor(pos / 32) as bigint) as batch, cast(pos % 32 as int) as pos,
+ lower(prediction) as pred_norm, target as label, prediction as pred_raw from
+ (select *, row_number() over (partition by run, dataset order by idx) - 1 as pos from fv_eval)""")
+def trace_records(spark, sf_dir):
+    """SRC-16: evaluation traces (3 list literals + 3 metric lines per batch of 32) written as
+    text and parsed back to one row per traced item."""
+    return RD.trace_items(_traces(spark, sf_dir), ["run", "dataset"])
+
+
+@register("trace_running", f"select run, dataset, batch, em_rate, ra_rate from ({RUNNING_SQL})")
+def trace_running(spark, sf_dir):
+    """MET-05: the running EM / relaxed accuracy lines of the traces, per batch."""
+    t = _traces(spark, sf_dir)
+    return t.select("run", "dataset", F.col("batch").cast("bigint").alias("batch"), F.col("em").alias("em_rate"),
+                    F.col("ra").alias("ra_rate"))

@@ -238,3 +238,41 @@ def read_rationales(spark: SparkSession, path: str) -> DataFrame:
     raw =spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     arr = raw.select("file", F.from_json("value", "array<string>").alias("a"))
     return arr.select("file", F.posexplode("a").alias("pos", "text"))
+
+
+# ---- evaluation traces (SRC-16) -------------------------------------------------------------
+
+# Fixed value: a Python string literal in either quote style, with backslash escapes.
+PY_STR = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+
+
+def py_list_items(c) -> F.Column:
+    """Items of a printed Python list of strings, unquoted and unescaped."""
+    toks = F.regexp_extract_all(c, F.lit(PY_STR), 0)
+
+    def unq(t):
+        body = F.regexp_replace(F.substring(t, 2, 1 << 30), r"(?s).\z", "")
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
+            body, r"\\n", "\n"), r"\\'", "'"), r'\\"', '"'), r"\\\\", "\\\\")
+    return F.transform(toks, unq)
+
+
+def read_traces(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """SRC-16: 6-line records (normalised predictions, labels, raw predictions as list
+    literals, then `EM:`, `Relaxed Accuracy:`, `BLEU Score:`), numbered across files.
+    Returns one row per record: (keys, batch, preds, labels, raws, em, ra, bleu)."""
+    f = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    lines = numbered_pieces(f, keys, "\n")
+    rec = lines.select(*keys, F.floor(F.col("pos") / 6).alias("batch"), (F.col("pos") % 6).alias("kind"), "piece")
+    val = lambda k: F.max(F.when(F.col("kind") == k, F.col("piece")))
+    num = lambda k: F.regexp_extract(val(k), r":\s*(\S+)\s*$", 1).try_cast("double")
+    return rec.groupBy(*keys, "batch").agg(
+        py_list_items(val(0)).alias("preds"), py_list_items(val(1)).alias("labels"), py_list_items(val(2)).alias("raws"),
+        num(3).alias("em"), num(4).alias("ra"), num(5).alias("bleu"))
+
+
+def trace_items(records: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per traced item: (keys, batch, pos, pred_norm, label, pred_raw)."""
+    z = records.select(*keys, "batch", F.posexplode(F.arrays_zip("preds", "labels", "raws")).alias("pos", "z"))
+    return z.select(*keys, F.col("batch").cast("long").alias("batch"), F.col("pos").cast("int").alias("pos"),
+                    F.col("z.preds").alias("pred_norm"), F.col("z.labels").alias("label"), F.col("z.raws").alias("pred_raw"))
