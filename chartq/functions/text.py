@@ -88,3 +88,15 @@ def fill_template(template, **fields) -> Column:
     for name, value in fields.items():
         out = F.replace(out, F.lit("{" + name + "}"), col_(value))
     return out
+
+
+def reason_answer_cut(c, family: str = "llava"):
+    """TXT-02 / TXT-03: (answer, reason) of a chain-of-thought reply.
+
+    llava: the text after the last `[/INST]` (stripped), answer after the last `Answer:`,
+    reason between the last `Reason:` and the next `Answer:`; internvl: `### Answer:` and
+    `### Reason:` markers on the whole text. Reasons are stripped of newlines only."""
+    s = py_strip(after_last(c, "[/INST]")) if family == "llava" else col_(c)
+    ans, rsn = ("Answer:", "Reason:") if family == "llava" else ("### Answer:", "### Reason:")
+    stop = "Answer:" if family == "llava" else "### Answer"
+    return py_strip(after_last(s, ans)), strip_newlines(before_first(after_last(s, rsn), stop))

@@ -80,3 +80,15 @@ def tile_boxes(grid: DataFrame, image_size: int = 448, use_thumbnail: bool = Tru
         "image_id", F.col("blocks").alias("tile"), F.lit(True).alias("thumbnail"), F.lit(0).alias("left"), F.lit(0).alias("top"),
         F.lit(s).alias("right"), F.lit(s).alias("bottom"))
     return boxes.unionByName(thumbs)
+
+
+def fixed_width_plan(df: DataFrame, target_width: int = 200) -> DataFrame:
+    """IMG-01 variant: width fixed, height scaled proportionally and truncated."""
+    return df.withColumns({"new_width": F.lit(target_width).cast("bigint"),
+                           "new_height": F.floor(F.col("height") * (F.lit(float(target_width)) / F.col("width"))).cast("bigint")})
+
+
+def half_size_plan(df: DataFrame) -> DataFrame:
+    """IMG-01 variant: both sides halved (integer division)."""
+    return df.withColumns({"new_width": F.floor(F.col("width") / 2).cast("bigint"),
+                           "new_height": F.floor(F.col("height") / 2).cast("bigint")})

@@ -298,3 +298,61 @@ u as (select concat_ws(':', 'hn', conv_id, turn, tok_pos) as pair_id, question,
   select concat_ws(':', 'qa', chart_id, qid), question, label, not_answer from ({BAR_SQL}) b),
 r as (select *, row_number() over (order by md5(concat_ws(':', '{SEED}', pair_id)), pair_id) - 1 as pos from u)
 select pair_id, question, label, predicted, case when pos < 512 then 'eval' else 'train' end as split from r"""
+
+
+@register("resize_fixed_width", with_fv("fv_manifest") + """select image_id, width, height, cast(200 as bigint) as new_width,
+ cast(floor(height * (200.0 / width)) as bigint) as new_height from fv_manifest""")
+def resize_fixed_width(spark, sf_dir):
+    """IMG-01 variant: width 200, proportional height (OCR input)."""
+    return MF.fixed_width_plan(FX.fv_manifest(spark, sf_dir)).select("image_id", "width", "height", "new_width", "new_height")
+
+
+@register("resize_half", with_fv("fv_manifest") + """select image_id, width, height, cast(width // 2 as bigint) as new_width,
+ cast(height // 2 as bigint) as new_height from fv_manifest""")
+def resize_half(spark, sf_dir):
+    """IMG-01 variant: half size (training collator)."""
+    return MF.half_size_plan(FX.fv_manifest(spark, sf_dir)).select("image_id", "width", "height", "new_width", "new_height")
+
+
+def _chat_replies_spark(spark, sf_dir):
+    from chartq.functions.text import tag_cut
+    c = FX.fv_completions(spark, sf_dir)
+    think, ans = tag_cut("completion", "<think>", "</think>"), tag_cut("completion", "<answer>", "</answer>")
+    llava = F.concat(F.lit("[INST] <image>\nQuestion [/INST] Reason: "), think, F.lit("\nAnswer: "), ans)
+    intern = F.concat(F.lit("### Reason:\n"), think, F.lit("\n### Answer: "), ans)
+    return c.select("run", "dataset", "idx", llava.alias("llava"), intern.alias("internvl"))
+
+
+_T = S.tag_cut
+_LLAVA_OUT = S.strip(S.after_last("llava", "[/INST]"))
+
+
+@register("extract_reason_answer", with_fv("fv_completions") + f""",
+c as (select run, dataset, idx, '[INST] <image>' || chr(10) || 'Question [/INST] Reason: ' || {_T('completion', '<think>', '</think>')}
+   || chr(10) || 'Answer: ' || {_T('completion', '<answer>', '</answer>')} as llava,
+   '### Reason:' || chr(10) || {_T('completion', '<think>', '</think>')} || chr(10) || '### Answer: '
+   || {_T('completion', '<answer>', '</answer>')} as internvl from fv_completions)
+select run, dataset, idx, {S.strip(S.after_last(_LLAVA_OUT, 'Answer:'))} as llava_answer,
+ regexp_replace({S.before_first(S.after_last(_LLAVA_OUT, 'Reason:'), 'Answer:')}, '^\\n+|\\n+$', '', 'g') as llava_reason,
+ {S.strip(S.after_last('internvl', '### Answer:'))} as internvl_answer,
+ regexp_replace({S.before_first(S.after_last('internvl', '### Reason:'), '### Answer')}, '^\\n+|\\n+$', '', 'g') as internvl_reason from c""")
+def extract_reason_answer(spark, sf_dir):
+    """TXT-02 / TXT-03: answer and reason cuts of the two chat-model reply styles."""
+    from chartq.functions.text import reason_answer_cut
+    r = _chat_replies_spark(spark, sf_dir)
+    la, lr = reason_answer_cut("llava", "llava")
+    ia, ir = reason_answer_cut("internvl", "internvl")
+    return r.select("run", "dataset", "idx", la.alias("llava_answer"), lr.alias("llava_reason"),
+                    ia.alias("internvl_answer"), ir.alias("internvl_reason"))
+
+
+@register("qa_cot_prefs", f"""select chart_id, qid, question,
+ replace(replace({lit(P.COT_TEMPLATE)}, '{{rationale}}', ''), '{{answer}}', coalesce(label, 'None')) as chosen,
+ replace(replace({lit(P.COT_TEMPLATE)}, '{{rationale}}', ''), '{{answer}}', coalesce(not_answer, 'None')) as rejected
+ from ({BAR_SQL})""")
+def qa_cot_prefs(spark, sf_dir):
+    """PRF-04: bar-chart QA pairs in the two-step rationale-then-answer form (rationales are
+    an input column; empty here)."""
+    qa = Q.bar_qa(FX.fv_bar(spark, sf_dir)).withColumn("answer_rationale", F.array().cast("array<string>")) \
+        .withColumn("not_answer_rationale", F.array().cast("array<string>"))
+    return P.cot_pairs(qa)
