@@ -171,3 +171,20 @@ def replace_last(turns: DataFrame, text) -> DataFrame:
     j = turns.join(last, "conv_id")
     return j.select("conv_id", "turn", "role",
                     F.when(F.col("turn") == F.col("_last"), col_(text)).otherwise(F.col("text")).alias("text"))
+
+
+def template_table(spark):
+    """PMT-02: the template registry as a small DataFrame (fixed size, safe to broadcast)."""
+    rows = [(i, t.name, t.system_template.replace("{system_message}", t.system_message)) for i, t in enumerate(TEMPLATES.values())]
+    return spark.createDataFrame(rows, "template_id int, template string, system_prompt string")
+
+
+def training_prompt(turns: DataFrame, templates: DataFrame) -> DataFrame:
+    """PMT-05 / JN-04: every conversation gets the system prompt of its template id (a lookup
+    join against the broadcast registry) followed by its first user turn."""
+    n = templates.count()
+    first_user = (turns.where(F.col("role") == "user").groupBy("conv_id")
+                  .agg(F.min_by("text", "turn").alias("query")))
+    keyed = first_user.withColumn("template_id", (F.col("conv_id") % n).cast("int"))
+    j = keyed.join(F.broadcast(templates), "template_id")
+    return j.select("conv_id", "template", F.concat_ws("\n", "system_prompt", "query").alias("prompt"))

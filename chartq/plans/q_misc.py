@@ -356,3 +356,16 @@ def qa_cot_prefs(spark, sf_dir):
     qa = Q.bar_qa(FX.fv_bar(spark, sf_dir)).withColumn("answer_rationale", F.array().cast("array<string>")) \
         .withColumn("not_answer_rationale", F.array().cast("array<string>"))
     return P.cot_pairs(qa)
+
+
+_TPL_VALUES = ", ".join(f"({i}, {lit(t.name)}, {lit(t.system_template.replace('{system_message}', t.system_message))})"
+                        for i, t in enumerate(PM.TEMPLATES.values()))
+
+
+@register("training_prompt", with_fv("fv_turns") + f""", tp as (select * from (values {_TPL_VALUES}) t(template_id, template, system_prompt)),
+fu as (select conv_id, arg_min(text, turn) as query from fv_turns where role = 'user' group by conv_id)
+select conv_id, template, concat_ws(chr(10), system_prompt, query) as prompt
+from fu join tp on tp.template_id = cast(conv_id % {len(PM.TEMPLATES)} as int)""")
+def training_prompt(spark, sf_dir):
+    """PMT-05 / JN-04: system prompt looked up by template id, then the question."""
+    return PM.training_prompt(FX.fv_turns(spark, sf_dir), PM.template_table(spark))
