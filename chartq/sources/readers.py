@@ -276,3 +276,28 @@ def trace_items(records: DataFrame, keys: list[str]) -> DataFrame:
     z = records.select(*keys, "batch", F.posexplode(F.arrays_zip("preds", "labels", "raws")).alias("pos", "z"))
     return z.select(*keys, F.col("batch").cast("long").alias("batch"), F.col("pos").cast("int").alias("pos"),
                     F.col("z.preds").alias("pred_norm"), F.col("z.labels").alias("label"), F.col("z.raws").alias("pred_raw"))
+
+
+# ---- per-corpus field maps (PRJ-01..04) and parquet corpora (SRC-02) -------------------------
+
+# How each corpus' fields map onto (image_path, query, label, source_tag, chart_type).
+FIELD_MAPS = {
+    "chartqa": {"image_path": "image", "query": "query", "label": "label", "source_tag": "human_or_machine"},
+    "chartfc": {"image_path": "image", "query": "concat(question, '. Answer yes/no.')", "label": "label"},
+    "evochart": {"image_path": "image", "query": "query", "label": "label"},
+    "chartllama": {"image_path": "image", "query": "query", "label": "label", "chart_type": "type"},
+    "chartqapro": {"query": "Question", "label": "element_at(Answer, 1)", "chart_type": "`Question Type`"},
+    "figqa": {"image_path": "image", "query": "query", "label": "trim(BOTH '.' FROM label)"},
+}
+
+
+def normalise(df: DataFrame, corpus: str, split: str | None = None) -> DataFrame:
+    """PRJ-01: one declarative select per corpus into the canonical schema."""
+    m = FIELD_MAPS[corpus]
+    return _qa(df.selectExpr(*[f"{expr} AS {name}" for name, expr in m.items()]), corpus, split)
+
+
+def read_parquet_corpus(spark: SparkSession, path: str, corpus: str, split: str | None = None) -> DataFrame:
+    """SRC-02: a parquet mirror of a hub corpus; only the mapped columns are read (the image
+    bytes column is pruned from the scan)."""
+    return normalise(spark.read.parquet(path), corpus, split)

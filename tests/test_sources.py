@@ -124,3 +124,16 @@ def test_rationale_array_positions(spark, docs, tmp):
     _dump(f"{tmp}/r.json", [d[2] for d in docs[:12]])
     rows = sorted((r.pos, r.text) for r in RD.read_rationales(spark, f"{tmp}/r.json").collect())
     assert rows == [(i, d[2]) for i, d in enumerate(docs[:12])]
+
+
+def test_parquet_corpus_mapping(spark, docs, tmp):
+    rows = [(bytes([d[0] % 256]), d[2], [d[3], "x"], "reasoning") for d in docs[:6]]
+    df = spark.createDataFrame(rows, "image binary, Question string, Answer array<string>, `Question Type` string")
+    df.write.parquet(f"{tmp}/pro")
+    out = RD.read_parquet_corpus(spark, f"{tmp}/pro", "chartqapro", "test")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "image" not in plan.split("ReadSchema:")[1].split("\n")[0]
+    got = sorted((r.query, r.label, r.chart_type) for r in out.collect())
+    assert got == sorted((d[2], d[3], "reasoning") for d in docs[:6])
+    fig = spark.createDataFrame([("i.png", "q", "..yes.")], "image string, query string, label string")
+    assert RD.normalise(fig, "figqa").first().label == "yes"
