@@ -26,4 +26,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so that its registrations run."""
-    from chartq.plans import q_eval, q_misc, q_profile, q_qa, q_rewards, q_sources, q_stream  # noqa: F401
+    from chartq.plans import q_eval, q_misc, q_profile, q_qa, q_rewards, q_sources, q_stream, q_table_oracle  # noqa: F401
