@@ -39,6 +39,10 @@ class Style:
     tail_odd: str
     empty: str
     squeeze_newlines: bool = False
+    # LLAMA2: roles by position parity, and the first message without its role tag
+    first_plain: bool = False
+    # CHATGLM: a "[Round k]" line before every even message
+    rounds: bool = False
 
 
 # The separator styles.
@@ -59,6 +63,8 @@ STYLES = {
     "FALCON_CHAT": Style("sep_if_msg", ": ", "{sep}", "{sep}", ":"),
     "INTERNVL_ZH": Style("sep2", ": ", "{sep2}", "{sep}", ":"),
     "MPT": Style("sep", "", "{sep}", "{sep}", ""),
+    "LLAMA2": Style("llama2", " ", "{sep}", "{sep2}", "", first_plain=True),
+    "CHATGLM": Style("sep_if", "：", "{sep}", "{sep}", "：", rounds=True),
 }
 
 
@@ -71,6 +77,7 @@ class Template:
     system_message: str = ""
     sep: str = "\n"
     sep2: str = ""
+    round_base: int = 0
 
 
 # The registered templates (PMT-02) and two generic ones.
@@ -87,6 +94,8 @@ TEMPLATES = {t.name: t for t in [
     Template("chatml", "CHATML", ("<|im_start|>user", "<|im_start|>assistant"), "<|im_start|>system\n{system_message}", "", "<|im_end|>"),
     Template("colon_two", "ADD_COLON_TWO", ("USER", "ASSISTANT"), "{system_message}", "", " ", "</s>"),
     Template("dolly", "DOLLY", ("### Instruction", "### Response"), "{system_message}", "", "\n\n", "### End"),
+    Template("llama2", "LLAMA2", ("[INST]", "[/INST]"), "[INST] <<SYS>>\n{system_message}\n<</SYS>>\n\n", "", " ", " </s><s>"),
+    Template("chatglm2", "CHATGLM", ("问", "答"), "{system_message}", "", "\n\n", "", 1),
 ]}
 
 
@@ -112,13 +121,22 @@ def render(turns: DataFrame, template: str) -> DataFrame:
     t = TEMPLATES[template]
     st = STYLES[t.style]
     m = numbered_messages(turns)
-    role = F.when(F.col("role") == "user", F.lit(t.roles[0])).otherwise(F.lit(t.roles[1]))
+    even = F.col("i") % 2 == 0
+    if st.first_plain:
+        role = F.when(even, F.lit(t.roles[0])).otherwise(F.lit(t.roles[1]))
+    else:
+        role = F.when(F.col("role") == "user", F.lit(t.roles[0])).otherwise(F.lit(t.roles[1]))
     text = F.col("text")
     if st.squeeze_newlines:
         text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\n\n"), F.lit("\n"))
-    tail = F.when(F.col("i") % 2 == 0, F.lit(_fill(st.tail_even, t))).otherwise(F.lit(_fill(st.tail_odd, t)))
-    piece = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, F.concat(role, F.lit(st.mid), text, tail)) \
-        .otherwise(F.concat(role, F.lit(st.empty)))
+    tail = F.when(even, F.lit(_fill(st.tail_even, t))).otherwise(F.lit(_fill(st.tail_odd, t)))
+    full = F.concat(role, F.lit(st.mid), text, tail)
+    if st.first_plain:
+        full = F.when(F.col("i") == 0, F.concat(text, F.lit(" "))).otherwise(full)
+    piece = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, full).otherwise(F.concat(role, F.lit(st.empty)))
+    if st.rounds:
+        rnd = F.concat(F.lit("[Round "), (F.floor(F.col("i") / 2) + t.round_base).cast("string"), F.lit("]" + t.sep))
+        piece = F.concat(F.when(even, rnd).otherwise(F.lit("")), piece)
     body = (m.select("conv_id", "i", piece.alias("piece")).groupBy("conv_id")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda e: e["piece"]), "")
                  .alias("body")))
@@ -130,7 +148,8 @@ def render(turns: DataFrame, template: str) -> DataFrame:
             "chatml": F.when(F.length(sp) == 0, F.lit("")).otherwise(F.concat(sp, F.lit(t.sep + "\n"))),
             "sep_if_msg": F.when(has_msg, F.concat(sp, F.lit(t.sep))).otherwise(F.lit("")),
             "plain_if_msg": F.when(has_msg, sp).otherwise(F.lit("")),
-            "sep2": F.concat(F.col("system_message"), F.lit(t.sep2))}[st.head]
+            "sep2": F.concat(F.col("system_message"), F.lit(t.sep2)),
+            "llama2": F.when(has_msg, sp).otherwise(F.lit("[INST] "))}[st.head]
     return sysm.join(body, "conv_id", "left").select("conv_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("prompt"))
 
 

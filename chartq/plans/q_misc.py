@@ -137,14 +137,20 @@ def _render_sql(name):
             "chatml": f"case when length({sp}) = 0 then '' else {sp} || {lit(t.sep + chr(10))} end",
             "sep_if_msg": f"case when length(system_message) > 0 then {sp} || {lit(t.sep)} else '' end",
             "plain_if_msg": f"case when length(system_message) > 0 then {sp} else '' end",
-            "sep2": f"system_message || {lit(t.sep2)}"}[st.head]
+            "sep2": f"system_message || {lit(t.sep2)}",
+            "llama2": f"case when length(system_message) > 0 then {sp} else '[INST] ' end"}[st.head]
+    role = (f"(case when i % 2 = 0 then {lit(t.roles[0])} else {lit(t.roles[1])} end)" if st.first_plain
+            else f"(case when role = 'user' then {lit(t.roles[0])} else {lit(t.roles[1])} end)")
+    full = f"{role} || {lit(st.mid)} || {text} || (case when i % 2 = 0 then {fill(st.tail_even)} else {fill(st.tail_odd)} end)"
+    if st.first_plain:
+        full = f"(case when i = 0 then {text} || ' ' else {full} end)"
+    piece = f"(case when coalesce(length(text), 0) > 0 then {full} else {role} || {lit(st.empty)} end)"
+    if st.rounds:
+        piece = (f"(case when i % 2 = 0 then '[Round ' || cast(i // 2 + {t.round_base} as varchar) || ']' || {lit(t.sep)}"
+                 f" else '' end) || {piece}")
     return with_fv("fv_turns") + f""",
 m as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) - 1 as i from fv_turns where role <> 'system'),
-p as (select conv_id, string_agg(case when coalesce(length(text), 0) > 0
-   then (case when role = 'user' then {lit(t.roles[0])} else {lit(t.roles[1])} end) || {lit(st.mid)} || {text}
-        || (case when i % 2 = 0 then {fill(st.tail_even)} else {fill(st.tail_odd)} end)
-   else (case when role = 'user' then {lit(t.roles[0])} else {lit(t.roles[1])} end) || {lit(st.empty)} end, '' order by i) as body
-  from m group by conv_id),
+p as (select conv_id, string_agg({piece}, '' order by i) as body from m group by conv_id),
 s as (select conv_id, coalesce(arg_max(text, turn) filter (where role = 'system'), {lit(t.system_message)}) as system_message
   from fv_turns group by conv_id)
 select conv_id, {head} || coalesce(body, '') as prompt from s left join p using (conv_id)"""
@@ -152,7 +158,8 @@ select conv_id, {head} || coalesce(body, '') as prompt from s left join p using
 
 for _name, _key in [("internvl2_5", "render_prompt_internvl2_5"), ("phi3-chat", "render_prompt_phi3"),
                     ("internvl_zh", "render_prompt_internvl_zh"), ("chatml", "render_prompt_chatml"),
-                    ("colon_two", "render_prompt_colon_two"), ("dolly", "render_prompt_dolly")]:
+                    ("colon_two", "render_prompt_colon_two"), ("dolly", "render_prompt_dolly"),
+                    ("llama2", "render_prompt_llama2"), ("chatglm2", "render_prompt_chatglm2")]:
     register(_key, _render_sql(_name))(lambda spark, sf_dir, _n=_name: PM.render(FX.fv_turns(spark, sf_dir), _n))
 
 _MSG = with_fv("fv_turns") + """,
