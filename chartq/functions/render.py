@@ -39,3 +39,8 @@ def pair(a, b) -> Column:
 def fmt2(c) -> Column:
     """`f"{x:.2f}"`."""
     return F.format_string("%.2f", col_(c))
+
+
+def int_list(arr) -> Column:
+    """`[3, 0, 1]` from an array of integer texts."""
+    return F.concat(F.lit("["), F.array_join(col_(arr), ", "), F.lit("]"))

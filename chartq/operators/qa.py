@@ -132,7 +132,9 @@ def _desc_labels(label: Column, key: Column) -> Column:
 
 # ---- bar ------------------------------------------------------------------------------------
 
-def bar_qa(points: DataFrame) -> DataFrame:
+def bar_qa(points: DataFrame, compat: bool = False) -> DataFrame:
+    """`compat=True` answers the ranking question with row indexes, as the reference does
+    although its rationale speaks of labels (quirk Q17)."""
     p = _points(points)
     st = p.groupBy("chart_id").agg(
         first_max("category", "value").alias("am"), first_min("category", "value").alias("an"),
@@ -141,14 +143,16 @@ def bar_qa(points: DataFrame) -> DataFrame:
         .alias("ranked"))
     cmp = (_join_stats(p, st, "mean").groupBy("chart_id")
            .agg(F.count_if(F.col("value") > F.col("mean")).alias("gt"), F.count_if(F.col("value") < F.col("mean")).alias("lt")))
-    s = st.join(cmp, "chart_id").withColumn("rank", F.transform("ranked", lambda e: e["c"]))
+    s = st.join(cmp, "chart_id").withColumn(
+        "rank", F.transform("ranked", lambda e: e["r"].cast("string") if compat else e["c"]))
     return emit(s, [
         ("QA-BAR-1", question("QA-BAR-1"), F.col("am"), F.col("an")),
         ("QA-BAR-2", question("QA-BAR-2"), F.col("an"), F.col("am")),
         ("QA-BAR-3", question("QA-BAR-3"), R.num(F.col("mx") - F.col("mn")), R.num(F.col("mn") - F.col("mx"))),
         ("QA-BAR-4", question("QA-BAR-4"), R.num("mean"), R.num(F.col("mean") + 1)),
         ("QA-BAR-5", question("QA-BAR-5"), R.integer("gt"), R.integer("lt")),
-        ("QA-BAR-6", question("QA-BAR-6"), R.quoted_list("rank"), R.quoted_list(F.reverse("rank"))),
+        ("QA-BAR-6", question("QA-BAR-6"), *((R.int_list("rank"), R.int_list(F.reverse("rank"))) if compat
+                                             else (R.quoted_list("rank"), R.quoted_list(F.reverse("rank"))))),
     ])
 
 
@@ -382,13 +386,14 @@ def bubble_qa(points: DataFrame) -> DataFrame:
 
 # ---- dual axis ------------------------------------------------------------------------------
 
-def dual_axis_qa(points: DataFrame) -> DataFrame:
+def dual_axis_qa(points: DataFrame, compat: bool = False) -> DataFrame:
     """The crossing is the first row whose sign of y1 - y2 differs from the previous row's;
-    its x is reported (the reference reports the row index, quirk Q18)."""
+    its x is reported (`compat=True`: its row index, as the reference does, quirk Q18)."""
     p = _points(points).withColumn("sg", F.signum(F.col("y1") - F.col("y2")))
     j = _with_prev(p, "sg")
     s = j.groupBy("chart_id").agg(
-        F.min_by("x", F.when(F.col("prev_sg").isNotNull() & (F.col("sg") != F.col("prev_sg")), F.col("row_idx"))).alias("cross_x"),
+        F.min_by(F.col("row_idx").cast("double") if compat else F.col("x"),
+                 F.when(F.col("prev_sg").isNotNull() & (F.col("sg") != F.col("prev_sg")), F.col("row_idx"))).alias("cross_x"),
         F.min_by("x", F.col("row_idx")).alias("x0"), F.max_by("x", F.col("row_idx")).alias("xl"),
         F.max_by(F.col("y1") - F.col("y2"), F.col("row_idx")).alias("last_gap"),
         F.max(F.abs(F.col("y1") - F.col("y2"))).alias("gmax"), F.min(F.abs(F.col("y1") - F.col("y2"))).alias("gmin"),
@@ -406,9 +411,11 @@ def dual_axis_qa(points: DataFrame) -> DataFrame:
 
 # ---- scatter matrix -------------------------------------------------------------------------
 
-def scatter_matrix_qa(points: DataFrame, variables) -> DataFrame:
+def scatter_matrix_qa(points: DataFrame, variables, compat: bool = False) -> DataFrame:
     """One aggregate of co-moments for every variable pair (all partial aggregations), then
-    the per-chart decisions on the small pair / variable tables."""
+    the per-chart decisions on the small pair / variable tables. "Negatively correlated with
+    all others" excludes the diagonal; `compat=True` keeps the reference's always-False
+    answer (the diagonal 1 is never negative, quirk Q20)."""
     p = _points(points)
     vs = list(variables)
     pairs = [(i, j) for i in range(len(vs)) for j in range(len(vs)) if i != j]
@@ -433,6 +440,8 @@ def scatter_matrix_qa(points: DataFrame, variables) -> DataFrame:
             if i != j:
                 all_neg = all_neg & F.coalesce(r(i, j) < 0, F.lit(False))
         neg_all = neg_all | all_neg
+    if compat:
+        neg_all = F.lit(False)
     quote_pair = lambda e: R.pair(F.concat(F.lit("'"), e["a"], F.lit("'")), F.concat(F.lit("'"), e["b"], F.lit("'")))
     s = st.select("chart_id", best.alias("best"), worst.alias("worst"), by_var.alias("by_var"), low_var.alias("low_var"),
                   neg_all.alias("neg_all"), F.size(F.filter(up, lambda e: e["ar"] > 0.8)).alias("hi"),

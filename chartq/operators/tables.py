@@ -46,7 +46,7 @@ def table_error_expr(gold_text: Column, pred_text: Column) -> Column:
     return _table_error_parsed(J.strict_json_ok(gold_text), J.strict_json_ok(pt), J.parse_table(gold_text), J.parse_table(pt))
 
 
-def _table_error_parsed(gok: Column, pok: Column, g: Column, p: Column) -> Column:
+def _table_error_parsed(gok: Column, pok: Column, g: Column, p: Column, compat: bool = False) -> Column:
     n_pairs = F.least(F.size(g["rows"]), F.size(p["rows"]))
 
     def pair(a, b):
@@ -62,11 +62,12 @@ def _table_error_parsed(gok: Column, pok: Column, g: Column, p: Column) -> Colum
     err = F.aggregate(used, F.lit(0), lambda acc, x: acc + x["bad"]) + stop
     cnt = F.aggregate(used, F.lit(0), lambda acc, x: acc + F.least(x["k"], x["m"])) + stop
     return (F.when(~gok, 0.0).when(~pok, 1.0)
-            .when(g["rows"].isNull() | p["rows"].isNull(), 1.0)
-            .otherwise(F.least(err / (cnt + F.lit(1e-6)), F.lit(1.0))))
+            .when(g["rows"].isNull() | p["rows"].isNull(), 1.0 / 1e-6 if compat else 1.0)
+            .otherwise(err / (cnt + F.lit(1e-6)) if compat else F.least(err / (cnt + F.lit(1e-6)), F.lit(1.0))))
 
 
-def table_error(df: DataFrame, keys=("run", "dataset"), completion="completion", gold="gold_table") -> DataFrame:
+def table_error(df: DataFrame, keys=("run", "dataset"), completion="completion", gold="gold_table",
+                compat: bool = False) -> DataFrame:
     """MET-07 per run: the texts are cut, validated and parsed once in a first projection;
     the cell comparison then reads the parsed columns."""
     pred = F.replace(py_strip(before_first(after_last(completion, "<table>"), "</table>")), F.lit("'"), F.lit('"'))
@@ -74,5 +75,5 @@ def table_error(df: DataFrame, keys=("run", "dataset"), completion="completion",
     s2 = s1.select(*keys, J.strict_json_ok("_gt").alias("_gok"), J.strict_json_ok("_pt").alias("_pok"),
                    F.from_json(J.quote_number_lexemes("_gt"), J.TABLE_SCHEMA).alias("_g"),
                    F.from_json(J.quote_number_lexemes("_pt"), J.TABLE_SCHEMA).alias("_p"))
-    e = s2.select(*keys, _table_error_parsed(F.col("_gok"), F.col("_pok"), F.col("_g"), F.col("_p")).alias("err"))
+    e = s2.select(*keys, _table_error_parsed(F.col("_gok"), F.col("_pok"), F.col("_g"), F.col("_p"), compat).alias("err"))
     return e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), round4(F.avg("err")).alias("table_err"))

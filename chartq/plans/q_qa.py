@@ -309,3 +309,25 @@ from chartq.plans.registry import ORACLE as _ORACLE  # noqa: E402
 
 _ORACLE["qa_all_prefs"] = "\nunion all\n".join(
     f"select *, '{k[3:]}' as chart_type from ({sql})" for k, (_, sql) in QA_VIEWS.items())
+
+
+def _compat_sql():
+    bar = BAR_SQL.replace("list(category order by value desc, row_idx) as rnk",
+                          "list(cast(row_idx as varchar) order by value desc, row_idx) as rnk")
+    dual = DUAL_SQL.replace("first(x order by row_idx) filter (where psg is not null and sg <> psg) as cross_x",
+                            "first(cast(row_idx as double) order by row_idx) filter (where psg is not null and sg <> psg) as cross_x")
+    mtx = MATRIX_SQL.replace(f"({_neg_all}) as neg_all", "false as neg_all")
+    return (f"select * from ({bar}) where qid = 'QA-BAR-6' union all select * from ({dual}) where qid = 'QA-DUA-1' "
+            f"union all select * from ({mtx}) where qid = 'QA-MTX-3'")
+
+
+@register("qa_compat", _compat_sql().replace(S.quoted_list("rnk"), S.int_list("rnk")).replace(
+    S.quoted_list("list_reverse(rnk)"), S.int_list("list_reverse(rnk)")))
+def qa_compat(spark, sf_dir):
+    """Compat mode: the three questions where the reference's answers differ
+    from the intended ones — bar ranking as row indexes (Q17), crossing as a row index
+    (Q18), "negative with all others" always False (Q20)."""
+    bar = Q.bar_qa(FX.fv_bar(spark, sf_dir), compat=True).where(F.col("qid") == "QA-BAR-6")
+    dual = Q.dual_axis_qa(FX.fv_dual(spark, sf_dir), compat=True).where(F.col("qid") == "QA-DUA-1")
+    mtx = Q.scatter_matrix_qa(FX.fv_matrix(spark, sf_dir), FX.MATRIX_VARS, compat=True).where(F.col("qid") == "QA-MTX-3")
+    return bar.unionByName(dual).unionByName(mtx)

@@ -84,3 +84,7 @@ def pair(a: str, b: str) -> str:
 
 def fmt2(e: str) -> str:
     return f"printf('%.2f', {e})"
+
+
+def int_list(e: str) -> str:
+    return f"('[' || array_to_string({e}, ', ') || ']')"
