@@ -376,3 +376,13 @@ from fu join tp on tp.template_id = cast(conv_id % {len(PM.TEMPLATES)} as int)""
 def training_prompt(spark, sf_dir):
     """PMT-05 / JN-04: system prompt looked up by template id, then the question."""
     return PM.training_prompt(FX.fv_turns(spark, sf_dir), PM.template_table(spark))
+
+
+@register("ocr_batches", _HN_SQL + """select batch, count(*) as n from
+ (select cast(floor((row_number() over (order by conv_id, turn, tok_pos) - 1) / 512) as bigint) as batch from hn) group by batch""")
+def ocr_batches(spark, sf_dir):
+    """WIN-07: preference rows cut into micro-batches of 512 in a global order (the numbering
+    is the skew-safe ranking without a group; every row is kept, the last batch included)."""
+    hn = P.hard_negatives(FX.fv_pref(spark, sf_dir)).select("conv_id", "turn", "tok_pos")
+    r = rank_in_group(hn, [], ["conv_id", "turn", "tok_pos"], out="pos")
+    return r.groupBy(F.floor(F.col("pos") / 512).cast("bigint").alias("batch")).agg(F.count(F.lit(1)).alias("n"))

@@ -57,3 +57,14 @@ def cached_corpus(spark, sf_dir):
     SK.materialize(qa, path, ["dataset"])
     again = SK.materialize(qa.where(F.lit(False)), path, ["dataset"])
     return again.select(F.col("dataset").cast("string").alias("dataset"), "qid", "image_path", "query", "label", "source_tag")
+
+
+@register("icl_cache", with_fv("fv_qa") + """select dataset, qid, query, label from fv_qa
+ order by md5(concat_ws(':', '2026', cast(qid as varchar))), qid limit 5""")
+def icl_cache(spark, sf_dir):
+    """SNK-04 + SMP-05: the in-context examples drawn once and stored; later runs read them."""
+    from chartq.operators import curate as C
+    path = RD.stage_dir(spark, "icl")
+    draw = C.top_k_seeded(FX.fv_qa(spark, sf_dir).select("dataset", "qid", "query", "label"), 5, 2026, "qid")
+    SK.materialize(draw, path)
+    return SK.materialize(draw, path)
