@@ -234,7 +234,7 @@ def corpus_normalise(spark, sf_dir):
  (select dataset, qid, row_number() over (partition by dataset order by {_h('qid')}, qid) as rn from fv_qa) where rn <= 20""")
 def sample_per_corpus(spark, sf_dir):
     """SMP-01/02: 20 rows per corpus in seeded order."""
-    return C.sample_per_group(FX.fv_qa(spark, sf_dir), "dataset", 20, SEED, "qid").select("dataset", "qid", "rn")
+    return C.sample_per_group(FX.fv_qa(spark, sf_dir), "dataset", 20, SEED, "qid").select("dataset", "qid", F.col("rn").cast("bigint").alias("rn"))
 
 
 def _split_sql(bounds):

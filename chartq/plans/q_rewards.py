@@ -175,7 +175,7 @@ def extract_blocks(spark, sf_dir):
         F.lower(py_strip(before_first(after_last(c, "<type>"), "</type>"))).alias("type"),
         J.table_block(c).alias("table_text"),
         py_strip(before_first(py_strip(after_last(c, "</table>")), "</think>")).alias("reasoning"),
-        step_count(tag_cut(c, "<think>", "</think>")).alias("steps"))
+        step_count(tag_cut(c, "<think>", "</think>")).cast("bigint").alias("steps"))
 
 
 # ---- JSON tables -----------------------------------------------------------------------------

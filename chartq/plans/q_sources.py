@@ -118,7 +118,7 @@ def rationale_fields(spark, sf_dir):
     tab = J.repair_table_text(rat)
     parsed = J.parse_table(tab)
     return r.select("run", "dataset", "idx", reasoning.alias("reasoning"), typ.alias("type"),
-                    J.strict_json_ok(tab).alias("table_ok"), F.when(J.strict_json_ok(tab), F.size(parsed["rows"])).alias("n_rows"))
+                    J.strict_json_ok(tab).alias("table_ok"), F.when(J.strict_json_ok(tab), F.size(parsed["rows"])).cast("bigint").alias("n_rows"))
 
 
 # ---- evaluation traces (SRC-16, MET-05) -----------------------------------------------------

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
-from tools.check_oracle import rows_key
+from tools.check_oracle import rows_key, type_mismatches
 
 ORACLE = E.oracle_sql()
 
@@ -20,6 +20,7 @@ def test_matches_oracle(spark, duck, key):
     order = [dcols.index(c) for c in cols]
     drows = [tuple(r[i] for i in order) for r in cur.fetchall()]
     assert rows_key(srows) == rows_key(drows)
+    assert type_mismatches(sdf, duck, ORACLE[key]) == {}
 
 
 def test_every_query_runs(spark):
