@@ -39,11 +39,12 @@ def d_answer(c="completion"):
     return f"(case when contains({c}, '<answer>') and contains({c}, '<think>') then regexp_replace({S.tag_cut(c, '<answer>', '</answer>')}, '\\.+$', '') end)"
 
 
-def d_accuracy(c="completion", label="label"):
+def d_accuracy(c="completion", label="label", compat=False):
     a = d_answer(c)
     gf, af = S.to_float(label), S.to_float(a)
     s = f"({gf} + 1e-6)"
-    rel = f"(case when abs({s}) <> 0 then abs({af} - {s}) / abs({s}) end)"
+    div = s if compat else f"abs({s})"
+    rel = f"(case when {s} <> 0 then abs({af} - {s}) / {div} end)"
     numeric = f"(case when {af} is null then false else coalesce({rel} <= 0.05, false) end)"
     ok = f"(case when length({a}) = 0 then false when {gf} is not null then {numeric} else lower({label}) = lower({a}) end)"
     return f"(case when coalesce({ok}, false) then 1.0 else 0.0 end)"
@@ -121,6 +122,18 @@ def _spark_one(fn, **kw):
 register("reward_format", _one("format", d_format()))(_spark_one(R.format_reward))
 register("reward_tokens", _one("tokens", d_tokens()))(_spark_one(R.num_token_reward))
 register("reward_accuracy", _one("accuracy", d_accuracy()))(_spark_one(R.accuracy_reward))
+
+
+@register("reward_accuracy_signed", with_fv("fv_completions") + f""", neg as (select run, dataset, idx, completion,
+  case when idx % 2 = 1 then '-' || label else label end as label from fv_completions)
+select run, dataset, idx, {S.r4(d_accuracy())} as reward, {S.r4(d_accuracy(compat=True))} as reward_compat from neg""")
+def reward_accuracy_signed(spark, sf_dir):
+    """RWD-02 on negative gold values: the intended absolute divisor next to the reference's
+    signed one (`compat`, quirk Q6), which accepts any answer not far above a negative gold."""
+    df = fv_completions(spark, sf_dir)
+    neg = df.withColumn("label", F.when(F.col("idx") % 2 == 1, F.concat(F.lit("-"), "label")).otherwise(F.col("label")))
+    return neg.select("run", "dataset", "idx", round4(R.accuracy_reward()).alias("reward"),
+                      round4(R.accuracy_reward(compat=True)).alias("reward_compat"))
 register("reward_length", _one("length", d_length()))(_spark_one(R.length_think_reward))
 register("reward_type", _one("chart_type", d_type()))(_spark_one(R.chart_type_reward))
 
