@@ -12,17 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes Unicode white space; Spark's trim() removes spaces only.
-_WS_EDGES = r"(?U)\A\s+|\s+\z"
-
 
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: the characters Python's str.strip() removes (str.isspace()).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+                 "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
-    """`s.strip()` (Unicode white space on both ends)."""
-    return F.regexp_replace(col_(c), _WS_EDGES, "")
+    """`s.strip()`: a character-set trim (no regex) over Python's white-space set."""
+    return F.btrim(col_(c), F.lit(PY_WHITESPACE))
 
 
 def strip_newlines(c) -> Column:
