@@ -1,5 +1,5 @@
 """Chart-table profiling queries over FV-cells (CHT-01..05, FLT-05, MET-10/11) and the
-table → QA pipeline."""
+table-to-QA flow."""
 
 from __future__ import annotations
 
@@ -100,7 +100,7 @@ def chart_skips(spark, sf_dir):
 
 @register("table_qa")
 def table_qa(spark, sf_dir):
-    """The table → QA pipeline: profile every table, pick its type, rename its columns,
+    """Table to QA: profile every table, pick its type, rename its columns,
     pivot to points and generate the questions of that type (bar, scatter, histogram,
     grouped bar and scatter matrix tables here)."""
     # the cells feed six plans below: materialise them once in the shared checkpoint folder

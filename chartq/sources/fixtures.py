@@ -20,11 +20,6 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
 
-def cents(c) -> F.Column:
-    """Money as integer cents so every engine agrees exactly."""
-    return F.round(F.col(c) * 100).cast("bigint")
-
-
 def fv_eval(spark, sf_dir) -> DataFrame:
     """eval_records: run, dataset, idx, target, prediction, tag (MET-*)."""
     return spread(_sql(spark, sf_dir, """
