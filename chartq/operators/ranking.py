@@ -64,6 +64,11 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list, out: s
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
     # The offsets table has at most (#groups + #partitions) rows; AQE measures it and
     # broadcasts it when small, else keeps a shuffle join on a key no group can skew.
-    ranked = ranged.join(offsets, ["_pid", *group_cols])
+    # Null-safe keys: a NULL group is a group like any other and must not drop out.
+    o = offsets.select(F.col("_pid").alias("_o_pid"), *[F.col(g).alias(f"_o_{g}") for g in group_cols], "_p0", "_off")
+    cond = F.col("_pid") == F.col("_o_pid")
+    for g in group_cols:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
+    ranked = ranged.join(o, cond)
     return (ranked.withColumn(out, (F.col("_pos") - F.col("_p0") + F.col("_off")).cast("int"))
-            .drop("_pid", "_pos", "_p0", "_off"))
+            .drop("_pid", "_pos", "_p0", "_off", "_o_pid", *[f"_o_{g}" for g in group_cols]))

@@ -15,3 +15,10 @@ def test_rank_equals_row_number_with_hot_group(spark):
     j = got.join(ref, ["g", "k", "payload"])
     assert j.count() == n
     assert j.where("rn != row_idx").count() == 0
+
+
+def test_null_group_is_kept(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), (None, 2)], "g string, k int")
+    key = lambda t: (t[0] or "", t[1])
+    got = sorted(((r.g, r.k, r.row_idx) for r in rank_in_group(df, ["g"], ["k"], num_partitions=3).collect()), key=key)
+    assert got == sorted([(None, 1, 0), (None, 2, 1), (None, 3, 2), ("a", 2, 0)], key=key)
