@@ -40,6 +40,7 @@ def eval_unanswerable(spark, sf_dir):
 
 @register("eval_flags", with_fv("fv_eval") + ", " + _FLAGS + "select run, dataset, idx, em, ra from flags")
 def eval_flags(spark, sf_dir):
+    """MET-01 / MET-02 per row: exact-match and relaxed-accuracy flags."""
     return M.with_flags(fv_eval(spark, sf_dir)).select("run", "dataset", "idx", "em", "ra")
 
 
@@ -52,6 +53,7 @@ select run, dataset, aug_total, aug_correct, human_total, human_correct,
  {S.r4('case when aug_total > 0 and human_total > 0 then 0.5 * (aug_correct / aug_total + human_correct / human_total) end')} as avg_acc
 from b""")
 def eval_breakdown(spark, sf_dir):
+    """MET-04: relaxed accuracy of augmented vs human rows and their mean."""
     return M.breakdown(fv_eval(spark, sf_dir))
 
 
@@ -66,6 +68,7 @@ select run, dataset, batch, cast(n as bigint) as n, cast(em as bigint) as em, ca
 
 @register("eval_running", RUNNING_SQL)
 def eval_running(spark, sf_dir):
+    """MET-05 / WIN-02: running EM and relaxed accuracy after each batch of 32 rows."""
     return M.running(fv_eval(spark, sf_dir))
 
 
@@ -74,4 +77,5 @@ select run, dataset, idx, target, prediction,
  cast(floor((row_number() over (partition by run, dataset order by idx) - 1) / 9) as bigint) as page
 from flags where ra = 0""")
 def eval_mistakes_paged(spark, sf_dir):
+    """MET-09 / SMP-07: wrong rows numbered per run and cut into review pages of 9."""
     return M.mistakes_paged(fv_eval(spark, sf_dir))

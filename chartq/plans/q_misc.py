@@ -160,7 +160,9 @@ for _name, _key in [("internvl2_5", "render_prompt_internvl2_5"), ("phi3-chat",
                     ("internvl_zh", "render_prompt_internvl_zh"), ("chatml", "render_prompt_chatml"),
                     ("colon_two", "render_prompt_colon_two"), ("dolly", "render_prompt_dolly"),
                     ("llama2", "render_prompt_llama2"), ("chatglm2", "render_prompt_chatglm2")]:
-    register(_key, _render_sql(_name))(lambda spark, sf_dir, _n=_name: PM.render(FX.fv_turns(spark, sf_dir), _n))
+    register(_key, _render_sql(_name), doc=f"PMT-01: every conversation rendered to one prompt with the {_name} template "
+                                           f"({PM.TEMPLATES[_name].style} separator style).")(
+        lambda spark, sf_dir, _n=_name: PM.render(FX.fv_turns(spark, sf_dir), _n))
 
 _MSG = with_fv("fv_turns") + """,
 m as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) - 1 as i from fv_turns where role <> 'system')

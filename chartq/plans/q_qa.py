@@ -287,7 +287,8 @@ QA_VIEWS = {
 }
 
 for _key, (_fn, _sql) in QA_VIEWS.items():
-    register(_key, _sql)(_fn)
+    register(_key, _sql, doc=f"QA-* for {_key[3:].replace('_', ' ')} charts: question, answer and distractor rows "
+                             f"from one per-chart aggregate (plus join-backs where rows meet a chart statistic).")(_fn)
 
 
 def _strip_with(sql: str) -> tuple[str, str]:

@@ -119,9 +119,14 @@ def _spark_one(fn, **kw):
     return q
 
 
-register("reward_format", _one("format", d_format()))(_spark_one(R.format_reward))
-register("reward_tokens", _one("tokens", d_tokens()))(_spark_one(R.num_token_reward))
-register("reward_accuracy", _one("accuracy", d_accuracy()))(_spark_one(R.accuracy_reward))
+register("reward_format", _one("format", d_format()),
+         doc="RWD-01: 2.0 when a completion starts with the think / type / table / answer layout.")(
+    _spark_one(R.format_reward))
+register("reward_tokens", _one("tokens", d_tokens()),
+         doc="RWD-04: 2.0 when each of the ten tag patterns occurs exactly once.")(_spark_one(R.num_token_reward))
+register("reward_accuracy", _one("accuracy", d_accuracy()),
+         doc="RWD-02: relative-error (numeric gold) or case-insensitive (text gold) answer match.")(
+    _spark_one(R.accuracy_reward))
 
 
 @register("reward_accuracy_signed", with_fv("fv_completions") + f""", neg as (select run, dataset, idx, completion,
@@ -134,13 +139,16 @@ def reward_accuracy_signed(spark, sf_dir):
     neg = df.withColumn("label", F.when(F.col("idx") % 2 == 1, F.concat(F.lit("-"), "label")).otherwise(F.col("label")))
     return neg.select("run", "dataset", "idx", round4(R.accuracy_reward()).alias("reward"),
                       round4(R.accuracy_reward(compat=True)).alias("reward_compat"))
-register("reward_length", _one("length", d_length()))(_spark_one(R.length_think_reward))
-register("reward_type", _one("chart_type", d_type()))(_spark_one(R.chart_type_reward))
+register("reward_length", _one("length", d_length()),
+         doc="RWD-03: rationale-length band plus a capped bonus per reasoning step.")(_spark_one(R.length_think_reward))
+register("reward_type", _one("chart_type", d_type()),
+         doc="RWD-05: 1.0 when the predicted chart type equals the gold type.")(_spark_one(R.chart_type_reward))
 
 
 @register("reward_table", with_fv("fv_completions") + ", " + _TABLE_CTE
           + f"select run, dataset, idx, {S.r4('r_table')} as reward from t2")
 def reward_table(spark, sf_dir):
+    """RWD-06: JSON validity, sorted header / cell matches against the gold table, exact key set."""
     df = R.with_table_parts(fv_completions(spark, sf_dir))
     return df.select("run", "dataset", "idx", round4(R.table_style_reward()).alias("reward"))
 
@@ -149,6 +157,7 @@ def reward_table(spark, sf_dir):
     f"{S.r4(c)} as {c}" for c in ("r_format", "r_accuracy", "r_length", "r_tokens", "r_chart_type", "r_table", "r_total"))
           + " from tot")
 def reward_total(spark, sf_dir):
+    """RWD-08: all rule-based rewards and their sum, in one projection per completion."""
     s = R.score(fv_completions(spark, sf_dir))
     cols = [c for c in s.columns if c.startswith("r_")]
     return s.select("run", "dataset", "idx", *[round4(c).alias(c) for c in cols])
@@ -158,6 +167,7 @@ def reward_total(spark, sf_dir):
     f"{S.r4(f'avg(r_{n})')} as avg_{n}" for n in ("format", "accuracy", "length", "tokens", "chart_type", "table", "total"))
           + " from tot group by dataset, chart_type")
 def reward_summary(spark, sf_dir):
+    """RWD-09: mean of every reward per dataset and chart type."""
     return R.summary(R.score(fv_completions(spark, sf_dir)))
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+DOCS: dict[str, str] = {}
 
 
-def register(key: str, sql: str | None = None):
+def register(key: str, sql: str | None = None, doc: str | None = None):
     """Register a query `(spark, sf_dir) -> DataFrame` and, when SQL-expressible, its oracle."""
 
     def deco(fn):
@@ -19,6 +20,8 @@ def register(key: str, sql: str | None = None):
         QUERIES[key] = fn
         if sql is not None:
             ORACLE[key] = sql
+        if doc is not None:
+            DOCS[key] = doc
         return fn
 
     return deco
