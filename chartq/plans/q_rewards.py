@@ -139,6 +139,8 @@ def reward_accuracy_signed(spark, sf_dir):
     neg = df.withColumn("label", F.when(F.col("idx") % 2 == 1, F.concat(F.lit("-"), "label")).otherwise(F.col("label")))
     return neg.select("run", "dataset", "idx", round4(R.accuracy_reward()).alias("reward"),
                       round4(R.accuracy_reward(compat=True)).alias("reward_compat"))
+
+
 register("reward_length", _one("length", d_length()),
          doc="RWD-03: rationale-length band plus a capped bonus per reasoning step.")(_spark_one(R.length_think_reward))
 register("reward_type", _one("chart_type", d_type()),
