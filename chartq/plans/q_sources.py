@@ -69,20 +69,23 @@ def markdown_cells(spark, sf_dir):
     return RD.markdown_cells(_md_view(spark, sf_dir))
 
 
-@register("csv_tables", with_cells() + """select chart_id, row_idx, col_idx, col_name, cell from fv_cells
- where chart_id like 'bar:%' or chart_id like 'hist:%'""")
+@register("csv_tables", with_cells() + "select chart_id, row_idx, col_idx, col_name, cell from fv_cells")
 def csv_tables(spark, sf_dir):
-    """SRC-11: bar and histogram tables written as one CSV file per chart, read back as cells."""
-    cells = FX.fv_cells(spark, sf_dir).where(F.col("chart_id").startswith("bar:") | F.col("chart_id").startswith("hist:"))
-    wide = cells.groupBy("chart_id", "row_idx").pivot("col_name", ["category", "value"]).agg(F.first("cell"))
+    """SRC-11: every chart table written as one CSV file (header + rows, in row order) and
+    read back as cells."""
+    cells = FX.fv_cells(spark, sf_dir)
     path = RD.stage_dir(spark, "tables")
-    for kind, cols in (("bar", ["category", "value"]), ("hist", ["value"])):
-        part = wide.where(F.col("chart_id").startswith(kind + ":"))
-        (part.repartition("chart_id").sortWithinPartitions("chart_id", "row_idx")
-         .select(F.regexp_replace("chart_id", ":", "_").alias("chart"), *cols)
-         .write.mode("overwrite").partitionBy("chart").option("header", True).csv(f"{path}/{kind}"))
-    t = RD.read_table_dir(spark, f"{path}/bar", key_col="chart").unionByName(RD.read_table_dir(spark, f"{path}/hist", key_col="chart"))
-    return t.select(F.regexp_replace("chart_id", "_", ":").alias("chart_id"), "row_idx", "col_idx", "col_name", "cell")
+    parts = []
+    for prefix, _, cols in FX.CELL_SOURCES:
+        wide = (cells.where(F.col("chart_id").startswith(prefix + ":"))
+                .groupBy("chart_id", "row_idx").pivot("col_name", list(cols)).agg(F.first("cell")))
+        (wide.repartition("chart_id").sortWithinPartitions("chart_id", "row_idx").select("chart_id", *cols)
+         .write.mode("overwrite").partitionBy("chart_id").option("header", True).csv(f"{path}/{prefix}"))
+        parts.append(RD.read_table_dir(spark, f"{path}/{prefix}", key_col="chart_id"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 # ---- rationale records (TXT-07, JSN-01) -----------------------------------------------------
