@@ -21,6 +21,8 @@ def test_matches_oracle(spark, duck, key):
     drows = [tuple(r[i] for i in order) for r in cur.fetchall()]
     assert rows_key(srows) == rows_key(drows)
     assert type_mismatches(sdf, duck, ORACLE[key]) == {}
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"))
 
 
 def test_every_query_runs(spark):
