@@ -445,10 +445,12 @@ def scatter_matrix_qa(points: DataFrame, variables, compat: bool = False) -> Dat
     quote_pair = lambda e: R.pair(F.concat(F.lit("'"), e["a"], F.lit("'")), F.concat(F.lit("'"), e["b"], F.lit("'")))
     s = st.select("chart_id", best.alias("best"), worst.alias("worst"), by_var.alias("by_var"), low_var.alias("low_var"),
                   neg_all.alias("neg_all"), F.size(F.filter(up, lambda e: e["ar"] > 0.8)).alias("hi"),
-                  F.size(F.filter(up, lambda e: e["ar"] <= 0.8)).alias("lo"))
+                  F.size(F.filter(up, lambda e: e["ar"] <= 0.8)).alias("lo"), F.size(up).alias("n_pairs"))
+    # no defined correlation at all (constant columns): the reference raises and skips the chart
+    s = s.where(F.col("n_pairs") > 0)
     return emit(s, [
-        ("QA-MTX-1", question("QA-MTX-1"), quote_pair(F.col("best")[0]), quote_pair(F.col("worst")[0])),
-        ("QA-MTX-2", question("QA-MTX-2"), F.col("by_var")[0], F.col("low_var")[0]),
+        ("QA-MTX-1", question("QA-MTX-1"), quote_pair(F.get("best", 0)), quote_pair(F.get("worst", 0))),
+        ("QA-MTX-2", question("QA-MTX-2"), F.get("by_var", 0), F.get("low_var", 0)),
         ("QA-MTX-3", question("QA-MTX-3"), R.boolean("neg_all"), R.boolean(~F.col("neg_all"))),
         ("QA-MTX-4", question("QA-MTX-4"), R.integer("hi"), R.integer("lo")),
         ("QA-MTX-5", question("QA-MTX-5"), R.quoted_list("by_var"), R.quoted_list(F.reverse("by_var"))),
@@ -501,7 +503,7 @@ def multi_line_qa(points: DataFrame) -> DataFrame:
         """Name of the first column holding the largest / smallest value (dict / column order)."""
         arr = F.array(*[F.struct((-v if largest else v).alias("s"), F.lit(i).alias("i"), F.lit(ys[i]).alias("c"))
                         for i, v in enumerate(vals)])
-        return F.array_sort(F.filter(arr, lambda e: e["s"].isNotNull()))[0]["c"]
+        return F.get(F.array_sort(F.filter(arr, lambda e: e["s"].isNotNull())), 0)["c"]
 
     slopes = [slope(i) for i in range(len(ys))]
     means = lambda off: F.concat(F.lit("{"), F.concat_ws(", ", *[

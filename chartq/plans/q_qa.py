@@ -212,7 +212,7 @@ s as (select chart_id,
   list_transform(list_sort(vr), lambda e: e.v) as by_var,
   list_transform(list_sort(list_transform(vr, lambda e: {{'s': -e.s, 'i': e.i, 'v': e.v}})), lambda e: e.v) as low_var,
   ({_neg_all}) as neg_all, len(list_filter(up, lambda e: e.ar > 0.8)) as hi, len(list_filter(up, lambda e: e.ar <= 0.8)) as lo
-  from u)
+  from u where len(up) > 0)
 """ + _emit("s", [
     ("QA-MTX-1", {}, S.pair("'''' || best.a || ''''", "'''' || best.b || ''''"), S.pair("'''' || worst.a || ''''", "'''' || worst.b || ''''")),
     ("QA-MTX-2", {}, "by_var[1]", "low_var[1]"),
