@@ -41,14 +41,17 @@ def build_session(cores: int | None = None, app: str = "chartq",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """Return the shared folder named by the cluster in `spark.checkpoint.dir`.
 
-    `spark.checkpoint.dir` is read from the session; a private folder is only
-    created when it is unset (local tests).
+    Where it is unset, a private folder is chosen for a single-process `local` master only
+    (tests, bench); on any other master that folder would not be shared, so this raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="chartq-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
