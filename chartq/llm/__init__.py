@@ -1 +1,11 @@
-"""Operators for large training-data pipelines (one module per operator)."""
+"""Operators for large training-data pipelines (one module per operator).
+
+Python functions of this package travel to the executors by value, so a cluster needs only the
+libraries they use, not this repository, on its machines. What is broadcast is plain data.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

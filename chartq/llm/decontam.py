@@ -42,40 +42,41 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD).split()
 
 
-class WindowSet:
-    """Windows of one part of the benchmark: word numbers, and per window length the set of number sequences."""
-
-    def __init__(self, items, n: int):
-        self.numbers: dict[bytes, int] = {}
-        self.by_length: dict[int, dict[bytes, set]] = {}
-        for item_id, text in items:
-            seq = words(bytes(text))
-            if not seq:
-                continue
-            ids = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in seq], dtype=np.int32).tobytes()
-            size = min(n, len(seq))
-            table = self.by_length.setdefault(size, {})
-            for i in range(len(seq) - size + 1):
-                table.setdefault(ids[4 * i:4 * (i + size)], set()).add(item_id)
-
-    def scan(self, seq: list[bytes]) -> tuple[np.ndarray, set]:
-        """Mask of the words inside an occurring window, and the ids of the items found."""
-        hit = np.zeros(len(seq) + 1, dtype=np.int32)
-        found: set = set()
-        get = self.numbers.get
-        ids = np.array([get(w, -1) for w in seq], dtype=np.int32)
-        known = np.concatenate(([0], np.cumsum(ids >= 0)))
-        raw = ids.tobytes()
-        for size, table in self.by_length.items():
-            if size > len(seq):
-                continue
-            for p in np.flatnonzero(known[size:] - known[:-size] == size).tolist():
-                owners = table.get(raw[4 * p:4 * (p + size)])
-                if owners:
-                    hit[p] += 1
-                    hit[p + size] -= 1
-                    found |= owners
-        return np.cumsum(hit[:-1]) > 0, found
+def window_set(items, n: int = WINDOW) -> tuple[dict, dict]:
+    """Numbers of the words of some items, and per window length the items of each number sequence."""
+    numbers: dict[bytes, int] = {}
+    by_length: dict[int, dict[bytes, set]] = {}
+    for item_id, text in items:
+        seq = words(bytes(text))
+        if not seq:
+            continue
+        ids = np.array([numbers.setdefault(w, len(numbers)) for w in seq], dtype=np.int32).tobytes()
+        size = min(n, len(seq))
+        table = by_length.setdefault(size, {})
+        for i in range(len(seq) - size + 1):
+            table.setdefault(ids[4 * i:4 * (i + size)], set()).add(item_id)
+    return numbers, by_length
+
+
+def find_windows(windows: tuple[dict, dict], seq: list[bytes]) -> tuple[np.ndarray, set]:
+    """Mask of the words inside an occurring window, and the ids of the items found."""
+    numbers, by_length = windows
+    hit = np.zeros(len(seq) + 1, dtype=np.int32)
+    found: set = set()
+    get = numbers.get
+    ids = np.array([get(w, -1) for w in seq], dtype=np.int32)
+    known = np.concatenate(([0], np.cumsum(ids >= 0)))
+    raw = ids.tobytes()
+    for size, table in by_length.items():
+        if size > len(seq):
+            continue
+        for p in np.flatnonzero(known[size:] - known[:-size] == size).tolist():
+            owners = table.get(raw[4 * p:4 * (p + size)])
+            if owners:
+                hit[p] += 1
+                hit[p + size] -= 1
+                found |= owners
+    return np.cumsum(hit[:-1]) > 0, found
 
 
 def _runs(mask: np.ndarray) -> list[list[int]]:
@@ -86,7 +87,7 @@ def _runs(mask: np.ndarray) -> list[list[int]]:
 def _pass(held, found_before: Column | None, text: Column) -> Column:
     def scan(t: bytes, before):
         seq = words(t)
-        mask, found = held.value.scan(seq) if seq else (np.zeros(0, dtype=bool), set())
+        mask, found = find_windows(held.value, seq) if seq else (np.zeros(0, dtype=bool), set())
         ids = {x for x in found if x is not None}
         if before is not None:
             for a, b in before["runs"]:
@@ -119,7 +120,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, part_bytes: int
     dealt = F.pmod(F.xxhash64("id", "t"), F.lit(parts))
     for part in range(parts):
         rows = items.where(dealt == part).collect() if parts > 1 else items.collect()  # about part_bytes of text
-        held = spark.sparkContext.broadcast(WindowSet([(r["id"], r["t"]) for r in rows], n))
+        held = spark.sparkContext.broadcast(window_set([(r["id"], r["t"]) for r in rows], n))
         out = out.select("row", _pass(held, F.col("hits") if part else None, utf8(F.col("row.text"))).alias("hits"))
         if part + 1 < parts:
             out = stage(out)

@@ -13,7 +13,7 @@ training serve as raw dictionary content; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,6 @@ DICT_BYTES = 1 << 19
 LEVEL = 3
 THRESHOLD = 0.3
 
-_opened: OrderedDict = OrderedDict()
-
 
 def _dictionary(texts: list[bytes]) -> bytes:
     try:
@@ -40,62 +38,58 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[:DICT_BYTES]
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    """One compressor per dictionary and worker process."""
-    if content not in _opened:
-        if len(_opened) >= 4:
-            _opened.popitem(last=False)
-        _opened[content] = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content))
-    return _opened[content]
+def compressors(dicts: tuple[bytes, bytes]) -> list[zstandard.ZstdCompressor]:
+    return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) for d in dicts]
+
 
+def feature(opened: list[zstandard.ZstdCompressor], text: bytes) -> float:
+    """How many bytes per text byte the dictionary of good text saves against that of bad text."""
+    if not text:
+        return 0.0
+    bad, good = (len(c.compress(text)) for c in opened)
+    return (bad - good) / len(text)
 
-class Model:
-    """Two dictionaries and the calibration; `score` is the probability of class 1."""
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        by = {c: [t for y, t in rows if y == c] for c in (0, 1)}
-        self.dicts: tuple[bytes, bytes] | None = None
-        self.rate = (len(by[1]) + 1) / (len(rows) + 2)
-        if min(len(by[0]), len(by[1])) < 2:
-            return
-        build = {c: [t for t in by[c][::2] if t] for c in by}
-        if not (build[0] and build[1]):
-            return
-        self.dicts = (_dictionary(build[0]), _dictionary(build[1]))
-        held = [(y, t) for y in by for t in by[y][1::2]]
-        x = np.array([self.feature(t) for _, t in held])
-        self.weights = logistic(x, np.array([y for y, _ in held], dtype=float))
+def model(rows: list[tuple[int, bytes]]) -> dict:
+    """Plain data of a fitted model: `dicts` (bad, good) and calibration `weights`, or only the `rate` of class 1."""
+    by = {c: [t for y, t in rows if y == c] for c in (0, 1)}
+    out = {"rate": (len(by[1]) + 1) / (len(rows) + 2), "dicts": None}
+    build = {c: [t for t in by[c][::2] if t] for c in by}
+    if min(len(by[0]), len(by[1])) < 2 or not (build[0] and build[1]):
+        return out
+    out["dicts"] = (_dictionary(build[0]), _dictionary(build[1]))
+    held = [(y, t) for y in by for t in by[y][1::2]]
+    opened = compressors(out["dicts"])
+    x = np.array([feature(opened, t) for _, t in held])
+    out["weights"] = logistic(x, np.array([y for y, _ in held], dtype=float)).tolist()
+    return out
 
-    def feature(self, text: bytes) -> float:
-        if not text:
-            return 0.0
-        bad, good = (len(_compressor(d).compress(text)) for d in self.dicts)
-        return (bad - good) / len(text)
 
-    def score(self, text: bytes) -> float:
-        if self.dicts is None:
-            return self.rate
-        return sigmoid(self.weights[0] + self.weights[1] * self.feature(text))
+def score(m: dict, opened: list[zstandard.ZstdCompressor], text: bytes) -> float:
+    """Probability of class 1."""
+    return sigmoid(m["weights"][0] + m["weights"][1] * feature(opened, text)) if opened else m["rate"]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
-    return Model(sample(docs, labels, label, per_class, SAMPLE_BYTES))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> dict:
+    return model(sample(docs, labels, label, per_class, SAMPLE_BYTES))
 
 
-def score_column(spark, model: Model, text: str | Column = "text") -> Column:
-    held = spark.sparkContext.broadcast(model)  # two dictionaries of at most DICT_BYTES
+def score_column(spark, fitted: dict, text: str | Column = "text") -> Column:
+    held = spark.sparkContext.broadcast(fitted)  # two dictionaries of at most DICT_BYTES
 
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = held.value
-        return pd.Series([m.score(t) for t in texts], dtype="float64")
+        opened = compressors(m["dicts"]) if m["dicts"] else []
+        for texts in batches:
+            yield pd.Series([score(m, opened, t) for t in texts], dtype="float64")
 
     return run(utf8(text))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, in its columns, whose score reaches the threshold."""
-    model = fit(docs, labels)
+    fitted = fit(docs, labels)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return (packed.withColumn("score", score_column(docs.sparkSession, model, F.col("row.text")))
+    return (packed.withColumn("score", score_column(docs.sparkSession, fitted, F.col("row.text")))
             .where(F.col("score") >= threshold).select("row.*"))
