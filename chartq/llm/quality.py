@@ -1,18 +1,19 @@
 """Quality classifier by compression: zstandard dictionaries built from good and bad labelled text.
 
-A text that a dictionary of good text compresses better than one of bad text is likely good. The feature
-is (bytes with the bad dictionary - bytes with the good one) / text bytes; a logistic regression on other
-labelled documents than those behind the dictionaries turns it into a probability. The fit uses a
-bounded sample of labelled rows (`PER_CLASS` documents of each class of at most `SAMPLE_BYTES` bytes);
-every document is compressed whole.
+A text that a dictionary of good text compresses better than one of bad text is likely good. The features
+are the normalised difference of both compressed sizes and the compressed share itself; a logistic
+regression on other labelled documents than those behind the dictionaries turns them into a probability
+(for classes of equal weight). The fit uses a bounded sample of labelled rows (`PER_CLASS` documents of
+each class of at most `SAMPLE_BYTES` bytes); every document is compressed whole.
 
-Edge cases: a null or empty text has feature 0 and still gets a score between 0 and 1; with no labelled row
+Edge cases: a null or empty text has features 0 and still gets a score between 0 and 1; with no labelled row
 of one class the score is the smoothed rate of class 1 for every row; samples too small for dictionary
 training serve as raw dictionary content; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +43,13 @@ def compressors(dicts: tuple[bytes, bytes]) -> list[zstandard.ZstdCompressor]:
     return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) for d in dicts]
 
 
-def feature(opened: list[zstandard.ZstdCompressor], text: bytes) -> float:
-    """How many bytes per text byte the dictionary of good text saves against that of bad text."""
+def features(opened: list[zstandard.ZstdCompressor], text: bytes) -> tuple[float, float, float]:
+    """The compressed-size difference normalised by the text's and by the larger compressed size, and the
+    logarithm of the mean compressed share (repeated lines compress well under either dictionary)."""
     if not text:
-        return 0.0
+        return 0.0, 0.0, 0.0
     bad, good = (len(c.compress(text)) for c in opened)
-    return (bad - good) / len(text)
+    return (bad - good) / len(text), (bad - good) / max(bad, good), math.log((bad + good) / 2 / len(text))
 
 
 def model(rows: list[tuple[int, bytes]]) -> dict:
@@ -60,14 +62,17 @@ def model(rows: list[tuple[int, bytes]]) -> dict:
     out["dicts"] = (_dictionary(build[0]), _dictionary(build[1]))
     held = [(y, t) for y in by for t in by[y][1::2]]
     opened = compressors(out["dicts"])
-    x = np.array([feature(opened, t) for _, t in held])
+    x = np.array([features(opened, t) for _, t in held])
     out["weights"] = logistic(x, np.array([y for y, _ in held], dtype=float)).tolist()
     return out
 
 
 def score(m: dict, opened: list[zstandard.ZstdCompressor], text: bytes) -> float:
     """Probability of class 1."""
-    return sigmoid(m["weights"][0] + m["weights"][1] * feature(opened, text)) if opened else m["rate"]
+    if not opened:
+        return m["rate"]
+    w = m["weights"]
+    return sigmoid(w[0] + sum(a * b for a, b in zip(w[1:], features(opened, text))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> dict:
