@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartq.llm import decontam, quality, simhash
+from chartq.llm import decontam, quality, secrets, simhash
 from chartq.llm.common import fold, read_table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
+@_query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("row.doc_id", *[number(k).alias(f"n_{k}") for k in secrets.KINDS],
+                        F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        secrets.joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 @_query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(read_table(spark, sf_dir, "documents"))
