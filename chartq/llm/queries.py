@@ -7,18 +7,72 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartq.llm import decontam, quality, secrets, simhash
+from chartq.llm import decontam, mixing, quality, secrets, simhash
 from chartq.llm.common import fold, read_table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+OP1_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS place
+  FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::DOUBLE AS most,
+         (1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3)::DOUBLE AS weight,
+         row_number() OVER (ORDER BY source ASC NULLS LAST) AS s,
+         sum(sum(size)) OVER ()::DOUBLE AS total
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY most / weight, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
+  FROM per),
+aimed AS (
+  SELECT *, CASE WHEN most <= lev * weight THEN most
+                 ELSE weight * max(CASE WHEN most > lev * weight THEN lev END) OVER () END AS target
+  FROM levels),
+passes AS (
+  SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS passes FROM aimed),
+rests AS (SELECT *, target - passes * source_size AS rest FROM passes),
+placed AS (
+  SELECT d.source, place, sum(size)::BIGINT AS w FROM sized d GROUP BY ALL),
+runs AS (
+  SELECT p.source, p.place, r.rest, p.w, sum(p.w) OVER (PARTITION BY p.source ORDER BY p.place)::BIGINT AS upto,
+         ((p.place >> 30) * greatest(ceil(r.source_size / 50000.0)::BIGINT, 1)) >> 30 AS block
+  FROM placed p JOIN rests r ON p.source IS NOT DISTINCT FROM r.source WHERE r.rest > 0),
+edge AS (SELECT source, min(block) AS block FROM runs WHERE upto >= rest GROUP BY source),
+inside AS (
+  SELECT r.*, r.rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY r.source), min(upto - w) OVER (PARTITION BY r.source)) AS gap,
+         coalesce(max(CASE WHEN upto <= rest THEN place END) OVER (PARTITION BY r.source), min(place) OVER (PARTITION BY r.source) - 1) AS cut
+  FROM runs r JOIN edge e ON r.source IS NOT DISTINCT FROM e.source AND r.block = e.block),
+cuts AS (
+  SELECT source, any_value(cut) AS cut,
+         arg_min(place, (abs(w - gap), place)) FILTER (WHERE place > cut AND abs(w - gap) < gap) AS extra
+  FROM inside GROUP BY source)
+SELECT d.doc_id, d.size, r.source_size, r.target,
+       (CASE WHEN r.target > 0 THEN d.size * (r.passes + CASE WHEN d.place <= c.cut OR d.place = c.extra THEN 1 ELSE 0 END) ELSE 0 END)::BIGINT AS taken
+FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source
+LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source
+"""
+
+
 def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
 
+@_query
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, sources, draws = mixing.plan(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    held = mixing.drawn(sized, sources, draws)
+    return held.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+
+
+ORACLE["op1_mix"] = OP1_SQL
+
+
 @_query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartq.llm import decontam, quality, simhash
+from chartq.llm import decontam, mixing, quality, secrets, simhash
 from chartq.llm.common import read_table, stage
 
 
@@ -27,10 +27,22 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secrets.redact(docs)
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mixture: a row per draw of a document, with its output shard."""
+    return mixing.mix(docs)
+
+
 STAGES = [
     ("quality classifier", quality_classifier),
     ("SimHash near-dedup", simhash_near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mixing_to_weights),
 ]
 
 # The compression classifier and the fingerprints have no SQL form; tests hold run() against brute force.
