@@ -10,12 +10,17 @@ from chartq.llm.common import fold, utf8
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> list[tuple[int, bytes]]:
+    """The rows of `sample_with_rate`."""
+    return sample_with_rate(docs, labels, label, per_class, max_bytes)[0]
+
+
+def sample_with_rate(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> tuple[list[tuple[int, bytes]], float]:
     """At most `per_class` labelled training documents of each class as (label, text bytes).
 
     Only rows outside fold 0 with a non-null id and label count. Labels of repeated ids are
     averaged (0.5 and more is class 1). Rows are drawn by the order of a hash of the id, so reruns
     agree; texts over `max_bytes` are left out of the sample (only of the sample: every text is
-    scored whole). The id set is bounded by 2 * `per_class`, which makes its broadcast safe.
+    scored whole). With them comes the smoothed rate of class 1 among all labelled training rows. The id set is bounded by 2 * `per_class`, which makes its broadcast safe.
     """
     y = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold() != 0))
          .groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y")))
@@ -27,7 +32,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_b
     texts = (docs.select("doc_id", utf8("text").alias("t")).where(F.length("t") <= max_bytes).join(chosen, "doc_id")
              .groupBy("doc_id", "y").agg(F.min("t").alias("t")))
     rows = sorted((r["doc_id"], r["y"], bytes(r["t"])) for r in texts.collect())
-    return [(y_, t) for _, y_, t in rows]
+    n, ones = y.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    return [(y_, t) for _, y_, t in rows], (ones + 1) / (n + 2)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartq.llm import decontam, mixing, quality, secrets, simhash
+from chartq.llm import decontam, mixing, quality, secrets, simhash, toxicity
 from chartq.llm.common import fold, read_table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", (fold() == 0).alias("held_out"), toxicity.score_column(spark, fitted).alias("s"))
+    return found.select("doc_id", "held_out", "s.score", (F.col("s.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+                        F.size("s.passages").cast("long").alias("n_passages"))
+
+
 @_query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(read_table(spark, sf_dir, "documents"))
