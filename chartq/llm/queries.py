@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartq.llm import decontam, mixing, quality, secrets, simhash, toxicity
+from chartq.llm import chat, decontam, mixing, quality, secrets, simhash, toxicity
 from chartq.llm.common import fold, read_table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,34 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", (fold() == 0).alias("held_out"), quality.score_column(spark, model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+# The templates are written out here, apart from the operator's.
+ORACLE["op10_chat"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS said FROM conversations),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said) - 1 AS pos FROM t),
+who AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
+piece AS (
+  SELECT p.conv_id, p.pos // 512 AS segment, w.participant, p.pos, p.role = w.participant AS own,
+         CASE WHEN p.role = w.participant THEN '<|im_start|>assistant' || chr(10) WHEN p.role = 'system' THEN '<|im_start|>system' || chr(10)
+              ELSE '<|im_start|>user name=' || regexp_replace(p.role, '[^A-Za-z0-9_-]', '_', 'g') || chr(10) END AS head,
+         p.said || '<|im_end|>' AS body
+  FROM p JOIN who w ON p.conv_id IS NOT DISTINCT FROM w.conv_id),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, segment, participant ORDER BY pos
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+  FROM piece)
+SELECT conv_id, segment::BIGINT AS segment, participant, count(*)::BIGINT AS n_turns, sum(own::INT)::BIGINT AS n_own,
+       string_agg(head || body || chr(10), '' ORDER BY pos) AS rendered,
+       coalesce(string_agg(CASE WHEN own THEN start::BIGINT || ':' || (start + length(body))::BIGINT END, ',' ORDER BY pos), '') AS mask
+FROM placed GROUP BY conv_id, segment, participant
+"""
+
+
+@_query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.perspectives(read_table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return found.withColumn("mask", mask)
