@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartq.llm import chat, decontam, mixing, quality, secrets, simhash, toxicity
+from chartq.llm import chat, decontam, mixing, phrases, quality, secrets, simhash, suffix, toxicity
 from chartq.llm.common import fold, read_table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_mix"] = OP1_SQL
 
 
+@_query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @_query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +89,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("hits.n_hit") > 0).alias("contaminated"))
 
 
+@_query
+def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @_query
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
