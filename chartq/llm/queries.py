@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartq.llm import chat, decontam, mixing, phrases, quality, secrets, simhash, suffix, toxicity
+from chartq.llm import chat, decontam, mixing, phrases, quality, secrets, simhash, suffix, topk, toxicity
 from chartq.llm.common import fold, read_table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_mix"] = OP1_SQL
 
 
+@_query
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return topk.search(docs, docs.where("doc_id % 50 = 0")).withColumn("score", F.round("score", 6))
+
+
 @_query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
