@@ -3,10 +3,11 @@
 A query is a set of words. Document frequencies, the number of documents and their mean length come from one pass over
 all documents and are joined to the query words, so scores do not depend on the sharding. Every shard (about
 `SHARD_BYTES` of text) builds an inverted index whose documents are ordered by their commonest word and length and cut into
-blocks of `BLOCK` documents; each posting list keeps the largest impact per block. Queries stream through the shard:
-block upper bounds are summed from the block maxima, the best blocks are scored first, and afterwards only
-blocks whose bound still reaches the k-th best score are (WAND at block grain; no document that could enter the result is
-skipped). The k best of every shard are merged by one ranked window.
+blocks of `BLOCK` documents. The lists of the commonest words, which make up most postings, keep the largest impact per
+block; the short lists of all others are walked in full. Queries stream through the shard, some at a time: a block's upper bound
+is the sum of the block maxima and the best of its scores so far; the best blocks are scored first, and afterwards
+only blocks whose bound still reaches the k-th best score (WAND at block grain: no document that could enter
+the result is skipped). The k best of every shard are merged by one ranked window.
 
 Queries are sent to every shard in blocks; documents are sent once. Ties in score go to the smaller doc_id (nulls last).
 
@@ -33,8 +34,10 @@ from chartq.llm.decontam import words
 K = 10
 K1, B = 1.2, 0.75
 SHARD_BYTES = 48 << 20
-BLOCK = 32
-FIRST = 8                 # blocks scored before the first bound is known
+BLOCK = 128               # documents of a block
+FIRST = 2                 # blocks scored before the first limit is known
+DENSE_WORDS = 512         # words of a shard that are stored as dense columns, the commonest ones
+AT_ONCE = 64              # queries answered together
 
 _hash = xxhash.xxh64_intdigest
 
@@ -71,66 +74,84 @@ def _query_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Shard:
-    """Inverted index of one shard with block maxima."""
+    """Inverted index of one shard: the commonest words' impacts as dense columns cut into blocks of documents, with the
+    largest impact per word and block, and posting lists of all other words."""
 
     def __init__(self, ids: list, texts: list[bytes], mean: float):
         counts = [_terms(t) for t in texts]
-        per = np.array([len(c) for c in counts])
+        per = np.array([len(c) for c in counts], dtype=np.int64)
         size = np.array([sum(c.values()) for c in counts], dtype=float)
         doc = np.repeat(np.arange(len(counts)), per)
-        term = np.concatenate([_numbers(c) for c in counts]) if len(counts) else np.zeros(0, np.int64)
-        tf = np.concatenate([np.fromiter(c.values(), float, len(c)) for c in counts]) if len(counts) else np.zeros(0)
+        term = np.concatenate([_numbers(c) for c in counts])
+        tf = np.concatenate([np.fromiter(c.values(), float, len(c)) for c in counts])
         self.vocab, at = np.unique(term, return_inverse=True)
+        in_docs = np.bincount(at, minlength=len(self.vocab))
         common = np.zeros(len(counts))
-        if len(term):
-            np.maximum.at(common, doc, np.bincount(at)[at].astype(float))
+        np.maximum.at(common, doc, in_docs[at].astype(float))
         order = np.lexsort((size, common))
         place = np.empty(len(counts), dtype=np.int64)
         place[order] = np.arange(len(counts))
         self.ids = [ids[i] for i in order.tolist()]
-        self.blocks = max(1, -(-len(counts) // BLOCK))
+        self.blocks = -(-len(counts) // BLOCK)
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         doc = place[doc]
-        sort = np.lexsort((doc, at))
-        self.doc, self.impact, at = doc[sort], impact[sort], at[sort]
-        key = at * self.blocks + self.doc // BLOCK
-        self.start = np.flatnonzero(np.diff(key, prepend=-1))           # first posting of every (term, block) entry
-        self.end = np.append(self.start[1:], len(key))
-        self.block = self.doc[self.start] // BLOCK
-        self.most = np.maximum.reduceat(self.impact, self.start) if len(key) else np.zeros(0)
-        self.entry = np.searchsorted(at[self.start], np.arange(len(self.vocab) + 1))  # entries of every term
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[list[int], list[float]]:
-        """Places and scores of the k best documents (and of all that tie with the last)."""
-        if not len(self.vocab):
-            return [], []
-        at = np.minimum(np.searchsorted(self.vocab, terms), len(self.vocab) - 1)
-        here = self.vocab[at] == terms
-        at, idf = at[here], idf[here]
-        if not len(at):
-            return [], []
-        entries, owner = _spread(self.entry[at], self.entry[at + 1])
-        weight = idf[owner]
-        bound = np.bincount(self.block[entries], weights=weight * self.most[entries], minlength=self.blocks) * (1 + 1e-9)
-        best = np.argsort(-bound, kind="stable")[:FIRST]
-        chosen = np.zeros(self.blocks, dtype=bool)
-        chosen[best] = True
-        scores = self._score(entries, weight, chosen)
-        found = scores[scores > 0]
-        limit = np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else 0.0
-        chosen = (bound >= limit) & (bound > 0) & ~chosen
-        if chosen.any():
-            scores += self._score(entries, weight, chosen)
-        found = np.flatnonzero(scores >= limit if limit > 0 else scores > 0)
-        if len(found) > k:
-            last = np.partition(scores[found], len(found) - k)[len(found) - k]
-            found = found[scores[found] >= last]
-        return found.tolist(), scores[found].tolist()
-
-    def _score(self, entries: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        own = np.flatnonzero(chosen[self.block[entries]])
-        postings, owner = _spread(self.start[entries[own]], self.end[entries[own]])
-        return np.bincount(self.doc[postings], weights=weight[own][owner] * self.impact[postings], minlength=len(self.ids))
+        top = np.argsort(-in_docs, kind="stable")[:DENSE_WORDS]
+        self.column = np.full(len(self.vocab), -1, dtype=np.int64)
+        self.column[top] = np.arange(len(top))
+        dense = self.column[at] >= 0
+        self.table = np.zeros((self.blocks * BLOCK, len(top)))
+        self.table[doc[dense], self.column[at[dense]]] = impact[dense]
+        self.most = self.table.reshape(self.blocks, BLOCK, len(top)).max(axis=1)
+        sort = np.lexsort((doc[~dense], at[~dense]))
+        self.doc, self.impact = doc[~dense][sort], impact[~dense][sort]
+        self.first = np.searchsorted(at[~dense][sort], np.arange(len(self.vocab) + 1))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[list[int], list[float]]]:
+        """Places and scores of each query's k best documents (and of all that tie with the last)."""
+        n, width = len(queries), self.blocks * BLOCK
+        weights = np.zeros((n, self.table.shape[1]))
+        scores = np.zeros((n, width))
+        for q, (terms, idf) in enumerate(queries):
+            at = np.minimum(np.searchsorted(self.vocab, terms), len(self.vocab) - 1)
+            here = self.vocab[at] == terms
+            at, idf = at[here], idf[here]
+            column = self.column[at]
+            weights[q, column[column >= 0]] = idf[column >= 0]
+            at, idf = at[column < 0], idf[column < 0]
+            postings, owner = _spread(self.first[at], self.first[at + 1])
+            scores[q] = np.bincount(self.doc[postings], weights=idf[owner] * self.impact[postings], minlength=width)
+        bound = (weights @ self.most.T + scores.reshape(n, self.blocks, BLOCK).max(axis=2)) * (1 + 1e-9)
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+        done = np.zeros((n, self.blocks), dtype=bool)
+        done[np.arange(n)[:, None], best] = True
+        self._add(scores, weights, done)
+        limit = _kth(scores.reshape(n, self.blocks, BLOCK)[np.arange(n)[:, None], best].reshape(n, -1), k) - 1e-9
+        rest = ~done & (bound >= limit[:, None]) & (bound > 0)
+        self._add(scores, weights, rest)
+        known = np.repeat(done | rest, BLOCK, axis=1)
+        out = []
+        for q in range(n):
+            found = np.flatnonzero(known[q] & (scores[q] >= max(limit[q], 1e-12)))
+            own = scores[q][found].round(9)                 # copies tie whatever the order of summation
+            if len(found) > k:
+                keep = own >= np.partition(own, len(own) - k)[len(own) - k]
+                found, own = found[keep], own[keep]
+            out.append((found.tolist(), own.tolist()))
+        return out
+
+    def _add(self, scores: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> None:
+        """Add the dense words' part of the scores in the chosen (query, block) cells."""
+        for b in np.flatnonzero(chosen.any(axis=0)).tolist():
+            q, rows = np.flatnonzero(chosen[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            scores[q, rows] += weights[q] @ self.table[rows].T
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest score of every row (0 where fewer than k are above 0)."""
+    if scores.shape[1] < k:
+        return np.zeros(len(scores))
+    at = scores.shape[1] - k
+    return np.partition(scores, at, axis=1)[:, at]
 
 
 def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +171,30 @@ def _search(k: int, mean: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, number, ids, texts = None, None, [], []
         for batch in batches:
-            out = []
+            out, wait = [], []
+
+            def answer():
+                for (i, h, _, _), (found, scores) in zip(wait, shard.search([(t, w) for _, _, t, w in wait], k) if wait else []):
+                    out.extend((i, h, d, x) for d, x in _best(shard.ids, found, scores, k))
+                wait.clear()
+
             for s, kind, i, h, t, terms, idf in batch[["shard", "kind", "id", "h", "t", "terms", "idf"]].itertuples(index=False):
                 if s != number:
+                    answer()
                     shard, number, ids, texts = None, s, [], []
                 i = None if i is None or i != i else i
                 if kind == 0:
-                    ids.append(i)
-                    texts.append(t)
+                    if t:
+                        ids.append(i)
+                        texts.append(t)
                     continue
-                if shard is None:
+                if shard is None and texts:
                     shard, texts = Shard(ids, texts, mean), []
-                found, scores = shard.search(np.asarray(terms, dtype=np.int64), np.asarray(idf, dtype=float), k)
-                out += [(i, h, d, x) for d, x in _best(shard.ids, found, scores, k)]
+                if shard is not None and len(shard.vocab):
+                    wait.append((i, h, np.asarray(terms, dtype=np.int64), np.asarray(idf, dtype=float)))
+                    if len(wait) == AT_ONCE:
+                        answer()
+            answer()
             yield pd.DataFrame(out, columns=["query_id", "h", "doc_id", "score"]).astype({"query_id": object, "doc_id": object})
 
     return run
