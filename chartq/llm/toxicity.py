@@ -35,7 +35,7 @@ from chartq.llm.decontam import words
 from chartq.llm.labelled import logistic, sample_with_rate, sigmoid
 from chartq.llm.simhash import fingerprint
 
-PER_CLASS = 4000
+PER_CLASS = 2500
 SAMPLE_BYTES = 1 << 16
 PRIOR = 1000.0            # words' worth of corpus prior in each class
 MIN_Z = 4.0
