@@ -19,6 +19,7 @@ TABLE_SCHEMA = "columns array<string>, rows array<array<string>>"
 # and the shape of a bare number lexeme.
 _TOKEN = r'"(?:[^"\\]|\\.)*"|[^"]+'
 _NUMBER = r"-?[0-9][0-9.eE+-]*"
+_CONSTANT = r"-?\bInfinity\b|\bNaN\b"
 
 
 def strict_json_ok(c) -> Column:
@@ -26,12 +27,21 @@ def strict_json_ok(c) -> Column:
 
     `try_parse_json` alone accepts trailing text; wrapping the text in an array and in an
     object field makes any trailing or missing part a syntax error."""
-    s = col_(c)
+    s = quote_constants(c)
     return (F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).isNotNull()
             & F.try_parse_json(F.concat(F.lit('{"k":'), s, F.lit("}"))).isNotNull())
 
 
+def quote_constants(c) -> Column:
+    """Bare NaN / Infinity / -Infinity outside string literals become strings, as Python's parser hands them to `parse_constant=str`."""
+    s = col_(c)
+    toks = F.regexp_extract_all(s, F.lit(_TOKEN), 0)
+    quoted = F.array_join(F.transform(toks, lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, _CONSTANT, '"$0"'))), "")
+    return F.when(s.contains("NaN") | s.contains("Infinity"), quoted).otherwise(s)
+
+
 def quote_number_lexemes(c) -> Column:
+    c = quote_constants(c)
     toks = F.regexp_extract_all(col_(c), F.lit(_TOKEN), 0)
     return F.array_join(F.transform(toks, lambda t: F.when(t.startswith('"'), t)
                                     .otherwise(F.regexp_replace(t, _NUMBER, '"$0"'))), "")

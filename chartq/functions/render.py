@@ -1,7 +1,7 @@
 """Rendering typed answers to text the same way on every engine.
 
-Numbers are written as fixed-point decimals with 4 places (the oracle does the same),
-booleans as `True` / `False`, lists and tuples in Python's literal style.
+Operators write numbers in full; registered queries write them as fixed-point decimals with
+4 places (the oracles do the same). Booleans are `True` / `False`, lists and tuples in Python's literal style.
 """
 
 from __future__ import annotations
@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from chartq.functions.text import col_
 
 
+def full(c) -> Column:
+    """The shortest text that reads back as the same double."""
+    return col_(c).cast("double").cast("string")
+
+
 def num(c) -> Column:
+    """Four decimals, for comparison with another engine."""
     return F.round(F.round(col_(c).cast("double"), 8), 4).try_cast("decimal(38,4)").cast("string")
 
 

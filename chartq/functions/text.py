@@ -66,12 +66,12 @@ def strip_trailing_dots(c) -> Column:
 
 def remove_special(c) -> Column:
     """Keep letters, digits and white space, then strip (TXT-11)."""
-    return py_strip(F.regexp_replace(col_(c), r"[^\p{L}\p{N}\s]", ""))
+    return py_strip(F.regexp_replace(col_(c), rf"[^\p{{L}}\p{{N}}{PY_WHITESPACE}]", ""))
 
 
 def whitespace_tokens(c) -> Column:
     """`s.split()` as an array (TXT-12): Spark keeps empty edge tokens, so drop them."""
-    return F.filter(F.split(col_(c), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(col_(c), f"[{PY_WHITESPACE}]+"), lambda t: t != "")
 
 
 def step_count(c) -> Column:

@@ -34,8 +34,10 @@ def split_by_rank(df: DataFrame, order_cols, sizes, rest: str, group_cols=()) ->
     Sizes may be Columns computed from the group's row count `n`."""
     r = rank_in_group(df, list(group_cols), list(order_cols), out="_rank")
     if group_cols:
-        n = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"))
-        r = r.join(n, list(group_cols))
+        # null-safe: the rows of a NULL group are split like any others
+        n = df.groupBy(*[F.col(g).alias(f"_n_{g}") for g in group_cols]).agg(F.count(F.lit(1)).alias("n"))
+        same = [F.col(g).eqNullSafe(F.col(f"_n_{g}")) for g in group_cols]
+        r = r.join(n, same).drop(*[f"_n_{g}" for g in group_cols])
     else:
         r = r.withColumn("n", F.lit(None).cast("long"))
     out = None

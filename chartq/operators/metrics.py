@@ -7,12 +7,12 @@ single task before the final merge of a handful of counters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartq.functions.numeric import round4, to_float_pct
 from chartq.functions.text import col_, py_strip, strip_one_trailing_dot
-from chartq.operators.ranking import rank_in_group
+from chartq.operators.ranking import prefix_sums, rank_in_group
 
 
 def exact_flag(target="target", prediction="prediction") -> Column:
@@ -79,15 +79,13 @@ def breakdown(df: DataFrame, keys=("run", "dataset"), tol: float = 0.05) -> Data
 def running(df: DataFrame, batch_size: int = 32, keys=("run", "dataset"), tol: float = 0.05) -> DataFrame:
     """MET-05 / WIN-02: EM and RA after each batch of `batch_size` rows (rows ordered by idx).
 
-    Rows are numbered with the skew-safe ranking, reduced to one row per batch, and
-    only the small per-batch table is windowed.
+    Rows are numbered with the skew-safe ranking, reduced to one row per batch, and the
+    batches are added up in runs, so a run that holds most rows is no single window.
     """
     f = rank_in_group(with_flags(df, tol), list(keys), ["idx"], out="pos")
     per_batch = (f.groupBy(*keys, F.floor(F.col("pos") / batch_size).cast("bigint").alias("batch"))
                  .agg(F.count(F.lit(1)).alias("bn"), F.sum("em").alias("bem"), F.sum("ra").alias("bra")))
-    w = Window.partitionBy(*keys).orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = per_batch.select(*keys, "batch", F.sum("bn").over(w).alias("n"), F.sum("bem").over(w).alias("em"),
-                           F.sum("bra").over(w).alias("ra"))
+    cum = prefix_sums(per_batch.toDF(*keys, "batch", "n", "em", "ra"), list(keys), "batch", ["n", "em", "ra"])
     return cum.select(*keys, "batch", F.col("n").cast("bigint").alias("n"), F.col("em").cast("bigint").alias("em"),
                       F.col("ra").cast("bigint").alias("ra"), round4(F.col("em") / F.col("n")).alias("em_rate"),
                       round4(F.col("ra") / F.col("n")).alias("ra_rate"))

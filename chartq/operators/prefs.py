@@ -30,7 +30,7 @@ def hard_negatives(df: DataFrame, ocr_text: str = "predicted", keys=("conv_id",
     return base_pairs(df, keys).unionByName(neg)
 
 
-# A ChatML-like template standing in for the model processor's chat template.
+# A ChatML-like stand-in (not a fixed value) for the model processor's chat template.
 CHAT_TEMPLATE = {"user": "<|im_start|>user\n<image>{text}<|im_end|>\n",
                  "assistant": "<|im_start|>assistant\n{text}<|im_end|>\n"}
 
@@ -43,17 +43,32 @@ def pref_records(pairs: DataFrame, keys=("conv_id", "turn", "source", "tok_pos")
                         render_messages(CHAT_TEMPLATE["assistant"], "predicted").alias("rejected"))
 
 
-# The two-step rationale template of the chain-of-thought preference variant.
-COT_TEMPLATE = "Reasoning: {rationale}\nAnswer: {answer}"
-
-
-def cot_pairs(qa: DataFrame) -> DataFrame:
-    """PRF-04: chosen / rejected in the two-step rationale-then-answer form."""
-    ar = F.array_join(F.coalesce(F.col("answer_rationale"), F.array()), " ; ")
-    nr = F.array_join(F.coalesce(F.col("not_answer_rationale"), F.array()), " ; ")
-    return qa.select("chart_id", "qid", "question",
-                     fill_template(COT_TEMPLATE, rationale=ar, answer=F.coalesce("label", F.lit("None"))).alias("chosen"),
-                     fill_template(COT_TEMPLATE, rationale=nr, answer=F.coalesce("not_answer", F.lit("None"))).alias("rejected"))
+# The prompt and the reply of the reasoning form, white space included.
+COT_PROMPT = (
+    "Look at the chart. Think step-by-step based on the question and chart. \n "
+    "                Generate a reasoning chain first and output it as Reason. \n "
+    "                In the next line, answer the question with a single word only without units or symbols.\n "
+    "                Format:  "
+    "                ### Question: {question} "
+    "                ### Reason: "
+    "                step-1 ... "
+    "                step-2 ... "
+    "                ...."
+    "                step-n ... "
+    "                ### Answer: \n")
+COT_REPLY = (
+    "### Reason: "
+    "                           step-1: {step1}.\nstep-2: {step2}.\n "
+    "                           ###Answer: {answer}")
+
+
+def cot_pairs(qa: DataFrame, keys=("chart_id", "qid")) -> DataFrame:
+    """PRF-04: prompt, chosen and rejected in the reason-then-answer form; a missing answer reads `None`."""
+    def reply(steps: str, answer: str):
+        return fill_template(COT_REPLY, step1=F.get(steps, 0), step2=F.get(steps, 1), answer=F.coalesce(F.col(answer), F.lit("None")))
+
+    return qa.select(*keys, fill_template(COT_PROMPT, question=F.col("question")).alias("prompt"),
+                     reply("answer_rationale", "label").alias("chosen"), reply("not_answer_rationale", "not_answer").alias("rejected"))
 
 
 def seeded_order(seed: int | str, *key_cols) -> F.Column:

@@ -111,15 +111,26 @@ def skipped(mapping: DataFrame) -> DataFrame:
     return per_chart.groupBy("chart_type").agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("skipped"))
 
 
-def to_points(cells: DataFrame, mapping: DataFrame, chart_type: str) -> DataFrame:
-    """Cells of eligible charts of one type → typed `chart_points` (pivot by canonical name)."""
-    roles = [r[2] for r in ROLES.get(chart_type, [])]
-    m = mapping.where((F.col("chart_type") == chart_type) & F.col("eligible") & F.col("canonical").isNotNull())
-    j = cells.join(m.select("chart_id", "col_name", "canonical"), ["chart_id", "col_name"])
-    wide = j.groupBy("chart_id", "row_idx").pivot("canonical", roles or None).agg(F.first("cell"))
-    numeric = {"value", "x", "y", "size", "y1", "y2"}
-    return wide.select("chart_id", F.col("row_idx").cast("int").alias("row_idx"),
-                       *[(to_float(r) if r in numeric else F.col(r)).alias(r) for r in wide.columns if r not in ("chart_id", "row_idx")])
+NUMERIC_ROLES = ("value", "x", "y", "size", "y1", "y2")
+
+
+def named_cells(cells: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Cells of eligible charts under their canonical names: (chart_id, chart_type, row_idx, name, cell), long
+    form for every type, whatever the number of columns."""
+    m = mapping.where(F.col("eligible") & F.col("canonical").isNotNull())
+    return (cells.join(m.select("chart_id", "col_name", "chart_type", F.col("canonical").alias("name")), ["chart_id", "col_name"])
+            .select("chart_id", "chart_type", F.col("row_idx").cast("long").alias("row_idx"), "name", "cell"))
+
+
+def to_points(named: DataFrame, chart_type: str) -> DataFrame:
+    """Typed `chart_points` of one chart type with fixed roles: one aggregate by (chart, row). The types without
+    fixed roles (`scatter_matrix`, `multi_line`) stay long: (chart_id, row_idx, name, value)."""
+    own = named.where(F.col("chart_type") == chart_type)
+    if chart_type not in ROLES:
+        return own.select("chart_id", "row_idx", "name", to_float("cell").alias("value"))
+    roles = [r[2] for r in ROLES[chart_type]]
+    wide = own.groupBy("chart_id", "row_idx").agg(*[F.max(F.when(F.col("name") == r, F.col("cell"))).alias(r) for r in roles])
+    return wide.select("chart_id", "row_idx", *[(to_float(r) if r in NUMERIC_ROLES else F.col(r)).alias("grp" if r == "group" else r) for r in roles])
 
 
 def profile_rounded(profile: DataFrame) -> DataFrame:

@@ -200,12 +200,10 @@ def template_table(spark):
 
 def training_prompt(turns: DataFrame, templates: DataFrame) -> DataFrame:
     """PMT-05 / JN-04: every conversation gets the system prompt of its template id (a lookup
-    join against the broadcast registry) followed by its first user turn."""
-    from chartq.operators.ranking import checked_join
-
+    join against the registry, a literal table of ten rows) followed by its first user turn."""
     n = templates.count()
     first_user = (turns.where(F.col("role") == "user").groupBy("conv_id")
                   .agg(F.min_by("text", "turn").alias("query")))
     keyed = first_user.withColumn("template_id", (F.col("conv_id") % n).cast("int"))
-    j = checked_join(keyed, templates, "template_id")
+    j = keyed.join(F.broadcast(templates), "template_id")
     return j.select("conv_id", "template", F.concat_ws("\n", "system_prompt", "query").alias("prompt"))

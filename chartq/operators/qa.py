@@ -1,8 +1,8 @@
 """Question / answer / distractor generation from chart points (QA-*, CHT-04).
 
 Every generator takes the long `chart_points` of one chart type and returns
-`(chart_id, qid, question, label, not_answer)`, answers rendered as text
-(`chartq.functions.render`). The plan per type is: one `groupBy(chart_id)` of
+the columns of `OUT`: the answers as text (numbers in the rendering `num`, in full by
+default) and, where they are numbers, as full doubles, with the reasoning steps of both. The plan per type is: one `groupBy(chart_id)` of
 partial-aggregable statistics (`max_by`/`min_by` with a row-order tiebreak for
 pandas' first-wins `idxmax`, sums, moments, co-moments), then — only where a
 question compares rows with a chart statistic — a join of that one-row-per-chart
@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartq.functions import render as R
+from chartq.functions.text import col_
 from chartq.operators.ranking import rank_in_group
+from chartq.operators.rationales import RATIONALES
 
 # The question texts, by question id.
 QUESTIONS = {
@@ -85,7 +87,28 @@ QUESTIONS = {
     "QA-MUL-5": "Give the mean value of each line.",
 }
 
-OUT = ["chart_id", "qid", "question", "label", "not_answer"]
+OUT = ["chart_id", "qid", "question", "label", "not_answer", "answer_num", "not_answer_num", "answer_rationale", "not_answer_rationale"]
+
+
+class Num:
+    """A numeric answer: its full double, and its text in the rendering the caller chose."""
+
+    def __init__(self, c):
+        self.value = col_(c).cast("double")
+
+    def text(self, num) -> Column:
+        return num(self.value)
+
+
+class Int(Num):
+    """A count or a row number."""
+
+    def __init__(self, c):
+        super().__init__(c)
+        self.number = col_(c)
+
+    def text(self, num) -> Column:
+        return R.integer(self.number)
 
 
 def question(qid: str, **slots) -> Column:
@@ -107,11 +130,18 @@ def first_min(x, v) -> Column:
     return F.min_by(x, F.when(v.isNotNull(), F.struct(v, F.col("row_idx"))))
 
 
-def emit(st: DataFrame, specs) -> DataFrame:
-    """One row per (chart, question) from a one-row-per-chart statistics table."""
-    rows = [F.struct(F.lit(qid).alias("qid"), q.alias("question"), a.alias("label"), n.alias("not_answer"))
-            for qid, q, a, n in specs]
-    return st.select("chart_id", F.inline(F.array(*rows)))
+def emit(st: DataFrame, specs, num) -> DataFrame:
+    """One row per (chart, question) from a one-row-per-chart statistics table: the answers as text, the full
+    double of numeric answers, and the reasoning steps of both."""
+    def row(qid, q, a, n):
+        steps = [F.array(*[F.lit(x) for x in steps]) for steps in RATIONALES[qid]]
+        text = [x.text(num) if isinstance(x, Num) else x for x in (a, n)]
+        value = [x.value if isinstance(x, Num) else F.lit(None).cast("double") for x in (a, n)]
+        return F.struct(F.lit(qid).alias("qid"), q.alias("question"), text[0].alias("label"), text[1].alias("not_answer"),
+                        value[0].alias("answer_num"), value[1].alias("not_answer_num"),
+                        steps[0].alias("answer_rationale"), steps[1].alias("not_answer_rationale"))
+
+    return st.select("chart_id", F.inline(F.array(*[row(*spec) for spec in specs])))
 
 
 def _points(df: DataFrame) -> DataFrame:
@@ -132,14 +162,14 @@ def _desc_labels(label: Column, key: Column) -> Column:
 
 # ---- bar ------------------------------------------------------------------------------------
 
-def bar_qa(points: DataFrame, compat: bool = False) -> DataFrame:
+def bar_qa(points: DataFrame, compat: bool = False, num=R.full) -> DataFrame:
     """`compat=True` answers the ranking question with row indexes, as the reference does
     although its rationale speaks of labels (quirk Q17)."""
     p = _points(points)
     st = p.groupBy("chart_id").agg(
         first_max("category", "value").alias("am"), first_min("category", "value").alias("an"),
         F.max("value").alias("mx"), F.min("value").alias("mn"), F.avg("value").alias("mean"),
-        F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("k"), F.col("row_idx").alias("r"), F.col("category").alias("c"))))
+        F.array_sort(F.collect_list(F.struct(F.col("value").isNull().alias("blank"), (-F.col("value")).alias("k"), F.col("row_idx").alias("r"), F.col("category").alias("c"))))
         .alias("ranked"))
     cmp = (_join_stats(p, st, "mean").groupBy("chart_id")
            .agg(F.count_if(F.col("value") > F.col("mean")).alias("gt"), F.count_if(F.col("value") < F.col("mean")).alias("lt")))
@@ -148,17 +178,17 @@ def bar_qa(points: DataFrame, compat: bool = False) -> DataFrame:
     return emit(s, [
         ("QA-BAR-1", question("QA-BAR-1"), F.col("am"), F.col("an")),
         ("QA-BAR-2", question("QA-BAR-2"), F.col("an"), F.col("am")),
-        ("QA-BAR-3", question("QA-BAR-3"), R.num(F.col("mx") - F.col("mn")), R.num(F.col("mn") - F.col("mx"))),
-        ("QA-BAR-4", question("QA-BAR-4"), R.num("mean"), R.num(F.col("mean") + 1)),
-        ("QA-BAR-5", question("QA-BAR-5"), R.integer("gt"), R.integer("lt")),
+        ("QA-BAR-3", question("QA-BAR-3"), Num(F.col("mx") - F.col("mn")), Num(F.col("mn") - F.col("mx"))),
+        ("QA-BAR-4", question("QA-BAR-4"), Num("mean"), Num(F.col("mean") + 1)),
+        ("QA-BAR-5", question("QA-BAR-5"), Int("gt"), Int("lt")),
         ("QA-BAR-6", question("QA-BAR-6"), *((R.int_list("rank"), R.int_list(F.reverse("rank"))) if compat
                                              else (R.quoted_list("rank"), R.quoted_list(F.reverse("rank"))))),
-    ])
+    ], num)
 
 
 # ---- pie ------------------------------------------------------------------------------------
 
-def pie_qa(points: DataFrame) -> DataFrame:
+def pie_qa(points: DataFrame, num=R.full) -> DataFrame:
     """Charts with fewer than two categories raise in the reference and yield no questions."""
     p = _points(points)
     st = p.groupBy("chart_id").agg(
@@ -182,13 +212,13 @@ def pie_qa(points: DataFrame) -> DataFrame:
          .withColumn("pct01", F.bround(F.try_divide(F.col("s01"), F.col("total")) * 100, 2)))
     return emit(s, [
         ("QA-PIE-1", question("QA-PIE-1"), F.col("am"), F.col("an")),
-        ("QA-PIE-2", question("QA-PIE-2", c0=F.col("c0")), R.num("pct0"), R.num(F.bround(100 - F.col("pct0"), 2))),
+        ("QA-PIE-2", question("QA-PIE-2", c0=F.col("c0")), Num("pct0"), Num(F.bround(100 - F.col("pct0"), 2))),
         ("QA-PIE-3", question("QA-PIE-3"), F.col("second"), F.col("am")),
-        ("QA-PIE-4", question("QA-PIE-4"), R.integer("lt10"), R.integer("gt10")),
-        ("QA-PIE-5", question("QA-PIE-5", c0=F.col("c0"), c1=F.col("c1")), R.num("pct01"),
-         R.num(F.bround(100 - F.col("pct01"), 2))),
+        ("QA-PIE-4", question("QA-PIE-4"), Int("lt10"), Int("gt10")),
+        ("QA-PIE-5", question("QA-PIE-5", c0=F.col("c0"), c1=F.col("c1")), Num("pct01"),
+         Num(F.bround(100 - F.col("pct01"), 2))),
         ("QA-PIE-6", question("QA-PIE-6"), R.boolean("any50"), R.boolean("all50")),
-    ])
+    ], num)
 
 
 def _w(part, *order):
@@ -198,7 +228,7 @@ def _w(part, *order):
 
 # ---- grouped bar ----------------------------------------------------------------------------
 
-def grouped_bar_qa(points: DataFrame) -> DataFrame:
+def grouped_bar_qa(points: DataFrame, num=R.full) -> DataFrame:
     p = _points(points)
     st = p.groupBy("chart_id").agg(
         F.min_by("grp", F.col("row_idx")).alias("g0"), F.min_by("category", F.col("row_idx")).alias("c0"),
@@ -221,12 +251,12 @@ def grouped_bar_qa(points: DataFrame) -> DataFrame:
     s = st.join(g0s, "chart_id").join(gs, "chart_id")
     return emit(s, [
         ("QA-GRP-1", question("QA-GRP-1", g0=F.col("g0")), F.col("g0_max"), F.col("g0_min")),
-        ("QA-GRP-2", question("QA-GRP-2", g0=F.col("g0")), R.num("g0_sum"), R.num("g0_low")),
+        ("QA-GRP-2", question("QA-GRP-2", g0=F.col("g0")), Num("g0_sum"), Num("g0_low")),
         ("QA-GRP-3", question("QA-GRP-3"), F.col("am"), F.col("an")),
         ("QA-GRP-4", question("QA-GRP-4"), F.col("low_mean"), F.col("high_mean")),
-        ("QA-GRP-5", question("QA-GRP-5", c0=F.col("c0")), R.num("c0_range"), R.num("c0_mean")),
+        ("QA-GRP-5", question("QA-GRP-5", c0=F.col("c0")), Num("c0_range"), Num("c0_mean")),
         ("QA-GRP-6", question("QA-GRP-6"), R.quoted_list("by_total"), R.quoted_list(F.reverse("by_total"))),
-    ])
+    ], num)
 
 
 # ---- quantiles (skew-safe) ------------------------------------------------------------------
@@ -235,7 +265,7 @@ def group_quantiles(p: DataFrame, value: str, qs: dict[str, float]) -> DataFrame
     """Exact linear-interpolation quantiles per chart (numpy's rule), without collecting a
     chart: rank values with the range-partitioned ranking, then pick the two neighbours
     of each quantile position."""
-    ranked = rank_in_group(p.select("chart_id", "row_idx", value), ["chart_id"], [value, "row_idx"], out="pos")
+    ranked = rank_in_group(p.select("chart_id", "row_idx", value).where(F.col(value).isNotNull()), ["chart_id"], [value, "row_idx"], out="pos")
     n = p.groupBy("chart_id").agg(F.count(value).alias("n"))
     j = ranked.join(n, "chart_id")
     aggs = []
@@ -258,13 +288,14 @@ def group_quantiles(p: DataFrame, value: str, qs: dict[str, float]) -> DataFrame
 BINS = 10
 
 
-def histogram_qa(points: DataFrame, bins: int = BINS) -> DataFrame:
+def histogram_qa(points: DataFrame, bins: int = BINS, num=R.full) -> DataFrame:
     p = _points(points)
     st = p.groupBy("chart_id").agg(
         F.min("value").alias("lo0"), F.max("value").alias("hi0"), F.count("value").alias("n"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.stddev_pop("value").alias("sdp"),
-        F.skewness("value").alias("skew"))
-    st = (st.withColumn("lo", F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")))
+        F.skewness("value").alias("skew"), F.count(F.lit(1)).alias("rows"))
+    # numpy cannot bin a blank: such a chart raises in the reference and yields nothing
+    st = (st.where(F.col("rows") == F.col("n")).withColumn("lo", F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")))
           .withColumn("hi", F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")))
           .withColumn("step", (F.col("hi") - F.col("lo")) / bins))
     quant = group_quantiles(p, "value", {"q50": 0.5, "q25": 0.25, "q75": 0.75, "q10": 0.1, "q90": 0.9})
@@ -287,19 +318,19 @@ def histogram_qa(points: DataFrame, bins: int = BINS) -> DataFrame:
          .withColumn("cnt", cnt)
          .withColumn("kmax", F.aggregate("cnt", F.lit(0), lambda acc, e: F.when(e["c"] > F.col("cnt")[acc]["c"], e["b"]).otherwise(acc)))
          .withColumn("kmin", F.aggregate("cnt", F.lit(0), lambda acc, e: F.when(e["c"] < F.col("cnt")[acc]["c"], e["b"]).otherwise(acc))))
-    e = lambda k: R.num(F.when(k == bins, F.col("hi")).otherwise(k * F.col("step") + F.col("lo")))
+    e = lambda k: num(F.when(k == bins, F.col("hi")).otherwise(k * F.col("step") + F.col("lo")))
     valid = (F.col("n") >= 3) & F.col("skew").isNotNull() & ~F.isnan("skew")
     right = F.when(F.col("sdp") == 0, F.lit(False)).otherwise(valid & (F.col("skew") > 0))
     not_right = F.when((F.col("n") >= 3) & (F.col("sdp") == 0), F.lit(True)).otherwise(valid & (F.col("skew") <= 0))
     return emit(s, [
         ("QA-HST-1", question("QA-HST-1"), R.pair(e(F.col("kmax")), e(F.col("kmax") + 1)),
          R.pair(e(F.col("kmin")), e(F.col("kmin") + 1))),
-        ("QA-HST-2", question("QA-HST-2"), R.integer("lt_med"), R.integer("ge_med")),
-        ("QA-HST-3", question("QA-HST-3"), R.num("mean"), R.num(F.col("mean") + 1)),
-        ("QA-HST-4", question("QA-HST-4"), R.num(F.col("q75") - F.col("q25")), R.num(F.col("q90") - F.col("q10"))),
-        ("QA-HST-5", question("QA-HST-5"), R.integer("hi_sd"), R.integer("lo_sd")),
+        ("QA-HST-2", question("QA-HST-2"), Int("lt_med"), Int("ge_med")),
+        ("QA-HST-3", question("QA-HST-3"), Num("mean"), Num(F.col("mean") + 1)),
+        ("QA-HST-4", question("QA-HST-4"), Num(F.col("q75") - F.col("q25")), Num(F.col("q90") - F.col("q10"))),
+        ("QA-HST-5", question("QA-HST-5"), Int("hi_sd"), Int("lo_sd")),
         ("QA-HST-6", question("QA-HST-6"), R.boolean(right), R.boolean(not_right)),
-    ])
+    ], num)
 
 
 # ---- line -----------------------------------------------------------------------------------
@@ -311,7 +342,7 @@ def _with_prev(p: DataFrame, *cols: str) -> DataFrame:
     return p.join(prev, ["chart_id", "row_idx"], "left")
 
 
-def line_qa(points: DataFrame) -> DataFrame:
+def line_qa(points: DataFrame, num=R.full) -> DataFrame:
     """Charts with a single point raise in the reference (empty diff) and yield nothing."""
     p = _points(points)
     st = p.groupBy("chart_id").agg(
@@ -325,25 +356,28 @@ def line_qa(points: DataFrame) -> DataFrame:
     s = (st.join(d, "chart_id").where(F.col("n") >= 2)
          .withColumn("slope", F.try_divide(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))))
     return emit(s, [
-        ("QA-LIN-1", question("QA-LIN-1"), R.num("x_at_max"), R.num("x_at_min")),
-        ("QA-LIN-2", question("QA-LIN-2"), R.num("dmax"), R.num("dmin")),
-        ("QA-LIN-3", question("QA-LIN-3", thr=R.fmt2("mean")), R.num("x_exceed"),
-         R.num(F.when(F.col("x_exceed").isNotNull(), F.col("x_at_min")).otherwise(F.col("x0")))),
-        ("QA-LIN-4", question("QA-LIN-4"), R.num("mean"), R.num(F.col("mean") + 1)),
+        ("QA-LIN-1", question("QA-LIN-1"), Num("x_at_max"), Num("x_at_min")),
+        ("QA-LIN-2", question("QA-LIN-2"), Num("dmax"), Num("dmin")),
+        ("QA-LIN-3", question("QA-LIN-3", thr=R.fmt2("mean")), Num("x_exceed"),
+         Num(F.when(F.col("x_exceed").isNotNull(), F.col("x_at_min")).otherwise(F.col("x0")))),
+        ("QA-LIN-4", question("QA-LIN-4"), Num("mean"), Num(F.col("mean") + 1)),
         ("QA-LIN-5", question("QA-LIN-5"), R.boolean(F.col("y1") > F.col("y0")), R.boolean(F.col("y1") <= F.col("y0"))),
-        ("QA-LIN-6", question("QA-LIN-6"), R.num("slope"), R.num(-F.col("slope"))),
-    ])
+        ("QA-LIN-6", question("QA-LIN-6"), Num("slope"), Num(-F.col("slope"))),
+    ], num)
 
 
 # ---- scatter --------------------------------------------------------------------------------
 
 def pearson(a: str, b: str) -> Column:
     """Sample correlation as a guarded co-moment ratio (Spark's `corr` raises on a constant
-    column under ANSI); NULL where pandas gives NaN."""
-    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    column under ANSI); NULL where pandas gives NaN. Only rows with both values count, in all
+    three moments, as in pandas."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def scatter_qa(points: DataFrame) -> DataFrame:
+def scatter_qa(points: DataFrame, num=R.full) -> DataFrame:
     p = _points(points).withColumn("d2", F.col("x") * F.col("x") + F.col("y") * F.col("y"))
     s = p.groupBy("chart_id").agg(
         pearson("x", "y").alias("r"),
@@ -353,40 +387,40 @@ def scatter_qa(points: DataFrame) -> DataFrame:
         F.bround(F.count_if(F.col("y") > F.col("x")) / F.count(F.lit(1)), 3).alias("above"))
     pos = F.coalesce(F.col("r") > 0, F.lit(False))
     return emit(s, [
-        ("QA-SCT-1", question("QA-SCT-1"), R.num("r"), R.num(F.when(F.col("r") == 0, F.lit(0.5)).otherwise(-F.col("r")))),
-        ("QA-SCT-2", question("QA-SCT-2"), R.integer("pp"), R.integer("nn")),
-        ("QA-SCT-3", question("QA-SCT-3"), R.integer("near"), R.integer("far")),
-        ("QA-SCT-4", question("QA-SCT-4"), R.integer("ymax"), R.integer("ymin")),
-        ("QA-SCT-5", question("QA-SCT-5"), R.num("above"), R.num(F.bround(1 - F.col("above"), 3))),
+        ("QA-SCT-1", question("QA-SCT-1"), Num("r"), Num(F.when(F.col("r") == 0, F.lit(0.5)).otherwise(-F.col("r")))),
+        ("QA-SCT-2", question("QA-SCT-2"), Int("pp"), Int("nn")),
+        ("QA-SCT-3", question("QA-SCT-3"), Int("near"), Int("far")),
+        ("QA-SCT-4", question("QA-SCT-4"), Int("ymax"), Int("ymin")),
+        ("QA-SCT-5", question("QA-SCT-5"), Num("above"), Num(F.bround(1 - F.col("above"), 3))),
         ("QA-SCT-6", question("QA-SCT-6"), F.when(pos, "positive").otherwise("negative"),
          F.when(pos, "negative").otherwise("positive")),
-    ])
+    ], num)
 
 
 # ---- bubble ---------------------------------------------------------------------------------
 
-def bubble_qa(points: DataFrame) -> DataFrame:
+def bubble_qa(points: DataFrame, num=R.full) -> DataFrame:
     p = _points(points)
     st = p.groupBy("chart_id").agg(
         first_max(F.col("row_idx"), "size").alias("big"), first_min(F.col("row_idx"), "size").alias("small"), F.avg("size").alias("mean"),
-        first_max(F.col("row_idx"), "y").alias("ymax"), first_min(F.col("row_idx"), "y").alias("ymin"), pearson("size", "y").alias("r"))
+        first_max(F.col("row_idx"), "y").alias("ymax"), first_min(F.col("row_idx"), "y").alias("ymin"), F.when(F.bool_and(F.col("size").isNotNull() & F.col("y").isNotNull()), pearson("size", "y")).alias("r"))  # numpy: any blank, no coefficient
     med = group_quantiles(p, "size", {"med": 0.5})
     cmp = (_join_stats(p, med, "med").groupBy("chart_id")
            .agg(F.count_if(F.col("size") < F.col("med")).alias("lt"), F.count_if(F.col("size") > F.col("med")).alias("gt")))
     s = st.join(cmp, "chart_id")
     return emit(s, [
-        ("QA-BUB-1", question("QA-BUB-1"), R.integer("big"), R.integer("small")),
-        ("QA-BUB-2", question("QA-BUB-2"), R.num("mean"), R.num(F.col("mean") + 1)),
-        ("QA-BUB-3", question("QA-BUB-3"), R.integer("lt"), R.integer("gt")),
-        ("QA-BUB-4", question("QA-BUB-4"), R.integer("ymax"), R.integer("ymin")),
+        ("QA-BUB-1", question("QA-BUB-1"), Int("big"), Int("small")),
+        ("QA-BUB-2", question("QA-BUB-2"), Num("mean"), Num(F.col("mean") + 1)),
+        ("QA-BUB-3", question("QA-BUB-3"), Int("lt"), Int("gt")),
+        ("QA-BUB-4", question("QA-BUB-4"), Int("ymax"), Int("ymin")),
         ("QA-BUB-5", question("QA-BUB-5"), R.boolean(F.coalesce(F.col("r") > 0, F.lit(False))),
          R.boolean(F.coalesce(F.col("r") <= 0, F.lit(False)))),
-    ])
+    ], num)
 
 
 # ---- dual axis ------------------------------------------------------------------------------
 
-def dual_axis_qa(points: DataFrame, compat: bool = False) -> DataFrame:
+def dual_axis_qa(points: DataFrame, compat: bool = False, num=R.full) -> DataFrame:
     """The crossing is the first row whose sign of y1 - y2 differs from the previous row's;
     its x is reported (`compat=True`: its row index, as the reference does, quirk Q18)."""
     p = _points(points).withColumn("sg", F.signum(F.col("y1") - F.col("y2")))
@@ -400,48 +434,61 @@ def dual_axis_qa(points: DataFrame, compat: bool = False) -> DataFrame:
         F.avg("y1").alias("m1"), F.min_by("y2", F.col("row_idx")).alias("y2_0"), F.max_by("y2", F.col("row_idx")).alias("y2_l"))
     y1_wins = F.coalesce(F.col("last_gap") > 0, F.lit(False))
     return emit(s, [
-        ("QA-DUA-1", question("QA-DUA-1"), R.num("cross_x"),
-         R.num(F.when(F.col("cross_x").isNotNull(), F.col("xl")).otherwise(F.col("x0")))),
+        ("QA-DUA-1", question("QA-DUA-1"), Num("cross_x"),
+         Num(F.when(F.col("cross_x").isNotNull(), F.col("xl")).otherwise(F.col("x0")))),
         ("QA-DUA-2", question("QA-DUA-2"), F.when(y1_wins, "y1").otherwise("y2"), F.when(y1_wins, "y2").otherwise("y1")),
-        ("QA-DUA-3", question("QA-DUA-3"), R.num("gmax"), R.num("gmin")),
-        ("QA-DUA-4", question("QA-DUA-4"), R.num("m1"), R.num(F.col("m1") + 1)),
+        ("QA-DUA-3", question("QA-DUA-3"), Num("gmax"), Num("gmin")),
+        ("QA-DUA-4", question("QA-DUA-4"), Num("m1"), Num(F.col("m1") + 1)),
         ("QA-DUA-5", question("QA-DUA-5"), R.boolean(F.col("y2_l") > F.col("y2_0")), R.boolean(F.col("y2_l") <= F.col("y2_0"))),
-    ])
+    ], num)
 
 
 # ---- scatter matrix -------------------------------------------------------------------------
 
-def scatter_matrix_qa(points: DataFrame, variables, compat: bool = False) -> DataFrame:
-    """One aggregate of co-moments for every variable pair (all partial aggregations), then
-    the per-chart decisions on the small pair / variable tables. "Negatively correlated with
-    all others" excludes the diagonal; `compat=True` keeps the reference's always-False
-    answer (the diagonal 1 is never negative, quirk Q20)."""
+def scatter_matrix_qa(points: DataFrame, variables, compat: bool = False, num=R.full) -> DataFrame:
+    """One aggregate of co-moments for every variable pair (all partial aggregations) of a table of few, known
+    columns; `scatter_matrix_long_qa` takes any columns."""
     p = _points(points)
     vs = list(variables)
-    pairs = [(i, j) for i in range(len(vs)) for j in range(len(vs)) if i != j]
+    pairs = [(i, j) for i in range(len(vs)) for j in range(i + 1, len(vs))]
     st = p.groupBy("chart_id").agg(
         *[F.var_samp(v).alias(f"var_{i}") for i, v in enumerate(vs)],
-        *[pearson(vs[i], vs[j]).alias(f"r_{i}_{j}") for i, j in pairs if i < j])
-    r = lambda i, j: F.col(f"r_{min(i, j)}_{max(i, j)}")
-    upper = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(vs[i]).alias("a"), F.lit(vs[j]).alias("b"), F.abs(r(i, j)).alias("ar"))
-                      for k, (i, j) in enumerate((i, j) for i, j in pairs if i < j)])
-    up = F.filter(upper, lambda e: e["ar"].isNotNull() & ~F.isnan(e["ar"]))
+        *[pearson(vs[i], vs[j]).alias(f"r_{i}_{j}") for i, j in pairs])
+    return _matrix_answers(st.select(
+        "chart_id",
+        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v"), F.col(f"var_{i}").alias("var")) for i, v in enumerate(vs)]).alias("vars"),
+        F.array(*[F.struct(F.lit(k).alias("k"), F.lit(vs[i]).alias("a"), F.lit(vs[j]).alias("b"), F.col(f"r_{i}_{j}").alias("r"))
+                  for k, (i, j) in enumerate(pairs)]).alias("pairs")), compat, num)
+
+
+def scatter_matrix_long_qa(points: DataFrame, compat: bool = False, num=R.full) -> DataFrame:
+    """The same questions from long points (chart_id, row_idx, name, value) with any variable names: the values of a row
+    meet pairwise in an equi-join on the row, and each chart's variables stand in name order."""
+    p = _points(points)
+    left = p.select("chart_id", "row_idx", F.col("name").alias("a"), F.col("value").alias("x"))
+    right = p.select("chart_id", "row_idx", F.col("name").alias("b"), F.col("value").alias("y"))
+    both = left.join(right, ["chart_id", "row_idx"]).where("a < b").groupBy("chart_id", "a", "b").agg(pearson("x", "y").alias("r"))
+    pairs = both.groupBy("chart_id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "r"))).alias("pairs"))
+    var = p.groupBy("chart_id", "name").agg(F.var_samp("value").alias("var"))
+    vs = var.groupBy("chart_id").agg(F.array_sort(F.collect_list(F.struct("name", "var"))).alias("vars"))
+    return _matrix_answers(vs.join(pairs, "chart_id").select(
+        "chart_id", F.transform("vars", lambda e, i: F.struct(i.alias("i"), e["name"].alias("v"), e["var"].alias("var"))).alias("vars"),
+        F.transform("pairs", lambda e, k: F.struct(k.alias("k"), e["a"].alias("a"), e["b"].alias("b"), e["r"].alias("r"))).alias("pairs")), compat, num)
+
+
+def _matrix_answers(st: DataFrame, compat: bool, num) -> DataFrame:
+    """The per-chart decisions on arrays of variables (i, v, var) and pairs (k, a, b, r). "Negatively correlated with
+    all others" excludes the diagonal; `compat=True` keeps the reference's always-False answer (the diagonal 1 is
+    never negative, quirk Q20)."""
+    up = F.transform(F.filter("pairs", lambda e: e["r"].isNotNull() & ~F.isnan(e["r"])),
+                     lambda e: F.struct(F.abs(e["r"]).alias("ar"), e["k"].alias("k"), e["a"].alias("a"), e["b"].alias("b")))
     best = F.array_sort(F.transform(up, lambda e: F.struct((-e["ar"]).alias("s"), e["k"].alias("k"), e["a"].alias("a"), e["b"].alias("b"))))
-    worst = F.array_sort(F.transform(up, lambda e: F.struct(e["ar"].alias("s"), e["k"].alias("k"), e["a"].alias("a"), e["b"].alias("b"))))
-    var = F.array(*[F.struct((-F.col(f"var_{i}")).alias("s"), F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(vs)])
-    var_ok = F.filter(var, lambda e: e["s"].isNotNull())
-    by_var = F.transform(F.array_sort(var_ok), lambda e: e["v"])
-    low_var = F.transform(F.array_sort(F.transform(var_ok, lambda e: F.struct((-e["s"]).alias("s"), e["i"].alias("i"), e["v"].alias("v")))),
-                          lambda e: e["v"])
-    neg_all = F.lit(False)
-    for i in range(len(vs)):
-        all_neg = F.lit(True)
-        for j in range(len(vs)):
-            if i != j:
-                all_neg = all_neg & F.coalesce(r(i, j) < 0, F.lit(False))
-        neg_all = neg_all | all_neg
-    if compat:
-        neg_all = F.lit(False)
+    worst = F.array_sort(up)
+    known = F.filter("vars", lambda e: e["var"].isNotNull())
+    by_var = F.transform(F.array_sort(F.transform(known, lambda e: F.struct((-e["var"]).alias("s"), e["i"].alias("i"), e["v"].alias("v")))), lambda e: e["v"])
+    low_var = F.transform(F.array_sort(F.transform(known, lambda e: F.struct(e["var"].alias("s"), e["i"].alias("i"), e["v"].alias("v")))), lambda e: e["v"])
+    neg_all = F.lit(False) if compat else F.exists("vars", lambda v: F.forall(
+        "pairs", lambda p: ((p["a"] != v["v"]) & (p["b"] != v["v"])) | F.coalesce(p["r"] < 0, F.lit(False))))
     quote_pair = lambda e: R.pair(F.concat(F.lit("'"), e["a"], F.lit("'")), F.concat(F.lit("'"), e["b"], F.lit("'")))
     s = st.select("chart_id", best.alias("best"), worst.alias("worst"), by_var.alias("by_var"), low_var.alias("low_var"),
                   neg_all.alias("neg_all"), F.size(F.filter(up, lambda e: e["ar"] > 0.8)).alias("hi"),
@@ -452,14 +499,14 @@ def scatter_matrix_qa(points: DataFrame, variables, compat: bool = False) -> Dat
         ("QA-MTX-1", question("QA-MTX-1"), quote_pair(F.get("best", 0)), quote_pair(F.get("worst", 0))),
         ("QA-MTX-2", question("QA-MTX-2"), F.get("by_var", 0), F.get("low_var", 0)),
         ("QA-MTX-3", question("QA-MTX-3"), R.boolean("neg_all"), R.boolean(~F.col("neg_all"))),
-        ("QA-MTX-4", question("QA-MTX-4"), R.integer("hi"), R.integer("lo")),
+        ("QA-MTX-4", question("QA-MTX-4"), Int("hi"), Int("lo")),
         ("QA-MTX-5", question("QA-MTX-5"), R.quoted_list("by_var"), R.quoted_list(F.reverse("by_var"))),
-    ])
+    ], num)
 
 
 # ---- stacked bar ----------------------------------------------------------------------------
 
-def stacked_bar_qa(points: DataFrame) -> DataFrame:
+def stacked_bar_qa(points: DataFrame, num=R.full) -> DataFrame:
     p = _points(points)
     st = p.groupBy("chart_id").agg(
         F.min_by("grp", F.col("row_idx")).alias("g0"), F.min_by("series", F.col("row_idx")).alias("s0"),
@@ -479,17 +526,17 @@ def stacked_bar_qa(points: DataFrame) -> DataFrame:
     s = (st.join(gs, "chart_id").join(ss, "chart_id")
          .withColumn("pct", F.bround(F.try_divide(F.coalesce(F.col("g0_s0"), F.lit(0.0)), F.col("g0_total")) * 100, 2)))
     return emit(s, [
-        ("QA-STK-1", question("QA-STK-1", g0=F.col("g0")), R.num("g0_total"), R.num("min_total")),
+        ("QA-STK-1", question("QA-STK-1", g0=F.col("g0")), Num("g0_total"), Num("min_total")),
         ("QA-STK-2", question("QA-STK-2"), F.col("s_top"), F.col("s_low")),
         ("QA-STK-3", question("QA-STK-3"), F.col("g_top"), F.col("g_low")),
-        ("QA-STK-4", question("QA-STK-4", g0=F.col("g0"), s0=F.col("s0")), R.num("pct"), R.num(F.bround(100 - F.col("pct"), 2))),
+        ("QA-STK-4", question("QA-STK-4", g0=F.col("g0"), s0=F.col("s0")), Num("pct"), Num(F.bround(100 - F.col("pct"), 2))),
         ("QA-STK-5", question("QA-STK-5"), F.col("seg_max"), F.col("seg_min")),
-    ])
+    ], num)
 
 
 # ---- multi line -----------------------------------------------------------------------------
 
-def multi_line_qa(points: DataFrame) -> DataFrame:
+def multi_line_qa(points: DataFrame, num=R.full) -> DataFrame:
     p = _points(points)
     ys = [c for c in points.columns if c.startswith("y")]
     aggs = [F.min_by("x", F.col("row_idx")).alias("x0"), F.max_by("x", F.col("row_idx")).alias("xl")]
@@ -507,7 +554,7 @@ def multi_line_qa(points: DataFrame) -> DataFrame:
 
     slopes = [slope(i) for i in range(len(ys))]
     means = lambda off: F.concat(F.lit("{"), F.concat_ws(", ", *[
-        F.concat(F.lit(f"'{c}': "), R.num(F.col(f"m{i}") + off)) for i, c in enumerate(ys)]), F.lit("}"))
+        F.concat(F.lit(f"'{c}': "), num(F.col(f"m{i}") + off)) for i, c in enumerate(ys)]), F.lit("}"))
     s = st.select("chart_id", arg([F.col(f"mx{i}") for i in range(len(ys))], True).alias("line_max"),
                   arg([F.col(f"mx{i}") for i in range(len(ys))], False).alias("line_min"),
                   arg([F.col(f"l{i}") for i in range(len(ys))], False).alias("final_low"),
@@ -520,9 +567,9 @@ def multi_line_qa(points: DataFrame) -> DataFrame:
         ("QA-MUL-1", question("QA-MUL-1"), F.col("line_max"), F.col("line_min")),
         ("QA-MUL-2", question("QA-MUL-2"), F.col("final_low"), F.col("final_high")),
         ("QA-MUL-3", question("QA-MUL-3"), F.col("steep"), F.col("flat")),
-        ("QA-MUL-4", question("QA-MUL-4"), R.integer("up"), R.integer("down")),
+        ("QA-MUL-4", question("QA-MUL-4"), Int("up"), Int("down")),
         ("QA-MUL-5", question("QA-MUL-5"), F.col("means"), F.col("means1")),
-    ])
+    ], num)
 
 
 GENERATORS = {
@@ -530,3 +577,19 @@ GENERATORS = {
     "scatter": scatter_qa, "bubble": bubble_qa, "line_dual_axis": dual_axis_qa, "scatter_matrix": scatter_matrix_qa,
     "stacked_bar": stacked_bar_qa, "multi_line": multi_line_qa,
 }
+
+
+def generate(named: DataFrame, num=R.full) -> DataFrame:
+    """CHT-04: the questions of every chart of `named` cells (`profile.named_cells`), dispatched on its type, with
+    `chart_type`. Types that cannot come from parsed tables (those with a time axis) have no charts here."""
+    from chartq.operators.profile import ROLES, to_points
+
+    parts = []
+    for kind in (*ROLES, "scatter_matrix"):
+        points = to_points(named, kind)
+        made = scatter_matrix_long_qa(points, num=num) if kind == "scatter_matrix" else GENERATORS[kind](points, num=num)
+        parts.append(made.withColumn("chart_type", F.lit(kind)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -1,4 +1,4 @@
-"""Skew-safe positions and the size-checked join used across the engine.
+"""Skew-safe positions used across the engine.
 
 `Window.partitionBy(group).orderBy(key)` sends a whole group to one task. A
 chart, corpus or run may hold a third of all rows, so positions inside a group
@@ -22,25 +22,31 @@ from pyspark.sql import functions as F
 
 from chartq.session import ensure_checkpoint_dir
 
-# Rows of a side we are willing to broadcast after counting it.
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def checked_join(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join, broadcasting `small` only after its row count is known to be small.
+def prefix_sums(df: DataFrame, keys: list[str], pos: str, cols: list[str], fan: int = 1024, levels: int = 2) -> DataFrame:
+    """`cols` replaced by their running sums in the order of the whole number `pos` (distinct within `keys`).
 
-    Beyond the bound the join stays a shuffle join (AQE may still split skewed
-    partitions of `big`).
+    Runs of `fan` positions are summed first; their running sums (by the same rule, `levels` deep) are the offsets of
+    running sums inside a run, so no window holds more than a run until a hot key has `fan ** (levels + 1)` positions.
     """
-    small = small.checkpoint(eager=True)
-    if small.count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    if levels == 0:
+        w = Window.partitionBy(*keys).orderBy(pos)
+        return df.withColumns({c: F.sum(c).over(w) for c in cols})
+    at = f"_run{levels}"
+    run = df.withColumn(at, F.floor(F.col(pos) / fan).cast("long"))
+    own = [f"_own{levels}_{c}" for c in cols]
+    sums = run.groupBy(*keys, at).agg(*[F.sum(c).alias(c) for c in cols], *[F.sum(c).alias(o) for c, o in zip(cols, own)])
+    upto = prefix_sums(sums, keys, at, cols, fan, levels - 1)
+    before = upto.select(*[F.col(k).alias(f"_k{levels}_{k}") for k in keys], F.col(at).alias(f"_k{at}"),
+                         *[(F.col(c) - F.col(o)).alias(f"_before{levels}_{c}") for c, o in zip(cols, own)])
+    w = Window.partitionBy(*keys, at).orderBy(pos)
+    inside = run.withColumns({c: F.sum(c).over(w) for c in cols})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{levels}_{k}")) for k in keys] + [F.col(at) == F.col(f"_k{at}")]
+    return (inside.join(before, same).withColumns({c: F.col(c) + F.col(f"_before{levels}_{c}") for c in cols}).select(*df.columns))
 
 
 def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "row_idx",
@@ -70,5 +76,5 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list, out: s
     for g in group_cols:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
     ranked = ranged.join(o, cond)
-    return (ranked.withColumn(out, (F.col("_pos") - F.col("_p0") + F.col("_off")).cast("int"))
+    return (ranked.withColumn(out, (F.col("_pos") - F.col("_p0") + F.col("_off")).cast("long"))
             .drop("_pid", "_pos", "_p0", "_off", "_o_pid", *[f"_o_{g}" for g in group_cols]))

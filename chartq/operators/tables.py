@@ -40,8 +40,8 @@ def type_accuracy(df: DataFrame, keys=("run", "dataset"), gold="chart_type") ->
 def table_error_expr(gold_text: Column, pred_text: Column) -> Column:
     """MET-07 per row: gold does not parse → 0; prediction does not parse (after `'`→`"`) → 1;
     otherwise mismatching cells / cells visited over zipped row pairs (stripped, lower-case).
-    A predicted row shorter than its gold row adds one error and stops the scan. Capped at 1
-    (the reference returns 1e6 when a table has no rows, quirk Q11)."""
+    A predicted row shorter than its gold row adds one error and stops the scan. A table without
+    rows counts as 1 (the reference returns 1e6, quirk Q11)."""
     pt = F.replace(pred_text, F.lit("'"), F.lit('"'))
     return _table_error_parsed(J.strict_json_ok(gold_text), J.strict_json_ok(pt), J.parse_table(gold_text), J.parse_table(pt))
 
@@ -63,7 +63,7 @@ def _table_error_parsed(gok: Column, pok: Column, g: Column, p: Column, compat:
     cnt = F.aggregate(used, F.lit(0), lambda acc, x: acc + F.least(x["k"], x["m"])) + stop
     return (F.when(~gok, 0.0).when(~pok, 1.0)
             .when(g["rows"].isNull() | p["rows"].isNull(), 1.0 / 1e-6 if compat else 1.0)
-            .otherwise(err / (cnt + F.lit(1e-6)) if compat else F.least(err / (cnt + F.lit(1e-6)), F.lit(1.0))))
+            .otherwise(err / (cnt + F.lit(1e-6)) if compat else err / (cnt + F.lit(1e-6))))
 
 
 def table_error(df: DataFrame, keys=("run", "dataset"), completion="completion", gold="gold_table",

@@ -26,38 +26,38 @@ select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end a
  '{"columns":["value","year"],"rows":[["b","1.50"],["' || o_orderpriority || '","' || cast(cast(round(o_totalprice*100) as bigint) as varchar) || '"]]}' as gold_table
 from orders""",
     "fv_bar": """
-select c_nationkey as chart_id, cast(row_number() over (partition by c_nationkey order by c_mktsegment) - 1 as int) as row_idx,
+select c_nationkey as chart_id, cast(row_number() over (partition by c_nationkey order by c_mktsegment) - 1 as bigint) as row_idx,
  c_mktsegment as category, cast(sum(cast(round(c_acctbal*100) as bigint)) as double) as value from customer group by c_nationkey, c_mktsegment""",
     "fv_grp": """
-select c_nationkey as chart_id, cast(row_number() over (partition by c_nationkey order by c_mktsegment, o_orderpriority) - 1 as int) as row_idx,
+select c_nationkey as chart_id, cast(row_number() over (partition by c_nationkey order by c_mktsegment, o_orderpriority) - 1 as bigint) as row_idx,
  c_mktsegment as grp, o_orderpriority as category, cast(sum(cast(round(o_totalprice*100) as bigint)) as double) as value
 from orders join customer on o_custkey = c_custkey group by c_nationkey, c_mktsegment, o_orderpriority""",
     "fv_hist": """
-select p_brand as chart_id, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as int) as row_idx, p_retailprice as value from part""",
+select p_brand as chart_id, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as bigint) as row_idx, p_retailprice as value from part""",
     "fv_line": """
-select user_id as chart_id, cast(row_number() over (partition by user_id order by event_id) - 1 as int) as row_idx, cast(event_id as double) as x, value as y from events""",
+select user_id as chart_id, cast(row_number() over (partition by user_id order by event_id) - 1 as bigint) as row_idx, cast(event_id as double) as x, value as y from events""",
     "fv_scatter": """
-select p_brand as chart_id, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as int) as row_idx,
+select p_brand as chart_id, cast(row_number() over (partition by p_brand order by p_partkey) - 1 as bigint) as row_idx,
  cast(p_size - 25 as double) as x, cast((p_partkey * 37) % 101 - 50 as double) as y from part""",
     "fv_bubble": """
-select c_nationkey as chart_id, cast(row_number() over (partition by c_nationkey order by c_custkey) - 1 as int) as row_idx,
+select c_nationkey as chart_id, cast(row_number() over (partition by c_nationkey order by c_custkey) - 1 as bigint) as row_idx,
  cast(c_custkey as double) as x, c_acctbal as y, cast((c_custkey * 13) % 97 as double) as size from customer""",
     "fv_dual": """
-select o_orderpriority as chart_id, cast(row_number() over (partition by o_orderpriority order by ym) - 1 as int) as row_idx,
+select o_orderpriority as chart_id, cast(row_number() over (partition by o_orderpriority order by ym) - 1 as bigint) as row_idx,
  cast(ym as double) as x, cast(y1 as double) as y1, cast(y2 as double) as y2 from
  (select o_orderpriority, cast(extract(year from o_orderdate) as int)*12 + cast(extract(month from o_orderdate) as int) as ym,
    sum(case when o_orderstatus='F' then cast(round(o_totalprice*100) as bigint) else 0 end) as y1,
    sum(case when o_orderstatus='O' then cast(round(o_totalprice*100) as bigint) else 0 end) as y2 from orders group by 1,2) q""",
     "fv_matrix": """
 select l_returnflag || l_linestatus as chart_id, cast(row_number() over (partition by l_returnflag, l_linestatus
-  order by l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity,l_discount,l_tax) - 1 as int) as row_idx,
+  order by l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity,l_discount,l_tax) - 1 as bigint) as row_idx,
  l_quantity as v1, l_extendedprice as v2, l_discount as v3, l_tax as v4 from lineitem""",
     "fv_stack": """
-select l_suppkey as chart_id, cast(row_number() over (partition by l_suppkey order by l_returnflag,l_linestatus) - 1 as int) as row_idx,
+select l_suppkey as chart_id, cast(row_number() over (partition by l_suppkey order by l_returnflag,l_linestatus) - 1 as bigint) as row_idx,
  l_returnflag as grp, l_linestatus as series, cast(sum(cast(round(l_extendedprice*100) as bigint)) as double) as value
 from lineitem group by l_suppkey,l_returnflag,l_linestatus""",
     "fv_multi": """
-select ch as chart_id, cast(row_number() over (partition by ch order by dy) - 1 as int) as row_idx, cast(dy as double) as x,
+select ch as chart_id, cast(row_number() over (partition by ch order by dy) - 1 as bigint) as row_idx, cast(dy as double) as x,
  cast(y_1 as double) as y_1, cast(y_2 as double) as y_2, cast(y_3 as double) as y_3 from
  (select user_id % 3 as ch, cast(extract(day from ts) as int) as dy, sum(case when event_type='view' then 1 else 0 end) as y_1,
   sum(case when event_type='click' then 1 else 0 end) as y_2, sum(case when event_type='purchase' then 1 else 0 end) as y_3 from events group by 1,2) q""",
@@ -98,7 +98,7 @@ def fv_cells_sql() -> str:
             "{'col_idx': %d, 'col_name': '%s', 'cell': %s}" % (
                 i, c, f"cast(cast({c} as decimal(20,2)) as varchar)" if c in types[view] else f"cast({c} as varchar)")
             for i, c in enumerate(cols))
-        parts.append(f"select '{prefix}:' || cast(chart_id as varchar) as chart_id, cast(row_idx as int) as row_idx, "
+        parts.append(f"select '{prefix}:' || cast(chart_id as varchar) as chart_id, cast(row_idx as bigint) as row_idx, "
                      f"unnest([{items}], recursive := true) from {view}")
     return "\nunion all\n".join(parts)
 

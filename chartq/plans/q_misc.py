@@ -10,10 +10,11 @@ from chartq.operators import curate as C
 from chartq.operators import manifest as MF
 from chartq.operators import prefs as P
 from chartq.operators import prompts as PM
-from chartq.operators import qa as Q
 from chartq.operators.ranking import rank_in_group
 from chartq.plans import sqlmacros as S
 from chartq.plans.fixture_sql import with_fv
+from chartq.plans.q_qa import qa_all_prefs
+from chartq.plans.registry import ORACLE as _ORACLE
 from chartq.plans.registry import register
 from chartq.sources import fixtures as FX
 
@@ -110,18 +111,18 @@ def pref_records(spark, sf_dir):
     return P.pref_records(P.hard_negatives(FX.fv_pref(spark, sf_dir)))
 
 
-def _bar_pairs(spark, sf_dir):
-    qa = Q.bar_qa(FX.fv_bar(spark, sf_dir))
+def _qa_pairs(spark, sf_dir):
+    qa = qa_all_prefs(spark, sf_dir)
     return qa.select(F.concat_ws(":", F.lit("qa"), "chart_id", "qid").alias("pair_id"), "question", "label",
                      F.col("not_answer").alias("predicted"))
 
 
 @register("pref_mix")
 def pref_mix(spark, sf_dir):
-    """PRF-05: OCR hard negatives + bar-chart QA pairs, seeded shuffle, first 512 = eval, rest = train."""
+    """PRF-05: OCR hard negatives + the QA pairs of every chart type, seeded shuffle, first 512 = eval, rest = train."""
     hn = P.hard_negatives(FX.fv_pref(spark, sf_dir)).select(
         F.concat_ws(":", F.lit("hn"), "conv_id", "turn", "tok_pos").alias("pair_id"), "question", "label", "predicted")
-    return P.pref_mix(hn, _bar_pairs(spark, sf_dir), SEED, 512, ["pair_id"])
+    return P.pref_mix(hn, _qa_pairs(spark, sf_dir), SEED, 512, ["pair_id"])
 
 
 # ---- prompts --------------------------------------------------------------------------------
@@ -298,13 +299,11 @@ def mask_labels(spark, sf_dir):
                                                   .otherwise(x)).alias("masked"))
 
 
-from chartq.plans.q_qa import BAR_SQL  # noqa: E402
-from chartq.plans.registry import ORACLE as _ORACLE  # noqa: E402
 
 _ORACLE["pref_mix"] = _HN_SQL + f""",
 u as (select concat_ws(':', 'hn', conv_id, turn, tok_pos) as pair_id, question, label, predicted from hn
   union all
-  select concat_ws(':', 'qa', chart_id, qid), question, label, not_answer from ({BAR_SQL}) b),
+  select concat_ws(':', 'qa', chart_id, qid), question, label, not_answer from ({_ORACLE['qa_all_prefs']}) b),
 r as (select *, row_number() over (order by md5(concat_ws(':', '{SEED}', pair_id)), pair_id) - 1 as pos from u)
 select pair_id, question, label, predicted, case when pos < 512 then 'eval' else 'train' end as split from r"""
 
@@ -355,16 +354,25 @@ def extract_reason_answer(spark, sf_dir):
                     ia.alias("internvl_answer"), ir.alias("internvl_reason"))
 
 
-@register("qa_cot_prefs", f"""select chart_id, qid, question,
- replace(replace({lit(P.COT_TEMPLATE)}, '{{rationale}}', ''), '{{answer}}', coalesce(label, 'None')) as chosen,
- replace(replace({lit(P.COT_TEMPLATE)}, '{{rationale}}', ''), '{{answer}}', coalesce(not_answer, 'None')) as rejected
- from ({BAR_SQL})""")
+# The forms are written out here, apart from the operator's.
+_COT_ASK = ("'Look at the chart. Think step-by-step based on the question and chart. ' || chr(10) || repeat(' ', 17) || "
+            "'Generate a reasoning chain first and output it as Reason. ' || chr(10) || repeat(' ', 17) || "
+            "'In the next line, answer the question with a single word only without units or symbols.' || chr(10) || repeat(' ', 17) || "
+            "'Format:  ' || repeat(' ', 16) || '### Question: ' || question || repeat(' ', 17) || '### Reason: ' || repeat(' ', 16) || "
+            "'step-1 ... ' || repeat(' ', 16) || 'step-2 ... ' || repeat(' ', 16) || '....' || repeat(' ', 16) || 'step-n ... ' || "
+            "repeat(' ', 16) || '### Answer: ' || chr(10)")
+
+
+def _cot_reply(steps, answer):
+    return (f"'### Reason: ' || repeat(' ', 27) || 'step-1: ' || {steps}[1] || '.' || chr(10) || 'step-2: ' || {steps}[2] || '.' || chr(10) || "
+            f"repeat(' ', 28) || '###Answer: ' || coalesce({answer}, 'None')")
+
+
+@register("qa_cot_prefs", f"""select chart_id, qid, chart_type, {_COT_ASK} as prompt, {_cot_reply('answer_rationale', 'label')} as chosen,
+ {_cot_reply('not_answer_rationale', 'not_answer')} as rejected from ({_ORACLE['qa_all_prefs']})""")
 def qa_cot_prefs(spark, sf_dir):
-    """PRF-04: bar-chart QA pairs in the two-step rationale-then-answer form (rationales are
-    an input column; empty here)."""
-    qa = Q.bar_qa(FX.fv_bar(spark, sf_dir)).withColumn("answer_rationale", F.array().cast("array<string>")) \
-        .withColumn("not_answer_rationale", F.array().cast("array<string>"))
-    return P.cot_pairs(qa)
+    """PRF-04: the QA pairs of every chart type in the reason-then-answer form."""
+    return P.cot_pairs(qa_all_prefs(spark, sf_dir), keys=("chart_id", "qid", "chart_type"))
 
 
 _TPL_VALUES = ", ".join(f"({i}, {lit(t.name)}, {lit(t.system_template.replace('{system_message}', t.system_message))})"

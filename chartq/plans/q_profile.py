@@ -5,14 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chartq.functions import render as R
 from chartq.functions.numeric import round4
 from chartq.operators import profile as PR
 from chartq.operators import qa as Q
 from chartq.plans import sqlmacros as S
 from chartq.plans.fixture_sql import with_cells
+from chartq.plans.q_qa import rounded
 from chartq.plans.registry import register
-from chartq.session import ensure_checkpoint_dir
 from chartq.sources import fixtures as FX
+from chartq.sources.readers import stage_dir
 
 _NA = ", ".join("'" + t.replace("'", "''") + "'" for t in PR.NA_TOKENS)
 
@@ -65,28 +67,28 @@ mp as (select rk.chart_id, chart_type, col_name, col_idx, case {' '.join(cases)}
 @register("column_profile", PROFILE_CTE + f"select chart_id, col_name, col_idx, is_numeric, nunique, {S.r4('num_sum')} as num_sum from prof")
 def column_profile(spark, sf_dir):
     """CHT-01: per-column kind, distinct count and numeric sum of every chart table."""
-    p = PR.column_profile(FX.fv_cells(spark, sf_dir))
+    p = PR.column_profile(FX.fv_cells(spark, sf_dir, positions=False))
     return p.select("chart_id", "col_name", "col_idx", "is_numeric", "nunique", round4("num_sum").alias("num_sum"))
 
 
 @register("pick_chart", PROFILE_CTE + "select chart_id, n_numeric, n_cat, constant_sum, chart_type from picked")
 def pick_chart(spark, sf_dir):
     """CHT-02 / CHT-05: chart type per table from the decision list."""
-    p = PR.pick_chart(PR.column_profile(FX.fv_cells(spark, sf_dir)))
+    p = PR.pick_chart(PR.column_profile(FX.fv_cells(spark, sf_dir, positions=False)))
     return p.select("chart_id", "n_numeric", "n_cat", "constant_sum", "chart_type")
 
 
 @register("auto_rename", PROFILE_CTE + _rename_sql() + "select chart_id, chart_type, col_name, col_idx, canonical, eligible from mp")
 def auto_rename(spark, sf_dir):
     """CHT-03 + FLT-05: canonical column names per chart and whether the chart is usable."""
-    prof = PR.column_profile(FX.fv_cells(spark, sf_dir))
+    prof = PR.column_profile(FX.fv_cells(spark, sf_dir, positions=False))
     return PR.auto_rename(prof, PR.pick_chart(prof))
 
 
 @register("chart_census", PROFILE_CTE + "select chart_type, count(*) as n from picked group by chart_type")
 def chart_census(spark, sf_dir):
     """MET-11: tables per chosen chart type."""
-    return PR.census(PR.pick_chart(PR.column_profile(FX.fv_cells(spark, sf_dir))))
+    return PR.census(PR.pick_chart(PR.column_profile(FX.fv_cells(spark, sf_dir, positions=False))))
 
 
 @register("chart_skips", PROFILE_CTE + _rename_sql() + """select chart_type, count(*) filter (where ok) as kept,
@@ -94,32 +96,20 @@ def chart_census(spark, sf_dir):
  group by chart_type""")
 def chart_skips(spark, sf_dir):
     """MET-10 for tables: charts kept and skipped per chosen type."""
-    prof = PR.column_profile(FX.fv_cells(spark, sf_dir))
+    prof = PR.column_profile(FX.fv_cells(spark, sf_dir, positions=False))
     return PR.skipped(PR.auto_rename(prof, PR.pick_chart(prof)))
 
 
 @register("table_qa")
 def table_qa(spark, sf_dir):
-    """Table to QA: profile every table, pick its type, rename its columns,
-    pivot to points and generate the questions of that type (bar, scatter, histogram,
-    grouped bar and scatter matrix tables here)."""
-    # the cells feed six plans below: materialise them once in the shared checkpoint folder
-    ensure_checkpoint_dir(spark)
-    cells = FX.fv_cells(spark, sf_dir).checkpoint(eager=True)
+    """Table to QA: profile every table, pick its type, rename its columns, and generate the
+    questions of that type."""
+    # the cells feed the profile and the points: written once to the shared folder
+    path = stage_dir(spark, "cells")
+    FX.fv_cells(spark, sf_dir).write.parquet(path)
+    cells = spark.read.parquet(path)
     prof = PR.column_profile(cells)
-    mapping = PR.auto_rename(prof, PR.pick_chart(prof)).checkpoint(eager=True)
-    parts = []
-    for ct in ("bar", "scatter", "histogram", "grouped_bar"):
-        pts = PR.to_points(cells, mapping, ct)
-        if ct == "grouped_bar":
-            pts = pts.withColumnRenamed("group", "grp")
-        parts.append(Q.GENERATORS[ct](pts).withColumn("chart_type", F.lit(ct)))
-    mtx_cols = mapping.where((F.col("chart_type") == "scatter_matrix") & F.col("eligible"))
-    mtx = cells.join(mtx_cols.select("chart_id", "col_name"), ["chart_id", "col_name"])
-    wide = mtx.groupBy("chart_id", "row_idx").pivot("col_name", list(FX.MATRIX_VARS)).agg(F.first("cell"))
-    wide = wide.select("chart_id", "row_idx", *[F.col(v).cast("double").alias(v) for v in FX.MATRIX_VARS])
-    parts.append(Q.scatter_matrix_qa(wide, FX.MATRIX_VARS).withColumn("chart_type", F.lit("scatter_matrix")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    mapping = PR.auto_rename(prof, PR.pick_chart(prof))
+    points = stage_dir(spark, "points")
+    PR.named_cells(cells, mapping).write.parquet(points)
+    return rounded(Q.generate(spark.read.parquet(points), num=R.num))

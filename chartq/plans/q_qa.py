@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chartq.functions import render as R
+from chartq.functions.numeric import round4
 from chartq.operators import qa as Q
+from chartq.operators.rationales import RATIONALES
 from chartq.plans import sqlmacros as S
 from chartq.plans.fixture_sql import with_fv
 from chartq.plans.registry import register
@@ -21,7 +24,17 @@ def _q(qid: str, **slots) -> str:
 def _emit(src: str, specs) -> str:
     return "\nunion all\n".join(
         f"select cast(chart_id as varchar) as chart_id, '{qid}' as qid, {_q(qid, **slots)} as question, "
-        f"{a} as label, {n} as not_answer from {src}" for qid, slots, a, n in specs)
+        f"{a} as label, {n} as not_answer, {S.number(a)} as answer_num, {S.number(n)} as not_answer_num, "
+        f"{_steps(qid, 0)} as answer_rationale, {_steps(qid, 1)} as not_answer_rationale from {src}" for qid, slots, a, n in specs)
+
+
+def _steps(qid: str, which: int) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in RATIONALES[qid][which]) + "]"
+
+
+def rounded(qa):
+    """Answers as doubles, rounded in the query for comparison with another engine."""
+    return qa.withColumns({c: round4(c) for c in ("answer_num", "not_answer_num")})
 
 
 def fmax(x, v, flt=None):
@@ -273,17 +286,17 @@ s as (select chart_id, {_arg([f'mx{i}' for i in range(3)], True)} as line_max, {
 
 
 QA_VIEWS = {
-    "qa_bar": (lambda sp, d: Q.bar_qa(FX.fv_bar(sp, d)), BAR_SQL),
-    "qa_pie": (lambda sp, d: Q.pie_qa(FX.fv_bar(sp, d)), PIE_SQL),
-    "qa_grouped_bar": (lambda sp, d: Q.grouped_bar_qa(FX.fv_grp(sp, d)), GRP_SQL),
-    "qa_histogram": (lambda sp, d: Q.histogram_qa(FX.fv_hist(sp, d)), HIST_SQL),
-    "qa_line": (lambda sp, d: Q.line_qa(FX.fv_line(sp, d)), LINE_SQL),
-    "qa_scatter": (lambda sp, d: Q.scatter_qa(FX.fv_scatter(sp, d)), SCATTER_SQL),
-    "qa_bubble": (lambda sp, d: Q.bubble_qa(FX.fv_bubble(sp, d)), BUBBLE_SQL),
-    "qa_dual_axis": (lambda sp, d: Q.dual_axis_qa(FX.fv_dual(sp, d)), DUAL_SQL),
-    "qa_scatter_matrix": (lambda sp, d: Q.scatter_matrix_qa(FX.fv_matrix(sp, d), FX.MATRIX_VARS), MATRIX_SQL),
-    "qa_stacked_bar": (lambda sp, d: Q.stacked_bar_qa(FX.fv_stack(sp, d)), STACK_SQL),
-    "qa_multi_line": (lambda sp, d: Q.multi_line_qa(FX.fv_multi(sp, d)), MULTI_SQL),
+    "qa_bar": (lambda sp, d: rounded(Q.bar_qa(FX.fv_bar(sp, d), num=R.num)), BAR_SQL),
+    "qa_pie": (lambda sp, d: rounded(Q.pie_qa(FX.fv_bar(sp, d), num=R.num)), PIE_SQL),
+    "qa_grouped_bar": (lambda sp, d: rounded(Q.grouped_bar_qa(FX.fv_grp(sp, d), num=R.num)), GRP_SQL),
+    "qa_histogram": (lambda sp, d: rounded(Q.histogram_qa(FX.fv_hist(sp, d), num=R.num)), HIST_SQL),
+    "qa_line": (lambda sp, d: rounded(Q.line_qa(FX.fv_line(sp, d), num=R.num)), LINE_SQL),
+    "qa_scatter": (lambda sp, d: rounded(Q.scatter_qa(FX.fv_scatter(sp, d), num=R.num)), SCATTER_SQL),
+    "qa_bubble": (lambda sp, d: rounded(Q.bubble_qa(FX.fv_bubble(sp, d), num=R.num)), BUBBLE_SQL),
+    "qa_dual_axis": (lambda sp, d: rounded(Q.dual_axis_qa(FX.fv_dual(sp, d), num=R.num)), DUAL_SQL),
+    "qa_scatter_matrix": (lambda sp, d: rounded(Q.scatter_matrix_qa(FX.fv_matrix(sp, d), FX.MATRIX_VARS, num=R.num)), MATRIX_SQL),
+    "qa_stacked_bar": (lambda sp, d: rounded(Q.stacked_bar_qa(FX.fv_stack(sp, d), num=R.num)), STACK_SQL),
+    "qa_multi_line": (lambda sp, d: rounded(Q.multi_line_qa(FX.fv_multi(sp, d), num=R.num)), MULTI_SQL),
 }
 
 for _key, (_fn, _sql) in QA_VIEWS.items():
@@ -291,11 +304,6 @@ for _key, (_fn, _sql) in QA_VIEWS.items():
                              f"from one per-chart aggregate (plus join-backs where rows meet a chart statistic).")(_fn)
 
 
-def _strip_with(sql: str) -> tuple[str, str]:
-    """Split `with a as (...), b as (...) <select>` into its CTE list and its final statement."""
-    return sql, ""
-
-
 @register("qa_all_prefs")
 def qa_all_prefs(spark, sf_dir):
     """QA-ALL: every generator over its chart view, unioned into one preference table."""
@@ -328,7 +336,7 @@ def qa_compat(spark, sf_dir):
     """Compat mode: the three questions where the reference's answers differ
     from the intended ones — bar ranking as row indexes (Q17), crossing as a row index
     (Q18), "negative with all others" always False (Q20)."""
-    bar = Q.bar_qa(FX.fv_bar(spark, sf_dir), compat=True).where(F.col("qid") == "QA-BAR-6")
-    dual = Q.dual_axis_qa(FX.fv_dual(spark, sf_dir), compat=True).where(F.col("qid") == "QA-DUA-1")
-    mtx = Q.scatter_matrix_qa(FX.fv_matrix(spark, sf_dir), FX.MATRIX_VARS, compat=True).where(F.col("qid") == "QA-MTX-3")
-    return bar.unionByName(dual).unionByName(mtx)
+    bar = Q.bar_qa(FX.fv_bar(spark, sf_dir), compat=True, num=R.num).where(F.col("qid") == "QA-BAR-6")
+    dual = Q.dual_axis_qa(FX.fv_dual(spark, sf_dir), compat=True, num=R.num).where(F.col("qid") == "QA-DUA-1")
+    mtx = Q.scatter_matrix_qa(FX.fv_matrix(spark, sf_dir), FX.MATRIX_VARS, compat=True, num=R.num).where(F.col("qid") == "QA-MTX-3")
+    return rounded(bar.unionByName(dual).unionByName(mtx))

@@ -20,9 +20,9 @@ from chartq.streaming import streams as ST
 _R = ("r_format", "r_accuracy", "r_length", "r_tokens", "r_chart_type", "r_table", "r_total")
 
 
-def _stage(df, spark, name, files=4):
+def _stage(df, spark, name):
     path = RD.stage_dir(spark, name)
-    df.repartition(files).write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return path
 
 

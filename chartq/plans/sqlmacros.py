@@ -62,12 +62,29 @@ def exact(target: str = "target", prediction: str = "prediction") -> str:
 
 # ---- answer rendering (twins of chartq.functions.render) ----
 
-def num(e: str) -> str:
-    return f"cast(try_cast(round(round(cast({e} as double), 8), 4) as decimal(38,4)) as varchar)"
+class Number(str):
+    """SQL of a rendered number that still knows the expression behind it."""
 
+    expr: str
 
-def integer(e: str) -> str:
-    return f"cast(cast({e} as bigint) as varchar)"
+
+def _number(text: str, expr: str) -> Number:
+    out = Number(text)
+    out.expr = expr
+    return out
+
+
+def num(e: str) -> Number:
+    return _number(f"cast(try_cast(round(round(cast({e} as double), 8), 4) as decimal(38,4)) as varchar)", e)
+
+
+def integer(e: str) -> Number:
+    return _number(f"cast(cast({e} as bigint) as varchar)", e)
+
+
+def number(e: str) -> str:
+    """The answer as a double, rounded for comparison; null for answers that are no numbers."""
+    return r4(e.expr) if isinstance(e, Number) else "cast(null as double)"
 
 
 def boolean(e: str) -> str:

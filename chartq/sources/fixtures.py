@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartq.operators.ranking import rank_in_group
-from chartq.sources.tables import spread, table
+from chartq.sources.tables import table
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
@@ -22,7 +22,7 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
 
 def fv_eval(spark, sf_dir) -> DataFrame:
     """eval_records: run, dataset, idx, target, prediction, tag (MET-*)."""
-    return spread(_sql(spark, sf_dir, """
+    return _sql(spark, sf_dir, """
 select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end as run, o_orderstatus as dataset, o_orderkey as idx,
  case when o_orderkey % 8 = 5 then cast(o_orderkey % 100 as string) || '%' when o_orderkey % 8 = 6 then o_orderpriority
       when o_orderkey % 8 = 7 then 'Unanswerable' else cast(cast(round(o_totalprice*100) as bigint) as string) end as target,
@@ -32,12 +32,12 @@ select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end a
    when 3 then ' ' || cast(cast(round(o_totalprice*100) as bigint) as string) || '.'
    when 4 then 'n/a' when 5 then '0.' || lpad(cast(o_orderkey % 100 as string),2,'0')
    when 6 then lower(o_orderpriority) || '.' else 'unknown' end as prediction,
- cast(o_orderkey % 2 as int) as tag from {orders}""", "orders"))
+ cast(o_orderkey % 2 as int) as tag from {orders}""", "orders")
 
 
 def fv_completions(spark, sf_dir) -> DataFrame:
     """completions: run, dataset, idx, completion, label, chart_type, gold_table (RWD-*, JSN-*)."""
-    return spread(_sql(spark, sf_dir, """
+    return _sql(spark, sf_dir, """
 select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end as run, o_orderstatus as dataset, o_orderkey as idx,
  '<think>' || chr(10) || '<type>' || case when o_orderkey % 4 = 0 then 'Bar' else 'line' end || '</type>' || chr(10)
   || case when o_orderkey % 5 = 0 then '' else '<table>{{"columns":["Year","Value"],"rows":[["' || o_orderpriority || '",'
@@ -47,36 +47,43 @@ select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end a
  cast(cast(round(o_totalprice*100) as bigint) as string) as label,
  case when o_orderkey % 2 = 0 then 'bar' else 'line' end as chart_type,
  '{{"columns":["value","year"],"rows":[["b","1.50"],["' || o_orderpriority || '","' || cast(cast(round(o_totalprice*100) as bigint) as string) || '"]]}}' as gold_table
-from {orders}""", "orders"))
+from {orders}""", "orders")
 
 
 def fv_bar(spark, sf_dir) -> DataFrame:
     """Bar / pie points: chart_id, row_idx, category, value (aggregated, ≤ one row per segment)."""
     return _sql(spark, sf_dir, """
-select c_nationkey as chart_id, cast(row_number() over (partition by c_nationkey order by c_mktsegment) - 1 as int) as row_idx,
+select c_nationkey as chart_id, cast(row_number() over (partition by c_nationkey order by c_mktsegment) - 1 as bigint) as row_idx,
  c_mktsegment as category, cast(sum(cast(round(c_acctbal*100) as bigint)) as double) as value from {customer} group by c_nationkey, c_mktsegment""",
                 "customer")
 
 
 def fv_grp(spark, sf_dir) -> DataFrame:
     return _sql(spark, sf_dir, """
-select c_nationkey as chart_id, cast(row_number() over (partition by c_nationkey order by c_mktsegment, o_orderpriority) - 1 as int) as row_idx,
+select c_nationkey as chart_id, cast(row_number() over (partition by c_nationkey order by c_mktsegment, o_orderpriority) - 1 as bigint) as row_idx,
  c_mktsegment as grp, o_orderpriority as category, cast(sum(cast(round(o_totalprice*100) as bigint)) as double) as value
 from {orders} join {customer} on o_custkey = c_custkey group by c_nationkey, c_mktsegment, o_orderpriority""", "orders", "customer")
 
 
-def fv_hist(spark, sf_dir) -> DataFrame:
+def _placed(df: DataFrame, order: list[str], positions: bool) -> DataFrame:
+    """`row_idx` within each chart; null where nothing reads positions (the ranking is not run then)."""
+    if not positions:
+        return df.withColumn("row_idx", F.lit(None).cast("long"))
+    return rank_in_group(df, ["chart_id"], order)
+
+
+def fv_hist(spark, sf_dir, positions: bool = True) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("chart_id"), "p_partkey",
                                                F.col("p_retailprice").alias("value"))
-    return rank_in_group(part, ["chart_id"], ["p_partkey"]).select("chart_id", "row_idx", "value")
+    return _placed(part, ["p_partkey"], positions).select("chart_id", "row_idx", "value")
 
 
-def fv_scatter(spark, sf_dir) -> DataFrame:
+def fv_scatter(spark, sf_dir, positions: bool = True) -> DataFrame:
     part = table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("chart_id"), "p_partkey",
         (F.col("p_size") - 25).cast("double").alias("x"),
         ((F.col("p_partkey") * 37) % 101 - 50).cast("double").alias("y"))
-    return rank_in_group(part, ["chart_id"], ["p_partkey"]).select("chart_id", "row_idx", "x", "y")
+    return _placed(part, ["p_partkey"], positions).select("chart_id", "row_idx", "x", "y")
 
 
 def fv_line(spark, sf_dir) -> DataFrame:
@@ -95,7 +102,7 @@ def fv_bubble(spark, sf_dir) -> DataFrame:
 
 def fv_dual(spark, sf_dir) -> DataFrame:
     return _sql(spark, sf_dir, """
-select o_orderpriority as chart_id, cast(row_number() over (partition by o_orderpriority order by ym) - 1 as int) as row_idx,
+select o_orderpriority as chart_id, cast(row_number() over (partition by o_orderpriority order by ym) - 1 as bigint) as row_idx,
  cast(ym as double) as x, cast(y1 as double) as y1, cast(y2 as double) as y2 from
  (select o_orderpriority, cast(extract(year from o_orderdate) as int)*12 + cast(extract(month from o_orderdate) as int) as ym,
    sum(case when o_orderstatus='F' then cast(round(o_totalprice*100) as bigint) else 0 end) as y1,
@@ -122,14 +129,14 @@ def fv_matrix(spark, sf_dir, with_row_idx: bool = False) -> DataFrame:
 
 def fv_stack(spark, sf_dir) -> DataFrame:
     return _sql(spark, sf_dir, """
-select l_suppkey as chart_id, cast(row_number() over (partition by l_suppkey order by l_returnflag,l_linestatus) - 1 as int) as row_idx,
+select l_suppkey as chart_id, cast(row_number() over (partition by l_suppkey order by l_returnflag,l_linestatus) - 1 as bigint) as row_idx,
  l_returnflag as grp, l_linestatus as series, cast(sum(cast(round(l_extendedprice*100) as bigint)) as double) as value
 from {lineitem} group by l_suppkey,l_returnflag,l_linestatus""", "lineitem")
 
 
 def fv_multi(spark, sf_dir) -> DataFrame:
     return _sql(spark, sf_dir, """
-select ch as chart_id, cast(row_number() over (partition by ch order by dy) - 1 as int) as row_idx, cast(dy as double) as x,
+select ch as chart_id, cast(row_number() over (partition by ch order by dy) - 1 as bigint) as row_idx, cast(dy as double) as x,
  cast(y_1 as double) as y_1, cast(y_2 as double) as y_2, cast(y_3 as double) as y_3 from
  (select user_id % 3 as ch, cast(extract(day from ts) as int) as dy, sum(case when event_type='view' then 1 else 0 end) as y_1,
   sum(case when event_type='click' then 1 else 0 end) as y_2, sum(case when event_type='purchase' then 1 else 0 end) as y_3
@@ -207,17 +214,17 @@ def _cell_text(df: DataFrame, c: str) -> F.Column:
     return F.col(c).cast("decimal(20,2)").cast("string") if dt in ("double", "float") else F.col(c).cast("string")
 
 
-def fv_cells(spark, sf_dir) -> DataFrame:
+def fv_cells(spark, sf_dir, positions: bool = True) -> DataFrame:
     """chart_cells (chart_id, row_idx, col_idx, col_name, cell): every chart of five views as
-    string cells, `chart_id` prefixed by its source."""
-    views = {"fv_bar": fv_bar, "fv_scatter": fv_scatter, "fv_hist": fv_hist, "fv_grp": fv_grp,
-             "fv_matrix": lambda s, d: fv_matrix(s, d, with_row_idx=True)}
+    string cells, `chart_id` prefixed by its source. Profiles do not read positions."""
+    views = {"fv_bar": fv_bar, "fv_scatter": lambda s, d: fv_scatter(s, d, positions), "fv_hist": lambda s, d: fv_hist(s, d, positions), "fv_grp": fv_grp,
+             "fv_matrix": lambda s, d: fv_matrix(s, d, with_row_idx=True) if positions else fv_matrix(s, d).withColumn("row_idx", F.lit(None).cast("long"))}
     out = None
     for prefix, view, cols in CELL_SOURCES:
         df = views[view](spark, sf_dir)
         cells = F.array(*[F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"), _cell_text(df, c).alias("cell"))
                           for i, c in enumerate(cols)])
         part = df.select(F.concat(F.lit(prefix + ":"), F.col("chart_id").cast("string")).alias("chart_id"),
-                         F.col("row_idx").cast("int").alias("row_idx"), F.inline(cells))
+                         F.col("row_idx").cast("long").alias("row_idx"), F.inline(cells))
         out = part if out is None else out.unionByName(part)
     return out

@@ -22,15 +22,15 @@ from chartq.session import ensure_checkpoint_dir
 QA_COLS = ["dataset", "split", "image_path", "query", "label", "source_tag", "chart_type"]
 
 
-def _qa(df: DataFrame, dataset: str, split: str | None = None) -> DataFrame:
-    """Fill missing canonical columns with NULL and order them."""
+def _qa(df: DataFrame, dataset: str, split: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Fill missing canonical columns with NULL and order them, `extra` ones last."""
     out = df.withColumn("dataset", F.lit(dataset))
     if "split" not in out.columns:
         out = out.withColumn("split", F.lit(split))
     for c, t in (("source_tag", "int"), ("chart_type", "string"), ("label", "string"), ("image_path", "string")):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast(t))
-    return out.select(*QA_COLS)
+    return out.select(*QA_COLS, *extra)
 
 
 def stage_dir(spark: SparkSession, name: str) -> str:
@@ -75,7 +75,7 @@ def read_typed_conversations(spark: SparkSession, paths: list[str], image_prefix
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)_100examples", 1)
     return _qa(df.select(F.concat(F.lit(image_prefix), "image").alias("image_path"),
                          py_strip(F.substring_index(F.col("conversations")[0]["value"], "<image>", -1)).alias("query"),
-                         F.col("conversations")[1]["value"].alias("label"), stem.alias("chart_type")), dataset, split)
+                         py_strip(F.col("conversations")[1]["value"]).alias("label"), stem.alias("chart_type")), dataset, split)
 
 
 # Fixed value: the suffix the benchmark loader appends to every question.
@@ -89,7 +89,7 @@ def read_conversation_lines(spark: SparkSession, path: str, image_prefix: str, s
     schema = "image string, conversation array<struct<query:string,label:string>>, type struct<chart:string>"
     df = spark.read.schema(schema).json(path)
     keep = F.slice("conversation", 1, F.when(F.size("conversation") == 2, 2).otherwise(1))
-    e = df.select(F.concat(F.lit(image_prefix), F.substring("image", 3, 1 << 30)).alias("image_path"),
+    e = df.select(F.concat(F.lit(image_prefix), F.expr("substring(image, 3)")).alias("image_path"),
                   F.col("type.chart").alias("chart_type"), F.explode(keep).alias("c"))
     return _qa(e.select("image_path", F.concat(py_strip("c.query"), F.lit(BINARY_SUFFIX)).alias("query"),
                         py_strip("c.label").alias("label"), "chart_type"), dataset, split)
@@ -106,8 +106,8 @@ def read_struct_qa(spark: SparkSession, path: str, image_prefix: str, split: str
     """SRC-08: nested `QA.input` / `QA.output`, chart type, stripped; image path drops 2 chars."""
     df = spark.read.schema("img string, chart_type string, QA struct<input:string,output:string>").option(
         "multiLine", True).json(path)
-    return _qa(df.select(F.concat(F.lit(image_prefix), F.substring("img", 3, 1 << 30)).alias("image_path"),
-                         py_strip("QA.input").alias("query"), py_strip("QA.output").alias("label"), "chart_type"),
+    return _qa(df.select(F.concat(F.lit(image_prefix), F.expr("substring(img, 3)")).alias("image_path"),
+                         py_strip("QA.input").alias("query"), py_strip("QA.output").alias("label"), py_strip("chart_type").alias("chart_type")),
                dataset, split)
 
 
@@ -126,17 +126,18 @@ def read_qa_pairs(spark: SparkSession, path: str, image_dir: str, split: str, da
 # ---- files by stem --------------------------------------------------------------------------
 
 # Fixed value: the constant query of the caption corpus.
-CAPTION_QUERY = "Describe the chart."
+CAPTION_QUERY = "Summarize the chart."
 
 
 def read_captions(spark: SparkSession, caption_dir: str, image_dir: str, corpus: str, split: str = "train") -> DataFrame:
     """SRC-10 / SRC-17 / JN-02: one caption file per image; only stems with an image are kept
-    (semi join on the stem); label = the corpus name."""
+    (join on the stem); `answer` = the stripped caption, label = the corpus name."""
     caps = (spark.read.text(caption_dir, wholetext=True)
             .select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("stem"), F.col("value").alias("caption")))
     imgs = image_listing(spark, image_dir)
     j = caps.join(imgs, "stem")
-    return _qa(j.select("image_path", F.lit(CAPTION_QUERY).alias("query"), F.lit(corpus).alias("label"), "stem"), corpus, split)
+    rows = j.select("image_path", F.lit(CAPTION_QUERY).alias("query"), py_strip("caption").alias("answer"), F.lit(corpus).alias("label"))
+    return _qa(rows, corpus, split, extra=("answer",))
 
 
 def image_listing(spark: SparkSession, image_dir: str) -> DataFrame:
@@ -170,7 +171,7 @@ def read_table_dir(spark: SparkSession, path: str, key_col: str | None = None) -
                  F.replace(F.expr("substring(raw, 2, length(raw) - 2)"), F.lit('""'), F.lit('"'))).otherwise(F.col("raw"))
     cells = cells.withColumn("cell", unq)
     header = cells.where(F.col("ln") == 0).select("chart_id", "col_idx", F.col("cell").alias("col_name"))
-    body = cells.where(F.col("ln") > 0).select("chart_id", (F.col("ln") - 1).cast("int").alias("row_idx"), "col_idx", "cell")
+    body = cells.where(F.col("ln") > 0).select("chart_id", (F.col("ln") - 1).cast("long").alias("row_idx"), "col_idx", "cell")
     return body.join(header, ["chart_id", "col_idx"]).select("chart_id", "row_idx", F.col("col_idx").cast("int").alias("col_idx"),
                                                            "col_name", "cell")
 
@@ -188,14 +189,14 @@ def markdown_cells(df: DataFrame, key: str = "chart_id", md: str = "md") -> Data
     delim = lines.where(F.col("line").rlike(MD_DELIM)).groupBy(key).agg(F.min("ln").alias("d"))
     j = lines.join(delim, key)
     end = (j.where((F.col("ln") > F.col("d")) & (F.trim("line") == "")).groupBy(key).agg(F.min("ln").alias("e")))
-    j = j.join(end, key, "left").withColumn("e", F.coalesce("e", F.lit(1 << 30)))
-    rows = j.where((F.col("ln") == F.col("d") - 1) | ((F.col("ln") > F.col("d")) & (F.col("ln") < F.col("e"))))
+    j = j.join(end, key, "left")
+    rows = j.where((F.col("ln") == F.col("d") - 1) | ((F.col("ln") > F.col("d")) & (F.col("e").isNull() | (F.col("ln") < F.col("e")))))
     rows = rows.withColumn("r", F.when(F.col("ln") == F.col("d") - 1, 0).otherwise(F.col("ln") - F.col("d")))
     body = F.regexp_replace(py_strip("line"), r"^\||(?<!\\)\|$", "")
     cells = rows.select(key, "r", F.posexplode(F.split(body, r"(?<!\\)\|")).alias("c", "cell"))
     width = cells.where(F.col("r") == 0).groupBy(key).agg(F.count(F.lit(1)).alias("w"))
     cells = cells.join(width, key).where(F.col("c") < F.col("w"))
-    return cells.select(key, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"),
+    return cells.select(key, F.col("r").cast("long").alias("r"), F.col("c").cast("int").alias("c"),
                         F.replace(py_strip("cell"), F.lit("\\|"), F.lit("|")).alias("cell"))
 
 
@@ -251,7 +252,7 @@ def py_list_items(c) -> F.Column:
     toks = F.regexp_extract_all(c, F.lit(PY_STR), 0)
 
     def unq(t):
-        body = F.regexp_replace(F.substring(t, 2, 1 << 30), r"(?s).\z", "")
+        body = F.regexp_replace(F.substring(t, F.lit(2), F.length(t)), r"(?s).\z", "")
         return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
             body, r"\\n", "\n"), r"\\'", "'"), r'\\"', '"'), r"\\\\", "\\\\")
     return F.transform(toks, unq)

@@ -1,17 +1,18 @@
-"""Every registered query against its DuckDB oracle on the smallest scale factor."""
+"""Every query of the registry against its DuckDB oracle on the smallest scale factor."""
 
 import pytest
 
 import __spark_entry__ as E
+from chartq.plans.registry import ORACLE, QUERIES, load_all
 from tests.conftest import SF_SMALL
 from tools.check_oracle import rows_key, type_mismatches
 
-ORACLE = E.oracle_sql()
+load_all()
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_matches_oracle(spark, duck, key):
-    sdf = E.queries()[key](spark, SF_SMALL)
+    sdf = QUERIES[key](spark, SF_SMALL)
     cols = sdf.columns
     srows = [tuple(r) for r in sdf.collect()]
     cur = duck.execute(ORACLE[key])
@@ -25,10 +26,9 @@ def test_matches_oracle(spark, duck, key):
     assert not any(n in plan for n in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"))
 
 
-def test_every_query_runs(spark):
-    for key, fn in E.queries().items():
-        df = fn(spark, SF_SMALL)
-        assert df.columns, key
+def test_every_query_has_an_oracle():
+    assert sorted(QUERIES) == sorted(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):

@@ -1,11 +1,12 @@
 """QA generators on literal charts: edge branches with hand-computed answers."""
 
+from chartq.functions import render as R
 from chartq.operators import qa as Q
 
 
 def _qa(spark, fn, rows, schema):
     df = spark.createDataFrame(rows, schema)
-    return {(r.chart_id, r.qid): (r.label, r.not_answer) for r in fn(df).collect()}
+    return {(r.chart_id, r.qid): (r.label, r.not_answer) for r in fn(df, num=R.num).collect()}
 
 
 def test_bar_ties_and_rank(spark):

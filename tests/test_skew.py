@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from chartq.functions import render as R
 from chartq.operators import qa as Q
 from chartq.operators.ranking import rank_in_group
 from chartq.plans import q_qa as QQ
@@ -17,7 +18,7 @@ def test_line_questions_with_a_hot_chart(spark, duck):
     ev = table(spark, SF_SMALL, "events").select(
         F.expr(HOT).alias("chart_id"), "event_id", F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
     pts = rank_in_group(ev, ["chart_id"], ["event_id"], num_partitions=5).select("chart_id", "row_idx", "x", "y")
-    got = [tuple(r) for r in Q.line_qa(pts).collect()]
+    got = [tuple(r) for r in QQ.rounded(Q.line_qa(pts, num=R.num)).collect()]
     hot_view = FV["fv_line"].replace("select user_id as chart_id", f"select {HOT} as chart_id").replace(
         "partition by user_id", f"partition by {HOT}")
     sql = QQ.LINE_SQL.replace(FV["fv_line"], hot_view)
