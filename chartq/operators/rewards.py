@@ -50,9 +50,11 @@ def accuracy_reward(completion="completion", label="label", compat: bool = False
     """RWD-02: numeric gold → relative error against gold + 1e-6 within 5 %; text gold →
     case-insensitive equality; a numeric gold with a non-numeric answer scores 0.
     The reference divides by the signed gold (quirk Q6); `compat=True` keeps that."""
-    a = answer_text(completion)
-    lab = col_(label)
-    gf, af = to_float(lab), to_float(a)
+    a, lab = answer_text(completion), col_(label)
+    return _accuracy(a, lab, to_float(lab), to_float(a), compat)
+
+
+def _accuracy(a: Column, lab: Column, gf: Column, af: Column, compat: bool = False) -> Column:
     s = gf + F.lit(1e-6)
     rel = F.try_divide(F.abs(af - s), s if compat else F.abs(s))
     numeric = F.when(af.isNull(), F.lit(False)).otherwise(F.coalesce(rel <= F.lit(0.05), F.lit(False)))
@@ -101,6 +103,13 @@ def with_table_parts(df: DataFrame, completion="completion", gold_table="gold_ta
     return s4.withColumn("_tab_reward", reward).drop("_tab_block", "_tab_ok", "_tab_keys", "_tab_gold", "_tab_pred", "_tab_cmp")
 
 
+def with_answer_parts(df: DataFrame, completion="completion", label="label") -> DataFrame:
+    """The answer cut and both parsed numbers in projections of their own, so that the branches of the accuracy
+    reward read columns instead of cutting and parsing again."""
+    s = df.withColumns({"_acc_a": answer_text(completion), "_acc_l": col_(label)})
+    return s.withColumns({"_acc_gf": to_float("_acc_l"), "_acc_af": to_float("_acc_a")})
+
+
 def process_style_reward(pred_embedding="e1", gold_embedding="e2", **_) -> Column:
     """RWD-07: cosine of the (given) embeddings of the predicted steps and the gold reasoning."""
     return J.cosine(pred_embedding, gold_embedding)
@@ -113,7 +122,10 @@ REWARDS: dict[str, Callable[..., Column]] = {
     "tokens": num_token_reward,
     "chart_type": chart_type_reward,
     "table": table_style_reward,
+    "process": process_style_reward,
 }
+# the rewards that read the completion alone; `process` also needs the two embeddings
+RULES = ("format", "accuracy", "length", "tokens", "chart_type", "table")
 
 
 def register_reward(name: str, fn: Callable[..., Column]) -> None:
@@ -121,12 +133,19 @@ def register_reward(name: str, fn: Callable[..., Column]) -> None:
 
 
 def score(df: DataFrame, names=None, **columns) -> DataFrame:
-    """RWD-08: all rewards (and their sum) in one projection."""
+    """RWD-08: all seven rewards and their sum; a reward that is null (no embedding) adds nothing."""
     names = list(names or REWARDS)
+    if "accuracy" in names and REWARDS["accuracy"] is accuracy_reward:
+        df = with_answer_parts(df, **{k: v for k, v in columns.items() if k in ("completion", "label")})
     if "table" in names:
         df = with_table_parts(df, **{k: v for k, v in columns.items() if k in ("completion", "gold_table")})
-    out = df.select("*", *[REWARDS[n](**columns).alias(f"r_{n}") for n in names]).drop("_tab_reward")
-    return out.withColumn("r_total", sum((F.col(f"r_{n}") for n in names), F.lit(0.0)))
+    def one(name):
+        if name == "accuracy" and REWARDS[name] is accuracy_reward:
+            return _accuracy(F.col("_acc_a"), F.col("_acc_l"), F.col("_acc_gf"), F.col("_acc_af"), columns.get("compat", False))
+        return REWARDS[name](**columns)
+
+    out = df.select("*", *[one(n).alias(f"r_{n}") for n in names]).drop("_tab_reward", "_acc_a", "_acc_l", "_acc_gf", "_acc_af")
+    return out.withColumn("r_total", sum((F.coalesce(F.col(f"r_{n}"), F.lit(0.0)) for n in names), F.lit(0.0)))
 
 
 def summary(scored: DataFrame, keys=("dataset", "chart_type"), names=None) -> DataFrame:

@@ -11,7 +11,7 @@ from chartq.functions.text import after_last, before_first, py_strip, step_count
 from chartq.operators import rewards as R
 from chartq.operators import tables as T
 from chartq.plans import sqlmacros as S
-from chartq.plans.fixture_sql import with_fv
+from chartq.plans.fixture_sql import FV, with_fv
 from chartq.plans.registry import register
 from chartq.sources.fixtures import fv_completions, fv_emb
 
@@ -155,22 +155,33 @@ def reward_table(spark, sf_dir):
     return df.select("run", "dataset", "idx", round4(R.table_style_reward()).alias("reward"))
 
 
-@register("reward_total", _ALL_CTE + "select run, dataset, idx, " + ", ".join(
-    f"{S.r4(c)} as {c}" for c in ("r_format", "r_accuracy", "r_length", "r_tokens", "r_chart_type", "r_table", "r_total"))
-          + " from tot")
+_SEVEN_CTE = _ALL_CTE + f""", fv_emb as ({FV['fv_emb']}),
+seven as (select tot.* exclude (r_total), p.r_process, tot.r_total + coalesce(p.r_process, 0.0) as r_total from tot
+  left join (select idx, list_cosine_similarity(cast(e1 as double[]), cast(e2 as double[])) as r_process from fv_emb) p using (idx))
+"""
+
+
+def _with_steps(spark, sf_dir):
+    """Completions with the embeddings of their steps where there are some."""
+    return fv_completions(spark, sf_dir).join(fv_emb(spark, sf_dir), "idx", "left")
+
+
+@register("reward_total", _SEVEN_CTE + "select run, dataset, idx, " + ", ".join(
+    f"{S.r4(c)} as {c}" for c in ("r_format", "r_accuracy", "r_length", "r_tokens", "r_chart_type", "r_table", "r_process", "r_total"))
+          + " from seven")
 def reward_total(spark, sf_dir):
-    """RWD-08: all rule-based rewards and their sum, in one projection per completion."""
-    s = R.score(fv_completions(spark, sf_dir))
+    """RWD-08: all seven rewards and their sum per completion."""
+    s = R.score(_with_steps(spark, sf_dir), pred_embedding="e1", gold_embedding="e2")
     cols = [c for c in s.columns if c.startswith("r_")]
     return s.select("run", "dataset", "idx", *[round4(c).alias(c) for c in cols])
 
 
-@register("reward_summary", _ALL_CTE + "select dataset, chart_type, count(*) as n, " + ", ".join(
-    f"{S.r4(f'avg(r_{n})')} as avg_{n}" for n in ("format", "accuracy", "length", "tokens", "chart_type", "table", "total"))
-          + " from tot group by dataset, chart_type")
+@register("reward_summary", _SEVEN_CTE + "select dataset, chart_type, count(*) as n, " + ", ".join(
+    f"{S.r4(f'avg(r_{n})')} as avg_{n}" for n in ("format", "accuracy", "length", "tokens", "chart_type", "table", "process", "total"))
+          + " from seven group by dataset, chart_type")
 def reward_summary(spark, sf_dir):
     """RWD-09: mean of every reward per dataset and chart type."""
-    return R.summary(R.score(fv_completions(spark, sf_dir)))
+    return R.summary(R.score(_with_steps(spark, sf_dir)))
 
 
 @register("reward_process", with_fv("fv_emb")

@@ -19,10 +19,10 @@ from chartq.operators import rewards as R
 
 
 def stream_rewards(spark: SparkSession, source: str, schema, sink: str, checkpoint: str) -> None:
-    """STR-01: file stream of completions → all rewards → append to a parquet sink; runs
+    """STR-01: file stream of completions → the rule-based rewards → append to a parquet sink; runs
     every available file once (`availableNow`) and stops."""
     s = spark.readStream.schema(schema).parquet(source)
-    scored = R.score(s)
+    scored = R.score(s, R.RULES)
     q = (scored.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()

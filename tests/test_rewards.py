@@ -8,7 +8,7 @@ GOOD = ("<think>\n<type>bar</type>\n<table>{\"columns\":[\"a\",\"B\"],\"rows\":[
 
 def _score(spark, rows):
     df = spark.createDataFrame(rows, "completion string, label string, chart_type string, gold_table string")
-    return R.score(df).collect()
+    return R.score(df, R.RULES).collect()
 
 
 def test_good_completion(spark):
