@@ -176,3 +176,134 @@ def trace_running(spark, sf_dir):
     t = _traces(spark, sf_dir)
     return t.select("run", "dataset", F.col("batch").cast("bigint").alias("batch"), F.col("em").alias("em_rate"),
                     F.col("ra").alias("ra_rate"))
+
+
+# ---- JSON corpora, preference runs and files by stem ----------------------------------------
+
+def _json_lines(df, name: str, sub: str = "") -> str:
+    path = RD.stage_dir(df.sparkSession, name)
+    df.write.json(path + sub)
+    return path
+
+
+def _docs(spark, sf_dir):
+    return FX.table(spark, sf_dir, "documents")
+
+
+def _tail(df):
+    """Image paths without the staged folder's own name."""
+    return df.withColumn("image_path", F.substring_index("image_path", "/", -2))
+
+
+_CANON = "cast(null as int) as source_tag, cast(null as varchar) as chart_type"
+
+
+@register("src_augmented_human", """select 'chartqa-src' as dataset, 'train' as split, 'png/' || doc_id || '.png' as image_path, text as query,
+ lang as label, cast(doc_id % 2 as int) as source_tag, cast(null as varchar) as chart_type from documents""")
+def src_augmented_human(spark, sf_dir):
+    """SRC-01: augmented and human question files of a split, as JSON lines."""
+    d = _docs(spark, sf_dir).select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("imgname"), F.col("text").alias("query"), F.col("lang").alias("label"))
+    path = RD.stage_dir(spark, "augmented-human")
+    d.where("doc_id % 2 = 1").drop("doc_id").write.json(f"{path}/train_augmented.json")
+    d.where("doc_id % 2 = 0").drop("doc_id").write.json(f"{path}/train_human.json")
+    return _tail(RD.read_augmented_human(spark, path, "train", lines=True))
+
+
+@register("src_fact_check", f"""select 'chartfc' as dataset, 'test' as split, 'img/' || doc_id || '.png' as image_path, text as query,
+ case when doc_id % 3 = 1 then 'Yes' else 'No' end as label, {_CANON} from documents""")
+def src_fact_check(spark, sf_dir):
+    """SRC-03: fact-check records; answer 1 is Yes, any other No."""
+    d = _docs(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("image_filename"),
+                                    (F.col("doc_id") % 3).cast("int").alias("answer"), F.col("text").alias("question"))
+    return RD.read_fact_check(spark, _json_lines(d, "fact-check"), "test", "img/", lines=True)
+
+
+@register("src_flat", f"""select 'evochart' as dataset, 'test' as split, 'img/' || doc_id || '.png' as image_path, text as query, source as label,
+ {_CANON} from documents""")
+def src_flat(spark, sf_dir):
+    """SRC-04: flat records."""
+    d = _docs(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("imgname"), F.col("source").alias("label"), F.col("text").alias("query"))
+    return RD.read_flat(spark, _json_lines(d, "flat"), "img/", lines=True)
+
+
+@register("explode_conversations", """select 'chartbench' as dataset, 'test' as split, 'img/' || doc_id || '.png' as image_path,
+ trim(lang || ' q' || k) || ' For binary questions, answer in yes/no.' as query, trim('  a' || k || '  ') as label, cast(null as int) as source_tag, source as chart_type
+from (select *, unnest(range(0, case when doc_id % 3 = 1 then 2 else 1 end)) as k from documents)""")
+def explode_conversations(spark, sf_dir):
+    """SRC-06 / FLT-06: conversations of one to three turns; exactly two turns give two rows, others one."""
+    turn = F.transform(F.sequence(F.lit(0), F.col("doc_id") % 3), lambda k: F.struct(
+        F.concat(F.lit(" "), "lang", F.lit(" q"), k.cast("string")).alias("query"), F.concat(F.lit("  a"), k.cast("string"), F.lit("  ")).alias("label")))
+    d = _docs(spark, sf_dir).select(F.concat(F.lit("./"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image"), turn.alias("conversation"),
+                                    F.struct(F.col("source").alias("chart")).alias("type"))
+    return RD.read_conversation_lines(spark, _json_lines(d, "conversation-lines"), "img/")
+
+
+@register("explode_nested_qa", f"""select 'figqa' as dataset, 'train' as split, 'img/' || doc_id || '.png' as image_path, lang || k as query, source || k as label,
+ {_CANON} from (select *, unnest(range(0, doc_id % 4)) as k from documents)""")
+def explode_nested_qa(spark, sf_dir):
+    """SRC-07: one record per image with its questions; one row per question."""
+    qa = F.filter(F.transform(F.sequence(F.lit(-1).cast("bigint"), F.col("doc_id") % 4 - 1), lambda k: F.struct(
+        F.concat("lang", k.cast("string")).alias("question"), F.concat("source", k.cast("string")).alias("answer"), k.alias("k"))), lambda e: e["k"] >= 0)
+    d = _docs(spark, sf_dir).select(F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image_path"), qa.alias("qa"))
+    return RD.read_nested_qa(spark, _json_lines(d, "nested-qa"))
+
+
+@register("src_struct_qa", """select 'chartx' as dataset, 'test' as split, 'img/' || doc_id || '.png' as image_path, lang || ' ?' as query, source as label,
+ cast(null as int) as source_tag, lang as chart_type from documents""")
+def src_struct_qa(spark, sf_dir):
+    """SRC-08: nested question records; question, answer and chart type stripped."""
+    pad = lambda c: F.concat(F.lit(" \t"), c, F.lit("\n "))
+    d = _docs(spark, sf_dir).select(F.concat(F.lit("./"), F.col("doc_id").cast("string"), F.lit(".png")).alias("img"), pad(F.col("lang")).alias("chart_type"),
+                                    F.struct(pad(F.concat("lang", F.lit(" ?"))).alias("input"), pad(F.col("source")).alias("output")).alias("QA"))
+    return RD.read_struct_qa(spark, _json_lines(d, "struct-qa"), "img/", lines=True)
+
+
+@register("src_qa_pairs", """select 'plotqa' as dataset, 'train' as split, 'img/' || (doc_id // 3) || '.png' as image_path, lang || ' of ' || source as query,
+ cast(n_chars as varchar) as label, cast(null as int) as source_tag, lang as chart_type from documents""")
+def src_qa_pairs(spark, sf_dir):
+    """SRC-09: question pairs by image index, one pair per line."""
+    d = _docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 3).cast("bigint").alias("image_index"), F.col("lang").alias("type"),
+                                    F.concat("lang", F.lit(" of "), "source").alias("question_string"), "n_chars", F.col("doc_id").alias("question_id")
+                                    ).withColumnRenamed("n_chars", "answer")
+    return RD.read_qa_pairs(spark, _json_lines(d, "qa-pairs"), "img", "train", lines=True)
+
+
+@register("src_parquet_corpus", """select 'chartqa' as dataset, 'train' as split, 'img/' || doc_id || '.png' as image_path, text as query, lang as label,
+ cast(doc_id % 2 as int) as source_tag, cast(null as varchar) as chart_type from documents""")
+def src_parquet_corpus(spark, sf_dir):
+    """SRC-02 / PRJ-01: a parquet corpus through its field map; other columns are pruned from the scan."""
+    path = RD.stage_dir(spark, "parquet-corpus")
+    _docs(spark, sf_dir).select(F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image"), F.col("text").alias("query"),
+                                F.col("lang").alias("label"), (F.col("doc_id") % 2).cast("int").alias("human_or_machine"), "source").write.parquet(path)
+    return RD.read_parquet_corpus(spark, path, "chartqa", "train")
+
+
+@register("pref_runs", with_fv("fv_pref") + """select conv_id || '-' || turn as image, question, label, cast(conv_id % 2 as int) as human_or_machine, predicted from fv_pref""")
+def pref_runs(spark, sf_dir):
+    """SRC-15 / PRJ-08: stored preference runs reshaped to flat rows."""
+    p = FX.fv_pref(spark, sf_dir)
+    example = F.struct(F.concat_ws("-", "conv_id", "turn").alias("image"), F.col("question").alias("query"), F.array("label", F.lit("other")).alias("label"),
+                       (F.col("conv_id") % 2).cast("int").alias("human_or_machine"))
+    return RD.read_pref_runs(spark, _json_lines(p.select(example.alias("example"), "predicted"), "pref-runs"))
+
+
+def _files(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    text = d.select(F.concat(F.lit("corpus/captions/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("caption_path"), F.col("text").alias("caption"))
+    image = d.where("doc_id % 3 <> 0").select(F.concat(F.lit("corpus/imgs/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image_path"))
+    return text, image
+
+
+@register("stem_join", """select cast(doc_id as varchar) as stem, 'corpus/captions/' || doc_id || '.txt' as caption_path, text as caption,
+ 'corpus/imgs/' || doc_id || '.png' as image_path from documents where doc_id % 3 <> 0""")
+def stem_join(spark, sf_dir):
+    """JN-02 / JN-03 / FLT-04: captions with the image of the same stem."""
+    text, image = _files(spark, sf_dir)
+    return RD.join_by_stem(text, image, "caption_path", "image_path")
+
+
+@register("stem_anti", """select cast(doc_id as varchar) as stem, 'corpus/captions/' || doc_id || '.txt' as caption_path, text as caption from documents where doc_id % 3 = 0""")
+def stem_anti(spark, sf_dir):
+    """JN-07: captions without an image."""
+    text, image = _files(spark, sf_dir)
+    return RD.join_by_stem(text, image, "caption_path", "image_path", "left_anti")

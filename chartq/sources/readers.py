@@ -41,37 +41,37 @@ def stage_dir(spark: SparkSession, name: str) -> str:
 
 # ---- JSON corpora ---------------------------------------------------------------------------
 
-def read_augmented_human(spark: SparkSession, split_dir: str, split: str, dataset: str = "chartqa-src") -> DataFrame:
+def read_augmented_human(spark: SparkSession, split_dir: str, split: str, dataset: str = "chartqa-src", lines: bool = False) -> DataFrame:
     """SRC-01: `<split>_augmented.json` (flag 1) and `<split>_human.json` (flag 0), JSON arrays."""
     schema = "imgname string, query string, label string"
     parts = []
     for suffix, flag in (("augmented", 1), ("human", 0)):
-        df = spark.read.schema(schema).option("multiLine", True).json(f"{split_dir}/{split}_{suffix}.json")
+        df = spark.read.schema(schema).option("multiLine", not lines).json(f"{split_dir}/{split}_{suffix}.json")
         parts.append(df.select(F.concat(F.lit(f"{split_dir}/png/"), "imgname").alias("image_path"), "query", "label",
                                F.lit(flag).alias("source_tag")))
     return _qa(parts[0].unionByName(parts[1]), dataset, split)
 
 
-def read_fact_check(spark: SparkSession, path: str, split: str, image_prefix: str, dataset: str = "chartfc") -> DataFrame:
+def read_fact_check(spark: SparkSession, path: str, split: str, image_prefix: str, dataset: str = "chartfc", lines: bool = False) -> DataFrame:
     """SRC-03: answer 1 → "Yes", else "No"; image path prefixed."""
-    df = spark.read.schema("image_filename string, answer int, question string").option("multiLine", True).json(path)
+    df = spark.read.schema("image_filename string, answer int, question string").option("multiLine", not lines).json(path)
     return _qa(df.select(F.concat(F.lit(image_prefix), "image_filename").alias("image_path"),
                          F.col("question").alias("query"),
                          F.when(F.col("answer") == 1, "Yes").otherwise("No").alias("label")), dataset, split)
 
 
-def read_flat(spark: SparkSession, path: str, image_prefix: str, split: str = "test", dataset: str = "evochart") -> DataFrame:
+def read_flat(spark: SparkSession, path: str, image_prefix: str, split: str = "test", dataset: str = "evochart", lines: bool = False) -> DataFrame:
     """SRC-04: a flat JSON array of {imgname, label, query}."""
-    df = spark.read.schema("imgname string, label string, query string").option("multiLine", True).json(path)
+    df = spark.read.schema("imgname string, label string, query string").option("multiLine", not lines).json(path)
     return _qa(df.select(F.concat(F.lit(image_prefix), "imgname").alias("image_path"), "query", "label"), dataset, split)
 
 
 def read_typed_conversations(spark: SparkSession, paths: list[str], image_prefix: str, split: str = "test",
-                             dataset: str = "chartllama") -> DataFrame:
+                             dataset: str = "chartllama", lines: bool = False) -> DataFrame:
     """SRC-05: several per-chart-type files; type = file stem up to the first `_1`; query = the
     text after the last `<image>` of turn 0, stripped; label = turn 1."""
     schema = "image string, conversations array<struct<value:string>>"
-    df = spark.read.schema(schema).option("multiLine", True).json(paths)
+    df = spark.read.schema(schema).option("multiLine", not lines).json(paths)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)_100examples", 1)
     return _qa(df.select(F.concat(F.lit(image_prefix), "image").alias("image_path"),
                          py_strip(F.substring_index(F.col("conversations")[0]["value"], "<image>", -1)).alias("query"),
@@ -102,27 +102,41 @@ def read_nested_qa(spark: SparkSession, path: str, split: str = "train", dataset
     return _qa(e.select("image_path", F.col("q.question").alias("query"), F.col("q.answer").alias("label")), dataset, split)
 
 
-def read_struct_qa(spark: SparkSession, path: str, image_prefix: str, split: str = "test", dataset: str = "chartx") -> DataFrame:
+def read_struct_qa(spark: SparkSession, path: str, image_prefix: str, split: str = "test", dataset: str = "chartx", lines: bool = False) -> DataFrame:
     """SRC-08: nested `QA.input` / `QA.output`, chart type, stripped; image path drops 2 chars."""
     df = spark.read.schema("img string, chart_type string, QA struct<input:string,output:string>").option(
-        "multiLine", True).json(path)
+        "multiLine", not lines).json(path)
     return _qa(df.select(F.concat(F.lit(image_prefix), F.expr("substring(img, 3)")).alias("image_path"),
                          py_strip("QA.input").alias("query"), py_strip("QA.output").alias("label"), py_strip("chart_type").alias("chart_type")),
                dataset, split)
 
 
-def read_qa_pairs(spark: SparkSession, path: str, image_dir: str, split: str, dataset: str = "plotqa") -> DataFrame:
-    """SRC-09: one object {"qa_pairs": [...]}; question and answer cast to text; the bookkeeping
-    fields dropped; image path from the image index."""
-    schema = ("qa_pairs array<struct<image_index:bigint, qid:string, question_id:bigint, answer_id:bigint, type:string,"
-              " question_string:string, answer:string, template:string, answer_bbox:string>>")
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
-    e = df.select(F.explode("qa_pairs").alias("p"))
+def read_qa_pairs(spark: SparkSession, path: str, image_dir: str, split: str, dataset: str = "plotqa", lines: bool = False) -> DataFrame:
+    """SRC-09: one object {"qa_pairs": [...]}, or one pair per line (`lines`, which splits into tasks); question and
+    answer cast to text; the bookkeeping fields dropped; image path from the image index."""
+    pair = ("image_index bigint, qid string, question_id bigint, answer_id bigint, type string,"
+            " question_string string, answer string, template string, answer_bbox string")
+    if lines:
+        e = spark.read.schema(pair).json(path).select(F.struct("*").alias("p"))
+    else:
+        df = spark.read.schema(f"qa_pairs array<struct<{pair.replace(' bigint', ':bigint').replace(' string', ':string')}>>")
+        e = df.option("multiLine", True).json(path).select(F.explode("qa_pairs").alias("p"))
     return _qa(e.select(F.concat(F.lit(image_dir + "/"), F.col("p.image_index").cast("string"), F.lit(".png")).alias("image_path"),
                         F.col("p.question_string").cast("string").alias("query"), F.col("p.answer").cast("string").alias("label"),
                         F.col("p.type").alias("chart_type")), dataset, split)
 
 
+# ---- preference runs ------------------------------------------------------------------------
+
+def read_pref_runs(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-15 / PRJ-08: stored runs of (example, prediction) pairs, an example having image, query, a list of labels
+    and the human flag → (image, question, label, human_or_machine, predicted); the first label counts."""
+    schema = "example struct<image:string,query:string,label:array<string>,human_or_machine:int>, predicted string"
+    r = spark.read.schema(schema).json(path)
+    return r.select("example.image", F.col("example.query").alias("question"), F.get("example.label", 0).alias("label"),
+                    "example.human_or_machine", "predicted")
+
+
 # ---- files by stem --------------------------------------------------------------------------
 
 # Fixed value: the constant query of the caption corpus.
@@ -140,6 +154,17 @@ def read_captions(spark: SparkSession, caption_dir: str, image_dir: str, corpus:
     return _qa(rows, corpus, split, extra=("answer",))
 
 
+def stem(path: str) -> F.Column:
+    """File name without folder and last extension."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def join_by_stem(left: DataFrame, right: DataFrame, left_path: str, right_path: str, how: str = "inner") -> DataFrame:
+    """JN-02 / JN-03 / JN-07: rows of two file tables whose paths have the same stem (captions and images, chart tables
+    and plots); `left_anti` gives the unmatched."""
+    return left.withColumn("stem", stem(left_path)).join(right.withColumn("stem", stem(right_path)), "stem", how)
+
+
 def image_listing(spark: SparkSession, image_dir: str) -> DataFrame:
     """SRC-17: image files as (stem, image_path); only the listing is read, never the pixels."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(image_dir).select("path")
@@ -289,6 +314,9 @@ FIELD_MAPS = {
     "chartllama": {"image_path": "image", "query": "query", "label": "label", "chart_type": "type"},
     "chartqapro": {"query": "Question", "label": "element_at(Answer, 1)", "chart_type": "`Question Type`"},
     "figqa": {"image_path": "image", "query": "query", "label": "trim(BOTH '.' FROM label)"},
+    "plotqa": {"image_path": "image", "query": "question_string", "label": "answer", "chart_type": "type"},
+    "chartbench": {"image_path": "image", "query": "query", "label": "label", "chart_type": "type"},
+    "chartx": {"image_path": "image", "query": "query", "label": "label", "chart_type": "type"},
 }
 
 
