@@ -43,8 +43,9 @@ def pair(a, b) -> Column:
 
 
 def fmt2(c) -> Column:
-    """`f"{x:.2f}"`."""
-    return F.format_string("%.2f", col_(c))
+    """`f"{x:.2f}"`: a value half way between two hundredths (an eighth, in binary) goes to the even one."""
+    x = col_(c).cast("double")
+    return F.format_string("%.2f", F.when(x * 8 == F.floor(x * 8), F.bround(x, 2)).otherwise(x))
 
 
 def int_list(arr) -> Column:
