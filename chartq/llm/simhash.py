@@ -140,7 +140,8 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE)
     row_hash = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])))
     found = components(docs, max_bits, shingle, [row_hash.alias("row_hash")])
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row_hash").alias("row_hash"))
-    best = stage(found.groupBy("root", "fp", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n"))
+    # not grouped by fingerprint: that would tie the aggregate to the join's partitions and keep AQE from splitting hot ones
+    best = stage(found.groupBy("root", "doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n"))
                  .groupBy("root").agg(F.min_by(F.struct("doc_id", "row_hash", "n"), order).alias("w")).select("w.*"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("doc_id").alias("k1"), row_hash.alias("k2"))
 
