@@ -33,7 +33,7 @@ from chartq.llm.decontam import words
 
 K = 10
 K1, B = 1.2, 0.75
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 24 << 20
 BLOCK = 128               # documents of a block
 FIRST = 2                 # blocks scored before the first limit is known
 DENSE_WORDS = 512         # words of a shard that are stored as dense columns, the commonest ones
@@ -78,21 +78,26 @@ class Shard:
     largest impact per word and block, and posting lists of all other words."""
 
     def __init__(self, ids: list, texts: list[bytes], mean: float):
-        counts = [_terms(t) for t in texts]
-        per = np.array([len(c) for c in counts], dtype=np.int64)
-        size = np.array([sum(c.values()) for c in counts], dtype=float)
-        doc = np.repeat(np.arange(len(counts)), per)
-        term = np.concatenate([_numbers(c) for c in counts])
-        tf = np.concatenate([np.fromiter(c.values(), float, len(c)) for c in counts])
+        n, size, terms, counts = len(texts), np.zeros(len(texts)), [], []
+        for i, text in enumerate(texts):      # one document's words at a time
+            own = _terms(text)
+            texts[i] = None
+            size[i] = own.total()
+            terms.append(_numbers(own))
+            counts.append(np.fromiter(own.values(), np.int32, len(own)))
+        doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in terms])
+        term, tf = np.concatenate(terms), np.concatenate(counts)
+        del terms, counts
         self.vocab, at = np.unique(term, return_inverse=True)
+        del term
         in_docs = np.bincount(at, minlength=len(self.vocab))
-        common = np.zeros(len(counts))
+        common = np.zeros(n)
         np.maximum.at(common, doc, in_docs[at].astype(float))
         order = np.lexsort((size, common))
-        place = np.empty(len(counts), dtype=np.int64)
-        place[order] = np.arange(len(counts))
+        place = np.empty(n, dtype=np.int32)
+        place[order] = np.arange(n)
         self.ids = [ids[i] for i in order.tolist()]
-        self.blocks = -(-len(counts) // BLOCK)
+        self.blocks = -(-n // BLOCK)
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         doc = place[doc]
         top = np.argsort(-in_docs, kind="stable")[:DENSE_WORDS]
@@ -166,7 +171,7 @@ def _best(ids: list, found: list[int], scores: list[float], k: int) -> list[tupl
     return [(None if none else i, -s) for s, none, i in rows[:k]]
 
 
-def _search(k: int, mean: float):
+def _search(k: int, mean: float, n: int):
     """Each shard's documents come first, then its queries."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, number, ids, texts = None, None, [], []
@@ -178,7 +183,7 @@ def _search(k: int, mean: float):
                     out.extend((i, h, d, x) for d, x in _best(shard.ids, found, scores, k))
                 wait.clear()
 
-            for s, kind, i, h, t, terms, idf in batch[["shard", "kind", "id", "h", "t", "terms", "idf"]].itertuples(index=False):
+            for s, kind, i, h, t, terms, dfs in batch[["shard", "kind", "id", "h", "t", "terms", "dfs"]].itertuples(index=False):
                 if s != number:
                     answer()
                     shard, number, ids, texts = None, s, [], []
@@ -191,7 +196,8 @@ def _search(k: int, mean: float):
                 if shard is None and texts:
                     shard, texts = Shard(ids, texts, mean), []
                 if shard is not None and len(shard.vocab):
-                    wait.append((i, h, np.asarray(terms, dtype=np.int64), np.asarray(idf, dtype=float)))
+                    df = np.asarray(dfs, dtype=float)
+                    wait.append((i, h, np.asarray(terms, dtype=np.int64), np.log(1 + (n - df + 0.5) / (df + 0.5))))
                     if len(wait) == AT_ONCE:
                         answer()
             answer()
@@ -212,18 +218,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
     mean = max(total / max(n, 1), 1e-9)
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = asked.mapInPandas(_query_terms, f"id {kind}, h long, term long").distinct()
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = stage(own.join(counts.where("term is not null"), "term").groupBy("id", "h")
-                  .agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("x"))
-                  .select("id", "h", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf")))
+                  .agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("x"))
+                  .select("id", "h", F.col("x.term").alias("terms"), F.col("x.df").alias("dfs")))
     shards = max(1, math.ceil((size or 0) / shard_bytes))
     none = F.lit(None)
     side = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"),
                        F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("h"), "t",
-                       none.cast("array<long>").alias("terms"), none.cast("array<double>").alias("idf"))
+                       none.cast("array<long>").alias("terms"), none.cast("array<long>").alias("dfs"))
     sent = known.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "h",
-                        F.lit(b"").alias("t"), "terms", "idf")
+                        F.lit(b"").alias("t"), "terms", "dfs")
     found = (side.union(sent).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-             .mapInPandas(_search(k, mean), f"query_id {kind}, h long, doc_id {kind}, score double"))
+             .mapInPandas(_search(k, mean, n), f"query_id {kind}, h long, doc_id {kind}, score double"))
     order = Window.partitionBy("query_id", "h").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
