@@ -54,19 +54,20 @@ def resolver(length: int):
     return resolve
 
 
-def dedup(docs: DataFrame, length: int = WINDOW, gram: int = GRAM, dense: int = recurrence.DENSE) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, `kept` (text; null where nothing was removed)."""
+def dedup(docs: DataFrame, length: int = WINDOW, gram: int = GRAM, dense: int = recurrence.DENSE, texts: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, `kept` (text; null where nothing was removed, and
+    everywhere without `texts`)."""
     units = recurrence.Units(words=True, length=length, gram=gram)
     plain, marked = recurrence.covered(docs, units, resolver(length), dense)
 
     def cut(batches):
-        for batch in batches:
+        for batch in recurrence.slices(batches):
             out = []
-            for doc_id, text, ranges in zip(batch["doc_id"], batch["t"], batch["ranges"]):
+            for doc_id, text, first, last in zip(batch["doc_id"], batch["t"], batch["first"], batch["last"]):
                 words = text.split()
-                gone = recurrence.mask(ranges, len(words))
+                gone = recurrence.mask(first, last, len(words))
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-                out.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+                out.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if texts else None))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]).astype({"doc_id": object})
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -81,7 +81,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = suffix.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -97,7 +97,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = phrases.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = phrases.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

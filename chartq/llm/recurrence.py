@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from chartq.llm.common import stage, utf8
 
 PIECE = 1 << 20
+_ROWS = 2000             # rows that a task hands back at a time
 DENSE = 20_000            # contexts of one anchor beyond which windows are counted in an aggregate
 _MASK = np.uint64((1 << 24) - 1)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -173,19 +174,22 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _contexts(units: Units):
     """Cut the requested contexts out of the texts."""
+    names = ["a", "kind", "h1", "h2", "lo", "cnt", "off", "ctx"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, h1, h2, hits in zip(batch["t"], batch["h1"], batch["h2"], batch["hits"]):
+            for text, h1, h2, *hits in zip(*[batch[c] for c in ("t", "h1", "h2", "a", "kind", "lo", "cnt", "off")]):
                 if units.words:
                     start, end = word_spans(text)
-                for x in hits:
-                    if x["kind"] == 0:
-                        continue
-                    first, last = x["lo"], x["lo"] + x["cnt"] + units.length - 1
+                for a, kind, first, cnt, off in zip(*[x.tolist() for x in hits]):
+                    last = first + cnt + units.length - 1
                     ctx = b" ".join(text[start[first]:end[last - 1]].split()) if units.words else text[first:last]
-                    rows.append((x["a"], x["kind"], h1, h2, first, x["cnt"], x["off"], ctx))
-            yield pd.DataFrame(rows, columns=["a", "kind", "h1", "h2", "lo", "cnt", "off", "ctx"])
+                    rows.append((a, kind, h1, h2, first, cnt, off, ctx))
+                if len(rows) >= _ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -247,7 +251,7 @@ def _free(spark) -> None:
 
 def covered(docs: DataFrame, units: Units, resolve: Callable[[pd.DataFrame], pd.DataFrame], dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
     """(plain, marked): documents without a recurring window as (doc_id, n, sha of the whole), and the others as
-    (doc_id, t, ranges), ranges being [first, last) token ranges (they may overlap)."""
+    (doc_id, t, first, last), arrays of [first, last) token ranges (they may overlap)."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", utf8("text").alias("t")).withColumns(
         {"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(units.length), F.col("t"))})
@@ -274,6 +278,7 @@ def covered(docs: DataFrame, units: Units, resolve: Callable[[pd.DataFrame], pd.
 
     def cut(is_dense: bool) -> DataFrame:
         part = contexts.select("t", "h1", "h2", F.filter("hits", lambda x: x["dense"] == is_dense).alias("hits")).where(F.size("hits") > 0)
+        part = part.select("t", "h1", "h2", *[_field("hits", c) for c in ("a", "kind", "lo", "cnt", "off")])
         out = part.mapInPandas(_contexts(units), CONTEXTS)
         once = out.where("kind = 2").dropDuplicates(["a", "h1", "h2", "lo"])   # copies of a witness's text
         return out.where("kind = 1").union(once)
@@ -289,12 +294,22 @@ def covered(docs: DataFrame, units: Units, resolve: Callable[[pd.DataFrame], pd.
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
     done = texts.join(stage(open_ranges), ["h1", "h2"], "left").select("doc_id", "t", F.concat(whole, F.coalesce("more", none)).alias("ranges"))
     plain = found.select("doc_id", "h1", "h2", "n", "sha").join(hits.select("h1", "h2"), ["h1", "h2"], "left_anti")
-    return plain.select("doc_id", "n", "sha"), done
+    return plain.select("doc_id", "n", "sha"), done.select("doc_id", "t", _field("ranges", "first"), _field("ranges", "last"))
+
+
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i in range(0, len(batch), _ROWS):
+            yield batch.iloc[i:i + _ROWS]
+
+
+def _field(structs: str, name: str):
+    """One field of an array of structs as an array of its own: a flat array in Python, not an object per element."""
+    return F.transform(structs, lambda x: x[name]).alias(name)
 
 
-def mask(ranges, n: int) -> np.ndarray:
+def mask(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     edge = np.zeros(n + 1, dtype=np.int64)
-    for x in ranges:
-        edge[x["first"]] += 1
-        edge[x["last"]] -= 1
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last, -1)
     return np.cumsum(edge[:-1]) > 0

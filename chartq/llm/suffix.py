@@ -77,19 +77,20 @@ def resolver(length: int, gram: int):
     return resolve
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dense: int = recurrence.DENSE) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, `kept` (bytes; null where nothing was removed)."""
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dense: int = recurrence.DENSE, texts: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, `kept` (bytes; null where nothing was
+    removed, and everywhere without `texts`)."""
     units = recurrence.Units(words=False, length=length, gram=gram)
     plain, marked = recurrence.covered(docs, units, resolver(length, gram), dense)
 
     def cut(batches):
-        for batch in batches:
+        for batch in recurrence.slices(batches):
             out = []
-            for doc_id, text, ranges in zip(batch["doc_id"], batch["t"], batch["ranges"]):
-                gone = recurrence.mask(ranges, len(text))
+            for doc_id, text, first, last in zip(batch["doc_id"], batch["t"], batch["first"], batch["last"]):
+                gone = recurrence.mask(first, last, len(text))
                 spans = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-                out.append((doc_id, len(text), int(gone.sum()), len(spans) // 2, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((doc_id, len(text), int(gone.sum()), len(spans) // 2, hashlib.sha256(kept).hexdigest(), kept if texts else None))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": object})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
