@@ -198,12 +198,18 @@ def template_table(spark):
     return spark.createDataFrame(rows, "template_id int, template string, system_prompt string")
 
 
+def first_user_turns(turns: DataFrame) -> DataFrame:
+    """The first user turn of every conversation."""
+    return (turns.where(F.col("role") == "user").groupBy("conv_id")
+            .agg(F.min("turn").alias("turn"), F.first("role").alias("role"), F.min_by("text", "turn").alias("text")))
+
+
 def training_prompt(turns: DataFrame, templates: DataFrame) -> DataFrame:
-    """PMT-05 / JN-04: every conversation gets the system prompt of its template id (a lookup
-    join against the registry, a literal table of ten rows) followed by its first user turn."""
+    """PMT-05 / JN-04: every user turn gets the system prompt of its conversation's template id (a
+    lookup join against the registry, a literal table of ten rows) followed by its text. Negative
+    ids count from the end of the registry; a conversation without an id takes the first template."""
     n = templates.count()
-    first_user = (turns.where(F.col("role") == "user").groupBy("conv_id")
-                  .agg(F.min_by("text", "turn").alias("query")))
-    keyed = first_user.withColumn("template_id", (F.col("conv_id") % n).cast("int"))
-    j = keyed.join(F.broadcast(templates), "template_id")
-    return j.select("conv_id", "template", F.concat_ws("\n", "system_prompt", "query").alias("prompt"))
+    tid = F.coalesce(F.pmod(F.col("conv_id"), F.lit(n)), F.lit(0)).cast("int")
+    users = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"), tid.alias("template_id"))
+    j = users.join(F.broadcast(templates), "template_id")
+    return j.select("conv_id", "turn", "template", F.concat_ws("\n", "system_prompt", "query").alias("prompt"))

@@ -384,7 +384,20 @@ fu as (select conv_id, arg_min(text, turn) as query from fv_turns where role = '
 select conv_id, template, concat_ws(chr(10), system_prompt, query) as prompt
 from fu join tp on tp.template_id = cast(conv_id % {len(PM.TEMPLATES)} as int)""")
 def training_prompt(spark, sf_dir):
-    """PMT-05 / JN-04: system prompt looked up by template id, then the question."""
+    """PMT-05 / JN-04: system prompt looked up by template id, then the first question of a conversation (as its SQL
+    lists them; `training_prompt_turns` has every question)."""
+    first = PM.first_user_turns(FX.fv_turns(spark, sf_dir))
+    return PM.training_prompt(first, PM.template_table(spark)).select("conv_id", "template", "prompt")
+
+
+_TPL_N = len(PM.TEMPLATES)
+
+
+@register("training_prompt_turns", with_fv("fv_turns") + f""", tp as (select * from (values {_TPL_VALUES}) t(template_id, template, system_prompt))
+select conv_id, turn, template, concat_ws(chr(10), system_prompt, text) as prompt from fv_turns
+join tp on tp.template_id = coalesce(((conv_id % {_TPL_N}) + {_TPL_N}) % {_TPL_N}, 0) where role = 'user'""")
+def training_prompt_turns(spark, sf_dir):
+    """PMT-05 / JN-04: one training prompt per user turn, the system prompt looked up by template id."""
     return PM.training_prompt(FX.fv_turns(spark, sf_dir), PM.template_table(spark))
 
 

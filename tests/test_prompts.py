@@ -53,3 +53,12 @@ def test_style_matches_python(spark, style):
         sysm = [x for r, x in turns if r == "system"]
         msgs = [("U" if r == "user" else "A", x) for r, x in turns if r != "system"]
         assert got[cid] == py_render(t, st, sysm[-1] if sysm else "default sys", msgs), (style, cid)
+
+
+def test_training_prompt_of_every_user_turn(spark):
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (1, 5, "user", "d"),
+            (-1, 0, "user", "e"), (None, 0, "user", "f"), (2, 0, "assistant", "g")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tpl = spark.createDataFrame([(0, "t0", "s0"), (1, "t1", "s1"), (2, "t2", "s2")], "template_id int, template string, system_prompt string")
+    got = {(r.conv_id, r.turn, r.template, r.prompt) for r in PM.training_prompt(turns, tpl).collect()}
+    assert got == {(1, 1, "t1", "s1\na"), (1, 3, "t1", "s1\nc"), (1, 5, "t1", "s1\nd"), (-1, 0, "t2", "s2\ne"), (None, 0, "t0", "s0\nf")}
