@@ -71,21 +71,20 @@ def markdown_cells(spark, sf_dir):
 
 @register("csv_tables", with_cells() + "select chart_id, row_idx, col_idx, col_name, cell from fv_cells")
 def csv_tables(spark, sf_dir):
-    """SRC-11: every chart table written as one CSV file (header + rows, in row order) and
-    read back as cells."""
-    cells = FX.fv_cells(spark, sf_dir)
+    """SRC-11: every chart table written as CSV files (each with a header, in row order; a large chart
+    over several range-partitioned files) and read back as cells."""
     path = RD.stage_dir(spark, "tables")
-    parts = []
+    _write_tables(spark, FX.fv_cells(spark, sf_dir), path)
+    return RD.read_table_dir(spark, path, key_col="chart_id")
+
+
+def _write_tables(spark, cells, path):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for prefix, _, cols in FX.CELL_SOURCES:
         wide = (cells.where(F.col("chart_id").startswith(prefix + ":"))
                 .groupBy("chart_id", "row_idx").pivot("col_name", list(cols)).agg(F.first("cell")))
-        (wide.repartition("chart_id").sortWithinPartitions("chart_id", "row_idx").select("chart_id", *cols)
-         .write.mode("overwrite").partitionBy("chart_id").option("header", True).csv(f"{path}/{prefix}"))
-        parts.append(RD.read_table_dir(spark, f"{path}/{prefix}", key_col="chart_id"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        (wide.repartitionByRange(n, "chart_id", "row_idx").sortWithinPartitions("chart_id", "row_idx").select("chart_id", *cols)
+         .write.mode("append").partitionBy("chart_id").option("header", True).csv(path))
 
 
 # ---- rationale records (TXT-07, JSN-01) -----------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartq.functions.text import py_strip
+from chartq.operators.ranking import rank_in_group
 from chartq.session import ensure_checkpoint_dir
 
 QA_COLS = ["dataset", "split", "image_path", "query", "label", "source_tag", "chart_type"]
@@ -183,22 +184,34 @@ def unmatched_stems(spark: SparkSession, caption_dir: str, image_dir: str) -> Da
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
+def _unquoted(raw) -> F.Column:
+    quoted = raw.startswith('"') & raw.endswith('"') & (F.length(raw) >= 2)
+    return F.when(quoted, F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+
+
 def read_table_dir(spark: SparkSession, path: str, key_col: str | None = None) -> DataFrame:
-    """SRC-11: a folder of CSV tables, one chart per file → chart_cells. Each file is one
-    table (read whole, like the reference's per-file reader); cells are split on commas
-    outside quotes, so quoted cells may contain commas."""
+    """SRC-11: a folder of CSV tables → chart_cells. A chart is one file (named by its stem) or, with
+    `key_col`, the files of one partition folder in path order, each with its header. Files are read by
+    lines, so a large one splits into tasks; positions come from the skew-safe ranking. Cells are split
+    on commas outside quotes, so quoted cells may contain commas."""
     key = (F.col(key_col).cast("string") if key_col
            else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1))
-    f = spark.read.text(path, wholetext=True).select(key.alias("chart_id"), "value")
-    lines = f.select("chart_id", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("ln", "line"))
-    cells = lines.select("chart_id", "ln", F.posexplode(F.split("line", _CSV_SPLIT)).alias("col_idx", "raw"))
-    unq = F.when(F.col("raw").startswith('"') & F.col("raw").endswith('"') & (F.length("raw") >= 2),
-                 F.replace(F.expr("substring(raw, 2, length(raw) - 2)"), F.lit('""'), F.lit('"'))).otherwise(F.col("raw"))
-    cells = cells.withColumn("cell", unq)
-    header = cells.where(F.col("ln") == 0).select("chart_id", "col_idx", F.col("cell").alias("col_name"))
-    body = cells.where(F.col("ln") > 0).select("chart_id", (F.col("ln") - 1).cast("long").alias("row_idx"), "col_idx", "cell")
-    return body.join(header, ["chart_id", "col_idx"]).select("chart_id", "row_idx", F.col("col_idx").cast("int").alias("col_idx"),
-                                                           "col_name", "cell")
+    # lines of a file come in the order (start of the split, position in the task that reads it)
+    lines = (spark.read.option("lineSep", "\n").text(path)
+             .select(key.alias("chart_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", r"\r\z", "").alias("line")))
+    ranked = rank_in_group(lines, ["chart_id"], ["file", "start", "seq"], out="pos").select("chart_id", "file", "pos", "line")
+    # one row per file: its header, and how many header lines its chart has up to it
+    w = Window.partitionBy("chart_id").orderBy("file")
+    heads = (ranked.groupBy("chart_id", "file").agg(F.min("pos").alias("p0"), F.min_by("line", "pos").alias("head"))
+             .select("file", "p0", F.transform(F.split("head", _CSV_SPLIT), _unquoted).alias("names"),
+                     F.row_number().over(w).alias("n_heads")))
+    body = ranked.join(heads, "file").where(F.col("pos") > F.col("p0"))
+    cells = body.select("chart_id", (F.col("pos") - F.col("n_heads")).cast("long").alias("row_idx"), "names",
+                        F.posexplode(F.split("line", _CSV_SPLIT)).alias("col_idx", "raw"))
+    return (cells.where(F.col("col_idx") < F.size("names"))
+            .select("chart_id", "row_idx", F.col("col_idx").cast("int").alias("col_idx"),
+                    F.get("names", F.col("col_idx")).alias("col_name"), _unquoted(F.col("raw")).alias("cell")))
 
 
 # Fixed value: a Markdown delimiter row (optional pipes, optional alignment colons).

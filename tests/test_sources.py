@@ -1,5 +1,6 @@
 """Corpus readers on small files written from the driver tables (expectations restated in Python)."""
 
+import glob
 import json
 import os
 import tempfile
@@ -120,6 +121,32 @@ def test_csv_quoted_commas(spark, tmp):
     assert cells == [(0, "name", "a, b"), (0, "value", "1"), (1, "name", 'say "hi"'), (1, "value", "2")]
 
 
+def test_csv_chart_over_several_files_and_splits(spark, tmp):
+    rows = [[f"c{i}", str(i)] for i in range(3000)]
+    os.makedirs(f"{tmp}/chart_id=m")
+    for k, part in enumerate((rows[:10], rows[10:], [])):
+        with open(f"{tmp}/chart_id=m/part-{k}.csv", "w") as f:
+            f.write("".join(",".join(r) + "\n" for r in [["name", "value"], *part]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = sorted((r.chart_id, r.row_idx, r.col_idx, r.col_name, r.cell) for r in RD.read_table_dir(spark, tmp, key_col="chart_id").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [("m", i, c, n, r[c]) for i, r in enumerate(rows) for c, n in enumerate(("name", "value"))]
+
+
+def test_csv_hot_chart_is_written_to_several_files(spark, tmp):
+    from chartq.plans.q_sources import _write_tables
+
+    rows = [("bar:1", i, c, n, v) for i in range(2000) for c, (n, v) in enumerate((("category", f"k{i}"), ("value", str(i))))]
+    cells = spark.createDataFrame(rows, "chart_id string, row_idx long, col_idx int, col_name string, cell string")
+    _write_tables(spark, cells, f"{tmp}/t")
+    assert len(glob.glob(f"{tmp}/t/chart_id=*/*.csv")) > 1
+    got = sorted((r.row_idx, r.cell) for r in RD.read_table_dir(spark, f"{tmp}/t", key_col="chart_id").collect() if r.col_idx == 1)
+    assert got == [(i, str(i)) for i in range(2000)]
+
+
 def test_rationale_array_positions(spark, docs, tmp):
     _dump(f"{tmp}/r.json", [d[2] for d in docs[:12]])
     rows = sorted((r.pos, r.text) for r in RD.read_rationales(spark, f"{tmp}/r.json").collect())
