@@ -163,12 +163,13 @@ def turn_pairs(turns: DataFrame, offset: int = 0) -> DataFrame:
     return first.join(second, ["conv_id", "pair"], "left")
 
 
-def message_list(turns: DataFrame, default_system: str = "") -> DataFrame:
+def message_list(turns: DataFrame, default_system: str = "", offset: int = 0) -> DataFrame:
     """PMT-04 / PRJ-09: chat messages in long form (conv_id, pos, role, content): the system
-    message first, then user / assistant by position parity; empty assistant turns dropped."""
-    m = numbered_messages(turns)
-    msgs = m.select("conv_id", (F.col("i") + 1).alias("pos"),
-                    F.when(F.col("i") % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+    message first, then user / assistant by position parity after `offset` messages; empty
+    assistant turns dropped."""
+    m = numbered_messages(turns).where(F.col("i") >= offset).withColumn("j", F.col("i") - offset)
+    msgs = m.select("conv_id", (F.col("j") + 1).alias("pos"),
+                    F.when(F.col("j") % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
                     F.col("text").alias("content"))
     msgs = msgs.where((F.col("role") == "user") | F.col("content").isNotNull())
     sysm = system_messages(turns, default_system).select("conv_id", F.lit(0).cast("int").alias("pos"),
@@ -192,6 +193,15 @@ def replace_last(turns: DataFrame, text) -> DataFrame:
                     F.when(F.col("turn") == F.col("_last"), col_(text)).otherwise(F.col("text")).alias("text"))
 
 
+def set_system_message(turns: DataFrame, text: str) -> DataFrame:
+    """PMT-06: every conversation gets this system message: it takes the place of the first system
+    turn, or stands before the first turn; other system turns go."""
+    is_system = F.col("role").eqNullSafe("system")
+    at = turns.groupBy("conv_id").agg(F.coalesce(F.min(F.when(is_system, F.col("turn"))), F.min("turn") - 1).alias("turn"))
+    new = at.select("conv_id", "turn", F.lit("system").alias("role"), F.lit(text).cast("string").alias("text"))
+    return turns.where(~is_system).select("conv_id", "turn", "role", "text").unionByName(new)
+
+
 def template_table(spark):
     """PMT-02: the template registry as a small DataFrame (fixed size, safe to broadcast)."""
     rows = [(i, t.name, t.system_template.replace("{system_message}", t.system_message)) for i, t in enumerate(TEMPLATES.values())]

@@ -186,6 +186,24 @@ def message_list(spark, sf_dir):
     return PM.message_list(FX.fv_turns(spark, sf_dir))
 
 
+@register("message_list_offset", _MSG + """select conv_id, 0 as pos, 'system' as role,
+  coalesce(arg_max(text, turn) filter (where role = 'system'), '') as content from fv_turns group by conv_id
+union all
+select conv_id, cast(i - 2 as int), case when i % 2 = 1 then 'user' else 'assistant' end, text from m
+where i >= 3 and (i % 2 = 1 or text is not null)""")
+def message_list_offset(spark, sf_dir):
+    """PMT-04: the message list after an offset of three messages."""
+    return PM.message_list(FX.fv_turns(spark, sf_dir), offset=3)
+
+
+@register("set_system_message", with_fv("fv_turns") + """select conv_id, turn, role, text from fv_turns where role is distinct from 'system'
+union all select conv_id, coalesce(min(turn) filter (where role = 'system'), min(turn) - 1), 'system', 'Answer briefly.'
+from fv_turns group by conv_id""")
+def set_system_message(spark, sf_dir):
+    """PMT-06: one system message set in every conversation."""
+    return PM.set_system_message(FX.fv_turns(spark, sf_dir), "Answer briefly.")
+
+
 @register("append_turn", with_fv("fv_turns") + """select conv_id, turn, role, text from fv_turns
 union all select conv_id, max(turn) + 1, 'assistant', cast(null as varchar) from fv_turns group by conv_id""")
 def append_turn(spark, sf_dir):

@@ -62,3 +62,20 @@ def test_training_prompt_of_every_user_turn(spark):
     tpl = spark.createDataFrame([(0, "t0", "s0"), (1, "t1", "s1"), (2, "t2", "s2")], "template_id int, template string, system_prompt string")
     got = {(r.conv_id, r.turn, r.template, r.prompt) for r in PM.training_prompt(turns, tpl).collect()}
     assert got == {(1, 1, "t1", "s1\na"), (1, 3, "t1", "s1\nc"), (1, 5, "t1", "s1\nd"), (-1, 0, "t2", "s2\ne"), (None, 0, "t0", "s0\nf")}
+
+
+def test_message_list_offset(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (1, 4, "assistant", None), (2, 0, "user", "d")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = lambda **k: sorted((r.conv_id, r.pos, r.role, r.content) for r in PM.message_list(turns, **k).collect())
+    assert got(offset=1) == [(1, 0, "system", "s"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (1, 3, "user", None), (2, 0, "system", "")]
+    assert got(offset=2) == [(1, 0, "system", "s"), (1, 1, "user", "c"), (2, 0, "system", "")]
+
+
+def test_set_system_message(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "system", "t"), (2, 0, "user", "d"), (None, 4, "user", "e")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    new = PM.set_system_message(turns, "new")
+    assert {tuple(r) for r in new.collect()} == {(1, 0, "system", "new"), (1, 1, "user", "a"), (2, -1, "system", "new"), (2, 0, "user", "d"),
+                                                 (None, 3, "system", "new"), (None, 4, "user", "e")}
+    assert {r.system_message for r in PM.system_messages(new, "").where("conv_id = 1").collect()} == {"new"}
