@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartq.llm import chat, decontam, mixing, phrases, quality, secrets, simhash, suffix, topk, toxicity
+from chartq.llm import bpe, chat, decontam, mixing, phrases, quality, secrets, simhash, suffix, topk, toxicity
 from chartq.llm.common import fold, read_table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.perspectives(read_table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
     return found.withColumn("mask", mask)
+
+
+@_query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coder = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = coder.decode(coder.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.packed("ids"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
