@@ -7,7 +7,7 @@ ties, so a piece of text is merged in rank order, as byte-level BPE does. A whol
 pattern; each pre-token is byte-mapped and encoded by itself. Decoding maps ids to pieces and their characters back to bytes.
 
 The model (about as large as the vocabulary file) is the only thing broadcast; texts are encoded where they are, in one
-pass without a shuffle. Ids of pre-tokens met before are kept in a table of bounded size, which changes no result.
+pass without a shuffle. Ids of pieces of text met before are kept in a table of bounded size, which changes no result.
 
 Edge cases: a null text is empty and has no ids; invalid UTF-8 is read with U+FFFD in its place; strings of special
 tokens are ordinary text; a rank that no token has is a piece that never occurs; a vocabulary without all 256 bytes, or with
@@ -19,8 +19,9 @@ encoded whole; an empty table gives an empty result; other columns travel inside
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,11 @@ from pyspark.sql import types as T
 
 from chartq.llm.common import utf8
 
-CACHED = 200_000      # pre-tokens whose ids a task remembers
-CACHED_CHARS = 64     # the longest pre-token that is remembered
+CACHED = 400_000      # pieces of text whose ids a task remembers
+CACHED_CHARS = 64     # the longest piece that is remembered
+AT_ONCE = 1 << 20     # ids whose bytes are put together at a time
+# Before a space with a visible character behind it the split pattern always starts a new pre-token.
+CUT = r" (?=\S)"
 
 
 def byte_characters() -> list[str]:
@@ -78,32 +82,49 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return model.SerializeToString()
 
 
+class _Known(dict):
+    """What `make` makes of a piece of text, made when first asked for; long pieces are not kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self.make(piece)
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = made
+        return made
+
+
 class Encoder:
-    """Text to ids by a serialised model and a split pattern."""
+    """Text to ids (as 32-bit integers) by a serialised model and a split pattern.
 
-    def __init__(self, model: bytes, pattern: str):
+    Text is first cut at the spaces where `cut` matches. The ids of what lies between them, and of each pre-token, are
+    remembered, as both repeat a lot. Without `cut` whole texts are split."""
+
+    def __init__(self, model: bytes, pattern: str, cut: str | None = CUT):
         import regex
         from sentencepiece import SentencePieceProcessor
 
         self.split = regex.compile(pattern).findall
+        self.cut = re.compile(cut).split if cut else lambda text: [text]
         self.pieces = SentencePieceProcessor(model_proto=model)
         self.map = dict(enumerate(byte_characters()))
-        self.known: dict[str, list[int]] = {}
+        self.merged = _Known(self.merge)
+        self.known = _Known(lambda piece: self.code(" " + piece))
+
+    def merge(self, pre_token: str) -> bytes:
+        return array("i", self.pieces.encode(pre_token.encode().decode("latin-1").translate(self.map))).tobytes()
 
-    def _code(self, parts: list[str]) -> dict[str, list[int]]:
-        mapped = [p.encode().decode("latin-1").translate(self.map) for p in parts]
-        return dict(zip(parts, self.pieces.encode(mapped, num_threads=1))) if parts else {}
+    def code(self, text: str) -> bytes:
+        return b"".join(map(self.merged.__getitem__, self.split(text)))
 
-    def encode(self, text: bytes) -> Iterator[int]:
-        parts = self.split(text.decode("utf-8", "replace"))
-        if len(self.known) > CACHED:
-            self.known.clear()
-        known = self.known
-        fresh = [p for p in set(parts) if p not in known]
-        known.update(self._code([p for p in fresh if len(p) <= CACHED_CHARS]))
-        if long := self._code([p for p in fresh if len(p) > CACHED_CHARS]):
-            known = {p: long.get(p) or self.known[p] for p in set(parts)}
-        return chain.from_iterable(map(known.__getitem__, parts))
+    def encode(self, text: bytes) -> np.ndarray:
+        for known in (self.known, self.merged):
+            if len(known) > CACHED:
+                known.clear()
+        first, *rest = self.cut(text.decode("utf-8", "replace"))
+        return np.frombuffer(self.code(first) + b"".join(map(self.known.__getitem__, rest)), np.int32)
 
 
 def token_bytes(model: bytes) -> list[bytes]:
@@ -116,6 +137,35 @@ def token_bytes(model: bytes) -> list[bytes]:
     return [bytes(back[c] for c in t) if all(c in back for c in t) else b"" for t in texts]
 
 
+class Decoder:
+    """Ids to bytes: the bytes of all ids lie one after the other, and those of a run of ids are gathered at once."""
+
+    def __init__(self, model: bytes):
+        table = token_bytes(model)
+        self.size = np.fromiter(map(len, table), np.int64, len(table))
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        out = []
+        for i in range(0, len(ids), AT_ONCE):
+            part = ids[i:i + AT_ONCE]
+            part = part[(part >= 0) & (part < len(self.size))]
+            size = self.size[part]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[part] - ends + size, size)
+            out.append(self.flat[at].tobytes())
+        return b"".join(out)
+
+
+def _rows(ids: pa.Array) -> Iterator[np.ndarray]:
+    """Every list of ids (none where it is null), with -1 for nulls."""
+    values = ids.values.fill_null(-1).to_numpy(zero_copy_only=False)
+    ends = ids.offsets.to_numpy()
+    for a, b, there in zip(ends[:-1].tolist(), ends[1:].tolist(), ids.is_valid().to_pylist()):
+        yield values[a:b] if there else values[:0]
+
+
 class Tokenizer:
     """A byte-level BPE tokenizer of a rank file as Column functions."""
 
@@ -131,13 +181,9 @@ class Tokenizer:
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = Encoder(held.value, pattern)
             for batch in batches:
-                parts, ends = [], [0]
-                for t in batch:
-                    ids = np.fromiter(encoder.encode(t.as_py() or b""), np.int32)
-                    parts.append(ids)
-                    ends.append(ends[-1] + len(ids))
-                values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+                ids = [encoder.encode(t.as_py() or b"") for t in batch]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
 
         return encode(text)
 
@@ -146,10 +192,9 @@ class Tokenizer:
         held = self.model
 
         @F.arrow_udf("binary")
-        def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            table = dict(enumerate(token_bytes(held.value)))
-            for batch in batches:
-                yield pa.array([b"".join([table.get(i, b"") for i in row.values.to_pylist()]) if row.is_valid else b"" for row in batch], pa.binary())
+        def decode(lists: pa.Array) -> pa.Array:
+            decoder = Decoder(held.value)
+            return pa.array([decoder.decode(row) for row in _rows(lists)], pa.binary())
 
         return decode(ids)
 
@@ -165,9 +210,5 @@ class Tokenizer:
 
 @F.arrow_udf(T.BinaryType())
 def packed(ids: pa.Array) -> pa.Array:
-    """Ids as little-endian unsigned 32-bit integers, the form of token files. Nulls in a list count as 0, a null list is empty."""
-    out = []
-    for row in ids:
-        own = row.values if row.is_valid else pa.array([], pa.int32())
-        out.append(own.fill_null(0).to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-    return pa.array(out, pa.binary())
+    """Ids as little-endian unsigned 32-bit integers, the form of token files. Nulls in a list are left out, a null list is empty."""
+    return pa.array([row[row >= 0].astype("<u4").tobytes() for row in _rows(ids)], pa.binary())
