@@ -1,24 +1,20 @@
 """Corpus readers (SRC-01..17): every corpus shape into the canonical `qa` schema
 (dataset, split, image_path, query, label, source_tag, chart_type).
 
-Schemas are declared, never inferred. JSON arrays are read with `multiLine`, JSON
-lines without it; nested questions are exploded; file stems come from
-`_metadata.file_path`. Text logs are read one file per row (`wholetext`) and cut
-with `posexplode(split(...))`, so every file is processed whole and positions are
-exact; positions across the files of one run come from per-file counts and
-offsets, never from collecting a run.
+Schemas are declared, never inferred. JSON arrays become one element per row
+(`jsonarray`), JSON lines are read as they are; nested questions are exploded; file
+stems come from `_metadata.file_path`. Run logs, traces and CSV tables are framed from
+lines (`framing`), so a large file is many tasks and records may reach over splits.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartq.functions.text import py_strip
-from chartq.operators.ranking import rank_in_group
-from chartq.session import ensure_checkpoint_dir
+from chartq.sources.framing import numbered_lines, quoted_records, separated, stage_dir, staged
+from chartq.sources.jsonarray import elements
 
 QA_COLS = ["dataset", "split", "image_path", "query", "label", "source_tag", "chart_type"]
 
@@ -34,10 +30,11 @@ def _qa(df: DataFrame, dataset: str, split: str | None = None, extra: tuple[str,
     return out.select(*QA_COLS, *extra)
 
 
-def stage_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder for staged files."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/chartq-stage/{name}-{uuid.uuid4().hex[:12]}"
+def _json(spark: SparkSession, path, schema: str, lines: bool, depth: int = 1) -> DataFrame:
+    """Records of JSON files in `schema`, with their `file`: arrays by default, one record a line with `lines`."""
+    if lines:
+        return spark.read.schema(schema).json(path).withColumn("file", F.col("_metadata.file_path"))
+    return elements(spark, path, depth).select(F.from_json("text", schema).alias("r"), "file").select("r.*", "file")
 
 
 # ---- JSON corpora ---------------------------------------------------------------------------
@@ -47,7 +44,7 @@ def read_augmented_human(spark: SparkSession, split_dir: str, split: str, datase
     schema = "imgname string, query string, label string"
     parts = []
     for suffix, flag in (("augmented", 1), ("human", 0)):
-        df = spark.read.schema(schema).option("multiLine", not lines).json(f"{split_dir}/{split}_{suffix}.json")
+        df = _json(spark, f"{split_dir}/{split}_{suffix}.json", schema, lines)
         parts.append(df.select(F.concat(F.lit(f"{split_dir}/png/"), "imgname").alias("image_path"), "query", "label",
                                F.lit(flag).alias("source_tag")))
     return _qa(parts[0].unionByName(parts[1]), dataset, split)
@@ -55,7 +52,7 @@ def read_augmented_human(spark: SparkSession, split_dir: str, split: str, datase
 
 def read_fact_check(spark: SparkSession, path: str, split: str, image_prefix: str, dataset: str = "chartfc", lines: bool = False) -> DataFrame:
     """SRC-03: answer 1 → "Yes", else "No"; image path prefixed."""
-    df = spark.read.schema("image_filename string, answer int, question string").option("multiLine", not lines).json(path)
+    df = _json(spark, path, "image_filename string, answer int, question string", lines)
     return _qa(df.select(F.concat(F.lit(image_prefix), "image_filename").alias("image_path"),
                          F.col("question").alias("query"),
                          F.when(F.col("answer") == 1, "Yes").otherwise("No").alias("label")), dataset, split)
@@ -63,7 +60,7 @@ def read_fact_check(spark: SparkSession, path: str, split: str, image_prefix: st
 
 def read_flat(spark: SparkSession, path: str, image_prefix: str, split: str = "test", dataset: str = "evochart", lines: bool = False) -> DataFrame:
     """SRC-04: a flat JSON array of {imgname, label, query}."""
-    df = spark.read.schema("imgname string, label string, query string").option("multiLine", not lines).json(path)
+    df = _json(spark, path, "imgname string, label string, query string", lines)
     return _qa(df.select(F.concat(F.lit(image_prefix), "imgname").alias("image_path"), "query", "label"), dataset, split)
 
 
@@ -72,8 +69,8 @@ def read_typed_conversations(spark: SparkSession, paths: list[str], image_prefix
     """SRC-05: several per-chart-type files; type = file stem up to the first `_1`; query = the
     text after the last `<image>` of turn 0, stripped; label = turn 1."""
     schema = "image string, conversations array<struct<value:string>>"
-    df = spark.read.schema(schema).option("multiLine", not lines).json(paths)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)_100examples", 1)
+    df = _json(spark, paths, schema, lines)
+    stem = F.regexp_extract("file", r"([^/]*?)_100examples", 1)
     return _qa(df.select(F.concat(F.lit(image_prefix), "image").alias("image_path"),
                          py_strip(F.substring_index(F.col("conversations")[0]["value"], "<image>", -1)).alias("query"),
                          py_strip(F.col("conversations")[1]["value"]).alias("label"), stem.alias("chart_type")), dataset, split)
@@ -105,8 +102,7 @@ def read_nested_qa(spark: SparkSession, path: str, split: str = "train", dataset
 
 def read_struct_qa(spark: SparkSession, path: str, image_prefix: str, split: str = "test", dataset: str = "chartx", lines: bool = False) -> DataFrame:
     """SRC-08: nested `QA.input` / `QA.output`, chart type, stripped; image path drops 2 chars."""
-    df = spark.read.schema("img string, chart_type string, QA struct<input:string,output:string>").option(
-        "multiLine", not lines).json(path)
+    df = _json(spark, path, "img string, chart_type string, QA struct<input:string,output:string>", lines)
     return _qa(df.select(F.concat(F.lit(image_prefix), F.expr("substring(img, 3)")).alias("image_path"),
                          py_strip("QA.input").alias("query"), py_strip("QA.output").alias("label"), py_strip("chart_type").alias("chart_type")),
                dataset, split)
@@ -117,14 +113,10 @@ def read_qa_pairs(spark: SparkSession, path: str, image_dir: str, split: str, da
     answer cast to text; the bookkeeping fields dropped; image path from the image index."""
     pair = ("image_index bigint, qid string, question_id bigint, answer_id bigint, type string,"
             " question_string string, answer string, template string, answer_bbox string")
-    if lines:
-        e = spark.read.schema(pair).json(path).select(F.struct("*").alias("p"))
-    else:
-        df = spark.read.schema(f"qa_pairs array<struct<{pair.replace(' bigint', ':bigint').replace(' string', ':string')}>>")
-        e = df.option("multiLine", True).json(path).select(F.explode("qa_pairs").alias("p"))
-    return _qa(e.select(F.concat(F.lit(image_dir + "/"), F.col("p.image_index").cast("string"), F.lit(".png")).alias("image_path"),
-                        F.col("p.question_string").cast("string").alias("query"), F.col("p.answer").cast("string").alias("label"),
-                        F.col("p.type").alias("chart_type")), dataset, split)
+    e = _json(spark, path, pair, lines, depth=2)
+    return _qa(e.select(F.concat(F.lit(image_dir + "/"), F.col("image_index").cast("string"), F.lit(".png")).alias("image_path"),
+                        F.col("question_string").alias("query"), F.col("answer").alias("label"),
+                        F.col("type").alias("chart_type")), dataset, split)
 
 
 # ---- preference runs ------------------------------------------------------------------------
@@ -181,37 +173,35 @@ def unmatched_stems(spark: SparkSession, caption_dir: str, image_dir: str) -> Da
 
 # ---- chart tables ---------------------------------------------------------------------------
 
-_CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
-def _unquoted(raw) -> F.Column:
-    quoted = raw.startswith('"') & raw.endswith('"') & (F.length(raw) >= 2)
-    return F.when(quoted, F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+_CSV = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
 
 
 def read_table_dir(spark: SparkSession, path: str, key_col: str | None = None) -> DataFrame:
-    """SRC-11: a folder of CSV tables → chart_cells. A chart is one file (named by its stem) or, with
-    `key_col`, the files of one partition folder in path order, each with its header. Files are read by
-    lines, so a large one splits into tasks; positions come from the skew-safe ranking. Cells are split
-    on commas outside quotes, so quoted cells may contain commas."""
+    """SRC-11: a folder of CSV tables → chart_cells. A chart is one file (named by its stem) or, with `key_col`, the files of one
+    partition folder in path order, each with its header. Records are framed from lines, so a large file splits into tasks and a quoted
+    cell may hold line breaks; each record goes through Spark's CSV parser. As in pandas, blank lines are skipped; cells that are
+    empty or missing at the end of a short record are empty, cells beyond the header are left out."""
     key = (F.col(key_col).cast("string") if key_col
            else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1))
-    # lines of a file come in the order (start of the split, position in the task that reads it)
-    lines = (spark.read.option("lineSep", "\n").text(path)
-             .select(key.alias("chart_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                     F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", r"\r\z", "").alias("line")))
-    ranked = rank_in_group(lines, ["chart_id"], ["file", "start", "seq"], out="pos").select("chart_id", "file", "pos", "line")
+    records = staged(quoted_records(spark, path, "chart_id", key), "csv-records")
+    commas = F.length("record") - F.length(F.replace("record", F.lit(","), F.lit("")))
     # one row per file: its header, and how many header lines its chart has up to it
+    heads = records.groupBy("chart_id", "file").agg(F.min("pos").alias("p0"), F.min_by("record", "pos").alias("record"))
+    width = 1 + (heads.agg(F.max(commas)).first()[0] or 0)
+    cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(width)), _CSV)
+
+    def values(record):
+        return F.array(*[F.coalesce(record[f"c{i}"], F.lit("")) for i in range(width)])
+
     w = Window.partitionBy("chart_id").orderBy("file")
-    heads = (ranked.groupBy("chart_id", "file").agg(F.min("pos").alias("p0"), F.min_by("line", "pos").alias("head"))
-             .select("file", "p0", F.transform(F.split("head", _CSV_SPLIT), _unquoted).alias("names"),
-                     F.row_number().over(w).alias("n_heads")))
-    body = ranked.join(heads, "file").where(F.col("pos") > F.col("p0"))
-    cells = body.select("chart_id", (F.col("pos") - F.col("n_heads")).cast("long").alias("row_idx"), "names",
-                        F.posexplode(F.split("line", _CSV_SPLIT)).alias("col_idx", "raw"))
-    return (cells.where(F.col("col_idx") < F.size("names"))
-            .select("chart_id", "row_idx", F.col("col_idx").cast("int").alias("col_idx"),
-                    F.get("names", F.col("col_idx")).alias("col_name"), _unquoted(F.col("raw")).alias("cell")))
+    heads = heads.withColumn("c", cells).select(
+        F.col("chart_id").alias("h_chart"), F.col("file").alias("h_file"), "p0", F.row_number().over(w).alias("n_heads"),
+        F.filter(F.array(*[F.col("c")[f"c{i}"] for i in range(width)]), lambda x: x.isNotNull()).alias("names"))
+    body = records.join(heads, (F.col("file") == F.col("h_file")) & F.col("chart_id").eqNullSafe(F.col("h_chart"))).where(F.col("pos") > F.col("p0"))
+    rows = body.withColumn("c", cells).select("chart_id", (F.col("pos") - F.col("n_heads")).cast("long").alias("row_idx"), "names",
+                                              F.posexplode(values(F.col("c"))).alias("col_idx", "cell"))
+    return rows.where(F.col("col_idx") < F.size("names")).select(
+        "chart_id", "row_idx", F.col("col_idx").cast("int").alias("col_idx"), F.get("names", F.col("col_idx")).alias("col_name"), "cell")
 
 
 # Fixed value: a Markdown delimiter row (optional pipes, optional alignment colons).
@@ -240,25 +230,10 @@ def markdown_cells(df: DataFrame, key: str = "chart_id", md: str = "md") -> Data
 
 # ---- logs -----------------------------------------------------------------------------------
 
-def numbered_pieces(files: DataFrame, keys: list[str], sep: str, drop_last: bool = True) -> DataFrame:
-    """Split each file's text on `sep` and number the pieces across the files of a key in
-    file-name order (SRC-13 / SRC-14 / SRC-16). Per-file piece counts and their running
-    offsets form a small table; no run is ever collected."""
-    p = files.select(*keys, "path", F.posexplode(F.split("value", sep)).alias("k", "piece"))
-    n = p.groupBy(*keys, "path").agg(F.count(F.lit(1)).alias("cnt"))
-    if drop_last:
-        # the text after the final separator of a file is not a record
-        p = p.join(n, [*keys, "path"]).where(F.col("k") < F.col("cnt") - 1).drop("cnt")
-        n = n.withColumn("cnt", F.col("cnt") - 1)
-    w = Window.partitionBy(*keys).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    off = n.withColumn("off", F.coalesce(F.sum("cnt").over(w), F.lit(0))).drop("cnt")
-    return p.join(off, [*keys, "path"]).select(*keys, (F.col("off") + F.col("k")).cast("long").alias("pos"), "piece")
-
-
 def read_logs(spark: SparkSession, path: str, keys: list[str], sep: str = "#####") -> DataFrame:
-    """SRC-13: run logs (segments separated by `#####`), partitioned folders give the keys."""
-    f = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    return numbered_pieces(f, keys, sep)
+    """SRC-13: run logs (segments separated by `#####`), partitioned folders give the keys; (keys, pos, piece), numbered across
+    the files of a run. The text after a file's last separator is no segment."""
+    return separated(spark, path, keys, sep)
 
 
 def write_logs(df: DataFrame, path: str, keys: list[str], order: str, text: str, sep: str = "#####",
@@ -274,9 +249,8 @@ def write_logs(df: DataFrame, path: str, keys: list[str], order: str, text: str,
 
 def read_rationales(spark: SparkSession, path: str) -> DataFrame:
     """SRC-14: a JSON array of strings per file; position = array index."""
-    raw =spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    arr = raw.select("file", F.from_json("value", "array<string>").alias("a"))
-    return arr.select("file", F.posexplode("a").alias("pos", "text"))
+    text = F.get(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), F.lit(0))
+    return elements(spark, path).select(F.substring_index("file", "/", -1).alias("file"), F.col("pos").cast("int").alias("pos"), text.alias("text"))
 
 
 # ---- evaluation traces (SRC-16) -------------------------------------------------------------
@@ -298,12 +272,12 @@ def py_list_items(c) -> F.Column:
 
 def read_traces(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """SRC-16: 6-line records (normalised predictions, labels, raw predictions as list
-    literals, then `EM:`, `Relaxed Accuracy:`, `BLEU Score:`), numbered across files.
+    literals, then `EM:`, `Relaxed Accuracy:`, `BLEU Score:`), numbered across files; a record
+    may reach over splits and files.
     Returns one row per record: (keys, batch, preds, labels, raws, em, ra, bleu)."""
-    f = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    lines = numbered_pieces(f, keys, "\n")
-    rec = lines.select(*keys, F.floor(F.col("pos") / 6).alias("batch"), (F.col("pos") % 6).alias("kind"), "piece")
-    val = lambda k: F.max(F.when(F.col("kind") == k, F.col("piece")))
+    lines = numbered_lines(spark, path, keys)
+    rec = lines.select(*keys, F.floor(F.col("pos") / 6).alias("batch"), (F.col("pos") % 6).alias("kind"), "line")
+    val = lambda k: F.max(F.when(F.col("kind") == k, F.col("line")))
     num = lambda k: F.regexp_extract(val(k), r":\s*(\S+)\s*$", 1).try_cast("double")
     return rec.groupBy(*keys, "batch").agg(
         py_list_items(val(0)).alias("preds"), py_list_items(val(1)).alias("labels"), py_list_items(val(2)).alias("raws"),
