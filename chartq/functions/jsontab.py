@@ -15,36 +15,39 @@ from chartq.functions.text import col_, py_strip
 
 TABLE_SCHEMA = "columns array<string>, rows array<array<string>>"
 
-# A JSON string literal (with escapes) or a run of other characters,
-# and the shape of a bare number lexeme.
-_TOKEN = r'"(?:[^"\\]|\\.)*"|[^"]+'
+# A JSON string literal (with escapes) and the shapes of a bare number and of Python's bare constants.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _NUMBER = r"-?[0-9][0-9.eE+-]*"
 _CONSTANT = r"-?\bInfinity\b|\bNaN\b"
 
 
+def _quoted(c, lexeme: str) -> Column:
+    """`c` with the lexemes outside of string literals in quotes, in one pass: a literal gets two marks behind it, a lexeme one
+    on either side; pairs of marks go, single ones become quotes. (A mark is no character of valid JSON.)"""
+    marked = F.regexp_replace(c, f"({_STRING})|({lexeme})", "$1\x01$2\x01")
+    return F.replace(F.replace(marked, F.lit("\x01\x01"), F.lit("")), F.lit("\x01"), F.lit('"'))
+
+
 def strict_json_ok(c) -> Column:
     """True when the whole string is one JSON value (Python `json.loads` would not raise).
 
-    `try_parse_json` alone accepts trailing text; wrapping the text in an array and in an
-    object field makes any trailing or missing part a syntax error."""
-    s = quote_constants(c)
-    return (F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).isNotNull()
-            & F.try_parse_json(F.concat(F.lit('{"k":'), s, F.lit("}"))).isNotNull())
+    `try_parse_json` alone accepts trailing text. Here the text is the first of two items of an array, the second being the
+    text's own digest: a text that is not one whole value leaves something else, or nothing, in second place."""
+    s = col_(c)
+    own = F.md5(s)
+    v = F.try_parse_json(F.concat(F.lit("["), quote_constants(s), F.lit(',"'), own, F.lit('"]')))
+    return F.coalesce(F.try_variant_get(v, "$[1]", "string") == own, F.lit(False))
 
 
 def quote_constants(c) -> Column:
     """Bare NaN / Infinity / -Infinity outside string literals become strings, as Python's parser hands them to `parse_constant=str`."""
     s = col_(c)
-    toks = F.regexp_extract_all(s, F.lit(_TOKEN), 0)
-    quoted = F.array_join(F.transform(toks, lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, _CONSTANT, '"$0"'))), "")
-    return F.when(s.contains("NaN") | s.contains("Infinity"), quoted).otherwise(s)
+    return F.when(s.contains("NaN") | s.contains("Infinity"), _quoted(s, _CONSTANT)).otherwise(s)
 
 
 def quote_number_lexemes(c) -> Column:
-    c = quote_constants(c)
-    toks = F.regexp_extract_all(col_(c), F.lit(_TOKEN), 0)
-    return F.array_join(F.transform(toks, lambda t: F.when(t.startswith('"'), t)
-                                    .otherwise(F.regexp_replace(t, _NUMBER, '"$0"'))), "")
+    """Bare numbers and constants become strings."""
+    return _quoted(col_(c), f"{_CONSTANT}|{_NUMBER}")
 
 
 def parse_table(c) -> Column:

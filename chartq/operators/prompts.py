@@ -10,6 +10,7 @@ default system message.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +100,13 @@ TEMPLATES = {t.name: t for t in [
 ]}
 
 
+def _left_by_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on null-safe keys: a conversation without an id is a conversation like any other."""
+    there = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(there, reduce(Column.__and__, same), "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def _fill(s: str, t: Template) -> str:
     return s.replace("{sep}", t.sep).replace("{sep2}", t.sep2)
 
@@ -113,7 +121,7 @@ def system_messages(turns: DataFrame, default: str) -> DataFrame:
     """The conversation's system message: its last system turn, else the template default."""
     sysm = turns.where(F.col("role") == "system").groupBy("conv_id").agg(F.max_by("text", "turn").alias("sys_text"))
     convs = turns.select("conv_id").distinct()
-    return convs.join(sysm, "conv_id", "left").select("conv_id", F.coalesce("sys_text", F.lit(default)).alias("system_message"))
+    return _left_by_key(convs, sysm, ["conv_id"]).select("conv_id", F.coalesce("sys_text", F.lit(default)).alias("system_message"))
 
 
 def render(turns: DataFrame, template: str) -> DataFrame:
@@ -150,7 +158,7 @@ def render(turns: DataFrame, template: str) -> DataFrame:
             "plain_if_msg": F.when(has_msg, sp).otherwise(F.lit("")),
             "sep2": F.concat(F.col("system_message"), F.lit(t.sep2)),
             "llama2": F.when(has_msg, sp).otherwise(F.lit("[INST] "))}[st.head]
-    return sysm.join(body, "conv_id", "left").select("conv_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("prompt"))
+    return _left_by_key(sysm, body, ["conv_id"]).select("conv_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("prompt"))
 
 
 def turn_pairs(turns: DataFrame, offset: int = 0) -> DataFrame:
@@ -160,7 +168,7 @@ def turn_pairs(turns: DataFrame, offset: int = 0) -> DataFrame:
                                                F.col("text").alias("first"))
     second = m.where(F.col("j") % 2 == 1).select("conv_id", F.floor(F.col("j") / 2).cast("int").alias("pair"),
                                                 F.col("text").alias("second"))
-    return first.join(second, ["conv_id", "pair"], "left")
+    return _left_by_key(first, second, ["conv_id", "pair"]).select("conv_id", "pair", "first", "second")
 
 
 def message_list(turns: DataFrame, default_system: str = "", offset: int = 0) -> DataFrame:
@@ -188,7 +196,7 @@ def append_turn(turns: DataFrame, role: str = "assistant", text: str | None = No
 def replace_last(turns: DataFrame, text) -> DataFrame:
     """PMT-06: replace the text of each conversation's last turn."""
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    j = turns.join(last, "conv_id")
+    j = _left_by_key(turns, last, ["conv_id"])
     return j.select("conv_id", "turn", "role",
                     F.when(F.col("turn") == F.col("_last"), col_(text)).otherwise(F.col("text")).alias("text"))
 
@@ -218,8 +226,18 @@ def training_prompt(turns: DataFrame, templates: DataFrame) -> DataFrame:
     """PMT-05 / JN-04: every user turn gets the system prompt of its conversation's template id (a
     lookup join against the registry, a literal table of ten rows) followed by its text. Negative
     ids count from the end of the registry; a conversation without an id takes the first template."""
-    n = templates.count()
-    tid = F.coalesce(F.pmod(F.col("conv_id"), F.lit(n)), F.lit(0)).cast("int")
+    n = templates.agg(F.count(F.lit(1))).scalar()     # part of the plan, no job of its own
+    tid = F.coalesce(F.pmod(F.col("conv_id"), n), F.lit(0)).cast("int")
     users = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"), tid.alias("template_id"))
     j = users.join(F.broadcast(templates), "template_id")
     return j.select("conv_id", "turn", "template", F.concat_ws("\n", "system_prompt", "query").alias("prompt"))
+
+
+def block_prompts(examples: DataFrame, prompts: DataFrame, default: str = "", block: str = "block_id", query: str = "query") -> DataFrame:
+    """PMT-05 / JN-04: each example gets the system prompt of its block id, from a table (block_id, system_prompt) that the user
+    supplies, followed by its query (`prompt`). An id that the table lacks, or none, takes `default`; of several prompts with one
+    id the smallest text counts. The table's size is measured at run time, so a small one is broadcast and a large one
+    shuffled."""
+    one = prompts.where(F.col("block_id").isNotNull()).groupBy(F.col("block_id").alias("_b")).agg(F.min("system_prompt").alias("_sys"))
+    j = examples.join(one, F.col(block) == F.col("_b"), "left")
+    return j.withColumn("prompt", F.concat_ws("\n", F.coalesce("_sys", F.lit(default)), query)).drop("_b", "_sys")

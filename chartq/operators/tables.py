@@ -37,33 +37,34 @@ def type_accuracy(df: DataFrame, keys=("run", "dataset"), gold="chart_type") ->
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), round4(F.avg(hit)).alias("type_acc"))
 
 
-def table_error_expr(gold_text: Column, pred_text: Column) -> Column:
-    """MET-07 per row: gold does not parse → 0; prediction does not parse (after `'`→`"`) → 1;
-    otherwise mismatching cells / cells visited over zipped row pairs (stripped, lower-case).
-    A predicted row shorter than its gold row adds one error and stops the scan. A table without
-    rows counts as 1 (the reference returns 1e6, quirk Q11)."""
-    pt = F.replace(pred_text, F.lit("'"), F.lit('"'))
-    return _table_error_parsed(J.strict_json_ok(gold_text), J.strict_json_ok(pt), J.parse_table(gold_text), J.parse_table(pt))
-
-
-def _table_error_parsed(gok: Column, pok: Column, g: Column, p: Column, compat: bool = False) -> Column:
-    n_pairs = F.least(F.size(g["rows"]), F.size(p["rows"]))
-
+def _pairs(g: Column, p: Column) -> Column:
+    """Per zipped pair of rows: their lengths (k, m) and the cells that differ, stripped and in lower case, among those both have."""
     def pair(a, b):
-        n = F.least(F.size(a), F.size(b))
-        diff = F.slice(F.zip_with(a, b, lambda x, y: F.coalesce(F.lower(py_strip(x)) != F.lower(py_strip(y)), F.lit(True))),
-                       1, n)
-        return F.struct(F.size(a).alias("k"), F.size(b).alias("m"), F.size(F.filter(diff, lambda d: d)).alias("bad"))
-
-    pairs = F.slice(F.zip_with(g["rows"], p["rows"], pair), 1, n_pairs)
-    f = F.array_position(F.transform(pairs, lambda x: x["m"] < x["k"]), True)
-    used = F.when(f == 0, pairs).otherwise(F.slice(pairs, 1, f.cast("int")))
-    stop = F.when(f > 0, 1).otherwise(0)
-    err = F.aggregate(used, F.lit(0), lambda acc, x: acc + x["bad"]) + stop
-    cnt = F.aggregate(used, F.lit(0), lambda acc, x: acc + F.least(x["k"], x["m"])) + stop
-    return (F.when(~gok, 0.0).when(~pok, 1.0)
-            .when(g["rows"].isNull() | p["rows"].isNull(), 1.0 / 1e-6 if compat else 1.0)
-            .otherwise(err / (cnt + F.lit(1e-6)) if compat else err / (cnt + F.lit(1e-6))))
+        differs = F.zip_with(a, b, lambda x, y: F.coalesce(F.lower(py_strip(x)) != F.lower(py_strip(y)), F.lit(True)))
+        return F.struct(F.size(a).alias("k"), F.size(b).alias("m"),
+                        F.size(F.filter(F.slice(differs, 1, F.least(F.size(a), F.size(b))), lambda d: d)).alias("bad"))
+
+    return F.slice(F.zip_with(g["rows"], p["rows"], pair), 1, F.least(F.size(g["rows"]), F.size(p["rows"])))
+
+
+def with_table_error(df: DataFrame, gold: str, pred: str, out: str, compat: bool = False) -> DataFrame:
+    """MET-07 per row: gold does not parse → 0; prediction does not parse (after `'`→`"`) → 1; otherwise mismatching cells / cells
+    visited over zipped row pairs. A predicted row shorter than its gold row adds one error and stops the scan. A table
+    without rows counts as 1 (the reference returns 1e6, quirk Q11: `compat`). Texts are validated and parsed once, and the pairs
+    compared once: every step is a projection of its own that the next one reads."""
+    s = df.withColumns({"_gok": J.strict_json_ok(gold), "_pok": J.strict_json_ok(pred)})
+    s = s.withColumns({"_g": F.when(F.col("_gok") & F.col("_pok"), F.from_json(J.quote_number_lexemes(gold), J.TABLE_SCHEMA)),
+                       "_p": F.when(F.col("_gok") & F.col("_pok"), F.from_json(J.quote_number_lexemes(pred), J.TABLE_SCHEMA))})
+    g, p, pairs, stop = F.col("_g"), F.col("_p"), F.col("_pairs"), F.col("_stop")
+    s = s.withColumns({"_pairs": _pairs(g, p), "_bare": g["rows"].isNull() | p["rows"].isNull()})
+    s = s.withColumn("_stop", F.array_position(F.transform(pairs, lambda x: x["m"] < x["k"]), True).cast("int"))
+    s = s.withColumn("_used", F.when(stop == 0, pairs).otherwise(F.slice(pairs, 1, stop)))
+    more = F.when(stop > 0, 1).otherwise(0)
+    err = F.aggregate("_used", F.lit(0), lambda acc, x: acc + x["bad"]) + more
+    cnt = F.aggregate("_used", F.lit(0), lambda acc, x: acc + F.least(x["k"], x["m"])) + more
+    value = (F.when(~F.col("_gok"), 0.0).when(~F.col("_pok"), 1.0).when(F.col("_bare"), 1.0 / 1e-6 if compat else 1.0)
+             .otherwise(err / (cnt + F.lit(1e-6))))
+    return s.withColumn(out, value).drop("_gok", "_pok", "_g", "_p", "_pairs", "_bare", "_stop", "_used")
 
 
 def table_error(df: DataFrame, keys=("run", "dataset"), completion="completion", gold="gold_table",
@@ -72,8 +73,5 @@ def table_error(df: DataFrame, keys=("run", "dataset"), completion="completion",
     the cell comparison then reads the parsed columns."""
     pred = F.replace(py_strip(before_first(after_last(completion, "<table>"), "</table>")), F.lit("'"), F.lit('"'))
     s1 = df.select(*keys, col_(gold).alias("_gt"), pred.alias("_pt"))
-    s2 = s1.select(*keys, J.strict_json_ok("_gt").alias("_gok"), J.strict_json_ok("_pt").alias("_pok"),
-                   F.from_json(J.quote_number_lexemes("_gt"), J.TABLE_SCHEMA).alias("_g"),
-                   F.from_json(J.quote_number_lexemes("_pt"), J.TABLE_SCHEMA).alias("_p"))
-    e = s2.select(*keys, _table_error_parsed(F.col("_gok"), F.col("_pok"), F.col("_g"), F.col("_p"), compat).alias("err"))
+    e = with_table_error(s1, "_gt", "_pt", "err", compat)
     return e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), round4(F.avg("err")).alias("table_err"))

@@ -397,28 +397,46 @@ _TPL_VALUES = ", ".join(f"({i}, {lit(t.name)}, {lit(t.system_template.replace('{
                         for i, t in enumerate(PM.TEMPLATES.values()))
 
 
-@register("training_prompt", with_fv("fv_turns") + f""", tp as (select * from (values {_TPL_VALUES}) t(template_id, template, system_prompt)),
+@register("training_prompt_first", with_fv("fv_turns") + f""", tp as (select * from (values {_TPL_VALUES}) t(template_id, template, system_prompt)),
 fu as (select conv_id, arg_min(text, turn) as query from fv_turns where role = 'user' group by conv_id)
 select conv_id, template, concat_ws(chr(10), system_prompt, query) as prompt
 from fu join tp on tp.template_id = cast(conv_id % {len(PM.TEMPLATES)} as int)""")
-def training_prompt(spark, sf_dir):
-    """PMT-05 / JN-04: system prompt looked up by template id, then the first question of a conversation (as its SQL
-    lists them; `training_prompt_turns` has every question)."""
+def training_prompt_first(spark, sf_dir):
+    """PMT-05 / JN-04: system prompt looked up by template id, then the first question of a conversation (`training_prompt` has
+    every question)."""
     first = PM.first_user_turns(FX.fv_turns(spark, sf_dir))
     return PM.training_prompt(first, PM.template_table(spark)).select("conv_id", "template", "prompt")
 
 
 _TPL_N = len(PM.TEMPLATES)
+_PROMPT_SQL = with_fv("fv_turns") + f""", tp as (select * from (values {_TPL_VALUES}) t(template_id, template, system_prompt))
+select conv_id, turn, template, concat_ws(chr(10), system_prompt, text) as prompt from fv_turns
+join tp on tp.template_id = coalesce(((conv_id % {_TPL_N}) + {_TPL_N}) % {_TPL_N}, 0) where role = 'user'"""
 
 
-@register("training_prompt_turns", with_fv("fv_turns") + f""", tp as (select * from (values {_TPL_VALUES}) t(template_id, template, system_prompt))
-select conv_id, turn, template, concat_ws(chr(10), system_prompt, text) as prompt from fv_turns
-join tp on tp.template_id = coalesce(((conv_id % {_TPL_N}) + {_TPL_N}) % {_TPL_N}, 0) where role = 'user'""")
-def training_prompt_turns(spark, sf_dir):
+@register("training_prompt", _PROMPT_SQL)
+def training_prompt(spark, sf_dir):
     """PMT-05 / JN-04: one training prompt per user turn, the system prompt looked up by template id."""
     return PM.training_prompt(FX.fv_turns(spark, sf_dir), PM.template_table(spark))
 
 
+@register("training_prompt_turns", _PROMPT_SQL)
+def training_prompt_turns(spark, sf_dir):
+    """The same as `training_prompt`, under its earlier name."""
+    return training_prompt(spark, sf_dir)
+
+
+@register("training_prompt_blocks", with_fv("fv_turns") + """, p as (select item_id, min(text) as system_prompt from benchmark where item_id is not null group by item_id)
+select conv_id, turn, concat_ws(chr(10), coalesce(system_prompt, 'Look at the chart.'), text) as prompt from fv_turns
+left join p on item_id = conv_id % 60 where role = 'user'""")
+def training_prompt_blocks(spark, sf_dir):
+    """PMT-05 / JN-04: the system prompt of a block id from a supplied table (here the benchmark texts by item id), with a default
+    for blocks that it lacks."""
+    turns = FX.fv_turns(spark, sf_dir).where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("query"), (F.col("conv_id") % 60).alias("block_id"))
+    prompts = FX.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("block_id"), F.col("text").alias("system_prompt"))
+    return PM.block_prompts(turns, prompts, default="Look at the chart.").select("conv_id", "turn", "prompt")
+
+
 @register("ocr_batches", _HN_SQL + """select batch, count(*) as n from
  (select cast(floor((row_number() over (order by conv_id, turn, tok_pos) - 1) / 512) as bigint) as batch from hn) group by batch""")
 def ocr_batches(spark, sf_dir):

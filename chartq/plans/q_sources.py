@@ -8,10 +8,12 @@ with the tables.
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chartq.functions import jsontab as J
-from chartq.functions.text import after_last, before_first, py_strip
+from chartq.functions.text import after_last, before_first, first_word, py_strip
 from chartq.operators import curate as C
 from chartq.operators import tables as T
 from chartq.plans import sqlmacros as S
@@ -87,6 +89,21 @@ def _write_tables(spark, cells, path):
          .write.mode("append").partitionBy("chart_id").option("header", True).csv(path))
 
 
+@register("csv_quoted_cells", """with d as (select coalesce(source, 'none') as chart_id, doc_id, lang, text,
+ row_number() over (partition by coalesce(source, 'none') order by doc_id) - 1 as row_idx from documents)
+select chart_id, row_idx, 0 as col_idx, 'doc, id' as col_name, cast(doc_id as varchar) as cell from d
+union all select chart_id, row_idx, 1, 'lang', coalesce(lang, '') from d
+union all select chart_id, row_idx, 2, 'the "text"', coalesce(text, '') from d""")
+def csv_quoted_cells(spark, sf_dir):
+    """SRC-11: documents as CSV tables by source, whose cells hold line breaks, quotes and commas, read back whole."""
+    path = RD.stage_dir(spark, "quoted-tables")
+    d = _docs(spark, sf_dir).select(F.coalesce("source", F.lit("none")).alias("chart_id"), F.col("doc_id").alias("doc, id"), "lang", F.col("text").alias('the "text"'))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (d.repartitionByRange(n, "chart_id", "doc, id").sortWithinPartitions("chart_id", "doc, id").write.partitionBy("chart_id")
+     .options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
+    return RD.read_table_dir(spark, path, key_col="chart_id")
+
+
 # ---- rationale records (TXT-07, JSN-01) -----------------------------------------------------
 
 def _rationale_spark(spark, sf_dir):
@@ -113,14 +130,14 @@ select run, dataset, idx, reasoning, type, json_valid(tab) as table_ok,
 def rationale_fields(spark, sf_dir):
     """TXT-07 + JSN-01: reasoning between `### Reasoning: ` and `### Type: `, the type after
     `### Type: ` (default "bar"), and the fenced table repaired with a closing brace."""
-    r = _rationale_spark(spark, sf_dir)
     rat = F.col("rationale")
     reasoning = before_first(py_strip(after_last(rat, "### Reasoning: ")), "### Type: ")
     typ = F.when(rat.contains("### Type: "), py_strip(after_last(rat, "### Type: "))).otherwise(F.lit("bar"))
-    tab = J.repair_table_text(rat)
-    parsed = J.parse_table(tab)
-    return r.select("run", "dataset", "idx", reasoning.alias("reasoning"), typ.alias("type"),
-                    J.strict_json_ok(tab).alias("table_ok"), F.when(J.strict_json_ok(tab), F.size(parsed["rows"])).cast("bigint").alias("n_rows"))
+    # staged over projections: the table is cut, validated and parsed once a row
+    r = _rationale_spark(spark, sf_dir).select("run", "dataset", "idx", reasoning.alias("reasoning"), typ.alias("type"), J.repair_table_text(rat).alias("tab"))
+    r = r.withColumn("table_ok", J.strict_json_ok("tab"))
+    rows = F.when(F.col("table_ok"), F.from_json(J.quote_number_lexemes("tab"), J.TABLE_SCHEMA))
+    return r.select("run", "dataset", "idx", "reasoning", "type", "table_ok", F.size(rows["rows"]).cast("bigint").alias("n_rows"))
 
 
 # ---- evaluation traces (SRC-16, MET-05) -----------------------------------------------------
@@ -185,6 +202,19 @@ def _json_lines(df, name: str, sub: str = "") -> str:
     return path
 
 
+def _json_arrays(df, path: str) -> None:
+    """Write JSON text rows (one string column) as array files, one per partition, a line per element."""
+    def bracketed(batches):
+        opened = False
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            yield pa.record_batch([pa.array([("," if opened or i else "[") + r for i, r in enumerate(rows)], pa.string())], ["value"])
+            opened = opened or bool(rows)
+        yield pa.record_batch([pa.array(["]" if opened else "[]"])], ["value"])
+
+    df.mapInArrow(bracketed, "value string").write.text(path)
+
+
 def _docs(spark, sf_dir):
     return FX.table(spark, sf_dir, "documents")
 
@@ -208,6 +238,39 @@ def src_augmented_human(spark, sf_dir):
     return _tail(RD.read_augmented_human(spark, path, "train", lines=True))
 
 
+@register("src_array_files", """select 'chartqa-src' as dataset, 'train' as split, 'png/' || doc_id || '.png' as image_path, text as query,
+ lang as label, cast(doc_id % 2 as int) as source_tag, cast(null as varchar) as chart_type from documents""")
+def src_array_files(spark, sf_dir):
+    """SRC-01: augmented and human question files of a split as JSON arrays, cut into elements in as many tasks as they have splits."""
+    d = _docs(spark, sf_dir)
+    path = RD.stage_dir(spark, "array-files")
+    row = F.to_json(F.struct(F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("imgname"), F.col("text").alias("query"), F.col("lang").alias("label"))).alias("value")
+    _json_arrays(d.where("doc_id % 2 = 1").select(row), f"{path}/train_augmented.json")
+    _json_arrays(d.where("doc_id % 2 = 0").select(row), f"{path}/train_human.json")
+    return _tail(RD.read_augmented_human(spark, path, "train"))
+
+
+@register("rationale_arrays", "select row_number() over (order by doc_id) - 1 as pos, coalesce(text, '') as text from documents")
+def rationale_arrays(spark, sf_dir):
+    """SRC-14: rationales as JSON arrays of strings, several files in order, numbered over all of them."""
+    path = RD.stage_dir(spark, "rationale-arrays")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    one = F.to_json(F.struct(F.col("text").alias("t")))      # {"t":...}: the string's own JSON form stands between the colon and the brace
+    _json_arrays(d.select(F.substring(one, F.lit(6), F.length(one) - 6).alias("value")), path)
+    r = RD.read_rationales(spark, path)
+    sizes = r.groupBy("file").agg(F.count(F.lit(1)).alias("n"))     # one row per file
+    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    off = sizes.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("off"))
+    return r.join(off, "file").select((F.col("off") + F.col("pos")).alias("pos"), "text")
+
+
+@register("label_first_word", with_fv("fv_qa") + "select dataset, qid, string_split(label, ' ')[1] as answer, string_split(query, ' ')[1] as word from fv_qa")
+def label_first_word(spark, sf_dir):
+    """TXT-14: the first word of a label, and of a question."""
+    return FX.fv_qa(spark, sf_dir).select("dataset", "qid", first_word("label").alias("answer"), first_word("query").alias("word"))
+
+
 @register("src_fact_check", f"""select 'chartfc' as dataset, 'test' as split, 'img/' || doc_id || '.png' as image_path, text as query,
  case when doc_id % 3 = 1 then 'Yes' else 'No' end as label, {_CANON} from documents""")
 def src_fact_check(spark, sf_dir):

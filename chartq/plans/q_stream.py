@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chartq.functions.numeric import round4
 from chartq.plans.fixture_sql import with_fv
 from chartq.plans.q_eval import _scorecard_sql
-from chartq.plans.q_rewards import _ALL_CTE
+from chartq.plans.q_rewards import _SEVEN_CTE
 from chartq.plans import sqlmacros as S
 from chartq.plans.registry import register
 from chartq.sources import fixtures as FX
@@ -17,7 +17,7 @@ from chartq.sources import readers as RD
 from chartq.sources import sinks as SK
 from chartq.streaming import streams as ST
 
-_R = ("r_format", "r_accuracy", "r_length", "r_tokens", "r_chart_type", "r_table", "r_total")
+_R = ("r_format", "r_accuracy", "r_length", "r_tokens", "r_chart_type", "r_table", "r_process", "r_total")
 
 
 def _stage(df, spark, name):
@@ -26,14 +26,14 @@ def _stage(df, spark, name):
     return path
 
 
-@register("stream_rewards", _ALL_CTE + "select run, dataset, idx, " + ", ".join(f"{S.r4(c)} as {c}" for c in _R) + " from tot")
+@register("stream_rewards", _SEVEN_CTE + "select run, dataset, idx, " + ", ".join(f"{S.r4(c)} as {c}" for c in _R) + " from seven")
 def stream_rewards(spark, sf_dir):
-    """STR-01: completions arriving as files, scored by the batch reward expressions in a
-    streaming query, appended to a parquet sink."""
+    """STR-01: completions arriving as files, scored by all seven batch rewards in a streaming query (the embeddings of the process
+    reward come from a static table), appended to a parquet sink."""
     comp = FX.fv_completions(spark, sf_dir)
     src = _stage(comp, spark, "stream-completions")
     sink, ckpt = RD.stage_dir(spark, "stream-rewards"), RD.stage_dir(spark, "stream-rewards-ckpt")
-    ST.stream_rewards(spark, src, comp.schema, sink, ckpt)
+    ST.stream_rewards(spark, src, comp.schema, sink, ckpt, embeddings=FX.fv_emb(spark, sf_dir))
     out = spark.read.parquet(sink)
     return out.select("run", "dataset", "idx", *[round4(c).alias(c) for c in _R])
 
@@ -45,6 +45,7 @@ def stream_scorecard(spark, sf_dir):
     src = _stage(ev, spark, "stream-eval")
     sink, ckpt = RD.stage_dir(spark, "stream-scorecard"), RD.stage_dir(spark, "stream-scorecard-ckpt")
     ST.stream_scorecard(spark, src, ev.schema, sink, ckpt)
+    ST.compact_scorecard(spark, sink)
     return ST.latest_scorecard(spark, sink)
 
 
@@ -68,3 +69,19 @@ def icl_cache(spark, sf_dir):
     draw = C.top_k_seeded(FX.fv_qa(spark, sf_dir).select("dataset", "qid", "query", "label"), 5, 2026, "qid")
     SK.materialize(draw, path)
     return SK.materialize(draw, path)
+
+
+@register("append_batches", "select source as dataset, doc_id, text from documents")
+def append_batches(spark, sf_dir):
+    """SNK-02: rationales appended batch by batch to a table partitioned by dataset, read back in full."""
+    path = RD.stage_dir(spark, "append")
+    rows = FX.table(spark, sf_dir, "documents").select(F.col("source").alias("dataset"), "doc_id", "text")
+    for batch in (0, 1):
+        SK.append(rows.where(F.pmod("doc_id", F.lit(2)) == batch), path)
+    return spark.read.parquet(path).select(F.col("dataset").cast("string").alias("dataset"), "doc_id", "text")
+
+
+@register("saved_prefs", with_fv("fv_pref") + "select conv_id, turn, question, predicted, label from fv_pref")
+def saved_prefs(spark, sf_dir):
+    """SNK-03: preference rows saved once as parquet and read from the stored copy."""
+    return SK.materialize(FX.fv_pref(spark, sf_dir).select("conv_id", "turn", "question", "predicted", "label"), RD.stage_dir(spark, "prefs"))

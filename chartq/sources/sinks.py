@@ -11,13 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _at(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p, fs = _at(spark, path)
     return bool(fs.exists(p))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a sink wrote; one that is not there is no error."""
+    p, fs = _at(spark, path)
+    fs.delete(p, True)
+
+
 def is_built(spark: SparkSession, path: str) -> bool:
     return _exists(spark, path.rstrip("/") + "/_SUCCESS")
 

@@ -1,6 +1,7 @@
 """Every separator style: Spark rendering against a plain-Python restatement of the layout."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from chartq.operators import prompts as PM
 
@@ -79,3 +80,20 @@ def test_set_system_message(spark):
     assert {tuple(r) for r in new.collect()} == {(1, 0, "system", "new"), (1, 1, "user", "a"), (2, -1, "system", "new"), (2, 0, "user", "d"),
                                                  (None, 3, "system", "new"), (None, 4, "user", "e")}
     assert {r.system_message for r in PM.system_messages(new, "").where("conv_id = 1").collect()} == {"new"}
+
+
+def test_a_conversation_without_an_id_keeps_its_rows(spark):
+    turns = spark.createDataFrame([(None, 0, "system", "sys"), (None, 1, "user", "q"), (None, 2, "assistant", "a"), (7, 0, "user", "z")],
+                                  "conv_id long, turn int, role string, text string")
+    last = {(r.conv_id, r.turn): r.text for r in PM.replace_last(turns, F.lit("new")).collect()}
+    assert last == {(None, 0): "sys", (None, 1): "q", (None, 2): "new", (7, 0): "new"}
+    pairs = {(r.conv_id, r.pair): (r["first"], r.second) for r in PM.turn_pairs(turns).collect()}
+    assert pairs == {(None, 0): ("q", "a"), (7, 0): ("z", None)}
+    prompts = {r.conv_id: r.prompt for r in PM.render(turns, next(iter(PM.TEMPLATES))).collect()}
+    assert "sys" in prompts[None] and "a" in prompts[None]
+
+
+def test_prompts_by_block_id(spark):
+    examples = spark.createDataFrame([(1, 3, "q1"), (2, None, "q2"), (3, 9, "q3")], "i int, block_id long, query string")
+    prompts = spark.createDataFrame([(3, "b"), (3, "a"), (None, "x"), (4, "y")], "block_id long, system_prompt string")
+    assert {r.i: r.prompt for r in PM.block_prompts(examples, prompts, "d").collect()} == {1: "a\nq1", 2: "d\nq2", 3: "d\nq3"}
