@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartq.llm.bpe import byte_characters
+from chartq.llm.bpe import CUT, byte_characters
 from chartq.llm.common import stage, utf8
 
 PART = 2_000_000       # id pairs of one broadcast: 17 bytes each
 LINKS = 2_000_000      # links whose pairs a task adds up before it hands them on
 ROW = 50_000           # pairs of one row
 SLICE = 4 << 20        # bytes of text tokenised at a time
+CACHED = 250_000       # pieces of text whose ids (A) a task remembers
+CACHED_CHARS = 64      # the longest piece that is remembered
+JOINED = 5_000         # pieces encoded as one text
 
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 _ALIGNED = ("digest binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -60,18 +64,49 @@ class Aligner:
         b = self.b
         b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
                    for i in range(b.get_piece_size())]
-        self.bytes = (a_bytes, b_bytes)
-        self.sizes = [np.fromiter(map(len, table), np.int64, len(table)) for table in self.bytes]
+        tables = (a_bytes, b_bytes)
+        self.sizes = [np.fromiter(map(len, table), np.int64, len(table)) for table in tables]
+        self.starts = [np.cumsum(size) - size for size in self.sizes]
+        self.flat = [np.frombuffer(b"".join(table), np.uint8) for table in tables]
+        self.cut = re.compile(CUT).split
+        self.known: dict[str, bytes] = {}
         # an id's decimal form and what follows it: inside a group of a side, and at its end
         self.forms = [f"{i}{e}" for table, ends in ((a_bytes, ",|"), (b_bytes, ",;")) for e in ends for i in range(len(table))]
 
+    def a_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of A. Byte-level splitting always cuts at a space before a visible character, so what lies between such spaces is
+        encoded once and remembered; that changes no id."""
+        if len(self.known) > CACHED:
+            self.known.clear()
+        cut = [self.cut(t) for t in texts]
+        fresh = sorted({p for _, *rest in cut for p in rest}.difference(self.known))
+        own = dict(self._encoded(fresh))
+        self.known.update((p, ids) for p, ids in own.items() if len(p) <= CACHED_CHARS)
+        get = {p: ids for p, ids in own.items() if len(p) > CACHED_CHARS}.get
+        find = self.known.get
+        heads = [self._one(head) if head else b"" for head, *_ in cut]
+        return [np.frombuffer(head + b"".join([find(p) or get(p) for p in rest]), np.int32) for head, (_, *rest) in zip(heads, cut)]
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each piece with the ids of a space and the piece. Many are encoded as one text, whose ids are cut by their bytes."""
+        for i in range(0, len(pieces), JOINED):
+            part = pieces[i:i + JOINED]
+            ids = np.frombuffer(self._one("".join([" " + p for p in part])), np.int32)
+            ends = np.cumsum(self.sizes[0][ids])
+            at = np.searchsorted(ends, np.cumsum([1 + len(p.encode()) for p in part])) + 1
+            yield from ((p, ids[a:b].tobytes()) for p, a, b in zip(part, [0, *at[:-1].tolist()], at.tolist()))
+
     def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, num_threads=1)
-        return [(np.array(x.ids, np.int64), np.array(y, np.int64)) for x, y in zip(a, b)]
+        return [(a.astype(np.int64), np.array(b, np.int64)) for a, b in zip(self.a_ids([" " + t for t in texts]), self.b.encode(texts, num_threads=1))]
 
     def spell(self, side: int, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes[side].__getitem__, ids.tolist()))
+        """The bytes of a run of ids, gathered from the bytes of all ids."""
+        size, start = self.sizes[side][ids], self.starts[side][ids]
+        ends = np.cumsum(size)
+        return self.flat[side][np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)].tobytes()
 
     def align(self, text: bytes, ids: tuple[np.ndarray, np.ndarray]) -> tuple[int, str, np.ndarray, np.ndarray] | None:
         """Number of groups, the groups as text and the linked tokens' ids; None where the tokens do not spell the text."""

@@ -86,6 +86,16 @@ def test_texts_that_tokens_do_not_spell_have_none(spark, make_docs):
     assert rows[2]["n_a"] > 0 and rows[3]["n_b"] == 0
 
 
+def test_remembered_pieces_do_not_change_ids(pair, monkeypatch):
+    monkeypatch.setattr(alignment, "CACHED", 3)
+    monkeypatch.setattr(alignment, "CACHED_CHARS", 4)
+    with open(A, encoding="utf-8") as a, open(B, "rb") as b:
+        aligner = alignment.Aligner(a.read(), b.read())
+    texts = [*ODD, " ".join(ODD), "  ".join(ODD) + " ", "a \x1c b \u3000c  d\n e", "", " ", "\n x"]
+    for _ in range(2):
+        assert [x.tolist() for x in aligner.a_ids([" " + t for t in texts])] == [pair[0].encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_no_rows(no_docs):
     found, counts = alignment.align(no_docs, A, B)
     assert found.count() == counts.count() == 0
