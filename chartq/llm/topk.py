@@ -9,7 +9,8 @@ is the sum of the block maxima and the best of its scores so far; the best block
 only blocks whose bound still reaches the k-th best score (WAND at block grain: no document that could enter
 the result is skipped). The k best of every shard are merged by one ranked window.
 
-Queries are sent to every shard in blocks; documents are sent once. Ties in score go to the smaller doc_id (nulls last).
+Documents are sent once, to one task a shard; each distinct query text is sent to every shard once, and its result joined to the ids that
+ask it. Ties in score go to the smaller doc_id (nulls last).
 
 Edge cases: null or empty texts have no words: as queries they give no rows, as documents they never match; queries with
 equal id and text are one query; repeated documents are separate results; a null query id is a query of its own;
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from chartq.llm.decontam import words
 
 K = 10
 K1, B = 1.2, 0.75
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 64 << 20
 BLOCK = 128               # documents of a block
 FIRST = 2                 # blocks scored before the first limit is known
 DENSE_WORDS = 512         # words of a shard that are stored as dense columns, the commonest ones
@@ -64,13 +66,12 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _query_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, hashes, terms = [], [], []
-        for i, h, t in zip(batch["id"], batch["h"], batch["t"]):
+        asked, terms = [], []
+        for q, t in zip(batch["q"], batch["t"]):
             own = _numbers(set(words(t)))
-            ids += [i] * len(own)
-            hashes += [h] * len(own)
+            asked += [q] * len(own)
             terms.append(own)
-        yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "h": hashes, "term": np.concatenate(terms) if terms else np.zeros(0, np.int64)})
+        yield pd.DataFrame({"q": pd.Series(asked, dtype=object), "term": np.concatenate(terms) if terms else np.zeros(0, np.int64)})
 
 
 class Shard:
@@ -173,35 +174,36 @@ def _best(ids: list, found: list[int], scores: list[float], k: int) -> list[tupl
 
 def _search(k: int, mean: float, n: int):
     """Each shard's documents come first, then its queries."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, ids, texts = None, None, [], []
         for batch in batches:
-            out, wait = [], []
-
-            def answer():
-                for (i, h, _, _), (found, scores) in zip(wait, shard.search([(t, w) for _, _, t, w in wait], k) if wait else []):
-                    out.extend((i, h, d, x) for d, x in _best(shard.ids, found, scores, k))
-                wait.clear()
-
-            for s, kind, i, h, t, terms, dfs in batch[["shard", "kind", "id", "h", "t", "terms", "dfs"]].itertuples(index=False):
-                if s != number:
-                    answer()
-                    shard, number, ids, texts = None, s, [], []
-                i = None if i is None or i != i else i
-                if kind == 0:
-                    if t:
-                        ids.append(i)
-                        texts.append(t)
+            out = []
+            kinds, shards = batch["kind"].to_numpy(zero_copy_only=False), batch["shard"].to_numpy(zero_copy_only=False)
+            edges = (np.flatnonzero((np.diff(kinds) != 0) | (np.diff(shards) != 0)) + 1).tolist()
+            for a, b in zip([0, *edges], [*edges, len(kinds)]):
+                part = batch.slice(a, b - a)
+                if shards[a] != number:
+                    shard, number, ids, texts = None, shards[a], [], []
+                if kinds[a] == 0:
+                    own = part["t"].to_pylist()
+                    ids += [i for i, t in zip(part["id"].to_pylist(), own) if t]
+                    texts += filter(None, own)
                     continue
                 if shard is None and texts:
                     shard, texts = Shard(ids, texts, mean), []
-                if shard is not None and len(shard.vocab):
-                    df = np.asarray(dfs, dtype=float)
-                    wait.append((i, h, np.asarray(terms, dtype=np.int64), np.log(1 + (n - df + 0.5) / (df + 0.5))))
-                    if len(wait) == AT_ONCE:
-                        answer()
-            answer()
-            yield pd.DataFrame(out, columns=["query_id", "h", "doc_id", "score"]).astype({"query_id": object, "doc_id": object})
+                if shard is None or not len(shard.vocab):
+                    continue
+                df = part["dfs"].flatten().to_numpy()
+                weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
+                terms, ends = part["terms"].flatten().to_numpy(), np.cumsum(part["terms"].value_lengths().to_numpy())
+                bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+                asked = part["q"].to_pylist()
+                for i in range(0, len(asked), AT_ONCE):
+                    found = shard.search([(terms[x:y], weight[x:y]) for x, y in bounds[i:i + AT_ONCE]], k)
+                    out += [(q, d, x) for q, (at, scores) in zip(asked[i:i + AT_ONCE], found) for d, x in _best(shard.ids, at, scores, k)]
+            columns = list(zip(*out)) or [(), (), ()]
+            kind = [pa.binary(), batch.schema.field("id").type, pa.float64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kind)], ["q", "doc_id", "score"])
 
     return run
 
@@ -210,25 +212,26 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
     """The k best documents of every query: query_id, doc_id, rank, score. Both inputs have doc_id and text."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", utf8("text").alias("t"))
-    asked = (queries.select(F.col("doc_id").alias("id"), utf8("text").alias("t")).withColumn("h", F.xxhash64("t")))
+    asked = queries.select(F.col("doc_id").alias("query_id"), utf8("text").alias("t")).withColumn("q", F.unhex(F.sha2("t", 256)))
     counts = rows.select("t").mapInPandas(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     counts = stage(counts)
     n, size = rows.agg(F.count(F.lit(1)), F.sum(F.length("t"))).first()
     total = counts.where("term is null").agg(F.sum("df")).first()[0] or 0
     mean = max(total / max(n, 1), 1e-9)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = asked.mapInPandas(_query_terms, f"id {kind}, h long, term long").distinct()
-    known = stage(own.join(counts.where("term is not null"), "term").groupBy("id", "h")
+    own = asked.dropDuplicates(["q"]).select("q", "t").mapInPandas(_query_terms, "q binary, term long")
+    known = stage(own.join(counts.where("term is not null"), "term").groupBy("q")
                   .agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("x"))
-                  .select("id", "h", F.col("x.term").alias("terms"), F.col("x.df").alias("dfs")))
+                  .select("q", F.col("x.term").alias("terms"), F.col("x.df").alias("dfs")))
     shards = max(1, math.ceil((size or 0) / shard_bytes))
     none = F.lit(None)
     side = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"),
-                       F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("h"), "t",
+                       F.col("doc_id").alias("id"), "t", none.cast("binary").alias("q"),
                        none.cast("array<long>").alias("terms"), none.cast("array<long>").alias("dfs"))
-    sent = known.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "h",
-                        F.lit(b"").alias("t"), "terms", "dfs")
-    found = (side.union(sent).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-             .mapInPandas(_search(k, mean, n), f"query_id {kind}, h long, doc_id {kind}, score double"))
-    order = Window.partitionBy("query_id", "h").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+    sent = known.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"),
+                        none.cast(kind).alias("id"), F.lit(b"").alias("t"), "q", "terms", "dfs")
+    found = (side.union(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
+             .mapInArrow(_search(k, mean, n), f"q binary, doc_id {kind}, score double"))
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return asked.select("query_id", "q").distinct().join(best, "q").select("query_id", "doc_id", "rank", "score")
