@@ -5,9 +5,10 @@ whole text (bytes of other characters are all above 0x7F). Only words of the ben
 a window is looked up only where `n` consecutive words all have one, and the lookup compares the whole
 number sequence, so every hit is verified. An item of fewer than `n` words is one window of its length.
 
-The set is broadcast in bounded parts: the benchmark's size is measured and items are dealt by hash into
-as many parts as `PART_BYTES` asks for; each part is one pass over the documents that adds its hits to
-those of the passes before (staged in between), so no broadcast grows with the benchmark.
+The set is broadcast in bounded parts: the benchmark's windows are counted and items are dealt by hash into as many parts as
+`PART_WINDOWS` asks for; each part is one pass over the documents that adds its hits to those of the passes before (staged
+in between), so no broadcast grows with the benchmark. A part is flat arrays (a row of word numbers per distinct window, sorted by
+hash, and the items of each) and the numbers of its words; an item is never cut, so only one item could exceed a part.
 
 Edge cases: null texts have no words; an item with a null id is matched and removed like any other but is
 not listed or counted; items with equal ids count once; an empty benchmark hits nothing; an empty
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from chartq.llm.common import stage, utf8
 
 WINDOW = 10
-PART_BYTES = 64 << 20     # benchmark text behind one broadcast set
+PART_WINDOWS = 500_000    # benchmark windows behind one broadcast set
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -42,40 +43,71 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD).split()
 
 
-def window_set(items, n: int = WINDOW) -> tuple[dict, dict]:
-    """Numbers of the words of some items, and per window length the items of each number sequence."""
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every row of word numbers."""
+    out = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        out = (out ^ (column.astype(np.uint64) + np.uint64(1))) * _PRIME
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def window_set(items, n: int = WINDOW) -> tuple[dict, list, list]:
+    """Numbers of the words of some items; per window length the distinct windows sorted by hash, as (hashes, rows of word
+    numbers, first owner, owners); and the items' ids, which owners count."""
     numbers: dict[bytes, int] = {}
-    by_length: dict[int, dict[bytes, set]] = {}
+    by_length: dict[int, list] = {}
+    ids = []
     for item_id, text in items:
         seq = words(bytes(text))
         if not seq:
             continue
-        ids = np.array([numbers.setdefault(w, len(numbers)) for w in seq], dtype=np.int32).tobytes()
-        size = min(n, len(seq))
-        table = by_length.setdefault(size, {})
-        for i in range(len(seq) - size + 1):
-            table.setdefault(ids[4 * i:4 * (i + size)], set()).add(item_id)
-    return numbers, by_length
-
-
-def find_windows(windows: tuple[dict, dict], seq: list[bytes]) -> tuple[np.ndarray, set]:
+        own = np.array([numbers.setdefault(w, len(numbers)) for w in seq], dtype=np.int32)
+        by_length.setdefault(min(n, len(own)), []).append((len(ids), own))
+        ids.append(item_id)
+    tables = []
+    for size, owned in by_length.items():
+        rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(own, size) for _, own in owned])
+        owner = np.repeat(np.array([i for i, _ in owned], np.int32), [len(own) - size + 1 for _, own in owned])
+        order = np.lexsort((owner, *rows.T, h := _hashes(rows)))
+        h, rows, owner = h[order], rows[order], owner[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        again = ~new & np.concatenate(([False], owner[1:] == owner[:-1]))    # a window twice in one item
+        first = np.flatnonzero(new)
+        kept = np.cumsum(~again)
+        tables.append((size, h[first], rows[first], np.append(kept[first] - 1, kept[-1]).astype(np.int64), owner[~again]))
+    return numbers, tables, ids
+
+
+def find_windows(windows: tuple[dict, list, list], seq: list[bytes]) -> tuple[np.ndarray, set]:
     """Mask of the words inside an occurring window, and the ids of the items found."""
-    numbers, by_length = windows
+    numbers, tables, item_ids = windows
     hit = np.zeros(len(seq) + 1, dtype=np.int32)
     found: set = set()
-    get = numbers.get
-    ids = np.array([get(w, -1) for w in seq], dtype=np.int32)
+    ids = np.array([numbers.get(w, -1) for w in seq], dtype=np.int32)
     known = np.concatenate(([0], np.cumsum(ids >= 0)))
-    raw = ids.tobytes()
-    for size, table in by_length.items():
+    for size, hashes, rows, first, owners in tables:
         if size > len(seq):
             continue
-        for p in np.flatnonzero(known[size:] - known[:-size] == size).tolist():
-            owners = table.get(raw[4 * p:4 * (p + size)])
-            if owners:
+        at = np.flatnonzero(known[size:] - known[:-size] == size)
+        if not len(at):
+            continue
+        own = np.lib.stride_tricks.sliding_window_view(ids, size)[at]
+        h = _hashes(own)
+        low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+        while len(at):      # windows that share a hash are next to each other: almost always one
+            open_ = low < high
+            at, own, low, high = at[open_], own[open_], low[open_], high[open_]
+            same = (rows[low] == own).all(axis=1)
+            for p, w in zip(at[same].tolist(), low[same].tolist()):
                 hit[p] += 1
                 hit[p + size] -= 1
-                found |= owners
+                found.update(item_ids[o] for o in owners[first[w]:first[w + 1]].tolist())
+            at, own, low, high = at[~same], own[~same], low[~same] + 1, high[~same]
     return np.cumsum(hit[:-1]) > 0, found
 
 
@@ -110,16 +142,18 @@ def _pass(held, found_before: Column | None, text: Column) -> Column:
     return more(text, found_before)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, part_windows: int = PART_WINDOWS) -> DataFrame:
     """Every input row as struct `row`, with `hits` (see HITS)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), utf8("text").alias("t"))
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    parts = max(1, math.ceil(total / part_bytes))
+    found = F.regexp_count(F.col("t").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    windows = F.when(found > 0, F.greatest(found - (n - 1), F.lit(1))).otherwise(0)
+    total = items.agg(F.sum(windows.cast("long"))).first()[0] or 0
+    parts = max(1, math.ceil(total / part_windows))
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     dealt = F.pmod(F.xxhash64("id", "t"), F.lit(parts))
     for part in range(parts):
-        rows = items.where(dealt == part).collect() if parts > 1 else items.collect()  # about part_bytes of text
+        rows = items.where(dealt == part).collect() if parts > 1 else items.collect()  # the text of about part_windows windows
         held = spark.sparkContext.broadcast(window_set([(r["id"], r["t"]) for r in rows], n))
         out = out.select("row", _pass(held, F.col("hits") if part else None, utf8(F.col("row.text"))).alias("hits"))
         if part + 1 < parts:
@@ -144,14 +178,14 @@ def cut_runs(text: bytes, runs) -> bytes:
     return b"".join(out)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove: str = "spans", part_bytes: int = PART_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove: str = "spans", part_windows: int = PART_WINDOWS) -> DataFrame:
     """The documents without benchmark windows, in the columns of `docs`.
 
     remove="spans" cuts every hit run out of the text and updates n_chars where that column exists; a
     document of which no word is left goes. remove="documents" drops every document with a hit.
     Documents without a hit stay as they are.
     """
-    found = scan(docs, benchmark, n, part_bytes)
+    found = scan(docs, benchmark, n, part_windows)
     if remove == "documents":
         return found.where("hits.n_hit = 0").select("row.*")
     if remove != "spans":

@@ -2,7 +2,7 @@
 
 Base spans come from three patterns (assignments, access keys, hex runs) over the whole text. The method
 adds spans: every other maximal token of `[A-Za-z0-9+/_=-]` with `MIN_TOKEN` or more characters gets an inferred
-encoding (hex, base32, alphanumeric, base64, base64url) and a battery of three tests over its symbols:
+encoding (hex, also in groups; base32 and base36 of one case; alphanumeric, base64, base64url) and three tests over its symbols:
 
 * chi-squared uniformity over the alphabet of the encoding,
 * the runs test over symbol kinds (lower case, upper case, digit, other),
@@ -46,12 +46,15 @@ CHANGE = 0.12             # chance that neighbouring symbols of an ordinary toke
 P_BINS = 60               # p-value bins: powers of two down to 2 ** -60
 LENGTHS = (24, 32, 40, 48, 64, 96, 128, 256, 512)   # lower ends of the length classes above the first
 
-ENCODINGS = (("hex", "^[0-9a-fA-F]+$", 16), ("base32", "^[A-Z2-7]+=*$", 32), ("alnum", "^[A-Za-z0-9]+$", 62),
+# The smallest alphabet that a token fits; hyphens of grouped hex (as in UUIDs) are no symbols.
+ENCODINGS = (("hex", "^[0-9a-fA-F]+$", 16), ("hexgroups", "^[0-9a-fA-F]+(?:-[0-9a-fA-F]+)+$", 16),
+             ("base32", "^(?:[A-Z2-7]+|[a-z2-7]+)=*$", 32), ("base36", "^(?:[A-Z0-9]+|[a-z0-9]+)$", 36), ("alnum", "^[A-Za-z0-9]+$", 62),
              ("base64", "^[A-Za-z0-9+/]+=*$", 64), ("base64url", "^[A-Za-z0-9_-]+=*$", 64))
 _SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-="
 
 _FOUND = "array<struct<start:bigint,order:int,kind:string,end:bigint,value:string>>"
 _CHUNK = 256              # matches of one text whose positions are added up at a time
+_BLOCK = 2048             # characters whose base spans a token is held against
 
 
 def _span(start: Column, order: Column, kind: Column, end: Column, value: Column) -> Column:
@@ -144,7 +147,7 @@ def battery(tokens: Column) -> Column:
 
     def symbols(s):
         body = F.regexp_replace(s["value"], "=+$", "")
-        body = F.when(s["enc"] == "hex", F.lower(body)).otherwise(body)
+        body = F.when(s["enc"].isin("hex", "hexgroups"), F.lower(F.replace(body, F.lit("-"), F.lit("")))).otherwise(body)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["enc"].alias("enc"), s["k"].alias("k"),
                         F.filter(F.split(body, ""), lambda c: c != "").alias("sym"))
 
@@ -218,8 +221,7 @@ def thresholds(tested: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each input row as struct `row`, the text `t`, base spans `base` and added spans `added` (both sorted)."""
     based = base_spans(docs, F.col(text))
-    free = F.filter(_runs(F.col("t"), TOKEN, MIN_TOKEN, 3, "random"),
-                    lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = _apart(_runs(F.col("t"), TOKEN, MIN_TOKEN, 3, "random"), F.col("base"), F.length("t"))
     tested = based.withColumn("tested", battery(free))
     cut = thresholds(tested.select(F.explode("tested").alias("s")).select("s.*"))
     # one row: a map with at most (encodings + 1) * (length classes + 1) entries
@@ -230,6 +232,22 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return judged.select("row", "t", "base", F.coalesce(named, F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>")).alias("added"))
 
 
+def _apart(tokens: Column, spans: Column, length: Column) -> Column:
+    """The tokens that overlap no span. A token looks only at the spans of the `_BLOCK` characters blocks it lies in."""
+    def of_block(i):
+        return F.filter(spans, lambda b: (b["start"] < (i + 1) * _BLOCK) & (b["end"] > i * _BLOCK))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(length / _BLOCK).cast("int")), of_block)
+
+    def free(s, all_):
+        first = F.floor(s["start"] / _BLOCK).cast("int")
+        near = F.flatten(F.slice(all_, first + 1, F.floor((s["end"] - 1) / _BLOCK).cast("int") - first + 1))
+        return ~F.exists(near, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    # bound to a name, the blocks are made once a text and not once a token
+    return F.transform(F.array(blocks), lambda all_: F.filter(tokens, lambda s: free(s, all_)))[0]
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined in the order given."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

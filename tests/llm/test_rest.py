@@ -127,6 +127,33 @@ def base(text):
     return sorted(spans)
 
 
+ALPHABETS = {"base32": "abcdefghijklmnopqrstuvwxyz234567", "upper32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": string.ascii_lowercase + string.digits,
+             "upper36": string.ascii_uppercase + string.digits, "alnum": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+
+
+# the tests need length: 40 symbols of base32 are at times as uneven as words, 64 hardly ever
+@pytest.mark.parametrize("size, least", [(40, 0.75), (64, 0.9), (100, 0.9)])
+def test_random_tokens_of_every_alphabet_are_found(make_docs, size, least):
+    rng = random.Random(size)
+    tokens = ["".join(rng.choices(a, k=size)) for a in ALPHABETS.values() for _ in range(4)]
+    groups = ["-".join("".join(rng.choices("0123456789ABCDEF", k=k)) for k in (8, 4, 4, 4, 12)) for _ in range(4)]
+    plain = ["thisisalongwordmadeofseveralwordsthatpeoplewrite" * 2, "some-words-with-hyphens-between-them-all-along-the-line", "a" * 60, "0000000000-0000-1111-0000-000000000000"]
+    texts = [f"key {t} end" for t in tokens + groups + plain]
+    added = {r["row"]["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in secrets.scan(make_docs([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    found = [added[i] == [(4, 4 + len(t))] for i, t in enumerate(tokens + groups)]
+    assert sum(found) >= least * len(found)
+    assert not any(added[len(found) + i] for i in range(len(plain)))
+
+
+def test_many_spans_in_one_text(make_docs):
+    rng = random.Random(1)
+    free = ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(60)]
+    text = "\n".join(f"token=abc{i:06d}" + (f" {free[i // 100]}" if i % 100 == 0 else "") for i in range(6000))
+    row = secrets.scan(make_docs([(1, text, "s")])).first()
+    assert len(row["base"]) == 6000
+    assert all(text[s["start"]:s["end"]] in free for s in row["added"]) and len(row["added"]) > 50
+
+
 def test_secrets(make_docs, no_docs):
     docs = make_docs([(i, t, "s") for i, t in enumerate(SECRETS)])
     added = {}

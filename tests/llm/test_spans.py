@@ -35,11 +35,11 @@ def brute_hits(text, windows):
     return len(w), len(hit), sorted(str(i) for i in items if i is not None)
 
 
-@pytest.mark.parametrize("part_bytes", [decontam.PART_BYTES, 60])
-def test_decontamination_matches_brute_force(docs, benchmark, world, part_bytes):
+@pytest.mark.parametrize("part_windows", [decontam.PART_WINDOWS, 9])
+def test_decontamination_matches_brute_force(docs, benchmark, world, part_windows):
     windows = windows_of(world[1])
     got = Counter((r["row"]["doc_id"], r["hits"]["n_words"], r["hits"]["n_hit"], tuple(r["hits"]["items"]))
-                  for r in decontam.scan(docs, benchmark, part_bytes=part_bytes).collect())
+                  for r in decontam.scan(docs, benchmark, part_windows=part_windows).collect())
     want = Counter((i, n, h, tuple(x)) for i, t, _ in world[0] for n, h, x in [brute_hits(t, windows)])
     assert got == want
     assert sum(c for k, c in want.items() if k[2]) >= 3
