@@ -14,7 +14,7 @@ categories / groups / variables, where the list is the answer itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartq.functions import render as R
@@ -261,26 +261,45 @@ def grouped_bar_qa(points: DataFrame, num=R.full) -> DataFrame:
 
 # ---- quantiles (skew-safe) ------------------------------------------------------------------
 
-def group_quantiles(p: DataFrame, value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation quantiles per chart (numpy's rule), without collecting a
-    chart: rank values with the range-partitioned ranking, then pick the two neighbours
-    of each quantile position."""
-    ranked = rank_in_group(p.select("chart_id", "row_idx", value).where(F.col(value).isNotNull()), ["chart_id"], [value, "row_idx"], out="pos")
-    n = p.groupBy("chart_id").agg(F.count(value).alias("n"))
-    j = ranked.join(n, "chart_id")
+BUCKETS = 4096
+
+
+def group_quantiles(p: DataFrame, value: str, qs: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
+    """Exact linear-interpolation quantiles per chart (numpy's rule) by bucket counts, without sorting or collecting a chart.
+
+    A chart's range is cut into equal buckets; their counts (at most `buckets` rows a chart) say in which buckets the neighbours of
+    the wanted positions lie. A bucket of one value is an answer; only the rows of the other wanted buckets are ranked, by the
+    skew-safe ranking. Charts whose range is not finite are one bucket, so the answer is exact whatever the values are."""
+    v = p.select("chart_id", F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    limits = v.groupBy("chart_id").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_n"))
+    width = F.col("_hi") - F.col("_lo")
+    spread = (width > 0) & (width < float("inf")) & ~F.isnan(width)
+    at = F.when(spread, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("long")
+    placed = v.join(limits, "chart_id").select("chart_id", "_v", "_n", at.alias("_b"))
+    counts = placed.groupBy("chart_id", "_b").agg(F.count("_v").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.max("_n").alias("_n"))
+    w = Window.partitionBy("chart_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)      # at most `buckets` rows
+    counts = counts.withColumn("_from", F.coalesce(F.sum("_c").over(w), F.lit(0))).withColumn("_to", F.col("_from") + F.col("_c"))
+    spots = {name: F.lit(q) * (F.col("_n") - 1) for name, q in qs.items()}
+    ends = F.array(*[f(x).cast("long") for x in spots.values() for f in (F.floor, F.ceil)])
+    wanted = counts.where(F.exists(ends, lambda x: (x >= F.col("_from")) & (x < F.col("_to"))))
+    one = F.col("_min") == F.col("_max")
+    known = wanted.where(one).select("chart_id", "_n", "_from", "_to", F.col("_min").alias("_v"))
+    rest = placed.drop("_n").join(wanted.where(~one).select("chart_id", "_b", "_n", "_from"), ["chart_id", "_b"])
+    ranked = rank_in_group(rest, ["chart_id", "_b"], ["_v"], out="_at")
+    ranked = ranked.withColumn("_from", F.col("_from") + F.col("_at"))
+    j = known.union(ranked.select("chart_id", "_n", "_from", (F.col("_from") + 1).alias("_to"), "_v"))
     aggs = []
-    for name, q in qs.items():
-        pos = F.lit(q) * (F.col("n") - 1)
+    for name, pos in spots.items():
         lo, hi = F.floor(pos), F.ceil(pos)
-        aggs += [F.max(F.when(F.col("pos") == lo, F.col(value))).alias(f"{name}_a"),
-                 F.max(F.when(F.col("pos") == hi, F.col(value))).alias(f"{name}_b"),
+        here = lambda x: (x >= F.col("_from")) & (x < F.col("_to"))
+        aggs += [F.max(F.when(here(lo), F.col("_v"))).alias(f"{name}_a"), F.max(F.when(here(hi), F.col("_v"))).alias(f"{name}_b"),
                  F.first(pos - lo).alias(f"{name}_t")]
-    w = j.groupBy("chart_id").agg(*aggs)
+    found = j.groupBy("chart_id").agg(*aggs)
     outs = []
     for name in qs:
         a, b, t = F.col(f"{name}_a"), F.col(f"{name}_b"), F.col(f"{name}_t")
         outs.append(F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t).alias(name))
-    return w.select("chart_id", *outs)
+    return found.select("chart_id", *outs)
 
 
 # ---- histogram ------------------------------------------------------------------------------
