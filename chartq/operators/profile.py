@@ -122,15 +122,32 @@ def named_cells(cells: DataFrame, mapping: DataFrame) -> DataFrame:
             .select("chart_id", "chart_type", F.col("row_idx").cast("long").alias("row_idx"), "name", "cell"))
 
 
+def _typed(role: str):
+    return (to_float(role) if role in NUMERIC_ROLES else F.col(role)).alias("grp" if role == "group" else role)
+
+
+def wide_points(named: DataFrame) -> DataFrame:
+    """Typed `chart_points` of all chart types with fixed roles in one aggregate by (chart, row): chart_id, chart_type, row_idx and a
+    column for every role of any type."""
+    roles = sorted({r[2] for own in ROLES.values() for r in own})
+    own = named.where(F.col("chart_type").isin(*ROLES))
+    wide = own.groupBy("chart_id", "chart_type", "row_idx").agg(*[F.max(F.when(F.col("name") == r, F.col("cell"))).alias(r) for r in roles])
+    return wide.select("chart_id", "chart_type", "row_idx", *[_typed(r) for r in roles])
+
+
 def to_points(named: DataFrame, chart_type: str) -> DataFrame:
-    """Typed `chart_points` of one chart type with fixed roles: one aggregate by (chart, row). The types without
-    fixed roles (`scatter_matrix`, `multi_line`) stay long: (chart_id, row_idx, name, value)."""
+    """The points of one chart type: of `wide_points` for types with fixed roles; those without (`scatter_matrix`, `multi_line`)
+    stay long: (chart_id, row_idx, name, value)."""
     own = named.where(F.col("chart_type") == chart_type)
     if chart_type not in ROLES:
         return own.select("chart_id", "row_idx", "name", to_float("cell").alias("value"))
-    roles = [r[2] for r in ROLES[chart_type]]
-    wide = own.groupBy("chart_id", "row_idx").agg(*[F.max(F.when(F.col("name") == r, F.col("cell"))).alias(r) for r in roles])
-    return wide.select("chart_id", "row_idx", *[(to_float(r) if r in NUMERIC_ROLES else F.col(r)).alias("grp" if r == "group" else r) for r in roles])
+    return points_of(wide_points(own), chart_type)
+
+
+def points_of(wide: DataFrame, chart_type: str) -> DataFrame:
+    """One type's rows and roles of `wide_points`."""
+    roles = ["grp" if r[2] == "group" else r[2] for r in ROLES[chart_type]]
+    return wide.where(F.col("chart_type") == chart_type).select("chart_id", "row_idx", *roles)
 
 
 def profile_rounded(profile: DataFrame) -> DataFrame:

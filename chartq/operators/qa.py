@@ -14,6 +14,8 @@ categories / groups / variables, where the list is the answer itself.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -481,12 +483,14 @@ def scatter_matrix_qa(points: DataFrame, variables, compat: bool = False, num=R.
 
 
 def scatter_matrix_long_qa(points: DataFrame, compat: bool = False, num=R.full) -> DataFrame:
-    """The same questions from long points (chart_id, row_idx, name, value) with any variable names: the values of a row
-    meet pairwise in an equi-join on the row, and each chart's variables stand in name order."""
+    """The same questions from long points (chart_id, row_idx, name, value) with any variable names: the values of a row meet in one
+    list of the row's variables, whose pairs are added up, and each chart's variables stand in name order."""
     p = _points(points)
-    left = p.select("chart_id", "row_idx", F.col("name").alias("a"), F.col("value").alias("x"))
-    right = p.select("chart_id", "row_idx", F.col("name").alias("b"), F.col("value").alias("y"))
-    both = left.join(right, ["chart_id", "row_idx"]).where("a < b").groupBy("chart_id", "a", "b").agg(pearson("x", "y").alias("r"))
+    row = p.groupBy("chart_id", "row_idx").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("vs"))
+    pairs_of = F.flatten(F.transform("vs", lambda a, i: F.transform(F.slice(F.col("vs"), i + 2, F.size("vs")), lambda b: F.struct(
+        a["name"].alias("a"), b["name"].alias("b"), a["value"].alias("x"), b["value"].alias("y")))))
+    each = row.select("chart_id", F.explode(pairs_of).alias("e")).select("chart_id", "e.*")
+    both = each.groupBy("chart_id", "a", "b").agg(pearson("x", "y").alias("r"))
     pairs = both.groupBy("chart_id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "r"))).alias("pairs"))
     var = p.groupBy("chart_id", "name").agg(F.var_samp("value").alias("var"))
     vs = var.groupBy("chart_id").agg(F.array_sort(F.collect_list(F.struct("name", "var"))).alias("vars"))
@@ -598,17 +602,13 @@ GENERATORS = {
 }
 
 
-def generate(named: DataFrame, num=R.full) -> DataFrame:
+def generate(named: DataFrame, num=R.full, wide: DataFrame | None = None) -> DataFrame:
     """CHT-04: the questions of every chart of `named` cells (`profile.named_cells`), dispatched on its type, with
-    `chart_type`. Types that cannot come from parsed tables (those with a time axis) have no charts here."""
-    from chartq.operators.profile import ROLES, to_points
-
-    parts = []
-    for kind in (*ROLES, "scatter_matrix"):
-        points = to_points(named, kind)
-        made = scatter_matrix_long_qa(points, num=num) if kind == "scatter_matrix" else GENERATORS[kind](points, num=num)
-        parts.append(made.withColumn("chart_type", F.lit(kind)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    `chart_type`. Types that cannot come from parsed tables (those with a time axis) have no charts here. Every generator reads its points
+    several times: `wide` gives those of the types with fixed roles (`profile.wide_points`) as a stored table, partitioned by type."""
+    from chartq.operators.profile import ROLES, points_of, to_points, wide_points
+
+    wide = wide_points(named) if wide is None else wide
+    parts = [GENERATORS[kind](points_of(wide, kind), num=num).withColumn("chart_type", F.lit(kind)) for kind in ROLES]
+    parts.append(scatter_matrix_long_qa(to_points(named, "scatter_matrix"), num=num).withColumn("chart_type", F.lit("scatter_matrix")))
+    return reduce(DataFrame.unionByName, parts)

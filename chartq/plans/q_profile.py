@@ -110,6 +110,9 @@ def table_qa(spark, sf_dir):
     cells = spark.read.parquet(path)
     prof = PR.column_profile(cells)
     mapping = PR.auto_rename(prof, PR.pick_chart(prof))
-    points = stage_dir(spark, "points")
-    PR.named_cells(cells, mapping).write.parquet(points)
-    return rounded(Q.generate(spark.read.parquet(points), num=R.num))
+    # the points of a type are read several times by its generator alone: stored once, partitioned by type
+    names, points = stage_dir(spark, "names"), stage_dir(spark, "points")
+    PR.named_cells(cells, mapping).write.partitionBy("chart_type").parquet(names)
+    named = spark.read.parquet(names)
+    PR.wide_points(named).write.partitionBy("chart_type").parquet(points)
+    return rounded(Q.generate(named, num=R.num, wide=spark.read.parquet(points)))
