@@ -127,19 +127,23 @@ def _pass(held, found_before: Column | None, text: Column) -> Column:
             ids |= set(before["items"])
         return len(seq), int(mask.sum()), _runs(mask), sorted(ids)
 
+    def once(udf):
+        """A filter on the hits must not run the scan a second time below it, as it would for a deterministic function."""
+        return udf.asNondeterministic()
+
     names = ["n_words", "n_hit", "runs", "items"]
     if found_before is None:
         @F.pandas_udf(HITS)
         def first(texts: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([scan(t, None) for t in texts], columns=names)
 
-        return first(text)
+        return once(first)(text)
 
     @F.pandas_udf(HITS)
     def more(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([scan(t, b) for t, b in zip(texts, before.to_dict("records"))], columns=names)
 
-    return more(text, found_before)
+    return once(more)(text, found_before)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, part_windows: int = PART_WINDOWS) -> DataFrame:

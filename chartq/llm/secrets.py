@@ -221,8 +221,7 @@ def thresholds(tested: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each input row as struct `row`, the text `t`, base spans `base` and added spans `added` (both sorted)."""
     based = base_spans(docs, F.col(text))
-    free = _apart(_runs(F.col("t"), TOKEN, MIN_TOKEN, 3, "random"), F.col("base"), F.length("t"))
-    tested = based.withColumn("tested", battery(free))
+    tested = _with_free_tokens(based).withColumn("tested", battery(F.col("free"))).drop("free")
     cut = thresholds(tested.select(F.explode("tested").alias("s")).select("s.*"))
     # one row: a map with at most (encodings + 1) * (length classes + 1) entries
     limits = cut.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("cls", "bin"))).alias("limits")).scalar()
@@ -232,20 +231,23 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return judged.select("row", "t", "base", F.coalesce(named, F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>")).alias("added"))
 
 
-def _apart(tokens: Column, spans: Column, length: Column) -> Column:
-    """The tokens that overlap no span. A token looks only at the spans of the `_BLOCK` characters blocks it lies in."""
+def _with_free_tokens(based: DataFrame) -> DataFrame:
+    """`based` with `free`: the long tokens that overlap no base span. A token looks only at the spans of the `_BLOCK` character blocks
+    it lies in, so a text with very many of both is no quadratic work."""
     def of_block(i):
-        return F.filter(spans, lambda b: (b["start"] < (i + 1) * _BLOCK) & (b["end"] > i * _BLOCK))
+        return F.filter("base", lambda b: (b["start"] < (i + 1) * _BLOCK) & (b["end"] > i * _BLOCK))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(length / _BLOCK).cast("int")), of_block)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length("t") / _BLOCK).cast("int")), of_block)
+    # columns of a projection of their own: read twice below, they are made once a text and not once a token
+    both = based.withColumns({"blocks": blocks, "tokens": _runs(F.col("t"), TOKEN, MIN_TOKEN, 3, "random")})
 
-    def free(s, all_):
+    def free(s):
         first = F.floor(s["start"] / _BLOCK).cast("int")
-        near = F.flatten(F.slice(all_, first + 1, F.floor((s["end"] - 1) / _BLOCK).cast("int") - first + 1))
+        near = F.flatten(F.slice("blocks", first + 1, F.floor((s["end"] - 1) / _BLOCK).cast("int") - first + 1))
         return ~F.exists(near, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
-    # bound to a name, the blocks are made once a text and not once a token
-    return F.transform(F.array(blocks), lambda all_: F.filter(tokens, lambda s: free(s, all_)))[0]
+    left = F.when((F.size("tokens") == 0) | (F.size("base") == 0) | (F.size("blocks") == 0), F.col("tokens")).otherwise(F.filter("tokens", free))
+    return both.withColumn("free", left).drop("blocks", "tokens")
 
 
 def joined(spans: Column) -> Column:
