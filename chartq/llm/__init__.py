@@ -8,4 +8,8 @@ import sys
 
 from pyspark import cloudpickle
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from chartq import session
+
+# `session` too: modules that travel refer to it
+for module in (sys.modules[__name__], session):
+    cloudpickle.register_pickle_by_value(module)
