@@ -178,7 +178,7 @@ _CSV = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
 
 def read_table_dir(spark: SparkSession, path: str, key_col: str | None = None) -> DataFrame:
     """SRC-11: a folder of CSV tables → chart_cells. A chart is one file (named by its stem) or, with `key_col`, the files of one
-    partition folder in path order, each with its header. Records are framed from lines, so a large file splits into tasks and a quoted
+    partition folder in path order, each with its header. Records are framed from chunks of lines, so a large file splits into tasks and a quoted
     cell may hold line breaks; each record goes through Spark's CSV parser. As in pandas, blank lines are skipped; cells that are
     empty or missing at the end of a short record are empty, cells beyond the header are left out."""
     key = (F.col(key_col).cast("string") if key_col
@@ -186,7 +186,9 @@ def read_table_dir(spark: SparkSession, path: str, key_col: str | None = None) -
     records = staged(quoted_records(spark, path, "chart_id", key), "csv-records")
     commas = F.length("record") - F.length(F.replace("record", F.lit(","), F.lit("")))
     # one row per file: its header, and how many header lines its chart has up to it
-    heads = records.groupBy("chart_id", "file").agg(F.min("pos").alias("p0"), F.min_by("record", "pos").alias("record"))
+    first = records.groupBy("chart_id", "file").agg(F.min("pos").alias("p0")).select(F.col("chart_id").alias("h_chart"), F.col("file").alias("h_file"), "p0")
+    own = (F.col("file") == F.col("h_file")) & F.col("chart_id").eqNullSafe(F.col("h_chart"))
+    heads = records.join(F.broadcast(first), own & (F.col("pos") == F.col("p0"))).select("chart_id", "file", "p0", "record")
     width = 1 + (heads.agg(F.max(commas)).first()[0] or 0)
     cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(width)), _CSV)
 
@@ -197,7 +199,7 @@ def read_table_dir(spark: SparkSession, path: str, key_col: str | None = None) -
     heads = heads.withColumn("c", cells).select(
         F.col("chart_id").alias("h_chart"), F.col("file").alias("h_file"), "p0", F.row_number().over(w).alias("n_heads"),
         F.filter(F.array(*[F.col("c")[f"c{i}"] for i in range(width)]), lambda x: x.isNotNull()).alias("names"))
-    body = records.join(heads, (F.col("file") == F.col("h_file")) & F.col("chart_id").eqNullSafe(F.col("h_chart"))).where(F.col("pos") > F.col("p0"))
+    body = records.join(F.broadcast(heads), own).where(F.col("pos") > F.col("p0"))
     rows = body.withColumn("c", cells).select("chart_id", (F.col("pos") - F.col("n_heads")).cast("long").alias("row_idx"), "names",
                                               F.posexplode(values(F.col("c"))).alias("col_idx", "cell"))
     return rows.where(F.col("col_idx") < F.size("names")).select(

@@ -87,6 +87,35 @@ def test_csv_blank_lines_short_and_long_records(spark, tmp):
     assert got == [(0, "a", "1"), (0, "b", ""), (1, "a", "2"), (1, "b", "3"), (2, "a", ""), (2, "b", ""), (3, "a", "\n\n"), (3, "b", "5")]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_end_inside_records(spark, tmp, monkeypatch):
+    """Records over several chunks; whole records are not shuffled: text goes over an exchange at the ends of chunks only."""
+    monkeypatch.setattr(framing, "CHUNK", 40)
+    rng = random.Random(5)
+    said = ["".join(rng.choice(["a", "#", "\n", "x" * 30, "é"]) for _ in range(rng.randint(0, 8))) for _ in range(30)]
+    _write(f"{tmp}/logs/k=1/a.txt", "#####".join(said) + "#####")
+    rows = RD.read_logs(spark, f"{tmp}/logs", ["k"])
+    assert [r["piece"] for r in rows.orderBy("pos").collect()] == ("#####".join(said) + "#####").split("#####")[:-1]
+    cells = [["n", "v"], *[[f"r{i}", "".join(rng.choice(["a", '"', "\n", "\n\n", ",", "y" * 30]) for _ in range(rng.randint(0, 8)))] for i in range(30)]]
+    os.makedirs(f"{tmp}/csv")
+    with open(f"{tmp}/csv/t.csv", "w", encoding="utf-8", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows(cells)
+    got = RD.read_table_dir(spark, f"{tmp}/csv")
+    assert sorted((r.row_idx, r.col_idx, r.cell) for r in got.collect()) == sorted((i, c, v) for i, row in enumerate(cells[1:]) for c, v in enumerate(row))
+    for df, large in ((rows, "_text"), (got, "record")):
+        assert not [x for x in _plan(df).split("\n") if "SortMergeJoin" in x], _plan(df)
+        assert "Window" not in _plan(df) or large not in "".join(x for x in _plan(df).split("\n") if "Window" in x)
+
+
+def test_quoted_cut():
+    assert framing.quoted_cut(b'a\n \r\n"b\n\n"\nc', 0, b'"') == [(0, True, b"a"), (1, True, b'"b\n\n"'), (2, True, b"c")]
+    assert framing.quoted_cut(b'a\n"\n\nb\nc"', 1, b'"') == [(-1, False, b'a\n"'), (0, True, b"b"), (1, False, b'c"')]
+    assert framing.quoted_cut(b"a\nb", 1, b'"') == [(-1, False, b"a\nb")] and framing.quoted_cut(b"", 0, b'"') == []
+
+
 def _value(rng, depth=0):
     text = lambda: "".join(rng.choice(['"', "\\", "\\\\", "a", "é", "{", "]", ",", "\n", " ", "x" * 30]) for _ in range(rng.randint(0, 6)))
     kind = rng.randrange(6 if depth < 3 else 3)
