@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from chartq.session import ensure_checkpoint_dir
 
+# offsets up to so many rows (of some bytes) are sent to every executor
+FEW = 100_000
+
 
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
@@ -64,17 +67,17 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list, out: s
     # both reads below, and any task retried after a lost executor, see the same numbers.
     ensure_checkpoint_dir(spark)
     ranged = ranged.checkpoint(eager=True)
-    counts = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+    counts = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0")).checkpoint()
     # with no group the offsets table has one row per partition, so an unpartitioned window is fine
     w = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    # The offsets table has at most (#groups + #partitions) rows; AQE measures it and
-    # broadcasts it when small, else keeps a shuffle join on a key no group can skew.
+    # The offsets table has at most (#groups + #partitions) rows. It is counted once: a small one is broadcast, so that
+    # the rows are not shuffled again (AQE would decide that after their shuffle), else a shuffle join on a key no group can skew.
     # Null-safe keys: a NULL group is a group like any other and must not drop out.
     o = offsets.select(F.col("_pid").alias("_o_pid"), *[F.col(g).alias(f"_o_{g}") for g in group_cols], "_p0", "_off")
     cond = F.col("_pid") == F.col("_o_pid")
     for g in group_cols:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
-    ranked = ranged.join(o, cond)
+    ranked = ranged.join(F.broadcast(o) if counts.count() <= FEW else o, cond)
     return (ranked.withColumn(out, (F.col("_pos") - F.col("_p0") + F.col("_off")).cast("long"))
             .drop("_pid", "_pos", "_p0", "_off", "_o_pid", *[f"_o_{g}" for g in group_cols]))
