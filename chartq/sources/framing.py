@@ -19,7 +19,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,29 +78,39 @@ def chunks(spark: SparkSession, path, keys: dict[str, Column], count: Callable[[
     lines = lines.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
                          F.col("value").cast("binary").alias("_line"), *[c.alias(k) for k, c in keys.items()])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name in keys)
-    size, names = CHUNK, list(keys)
+    most, names = CHUNK, list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, n, k = None, [], 0, 0
+        place, own, held, n, k = None, [], [], 0, 0
 
         def chunk() -> pa.RecordBatch:
             text = b"\n".join(held)
-            own = [pa.array([v], t) for v, t in zip((*place[:2], k, text), (pa.string(), pa.int64(), pa.int64(), pa.binary()))]
-            return pa.record_batch([*place[2], *own, *[pa.array([c], pa.int64()) for c in count(text)]],
+            mine = [pa.array([v], t) for v, t in zip((*place, k, text), (pa.string(), pa.int64(), pa.int64(), pa.binary()))]
+            return pa.record_batch([*own, *mine, *[pa.array([c], pa.int64()) for c in count(text)]],
                                    [*names, "_file", "_start", "_k", "_text", *counts])
 
         for batch in batches:
-            files, starts = batch["_file"].to_pylist(), batch["_start"].to_pylist()
-            for i, line in enumerate(batch["_line"].to_pylist()):
-                if place is None or place[1] != starts[i] or place[0] != files[i]:
+            ends = set()        # where the file or the split changes, found without a loop over lines
+            for c in ("_file", "_start"):
+                ends.update(pc.run_end_encode(batch[c]).run_ends.to_pylist())
+            ends = sorted(ends)
+            lines = batch["_line"].to_numpy(zero_copy_only=False)
+            size = np.cumsum(pc.binary_length(batch["_line"]).to_numpy() + 1)
+            for a, b in zip([0, *ends], ends):
+                here = (batch["_file"][a].as_py(), batch["_start"][a].as_py())
+                if here != place:
                     if held:
                         yield chunk()
-                    place, held, n, k = (files[i], starts[i], [batch[c].slice(i, 1) for c in names]), [], 0, 0
-                held.append(line)
-                n += len(line) + 1
-                if n >= size:
-                    yield chunk()
-                    held, n, k = [], 0, k + 1
+                    place, own, held, n, k = here, [batch[c].slice(a, 1) for c in names], [], 0, 0
+                while a < b:
+                    done = int(size[a - 1]) if a else 0
+                    to = min(int(np.searchsorted(size, done + most - n)) + 1, b)
+                    held.extend(lines[a:to].tolist())
+                    n += int(size[to - 1]) - done
+                    a = to
+                    if n >= most:
+                        yield chunk()
+                        held, n, k = [], 0, k + 1
         if held:
             yield chunk()
 
