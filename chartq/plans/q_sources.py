@@ -46,10 +46,11 @@ from fv_completions group by run, dataset""")
 def log_type_accuracy(spark, sf_dir):
     """JN-01 / JN-05 + MET-06: log segments joined to their examples by position, then
     chart-type accuracy per run (the surrogate-evaluation flow)."""
-    seg = _logs(spark, sf_dir).select("run", "dataset", "pos", py_strip("piece").alias("completion"))
+    # the type is cut before the join, which moves it in place of the completion
+    seg = _logs(spark, sf_dir).select("run", "dataset", "pos", T.type_cut(py_strip("piece")).alias("said"))
     ex = FX.fv_completions(spark, sf_dir).select("run", "dataset", "idx", "chart_type")
     joined = C.positional_join(ex, seg, ["run", "dataset"], "idx")
-    return T.type_accuracy(joined)
+    return T.type_accuracy(joined, said=F.col("said"))
 
 
 def _md_view(spark, sf_dir):
@@ -76,15 +77,14 @@ def csv_tables(spark, sf_dir):
     """SRC-11: every chart table written as CSV files (each with a header, in row order; a large chart
     over several range-partitioned files) and read back as cells."""
     path = RD.stage_dir(spark, "tables")
-    _write_tables(spark, FX.fv_cells(spark, sf_dir), path)
+    _write_tables(spark, sf_dir, path)
     return RD.read_table_dir(spark, path, key_col="chart_id")
 
 
-def _write_tables(spark, cells, path):
+def _write_tables(spark, sf_dir, path):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for prefix, _, cols in FX.CELL_SOURCES:
-        wide = (cells.where(F.col("chart_id").startswith(prefix + ":"))
-                .groupBy("chart_id", "row_idx").pivot("col_name", list(cols)).agg(F.first("cell")))
+        wide = FX.fv_chart_rows(spark, sf_dir, prefix).where("chart_id is not null")
         (wide.repartitionByRange(n, "chart_id", "row_idx").sortWithinPartitions("chart_id", "row_idx").select("chart_id", *cols)
          .write.mode("append").partitionBy("chart_id").option("header", True).csv(path))
 

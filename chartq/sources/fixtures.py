@@ -35,9 +35,13 @@ select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end a
  cast(o_orderkey % 2 as int) as tag from {orders}""", "orders")
 
 
-def fv_completions(spark, sf_dir) -> DataFrame:
-    """completions: run, dataset, idx, completion, label, chart_type, gold_table (RWD-*, JSN-*)."""
-    return _sql(spark, sf_dir, """
+def fv_completions(spark, sf_dir, spread: bool = False) -> DataFrame:
+    """completions: run, dataset, idx, completion, label, chart_type, gold_table (RWD-*, JSN-*). With `spread` the orders are dealt
+    evenly before texts are made of them, for work on each text that is long next to reading a file's few row groups."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    if spread:
+        orders = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.sql("""
 select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end as run, o_orderstatus as dataset, o_orderkey as idx,
  '<think>' || chr(10) || '<type>' || case when o_orderkey % 4 = 0 then 'Bar' else 'line' end || '</type>' || chr(10)
   || case when o_orderkey % 5 = 0 then '' else '<table>{{"columns":["Year","Value"],"rows":[["' || o_orderpriority || '",'
@@ -47,7 +51,7 @@ select case o_orderkey % 3 when 0 then 'cot' when 1 then 'sft' else 'grpo' end a
  cast(cast(round(o_totalprice*100) as bigint) as string) as label,
  case when o_orderkey % 2 = 0 then 'bar' else 'line' end as chart_type,
  '{{"columns":["value","year"],"rows":[["b","1.50"],["' || o_orderpriority || '","' || cast(cast(round(o_totalprice*100) as bigint) as string) || '"]]}}' as gold_table
-from {orders}""", "orders")
+from {orders}""", orders=orders)
 
 
 def fv_bar(spark, sf_dir) -> DataFrame:
@@ -214,17 +218,23 @@ def _cell_text(df: DataFrame, c: str) -> F.Column:
     return F.col(c).cast("decimal(20,2)").cast("string") if dt in ("double", "float") else F.col(c).cast("string")
 
 
+def fv_chart_rows(spark, sf_dir, source: str, positions: bool = True) -> DataFrame:
+    """(chart_id, row_idx, the view's columns as text): the rows of one source's charts, `chart_id` prefixed by the source."""
+    views = {"fv_bar": fv_bar, "fv_scatter": lambda s, d: fv_scatter(s, d, positions), "fv_hist": lambda s, d: fv_hist(s, d, positions), "fv_grp": fv_grp,
+             "fv_matrix": lambda s, d: fv_matrix(s, d, with_row_idx=True) if positions else fv_matrix(s, d).withColumn("row_idx", F.lit(None).cast("long"))}
+    view, cols = next((v, c) for p, v, c in CELL_SOURCES if p == source)
+    df = views[view](spark, sf_dir)
+    return df.select(F.concat(F.lit(source + ":"), F.col("chart_id").cast("string")).alias("chart_id"),
+                     F.col("row_idx").cast("long").alias("row_idx"), *[_cell_text(df, c).alias(c) for c in cols])
+
+
 def fv_cells(spark, sf_dir, positions: bool = True) -> DataFrame:
     """chart_cells (chart_id, row_idx, col_idx, col_name, cell): every chart of five views as
     string cells, `chart_id` prefixed by its source. Profiles do not read positions."""
-    views = {"fv_bar": fv_bar, "fv_scatter": lambda s, d: fv_scatter(s, d, positions), "fv_hist": lambda s, d: fv_hist(s, d, positions), "fv_grp": fv_grp,
-             "fv_matrix": lambda s, d: fv_matrix(s, d, with_row_idx=True) if positions else fv_matrix(s, d).withColumn("row_idx", F.lit(None).cast("long"))}
     out = None
-    for prefix, view, cols in CELL_SOURCES:
-        df = views[view](spark, sf_dir)
-        cells = F.array(*[F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"), _cell_text(df, c).alias("cell"))
-                          for i, c in enumerate(cols)])
-        part = df.select(F.concat(F.lit(prefix + ":"), F.col("chart_id").cast("string")).alias("chart_id"),
-                         F.col("row_idx").cast("long").alias("row_idx"), F.inline(cells))
+    for prefix, _, cols in CELL_SOURCES:
+        df = fv_chart_rows(spark, sf_dir, prefix, positions)
+        cells = F.array(*[F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"), F.col(c).alias("cell")) for i, c in enumerate(cols)])
+        part = df.select("chart_id", "row_idx", F.inline(cells))
         out = part if out is None else out.unionByName(part)
     return out
