@@ -35,8 +35,10 @@ def strict_json_ok(c) -> Column:
     text's own digest: a text that is not one whole value leaves something else, or nothing, in second place."""
     s = col_(c)
     own = F.md5(s)
+    # without a value, or cut off inside an object: the parser would state that by an exception, which is slow
+    cut = (s == "") | (s.startswith("{") & ~F.rtrim(s, F.lit(" \t\r\n")).endswith("}"))
     v = F.try_parse_json(F.concat(F.lit("["), quote_constants(s), F.lit(',"'), own, F.lit('"]')))
-    return F.coalesce(F.try_variant_get(v, "$[1]", "string") == own, F.lit(False))
+    return F.when(cut, F.lit(False)).otherwise(F.coalesce(F.try_variant_get(v, "$[1]", "string") == own, F.lit(False)))
 
 
 def quote_constants(c) -> Column:
@@ -72,14 +74,20 @@ def repair_table_text(c) -> Column:
 
 def has_exact_keys(c, keys=("columns", "rows")) -> Column:
     """SET-04: the top-level key set of a JSON object equals `keys`."""
-    k = F.array_sort(F.array_distinct(F.json_object_keys(col_(c))))
+    k = F.sort_array(F.array_distinct(F.json_object_keys(col_(c))))
     return F.coalesce(k == F.array(*[F.lit(x) for x in sorted(keys)]), F.lit(False))
 
 
 def sort_ci(arr) -> Column:
     """Stable sort of strings by their lower-case form (`sorted(xs, key=str.lower)`)."""
     tagged = F.transform(col_(arr), lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("v")))
-    return F.transform(F.array_sort(tagged), lambda s: s["v"])
+    return F.transform(F.sort_array(tagged), lambda s: s["v"])
+
+
+def sort_rows(rows) -> Column:
+    """`array_sort(rows)`, nulls last, without its comparator, which is slow."""
+    tagged = F.transform(rows, lambda r: F.struct(r.isNull().alias("none"), r.alias("v")))
+    return F.transform(F.sort_array(tagged), lambda s: s["v"])
 
 
 def with_compare(df: DataFrame, pred: str, gold: str, out: str) -> DataFrame:
@@ -89,7 +97,7 @@ def with_compare(df: DataFrame, pred: str, gold: str, out: str) -> DataFrame:
     rows, or a longer row) scores 0 as a whole."""
     p, g = F.col(pred), F.col(gold)
     s = df.withColumns({"_pc": sort_ci(p["columns"]), "_gc": sort_ci(g["columns"]),
-                        "_pr": F.array_sort(p["rows"]), "_gr": F.array_sort(g["rows"])})
+                        "_pr": sort_rows(p["rows"]), "_gr": sort_rows(g["rows"])})
     pc, gc, pr, gr = F.col("_pc"), F.col("_gc"), F.col("_pr"), F.col("_gr")
     long_row = F.exists(F.zip_with(pr, gr, lambda a, b: F.coalesce(F.size(a), F.lit(0)) > F.coalesce(F.size(b), F.lit(0))),
                         lambda x: x)

@@ -92,9 +92,9 @@ def with_table_parts(df: DataFrame, completion="completion", gold_table="gold_ta
     and sorted once per row (an inlined struct would be re-parsed at every reference)."""
     s1 = df.withColumn("_tab_block", J.table_block(completion))
     s2 = s1.withColumns({"_tab_ok": J.strict_json_ok("_tab_block"),
-                         "_tab_keys": J.has_exact_keys("_tab_block"),
                          "_tab_gold": J.parse_table(gold_table)})
-    s3 = s2.withColumn("_tab_pred", F.when(F.col("_tab_ok"), F.from_json(J.quote_number_lexemes("_tab_block"), J.TABLE_SCHEMA)))
+    s3 = s2.withColumns({"_tab_pred": F.when(F.col("_tab_ok"), F.from_json(J.quote_number_lexemes("_tab_block"), J.TABLE_SCHEMA)),
+                         "_tab_keys": F.when(F.col("_tab_ok"), J.has_exact_keys("_tab_block"))})
     s4 = J.with_compare(s3, "_tab_pred", "_tab_gold", "_tab_cmp")
     ok = F.col("_tab_ok")
     reward = (F.when(ok, 0.5).otherwise(0.0)
@@ -145,7 +145,12 @@ def score(df: DataFrame, names=None, **columns) -> DataFrame:
         return REWARDS[name](**columns)
 
     out = df.select("*", *[one(n).alias(f"r_{n}") for n in names]).drop("_tab_reward", "_acc_a", "_acc_l", "_acc_gf", "_acc_af")
-    return out.withColumn("r_total", sum((F.coalesce(F.col(f"r_{n}"), F.lit(0.0)) for n in names), F.lit(0.0)))
+    return with_total(out, names)
+
+
+def with_total(df: DataFrame, names=None) -> DataFrame:
+    """RWD-08: the sum of scored rewards; one that is null (no embedding) adds nothing."""
+    return df.withColumn("r_total", sum((F.coalesce(F.col(f"r_{n}"), F.lit(0.0)) for n in names or REWARDS), F.lit(0.0)))
 
 
 def summary(scored: DataFrame, keys=("dataset", "chart_type"), names=None) -> DataFrame:

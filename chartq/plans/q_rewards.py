@@ -161,9 +161,12 @@ seven as (select tot.* exclude (r_total), p.r_process, tot.r_total + coalesce(p.
 """
 
 
-def _with_steps(spark, sf_dir):
-    """Completions with the embeddings of their steps where there are some."""
-    return fv_completions(spark, sf_dir).join(fv_emb(spark, sf_dir), "idx", "left")
+def _scored(spark, sf_dir):
+    """All rewards of the completions and their sum. Both sides are scored before the join, which moves numbers in place of texts and vectors."""
+    rules = R.score(fv_completions(spark, sf_dir, spread=True), [n for n in R.REWARDS if n != "process"])
+    process = R.score(fv_emb(spark, sf_dir), ["process"], pred_embedding="e1", gold_embedding="e2").select("idx", "r_process")
+    cols = ["run", "dataset", "idx", "chart_type", *[f"r_{n}" for n in R.REWARDS]]
+    return R.with_total(rules.drop("r_total").join(process, "idx", "left").select(*cols))
 
 
 @register("reward_total", _SEVEN_CTE + "select run, dataset, idx, " + ", ".join(
@@ -171,7 +174,7 @@ def _with_steps(spark, sf_dir):
           + " from seven")
 def reward_total(spark, sf_dir):
     """RWD-08: all seven rewards and their sum per completion."""
-    s = R.score(_with_steps(spark, sf_dir), pred_embedding="e1", gold_embedding="e2")
+    s = _scored(spark, sf_dir)
     cols = [c for c in s.columns if c.startswith("r_")]
     return s.select("run", "dataset", "idx", *[round4(c).alias(c) for c in cols])
 
@@ -181,7 +184,7 @@ def reward_total(spark, sf_dir):
           + " from seven group by dataset, chart_type")
 def reward_summary(spark, sf_dir):
     """RWD-09: mean of every reward per dataset and chart type."""
-    return R.summary(R.score(_with_steps(spark, sf_dir)))
+    return R.summary(_scored(spark, sf_dir))
 
 
 @register("reward_process", with_fv("fv_emb")
