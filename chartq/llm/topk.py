@@ -39,6 +39,7 @@ SHARD_BYTES = 64 << 20
 BLOCK = 128               # documents of a block
 FIRST = 2                 # blocks scored before the first limit is known
 DENSE_WORDS = 512         # words of a shard that are stored as dense columns, the commonest ones
+PART = 1 << 18            # postings handled together while an index is built
 AT_ONCE = 64              # queries answered together
 
 _hash = xxhash.xxh64_intdigest
@@ -86,20 +87,31 @@ class Shard:
             size[i] = own.total()
             terms.append(_numbers(own))
             counts.append(np.fromiter(own.values(), np.int32, len(own)))
+        # columns of postings are made one by one and narrow: they are the peak of a task's memory
         doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in terms])
-        term, tf = np.concatenate(terms), np.concatenate(counts)
-        del terms, counts
-        self.vocab, at = np.unique(term, return_inverse=True)
+        tf = np.concatenate(counts)
+        del counts
+        term = np.concatenate(terms)
+        del terms
+        self.vocab = np.unique(term)
+        at = np.empty(len(term), np.int32)
+        for i in range(0, len(at), PART):
+            at[i:i + PART] = np.searchsorted(self.vocab, term[i:i + PART])
         del term
         in_docs = np.bincount(at, minlength=len(self.vocab))
         common = np.zeros(n)
-        np.maximum.at(common, doc, in_docs[at].astype(float))
+        for i in range(0, len(at), PART):
+            np.maximum.at(common, doc[i:i + PART], in_docs[at[i:i + PART]].astype(float))
         order = np.lexsort((size, common))
         place = np.empty(n, dtype=np.int32)
         place[order] = np.arange(n)
         self.ids = [ids[i] for i in order.tolist()]
         self.blocks = -(-n // BLOCK)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+        impact = tf * (K1 + 1)
+        norm = K1 * (1 - B + B * size / mean)
+        for i in range(0, len(at), PART):
+            impact[i:i + PART] /= tf[i:i + PART] + norm[doc[i:i + PART]]
+        del tf
         doc = place[doc]
         top = np.argsort(-in_docs, kind="stable")[:DENSE_WORDS]
         self.column = np.full(len(self.vocab), -1, dtype=np.int64)
@@ -108,9 +120,10 @@ class Shard:
         self.table = np.zeros((self.blocks * BLOCK, len(top)))
         self.table[doc[dense], self.column[at[dense]]] = impact[dense]
         self.most = self.table.reshape(self.blocks, BLOCK, len(top)).max(axis=1)
-        sort = np.lexsort((doc[~dense], at[~dense]))
-        self.doc, self.impact = doc[~dense][sort], impact[~dense][sort]
-        self.first = np.searchsorted(at[~dense][sort], np.arange(len(self.vocab) + 1))
+        doc, at, impact = doc[~dense], at[~dense], impact[~dense]
+        sort = np.lexsort((doc, at))
+        self.doc, self.impact = doc[sort], impact[sort]
+        self.first = np.searchsorted(at[sort], np.arange(len(self.vocab) + 1, dtype=np.int32))
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[list[int], list[float]]]:
         """Places and scores of each query's k best documents (and of all that tie with the last)."""
