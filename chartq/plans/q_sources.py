@@ -77,16 +77,21 @@ def csv_tables(spark, sf_dir):
     """SRC-11: every chart table written as CSV files (each with a header, in row order; a large chart
     over several range-partitioned files) and read back as cells."""
     path = RD.stage_dir(spark, "tables")
-    _write_tables(spark, sf_dir, path)
+    for prefix, _, cols in FX.CELL_SOURCES:
+        _write_rows(FX.fv_chart_rows(spark, sf_dir, prefix).where("chart_id is not null"), cols, path)
     return RD.read_table_dir(spark, path, key_col="chart_id")
 
 
-def _write_tables(spark, sf_dir, path):
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _write_tables(spark, cells, path):
     for prefix, _, cols in FX.CELL_SOURCES:
-        wide = FX.fv_chart_rows(spark, sf_dir, prefix).where("chart_id is not null")
-        (wide.repartitionByRange(n, "chart_id", "row_idx").sortWithinPartitions("chart_id", "row_idx").select("chart_id", *cols)
-         .write.mode("append").partitionBy("chart_id").option("header", True).csv(path))
+        _write_rows(cells.where(F.col("chart_id").startswith(prefix + ":"))
+                    .groupBy("chart_id", "row_idx").pivot("col_name", list(cols)).agg(F.first("cell")), cols, path)
+
+
+def _write_rows(wide, cols, path):
+    n = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (wide.repartitionByRange(n, "chart_id", "row_idx").sortWithinPartitions("chart_id", "row_idx").select("chart_id", *cols)
+     .write.mode("append").partitionBy("chart_id").option("header", True).csv(path))
 
 
 @register("csv_quoted_cells", """with d as (select coalesce(source, 'none') as chart_id, doc_id, lang, text,
