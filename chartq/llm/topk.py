@@ -9,6 +9,8 @@ is the sum of the block maxima and the best of its scores so far; the best block
 only blocks whose bound still reaches the k-th best score (WAND at block grain: no document that could enter
 the result is skipped). The k best of every shard are merged by one ranked window.
 
+A task holds no text but the one at hand: a shard's documents become postings as they arrive, `PART` at a time, in narrow columns.
+
 Documents are sent once, to one task a shard; each distinct query text is sent to every shard once, and its result joined to the ids that
 ask it. Ties in score go to the smaller doc_id (nulls last).
 
@@ -21,7 +23,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -39,7 +43,8 @@ SHARD_BYTES = 64 << 20
 BLOCK = 128               # documents of a block
 FIRST = 2                 # blocks scored before the first limit is known
 DENSE_WORDS = 512         # words of a shard that are stored as dense columns, the commonest ones
-PART = 1 << 18            # postings handled together while an index is built
+PART = 1 << 16            # postings handled together while an index is built
+COUNTED = 1 << 18         # distinct terms that are counted together
 AT_ONCE = 64              # queries answered together
 
 _hash = xxhash.xxh64_intdigest
@@ -53,16 +58,23 @@ def _numbers(terms) -> np.ndarray:
     return np.array([_hash(w) for w in terms], dtype=np.uint64).view(np.int64)
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per batch the number of documents of each term; the row without a term has the number of words."""
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of documents of each term, some at a time; a row without a term has the number of words."""
+    def rows(df: Counter, size: int) -> pa.RecordBatch:
+        term = pa.array(np.append(_numbers(df), 0), mask=np.arange(len(df) + 1) == len(df))
+        return pa.record_batch([term, pa.array([*df.values(), size], pa.int64())], ["term", "df"])
+
     for batch in batches:
         df: Counter = Counter()
         size = 0
         for t in batch["t"]:
-            seq = words(t)
+            seq = words(t.as_py())
             size += len(seq)
             df.update(set(seq))
-        yield pd.DataFrame({"term": pd.array([*_numbers(df).tolist(), None], dtype="Int64"), "df": [*df.values(), size]})
+            if len(df) >= COUNTED:
+                yield rows(df, size)
+                df, size = Counter(), 0
+        yield rows(df, size)
 
 
 def _query_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,54 +88,62 @@ def _query_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Shard:
-    """Inverted index of one shard: the commonest words' impacts as dense columns cut into blocks of documents, with the
-    largest impact per word and block, and posting lists of all other words."""
-
-    def __init__(self, ids: list, texts: list[bytes], mean: float):
-        n, size, terms, counts = len(texts), np.zeros(len(texts)), [], []
-        for i, text in enumerate(texts):      # one document's words at a time
-            own = _terms(text)
-            texts[i] = None
-            size[i] = own.total()
-            terms.append(_numbers(own))
-            counts.append(np.fromiter(own.values(), np.int32, len(own)))
-        # columns of postings are made one by one and narrow: they are the peak of a task's memory
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in terms])
-        tf = np.concatenate(counts)
-        del counts
-        term = np.concatenate(terms)
-        del terms
-        self.vocab = np.unique(term)
-        at = np.empty(len(term), np.int32)
-        for i in range(0, len(at), PART):
-            at[i:i + PART] = np.searchsorted(self.vocab, term[i:i + PART])
-        del term
-        in_docs = np.bincount(at, minlength=len(self.vocab))
+    """Inverted index of one shard: the commonest words' counts as dense columns cut into blocks of documents, with the
+    largest impact per word and block, and posting lists of all other words. Texts are read once, one by one, and ids after them."""
+
+    def __init__(self, ids: list, texts: Iterable[bytes], mean: float):
+        size, held = [], []
+        for part in _postings(texts):
+            size.append(part.pop())
+            held.append(part)
+        self.vocab = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[0] for x in held)]))
+        in_docs = np.zeros(len(self.vocab), np.int64)
+        starts = np.cumsum([0, *map(len, size)]).tolist()
+        size = np.concatenate([np.zeros(0), *size])
+        n = len(size)
         common = np.zeros(n)
-        for i in range(0, len(at), PART):
-            np.maximum.at(common, doc[i:i + PART], in_docs[at[i:i + PART]].astype(float))
+        for x in held:
+            x[0] = np.searchsorted(self.vocab, x[0]).astype(np.int32)
+            in_docs[x[0]] += np.bincount(x[1], minlength=len(x[0]))
+        for first, (names, at, _, doc) in zip(starts, held):
+            np.maximum.at(common, doc.astype(np.int32) + first, in_docs[names][at].astype(float))
         order = np.lexsort((size, common))
         place = np.empty(n, dtype=np.int32)
         place[order] = np.arange(n)
         self.ids = [ids[i] for i in order.tolist()]
         self.blocks = -(-n // BLOCK)
-        impact = tf * (K1 + 1)
         norm = K1 * (1 - B + B * size / mean)
-        for i in range(0, len(at), PART):
-            impact[i:i + PART] /= tf[i:i + PART] + norm[doc[i:i + PART]]
-        del tf
-        doc = place[doc]
+        self.norm = np.ones((self.blocks * BLOCK, 1))
+        self.norm[place, 0] = norm
         top = np.argsort(-in_docs, kind="stable")[:DENSE_WORDS]
         self.column = np.full(len(self.vocab), -1, dtype=np.int64)
         self.column[top] = np.arange(len(top))
-        dense = self.column[at] >= 0
-        self.table = np.zeros((self.blocks * BLOCK, len(top)))
-        self.table[doc[dense], self.column[at[dense]]] = impact[dense]
-        self.most = self.table.reshape(self.blocks, BLOCK, len(top)).max(axis=1)
-        doc, at, impact = doc[~dense], at[~dense], impact[~dense]
-        sort = np.lexsort((doc, at))
-        self.doc, self.impact = doc[sort], impact[sort]
-        self.first = np.searchsorted(at[sort], np.arange(len(self.vocab) + 1, dtype=np.int32))
+        self.table = np.zeros((self.blocks * BLOCK, len(top)), np.result_type(np.uint8, *(x[2] for x in held)))
+        in_docs[top] = 0
+        self.first = np.concatenate(([0], np.cumsum(in_docs)))
+        self.doc, self.impact = np.empty(self.first[-1], np.int32), np.empty(self.first[-1])
+        free = self.first[:-1].copy()
+        for i, first in enumerate(starts[:-1]):
+            (names, at, tf, doc), held[i] = held[i], None
+            at, doc = names[at], doc.astype(np.int32) + first
+            column = self.column[at]
+            dense = np.flatnonzero(column >= 0)
+            self.table[place[doc[dense]], column[dense]] = tf[dense]
+            rest = np.flatnonzero(column < 0)
+            rest = rest[np.argsort(at[rest], kind="stable")]
+            at, doc, tf = at[rest], doc[rest], tf[rest]
+            run = np.flatnonzero(np.diff(at, prepend=-1))
+            many = np.diff(run, append=len(at))
+            to = np.arange(len(at)) + np.repeat(free[at[run]] - run, many)
+            free[at[run]] += many
+            self.doc[to], self.impact[to] = place[doc], _impact(tf, norm[doc])
+        self.most = np.zeros((self.blocks, len(top)))
+        for b in range(self.blocks):
+            self.most[b] = self._dense(slice(b * BLOCK, (b + 1) * BLOCK)).max(axis=0)
+
+    def _dense(self, rows: slice) -> np.ndarray:
+        """Impacts of the commonest words in some places."""
+        return _impact(self.table[rows], self.norm[rows])
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[list[int], list[float]]]:
         """Places and scores of each query's k best documents (and of all that tie with the last)."""
@@ -162,7 +182,36 @@ class Shard:
         """Add the dense words' part of the scores in the chosen (query, block) cells."""
         for b in np.flatnonzero(chosen.any(axis=0)).tolist():
             q, rows = np.flatnonzero(chosen[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-            scores[q, rows] += weights[q] @ self.table[rows].T
+            scores[q, rows] += weights[q] @ self._dense(rows).T
+
+
+def _postings(texts: Iterable[bytes]) -> Iterator[list[np.ndarray]]:
+    """Postings of the texts, about `PART` at a time: the distinct terms, the number of its term among them, its count and its text's
+    number in the part for each posting, and the size of each text. Counts and numbers are as narrow as the part allows."""
+    def part() -> list[np.ndarray]:
+        names, at = np.unique(np.concatenate(terms), return_inverse=True)
+        tf = np.concatenate(counts)
+        doc = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
+        return [names, *(x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (at, tf, doc)), np.array(size, float)]
+
+    terms, counts, size, held = [], [], [], 0
+    for text in texts:
+        own = _terms(text)
+        terms.append(_numbers(own))
+        counts.append(np.fromiter(own.values(), np.int64, len(own)))
+        size.append(own.total())
+        held += len(own)
+        if held >= PART or len(size) >= PART:
+            yield part()
+            terms, counts, size, held = [], [], [], 0
+    if size:
+        yield part()
+
+
+def _impact(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    out = tf * (K1 + 1)
+    out /= tf + norm
+    return out
 
 
 def _kth(scores: np.ndarray, k: int) -> np.ndarray:
@@ -185,38 +234,50 @@ def _best(ids: list, found: list[int], scores: list[float], k: int) -> list[tupl
     return [(None if none else i, -s) for s, none, i in rows[:k]]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(shard, kind, rows): the batches cut where the shard or the kind changes."""
+    for batch in batches:
+        kinds, shards = batch["kind"].to_numpy(zero_copy_only=False), batch["shard"].to_numpy(zero_copy_only=False)
+        edges = (np.flatnonzero((np.diff(kinds) != 0) | (np.diff(shards) != 0)) + 1).tolist()
+        for a, b in zip([0, *edges], [*edges, len(kinds)]):
+            if a < b:
+                yield shards[a], kinds[a], batch.slice(a, b - a)
+
+
+def _texts(parts: Iterator[tuple[int, int, pa.RecordBatch]], ids: list) -> Iterator[bytes]:
+    """The texts that are not empty; their ids are added to `ids`."""
+    for _, _, part in parts:
+        for i, t in zip(part["id"], part["t"]):
+            if text := t.as_py():
+                ids.append(i.as_py())
+                yield text
+
+
 def _search(k: int, mean: float, n: int):
     """Each shard's documents come first, then its queries."""
+    def answers(shard: Shard, part: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        df = part["dfs"].flatten().to_numpy()
+        weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        terms, ends = part["terms"].flatten().to_numpy(), np.cumsum(part["terms"].value_lengths().to_numpy())
+        bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+        asked = part["q"].to_pylist()
+        for i in range(0, len(asked), AT_ONCE):
+            found = shard.search([(terms[x:y], weight[x:y]) for x, y in bounds[i:i + AT_ONCE]], k)
+            out += [(q, d, x) for q, (at, scores) in zip(asked[i:i + AT_ONCE], found) for d, x in _best(shard.ids, at, scores, k)]
+        columns = list(zip(*out)) or [(), (), ()]
+        kind = [pa.binary(), part.schema.field("id").type, pa.float64()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kind)], ["q", "doc_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number, ids, texts = None, None, [], []
-        for batch in batches:
-            out = []
-            kinds, shards = batch["kind"].to_numpy(zero_copy_only=False), batch["shard"].to_numpy(zero_copy_only=False)
-            edges = (np.flatnonzero((np.diff(kinds) != 0) | (np.diff(shards) != 0)) + 1).tolist()
-            for a, b in zip([0, *edges], [*edges, len(kinds)]):
-                part = batch.slice(a, b - a)
-                if shards[a] != number:
-                    shard, number, ids, texts = None, shards[a], [], []
-                if kinds[a] == 0:
-                    own = part["t"].to_pylist()
-                    ids += [i for i, t in zip(part["id"].to_pylist(), own) if t]
-                    texts += filter(None, own)
-                    continue
-                if shard is None and texts:
-                    shard, texts = Shard(ids, texts, mean), []
-                if shard is None or not len(shard.vocab):
-                    continue
-                df = part["dfs"].flatten().to_numpy()
-                weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
-                terms, ends = part["terms"].flatten().to_numpy(), np.cumsum(part["terms"].value_lengths().to_numpy())
-                bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
-                asked = part["q"].to_pylist()
-                for i in range(0, len(asked), AT_ONCE):
-                    found = shard.search([(terms[x:y], weight[x:y]) for x, y in bounds[i:i + AT_ONCE]], k)
-                    out += [(q, d, x) for q, (at, scores) in zip(asked[i:i + AT_ONCE], found) for d, x in _best(shard.ids, at, scores, k)]
-            columns = list(zip(*out)) or [(), (), ()]
-            kind = [pa.binary(), batch.schema.field("id").type, pa.float64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kind)], ["q", "doc_id", "score"])
+        for _, rows in groupby(_slices(batches), itemgetter(0)):
+            shard = None
+            for kind, parts in groupby(rows, itemgetter(1)):
+                if kind == 0:
+                    ids: list = []
+                    shard = Shard(ids, _texts(parts, ids), mean)
+                elif shard is not None and len(shard.vocab):
+                    yield from (answers(shard, part) for _, _, part in parts)
 
     return run
 
@@ -226,7 +287,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
     spark = docs.sparkSession
     rows = docs.select("doc_id", utf8("text").alias("t"))
     asked = queries.select(F.col("doc_id").alias("query_id"), utf8("text").alias("t")).withColumn("q", F.unhex(F.sha2("t", 256)))
-    counts = rows.select("t").mapInPandas(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counts = rows.select("t").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     counts = stage(counts)
     n, size = rows.agg(F.count(F.lit(1)), F.sum(F.length("t"))).first()
     total = counts.where("term is null").agg(F.sum("df")).first()[0] or 0
