@@ -3,16 +3,17 @@
 A query is a set of words. Document frequencies, the number of documents and their mean length come from one pass over
 all documents and are joined to the query words, so scores do not depend on the sharding. Every shard (about
 `SHARD_BYTES` of text) builds an inverted index whose documents are ordered by their commonest word and length and cut into
-blocks of `BLOCK` documents. The lists of the commonest words, which make up most postings, keep the largest impact per
-block; the short lists of all others are walked in full. Queries stream through the shard, some at a time: a block's upper bound
-is the sum of the block maxima and the best of its scores so far; the best blocks are scored first, and afterwards
-only blocks whose bound still reaches the k-th best score (WAND at block grain: no document that could enter
-the result is skipped). The k best of every shard are merged by one ranked window.
+blocks of `BLOCK` documents. The lists of the commonest words, which make up most postings, are columns of counts with the
+largest impact per block; the lists of all others are walked in full, `RUN` postings at a time. Queries stream through the shard, some at a
+time: a block's upper bound is the sum of the block maxima and the best of its scores so far, and the k-th best of the blocks' best
+scores is a limit that rises while blocks are scored. Only blocks whose bound still reaches it are scored (WAND at block grain: no
+document that could enter the result is skipped). Columns are multiplied in single precision, with a margin for its errors; what
+reaches the limit is scored again in double. The k best of every shard are merged by one ranked window.
 
 A task holds no text but the one at hand: a shard's documents become postings as they arrive, `PART` at a time, in narrow columns.
 
-Documents are sent once, to one task a shard; each distinct query text is sent to every shard once, and its result joined to the ids that
-ask it. Ties in score go to the smaller doc_id (nulls last).
+Documents are sent once, to one task a shard; each distinct query text is sent to every shard once, packed with others whose words
+are written once (`_pack`), and its result joined to the ids that ask it. Ties in score go to the smaller doc_id (nulls last).
 
 Edge cases: null or empty texts have no words: as queries they give no rows, as documents they never match; queries with
 equal id and text are one query; repeated documents are separate results; a null query id is a query of its own;
@@ -41,11 +42,15 @@ K = 10
 K1, B = 1.2, 0.75
 SHARD_BYTES = 64 << 20
 BLOCK = 128               # documents of a block
-FIRST = 2                 # blocks scored before the first limit is known
 DENSE_WORDS = 512         # words of a shard that are stored as dense columns, the commonest ones
+RUN = 16                  # postings read together; shorter lists are read one by one
 PART = 1 << 16            # postings handled together while an index is built
 COUNTED = 1 << 18         # distinct terms that are counted together
-AT_ONCE = 64              # queries answered together
+AT_ONCE = 512             # queries answered together at most,
+CELLS = 5 << 20           # and their scores of all documents
+RISE = 8                  # blocks scored before the limits are raised
+PACKED = 1 << 20          # words of the queries that are packed together
+SURE = 1 - DENSE_WORDS * 2.0 ** -21       # limits in single precision are lowered by more than its errors can be
 
 _hash = xxhash.xxh64_intdigest
 
@@ -120,9 +125,13 @@ class Shard:
         self.column[top] = np.arange(len(top))
         self.table = np.zeros((self.blocks * BLOCK, len(top)), np.result_type(np.uint8, *(x[2] for x in held)))
         in_docs[top] = 0
-        self.first = np.concatenate(([0], np.cumsum(in_docs)))
-        self.doc, self.impact = np.empty(self.first[-1], np.int32), np.empty(self.first[-1])
-        free = self.first[:-1].copy()
+        self.size = np.where(in_docs < RUN, in_docs, -(-in_docs // RUN) * RUN)      # whole runs, filled up by impacts of 0
+        in_runs = np.where(in_docs < RUN, 0, self.size)
+        self.runs = int(in_runs.sum())
+        self.first = np.where(in_docs < RUN, self.runs + np.cumsum(self.size - in_runs), np.cumsum(in_runs)) - self.size
+        self.doc, self.impact = np.zeros(self.size.sum(), np.int32), np.zeros(self.size.sum())
+        self.weighed = np.zeros(len(self.vocab), bool)
+        free = self.first.copy()
         for i, first in enumerate(starts[:-1]):
             (names, at, tf, doc), held[i] = held[i], None
             at, doc = names[at], doc.astype(np.int32) + first
@@ -137,52 +146,90 @@ class Shard:
             to = np.arange(len(at)) + np.repeat(free[at[run]] - run, many)
             free[at[run]] += many
             self.doc[to], self.impact[to] = place[doc], _impact(tf, norm[doc])
-        self.most = np.zeros((self.blocks, len(top)))
+        self.narrow = self.norm.astype(np.float32)
+        self.most = np.zeros((self.blocks, len(top)), np.float32)
         for b in range(self.blocks):
             self.most[b] = self._dense(slice(b * BLOCK, (b + 1) * BLOCK)).max(axis=0)
 
     def _dense(self, rows: slice) -> np.ndarray:
-        """Impacts of the commonest words in some places."""
-        return _impact(self.table[rows], self.norm[rows])
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[list[int], list[float]]]:
-        """Places and scores of each query's k best documents (and of all that tie with the last)."""
-        n, width = len(queries), self.blocks * BLOCK
+        """Impacts of the commonest words in some places, in single precision."""
+        return _impact(self.table[rows].astype(np.float32), self.narrow[rows])
+
+    def enter(self, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """The place of each of some sorted terms in the vocabulary, -1 if it has none. The impacts in their lists are weighed
+        when a term comes for the first time: it has the same weight in all queries."""
+        at = np.minimum(np.searchsorted(self.vocab, terms), len(self.vocab) - 1)
+        here = self.vocab[at] == terms
+        new = np.flatnonzero(here & ~self.weighed[at])
+        self.weighed[at[new]] = True
+        for own in np.split(new, np.flatnonzero(np.diff(np.cumsum(self.size[at[new]]) // PART)) + 1):
+            postings, owner = _spread(self.first[at[own]], self.size[at[own]])
+            self.impact[postings] *= idf[own][owner]
+        return np.where(here, at, -1)
+
+    def search(self, n: int, owner: np.ndarray, at: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, score) of the k best documents of n queries, and of all that tie with the last, by query. The queries' words
+        are given by the query that has it, its place in the vocabulary and its weight, by query."""
+        column = self.column[at]
+        dense = column >= 0
         weights = np.zeros((n, self.table.shape[1]))
-        scores = np.zeros((n, width))
-        for q, (terms, idf) in enumerate(queries):
-            at = np.minimum(np.searchsorted(self.vocab, terms), len(self.vocab) - 1)
-            here = self.vocab[at] == terms
-            at, idf = at[here], idf[here]
-            column = self.column[at]
-            weights[q, column[column >= 0]] = idf[column >= 0]
-            at, idf = at[column < 0], idf[column < 0]
-            postings, owner = _spread(self.first[at], self.first[at + 1])
-            scores[q] = np.bincount(self.doc[postings], weights=idf[owner] * self.impact[postings], minlength=width)
-        bound = (weights @ self.most.T + scores.reshape(n, self.blocks, BLOCK).max(axis=2)) * (1 + 1e-9)
-        best = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
-        done = np.zeros((n, self.blocks), dtype=bool)
-        done[np.arange(n)[:, None], best] = True
-        self._add(scores, weights, done)
-        limit = _kth(scores.reshape(n, self.blocks, BLOCK)[np.arange(n)[:, None], best].reshape(n, -1), k) - 1e-9
-        rest = ~done & (bound >= limit[:, None]) & (bound > 0)
-        self._add(scores, weights, rest)
-        known = np.repeat(done | rest, BLOCK, axis=1)
-        out = []
-        for q in range(n):
-            found = np.flatnonzero(known[q] & (scores[q] >= max(limit[q], 1e-12)))
-            own = scores[q][found].round(9)                 # copies tie whatever the order of summation
-            if len(found) > k:
-                keep = own >= np.partition(own, len(own) - k)[len(own) - k]
-                found, own = found[keep], own[keep]
-            out.append((found.tolist(), own.tolist()))
-        return out
-
-    def _add(self, scores: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> None:
-        """Add the dense words' part of the scores in the chosen (query, block) cells."""
-        for b in np.flatnonzero(chosen.any(axis=0)).tolist():
-            q, rows = np.flatnonzero(chosen[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-            scores[q, rows] += weights[q] @ self._dense(rows).T
+        weights[owner[dense], column[dense]] = idf[dense]
+        narrow = weights.astype(np.float32)
+        scores = self._walk(n, owner[~dense], at[~dense])
+        best = scores.reshape(n, self.blocks, BLOCK).max(axis=2)
+        bound = best + narrow @ self.most.T
+        left = np.argsort(-bound.sum(axis=0), kind="stable")
+        found = []
+        while len(left):
+            limit = _kth(best, k) * SURE
+            wanted = (bound[:, left] >= limit[:, None]) & (bound[:, left] > 0)
+            going = wanted.any(axis=0)
+            left, wanted = left[going], wanted[:, going]
+            for i, b in enumerate(left[:RISE].tolist()):
+                q, rows = np.flatnonzero(wanted[:, i]), slice(b * BLOCK, (b + 1) * BLOCK)
+                own = narrow[q] @ self._dense(rows).T + scores[q, rows]
+                best[q, b] = most = own.max(axis=1)
+                hit = np.flatnonzero((most >= limit[q]) & (most > 0))
+                q, own = q[hit], own[hit]
+                hit, place = np.nonzero((own >= limit[q, None]) & (own > 0))
+                found.append((q[hit], place + b * BLOCK, own[hit, place]))
+            left = left[RISE:]
+        q, place, near = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        keep = near >= (_kth(best, k) * SURE)[q]
+        q, place, near = q[keep], place[keep], near[keep]
+        order = np.lexsort((-near, q))
+        q, place, near = q[order], place[order], near[order]
+        limit = _last(q, near, n, k) * SURE
+        keep = near >= limit[q]
+        q, place = q[keep], place[keep]
+        own = np.zeros(len(q))
+        for i in range(0, len(q), AT_ONCE):
+            cut = slice(i, i + AT_ONCE)
+            own[cut] = (_impact(self.table[place[cut]].astype(float), self.norm[place[cut]]) * weights[q[cut]]).sum(axis=1)
+        own = (own + scores[q, place]).round(9)                 # copies tie whatever the order of summation
+        order = np.lexsort((-own, q))
+        q, place, own = q[order], place[order], own[order]
+        keep = own >= np.maximum(_last(q, own, n, k), 1e-12)[q]
+        return q[keep], place[keep], own[keep]
+
+    def _walk(self, n: int, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Scores of all places by the lists of the words that are not dense."""
+        scores = np.zeros((n, self.blocks * BLOCK))
+        first, size = self.first[at], self.size[at]
+        short = size < RUN
+        postings, term = _spread(first[short], size[short])
+        np.add.at(scores.reshape(-1), owner[short][term] * scores.shape[1] + self.doc[postings], self.impact[postings])
+        runs, term = _spread(first[~short] // RUN, size[~short] // RUN)
+        ends = np.searchsorted(owner[~short][term], np.arange(n + 1))
+        doc, impact = self.doc[:self.runs].reshape(-1, RUN), self.impact[:self.runs].reshape(-1, RUN)
+        most = int(np.diff(ends).max(initial=0))
+        docs, to, add = np.empty((most, RUN), np.int32), np.empty((most, RUN), np.int64), np.empty((most, RUN))     # made once, not for each query
+        for q, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            np.take(doc, runs[x:y], axis=0, out=docs[:y - x], mode="clip")
+            np.take(impact, runs[x:y], axis=0, out=add[:y - x], mode="clip")
+            to[:y - x] = docs[:y - x]
+            np.add.at(scores[q], to[:y - x].reshape(-1), add[:y - x].reshape(-1))
+        return scores
 
 
 def _postings(texts: Iterable[bytes]) -> Iterator[list[np.ndarray]]:
@@ -222,18 +269,74 @@ def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, at, axis=1)[:, at]
 
 
-def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges [start, end), and the range each belongs to."""
-    size = end - start
+def _last(q: np.ndarray, scores: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th of each query's scores, which descend (0 where fewer than k)."""
+    ends = np.searchsorted(q, np.arange(n + 1))
+    out = np.zeros(n)
+    enough = np.diff(ends) >= k
+    out[enough] = scores[ends[:-1][enough] + k - 1]
+    return out
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges of some sizes, and the range each belongs to."""
     owner = np.repeat(np.arange(len(size)), size)
     return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size), owner
 
 
-def _best(ids: list, found: list[int], scores: list[float], k: int) -> list[tuple]:
+def _best(ids: list, found: Iterable[int], scores: Iterable[float], k: int) -> list[tuple]:
     rows = sorted(((-s, ids[i] is None, 0 if ids[i] is None else ids[i]) for i, s in zip(found, scores)))
     return [(None if none else i, -s) for s, none, i in rows[:k]]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on, so that small ones are compressed when they are sent."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries (key, terms in order, dfs) packed together, about `PACKED` words at a time: their number and those of their distinct terms and
+    of all their terms; then the keys, how many terms each has, the distinct terms in order, their dfs, and each query's terms by number."""
+    def packed() -> pa.RecordBatch:
+        keys, counts, terms, dfs = (np.concatenate(x) for x in zip(*held))
+        vocab, first, number = np.unique(terms, return_index=True, return_inverse=True)
+        gaps = np.diff(number, prepend=0)
+        start = (np.cumsum(counts) - counts)[counts > 0]
+        gaps[start] = number[start]
+        head = np.array([len(keys), len(vocab), len(terms)])
+        parts = [_planes(x) for x in (np.diff(keys, prepend=0), counts, np.diff(vocab, prepend=0), dfs[first], gaps.astype(np.uint32))]
+        return pa.record_batch([pa.array([b"".join([head.tobytes(), *parts])], pa.binary())], ["t"])
+
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(batch["terms"].value_lengths().to_numpy())
+        edges = (np.flatnonzero(np.diff(ends // PACKED)) + 1).tolist()
+        for a, b in zip([0, *edges], [*edges, len(batch)]):
+            part = batch.slice(a, b - a)
+            terms = part["terms"].flatten().to_numpy()
+            held.append((part["key"].to_numpy(), part["terms"].value_lengths().to_numpy().astype(np.int64), terms, part["dfs"].flatten().to_numpy()))
+            size += len(terms)
+            if size >= PACKED:
+                yield packed()
+                held, size = [], 0
+    if size:
+        yield packed()
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
+    """keys, counts, distinct terms, their dfs, numbers of the terms: see `_pack`."""
+    n, distinct, total = np.frombuffer(packed, np.int64, 3).tolist()
+    out, at = [], 24
+    for size, kind in ((n, np.int64), (n, np.int64), (distinct, np.int64), (distinct, np.int64), (total, np.uint32)):
+        width = np.dtype(kind).itemsize
+        out.append(np.frombuffer(packed, np.uint8, size * width, at).reshape(width, size).T.copy().view(kind).reshape(-1))
+        at += size * width
+    keys, counts, terms, dfs, gaps = out
+    number = np.cumsum(gaps, dtype=np.int64)
+    start = np.cumsum(counts) - counts
+    return np.cumsum(keys), counts, np.cumsum(terms), dfs, number - np.repeat(np.append(0, number)[start], counts)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
     """(shard, kind, rows): the batches cut where the shard or the kind changes."""
     for batch in batches:
@@ -253,21 +356,30 @@ def _texts(parts: Iterator[tuple[int, int, pa.RecordBatch]], ids: list) -> Itera
                 yield text
 
 
+def _answers(shard: Shard, packed: bytes, k: int, n: int) -> Iterator[tuple[int, int, float]]:
+    """(key, place, score) of the k best documents of packed queries, and of all that tie with the last, by query."""
+    keys, counts, terms, df, number = _unpack(packed)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    place = shard.enter(terms, idf)
+    ends = np.append(0, np.cumsum(counts))
+    step = max(1, min(AT_ONCE, CELLS // (shard.blocks * BLOCK)))
+    for i in range(0, len(keys), step):
+        own = number[ends[i]:ends[min(i + step, len(keys))]]
+        here = place[own] >= 0
+        owner, own = np.repeat(np.arange(len(counts[i:i + step])), counts[i:i + step])[here], own[here]
+        q, at, scores = shard.search(len(counts[i:i + step]), owner, place[own], idf[own], k)
+        yield from zip(keys[q + i].tolist(), at.tolist(), scores.tolist())
+
+
 def _search(k: int, mean: float, n: int):
     """Each shard's documents come first, then its queries."""
-    def answers(shard: Shard, part: pa.RecordBatch) -> pa.RecordBatch:
+    def answers(shard: Shard, packed: bytes, kind: pa.DataType) -> pa.RecordBatch:
         out = []
-        df = part["dfs"].flatten().to_numpy()
-        weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        terms, ends = part["terms"].flatten().to_numpy(), np.cumsum(part["terms"].value_lengths().to_numpy())
-        bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
-        asked = part["q"].to_pylist()
-        for i in range(0, len(asked), AT_ONCE):
-            found = shard.search([(terms[x:y], weight[x:y]) for x, y in bounds[i:i + AT_ONCE]], k)
-            out += [(q, d, x) for q, (at, scores) in zip(asked[i:i + AT_ONCE], found) for d, x in _best(shard.ids, at, scores, k)]
+        for key, found in groupby(_answers(shard, packed, k, n), itemgetter(0)):
+            _, at, scores = zip(*found)
+            out += [(key, d, x) for d, x in _best(shard.ids, at, scores, k)]
         columns = list(zip(*out)) or [(), (), ()]
-        kind = [pa.binary(), part.schema.field("id").type, pa.float64()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kind)], ["q", "doc_id", "score"])
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), kind, pa.float64()])], ["key", "doc_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groupby(_slices(batches), itemgetter(0)):
@@ -277,7 +389,7 @@ def _search(k: int, mean: float, n: int):
                     ids: list = []
                     shard = Shard(ids, _texts(parts, ids), mean)
                 elif shard is not None and len(shard.vocab):
-                    yield from (answers(shard, part) for _, _, part in parts)
+                    yield from (answers(shard, x.as_py(), part.schema.field("id").type) for _, _, part in parts for x in part["t"])
 
     return run
 
@@ -296,16 +408,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
     own = asked.dropDuplicates(["q"]).select("q", "t").mapInPandas(_query_terms, "q binary, term long")
     known = stage(own.join(counts.where("term is not null"), "term").groupBy("q")
                   .agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("x"))
-                  .select("q", F.col("x.term").alias("terms"), F.col("x.df").alias("dfs")))
+                  .select("q", F.monotonically_increasing_id().alias("key"), F.col("x.term").alias("terms"), F.col("x.df").alias("dfs")))
+    packs = math.ceil((known.agg(F.sum(F.size("terms"))).first()[0] or 0) / PACKED)
+    packed = stage(known.select("key", "terms", "dfs").repartition(max(1, packs)).mapInArrow(_pack, "t binary"))
     shards = max(1, math.ceil((size or 0) / shard_bytes))
-    none = F.lit(None)
     side = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"),
-                       F.col("doc_id").alias("id"), "t", none.cast("binary").alias("q"),
-                       none.cast("array<long>").alias("terms"), none.cast("array<long>").alias("dfs"))
-    sent = known.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"),
-                        none.cast(kind).alias("id"), F.lit(b"").alias("t"), "q", "terms", "dfs")
+                       F.col("doc_id").alias("id"), "t")
+    sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"),
+                         F.lit(None).cast(kind).alias("id"), "t")
     found = (side.union(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
-             .mapInArrow(_search(k, mean, n), f"q binary, doc_id {kind}, score double"))
-    order = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
+             .mapInArrow(_search(k, mean, n), f"key long, doc_id {kind}, score double"))
+    order = Window.partitionBy("key").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return asked.select("query_id", "q").distinct().join(best, "q").select("query_id", "doc_id", "rank", "score")
+    return (asked.select("query_id", "q").distinct().join(known.select("q", "key"), "q").join(best, "key")
+            .select("query_id", "doc_id", "rank", "score"))
