@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartq.functions.text import col_
-from chartq.operators.ranking import rank_in_group
+from chartq.operators.ranking import FEW, rank_in_group
+from chartq.sources.framing import staged
 
 
 def seeded_key(seed, *cols) -> Column:
@@ -31,7 +32,10 @@ def sample_per_group(df: DataFrame, group: str, n: int, seed, key: str) -> DataF
 def split_by_rank(df: DataFrame, order_cols, sizes, rest: str, group_cols=()) -> DataFrame:
     """Assign `split` by position in `order_cols` (per group): the first sizes[0][1] rows get
     sizes[0][0], the next sizes[1][1] rows sizes[1][0], ..., the remainder `rest`.
-    Sizes may be Columns computed from the group's row count `n`."""
+    Sizes may be Columns computed from the group's row count `n`. Few rows of known sizes in front of all others
+    are told by the last of them, without a rank for every row."""
+    if not group_cols and all(isinstance(size, int) for _, size in sizes) and sum(size for _, size in sizes) <= FEW:
+        return _split_at(df, list(order_cols), sizes, rest)
     r = rank_in_group(df, list(group_cols), list(order_cols), out="_rank")
     if group_cols:
         # null-safe: the rows of a NULL group are split like any others
@@ -50,6 +54,28 @@ def split_by_rank(df: DataFrame, order_cols, sizes, rest: str, group_cols=()) ->
     return r.withColumn("split", out.otherwise(F.lit(rest))).drop("_rank", "n")
 
 
+def _split_at(df: DataFrame, order_cols: list, sizes, rest: str) -> DataFrame:
+    """`split_by_rank` of one group and few rows: each size's last row is found by a top-n, and rows are compared with it. Rows are stored
+    once, as they come (equal texts often stand together and compress) and numbered (rows equal in all order columns are told apart), and
+    dealt in order afterwards, so that only the shuffle holds them a second time."""
+    own = staged(df.withColumn("_row", F.monotonically_increasing_id()), "split")
+    order = [col_(c) for c in order_cols]
+    place = F.struct(*[c.alias(f"k{i}") for i, c in enumerate([*order, F.col("_row")])])      # compares as the rows sort, nulls first
+    kinds = own.select(place.alias("p")).schema["p"].dataType.fields
+    out = F.lit(rest)
+    upto = sum(size for _, size in sizes)
+    for name, size in reversed(sizes):
+        last = own.select(place.alias("p")).orderBy("p").limit(upto).offset(upto - 1).collect() if upto else None
+        if last:
+            end = F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(last[0]["p"], kinds)])
+            out = F.when(place <= end, F.lit(name)).otherwise(out)
+        elif upto:                                      # fewer rows than that
+            out = F.lit(name)
+        upto -= size
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.withColumn("split", out).drop("_row").repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
 def split_80_10_10(df: DataFrame, group: str, seed, key: str) -> DataFrame:
     """SMP-03: shuffled, then train = first int(.8n), validation up to int(.9n), test the rest."""
     d = df.withColumn("_h", seeded_key(seed, key))

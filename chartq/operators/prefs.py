@@ -79,6 +79,7 @@ def seeded_order(seed: int | str, *key_cols) -> F.Column:
 def pref_mix(a: DataFrame, b: DataFrame, seed: int, n_eval: int, key_cols) -> DataFrame:
     """PRF-05: union of two preference sets, shuffled by a seeded key; the first `n_eval`
     rows of the shuffle are the evaluation split, the rest train (disjoint, quirk Q13)."""
-    u = a.unionByName(b, allowMissingColumns=True).withColumn("_h", seeded_order(seed, *key_cols))
+    u = a.unionByName(b, allowMissingColumns=True)
     from chartq.operators.curate import split_by_rank
-    return split_by_rank(u, ["_h", *key_cols], [("eval", n_eval)], rest="train").drop("_h")
+    # the seeded key is computed where it is compared: stored, it would be as long as a short row
+    return split_by_rank(u, [seeded_order(seed, *key_cols), *key_cols], [("eval", n_eval)], rest="train")
