@@ -167,7 +167,15 @@ class Shard:
             self.impact[postings] *= idf[own][owner]
         return np.where(here, at, -1)
 
-    def search(self, n: int, owner: np.ndarray, at: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[list[int], list[float]]]:
+        """Places and scores of each query's k best documents (and of all that tie with the last), a query being its terms and weights."""
+        at = np.concatenate([np.zeros(0, np.int64), *(self.enter(terms, idf) for terms, idf in queries)])
+        owner = np.repeat(np.arange(len(queries)), [len(terms) for terms, _ in queries])
+        here = at >= 0
+        q, place, own = self.ranked(len(queries), owner[here], at[here], np.concatenate([np.zeros(0), *(idf for _, idf in queries)])[here], k)
+        return [(place[q == i].tolist(), own[q == i].tolist()) for i in range(len(queries))]
+
+    def ranked(self, n: int, owner: np.ndarray, at: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, place, score) of the k best documents of n queries, and of all that tie with the last, by query. The queries' words
         are given by the query that has it, its place in the vocabulary and its weight, by query."""
         column = self.column[at]
@@ -367,19 +375,29 @@ def _answers(shard: Shard, packed: bytes, k: int, n: int) -> Iterator[tuple[int,
         own = number[ends[i]:ends[min(i + step, len(keys))]]
         here = place[own] >= 0
         owner, own = np.repeat(np.arange(len(counts[i:i + step])), counts[i:i + step])[here], own[here]
-        q, at, scores = shard.search(len(counts[i:i + step]), owner, place[own], idf[own], k)
+        q, at, scores = shard.ranked(len(counts[i:i + step]), owner, place[own], idf[own], k)
         yield from zip(keys[q + i].tolist(), at.tolist(), scores.tolist())
 
 
 def _search(k: int, mean: float, n: int):
-    """Each shard's documents come first, then its queries."""
-    def answers(shard: Shard, packed: bytes, kind: pa.DataType) -> pa.RecordBatch:
+    """Each shard's documents come first (kind 0), then its queries: one a row (1: q, terms, dfs) or packed (2: in t; q is the key)."""
+    def answers(shard: Shard, packed: bytes, names: pa.Array | None, kind: pa.DataType) -> pa.RecordBatch:
         out = []
         for key, found in groupby(_answers(shard, packed, k, n), itemgetter(0)):
             _, at, scores = zip(*found)
             out += [(key, d, x) for d, x in _best(shard.ids, at, scores, k)]
         columns = list(zip(*out)) or [(), (), ()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), kind, pa.float64()])], ["key", "doc_id", "score"])
+        q, doc, score = (pa.array(c, t) for c, t in zip(columns, [pa.int64(), kind, pa.float64()]))
+        return pa.record_batch([q if names is None else names.take(q), doc, score], ["q", "doc_id", "score"])
+
+    def packs(kind: int, part: pa.RecordBatch) -> Iterator[tuple[bytes, pa.Array | None]]:
+        """Packed queries, and what their keys number if they came one a row."""
+        if kind == 1:
+            keys = pa.array(range(len(part)), pa.int64())
+            part, names = pa.record_batch([keys, part["terms"], part["dfs"]], ["key", "terms", "dfs"]), part["q"]
+            yield from ((x.as_py(), names) for b in _pack(iter([part])) for x in b["t"])
+        else:
+            yield from ((x.as_py(), None) for x in part["t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groupby(_slices(batches), itemgetter(0)):
@@ -389,7 +407,7 @@ def _search(k: int, mean: float, n: int):
                     ids: list = []
                     shard = Shard(ids, _texts(parts, ids), mean)
                 elif shard is not None and len(shard.vocab):
-                    yield from (answers(shard, x.as_py(), part.schema.field("id").type) for _, _, part in parts for x in part["t"])
+                    yield from (answers(shard, x, names, part.schema.field("id").type) for _, _, part in parts for x, names in packs(kind, part))
 
     return run
 
@@ -414,10 +432,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_bytes: int = S
     shards = max(1, math.ceil((size or 0) / shard_bytes))
     side = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"),
                        F.col("doc_id").alias("id"), "t")
-    sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"),
+    sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(2).alias("kind"),
                          F.lit(None).cast(kind).alias("id"), "t")
     found = (side.union(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
-             .mapInArrow(_search(k, mean, n), f"key long, doc_id {kind}, score double"))
+             .mapInArrow(_search(k, mean, n), f"q long, doc_id {kind}, score double")).withColumnRenamed("q", "key")
     order = Window.partitionBy("key").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return (asked.select("query_id", "q").distinct().join(known.select("q", "key"), "q").join(best, "key")
